@@ -6,3 +6,153 @@ from oracles import duck as D
 ORACLES: dict[str, str] = {}
 
 ORACLES["ensemble_vote"] = D.vote_oracle(2)
+
+# ------------------------------------------------------------------ batch 2
+from spanweave.functions.prompts import SYSTEM_PROMPT  # noqa: E402
+from spanweave.functions.text import PY_BLANK_CLASS  # noqa: E402
+
+W = D.with_domain
+S = D.strip
+
+
+def _parsed(fn):
+    return W(D.PREDS) + (f"SELECT id, model, len(s) AS n_spans, array_to_string(s, '{D.SEP}') AS spans "
+                         f"FROM (SELECT id, model, {fn('raw')} AS s FROM preds)")
+
+
+ORACLES["parse_spans"] = _parsed(D.parse_greedy)
+ORACLES["parse_spans_first_object"] = _parsed(D.parse_first_object)
+ORACLES["parse_spans_outer_braces"] = _parsed(D.parse_outer_braces)
+ORACLES["strip_think"] = W(D.PREDS) + f"SELECT id, model, {D.strip_think('raw')} AS text FROM preds"
+ORACLES["json_valid_pct"] = W(D.PREDS) + (
+    f"SELECT model, round(100 * avg(CAST({D.json_valid('raw')} AS INTEGER)), 1) AS valid_pct, "
+    "count(*) AS n FROM preds GROUP BY model")
+ORACLES["locate_spans"] = W(D.PREDS, D.PARSED, D.EX, D.LOCATED) + \
+    'SELECT id, model, span_idx, start, "end", method FROM located'
+ORACLES["merge_spans"] = W(D.PREDS, D.PARSED, D.EX, D.LOCATED,
+                           "ch AS (SELECT DISTINCT id, model, unnest(range(start, least(\"end\", note_len))) AS pos "
+                           "FROM located)") + D.islands("ch", "id, model")
+ORACLES["format_location"] = W(
+    D.PREDS, D.PARSED, D.EX, D.LOCATED,
+    "sp AS (SELECT id, start, least(\"end\", note_len) AS e, substr(note, start + 1, least(\"end\", note_len) - start) AS txt "
+    "FROM located)",
+    "tr AS (SELECT id, start + length(regexp_extract(txt, '^[ \\t\\n\\r]*', 0)) AS s, "
+    "e - length(regexp_extract(txt, '[ \\t\\n\\r]*$', 0)) AS e FROM sp)",
+    "ch AS (SELECT DISTINCT id, unnest(range(s, e)) AS pos FROM tr WHERE s < e)",
+    f"isl AS ({D.islands('ch', 'id')})",
+) + "SELECT id, string_agg(start || ' ' || \"end\", ';' ORDER BY start) AS location FROM isl GROUP BY id"
+ORACLES["parse_location"] = (
+    "SELECT id, CAST(split_part(x, ' ', 1) AS INTEGER) AS start, CAST(split_part(x, ' ', 2) AS INTEGER) AS \"end\" "
+    f"FROM (SELECT id, unnest(string_split(location, ';')) AS x FROM ({D.vote_oracle(2)}) v "
+    "WHERE location IS NOT NULL)")
+
+_PRED_NOTE = ("pn AS (SELECT p.id, p.model, n.pn_history AS note, p.raw, "
+              f"{D.parse_outer_braces('p.raw')} AS pred FROM preds p JOIN notes n USING (pn_num))")
+ORACLES["char_f1"] = W(
+    D.TRUTH, D.PREDS, _PRED_NOTE,
+    "pspan AS (SELECT id, model, note, unnest(pred) AS span FROM pn)",
+    "tspan AS (SELECT id, pn_history AS note, unnest(annotation) AS span FROM truth)",
+    f"pc AS ({D.occurrences_chars('pspan', 'id, model', 'note', 'span')})",
+    f"tc AS ({D.occurrences_chars('tspan', 'id', 'note', 'span')})",
+    "tpc AS (SELECT pc.model, count(*) AS tp FROM pc JOIN tc USING (id, pos) GROUP BY pc.model)",
+    "pcount AS (SELECT model, count(*) AS np FROM pc GROUP BY model)",
+    "m AS (SELECT model, count(*) AS n FROM preds GROUP BY model)",
+    "agg AS (SELECT m.model, coalesce(tp, 0) AS tp, coalesce(np, 0) - coalesce(tp, 0) AS fp, "
+    "(SELECT count(*) FROM tc) - coalesce(tp, 0) AS fn, n FROM m LEFT JOIN pcount USING (model) "
+    "LEFT JOIN tpc USING (model))",
+) + ("SELECT model, tp, fp, fn, n, CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 "
+     "ELSE 2.0 * tp / (2 * tp + fp + fn) END AS char_f1 FROM agg")
+ORACLES["output_rates"] = W(D.TRUTH, D.PREDS, _PRED_NOTE) + (
+    "SELECT pn.model, count(*) AS val_gen_n, "
+    f"avg(CAST(starts_with({S('coalesce(pn.raw, chr(0))')}, '{{') OR len(pred) > 0 "
+    "OR contains(coalesce(pn.raw, ''), '\"spans\"') AS INTEGER)) AS val_jsonish_rate, "
+    "avg(CAST(len(list_filter(pred, lambda s: instr(pn.note, s) = 0)) = 0 AS INTEGER)) AS val_contained_rate, "
+    "avg(CAST((len(t.annotation) = 0) = (len(pred) = 0) AS INTEGER)) AS val_empty_accuracy "
+    "FROM pn JOIN truth t USING (id) GROUP BY pn.model")
+ORACLES["fill_rate"] = W(D.PREDS) + (
+    f"SELECT model, count_if(len({D.parse_first_object('raw')}) > 0) AS non_empty, count(*) AS n, "
+    f"100.0 * count_if(len({D.parse_first_object('raw')}) > 0) / greatest(count(*), 1) AS fill_pct "
+    "FROM preds GROUP BY model")
+ORACLES["unannotated_notes"] = W(D.UNANNOTATED) + "SELECT pn_num, case_num FROM unann"
+ORACLES["nonblank_notes"] = W() + (
+    f"SELECT case_num, count(*) AS n_notes FROM notes WHERE pn_history IS NOT NULL AND {S('pn_history')} <> '' "
+    "GROUP BY case_num")
+ORACLES["sample_n"] = W(D.UNANNOTATED) + f"SELECT pn_num, case_num FROM ({D.sample_rows('unann', 50, 42, 'pn_num')})"
+_AUG_IDS = ("aug AS (SELECT printf('%05d_%03d', u.pn_num, f.feature_num) AS id, u.pn_num, u.case_num, f.feature_num "
+            "FROM unann u JOIN features f USING (case_num))")
+ORACLES["sample_fraction"] = W(D.UNANNOTATED, _AUG_IDS) + (
+    "SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('42|' || id), id) AS rn, count(*) OVER () AS c "
+    "FROM aug) WHERE rn <= greatest(1, floor(c * 0.5))")
+ORACLES["case_fanout"] = W(D.UNANNOTATED) + \
+    "SELECT u.pn_num, u.case_num, f.feature_num FROM unann u JOIN features f USING (case_num)"
+ORACLES["pair_ids"] = W() + "SELECT id, pn_num, feature_num FROM pairs"
+ORACLES["pair_totals"] = W(D.UNANNOTATED) + (
+    f"SELECT count(*) AS total_pairs FROM ({D.sample_rows('unann', 50, 42, 'pn_num')}) s "
+    "JOIN features f USING (case_num)")
+ORACLES["features_per_case"] = W() + (
+    "SELECT case_num, array_to_string(list_sort(list(feature_num)), ',') AS feature_nums FROM features GROUP BY case_num")
+ORACLES["lookup_note"] = W() + (
+    "SELECT id, length(coalesce(pn_history, '')) AS note_len, md5(coalesce(pn_history, '')) AS note_md5 FROM pairs")
+ORACLES["lookup_feature"] = W() + "SELECT id, coalesce(feature_text, '') AS feature_text FROM pairs"
+ORACLES["resume_pairs"] = W(D.UNANNOTATED, _AUG_IDS, D.PREDS) + (
+    f"SELECT id FROM aug WHERE id NOT IN (SELECT id FROM preds WHERE model = 'm1' AND {D.json_valid('raw')})")
+ORACLES["head_n"] = W() + "SELECT id, pn_num FROM pairs ORDER BY id LIMIT 20"
+
+
+def _json_target(arr: str) -> str:
+    items = f"list_filter(list_transform({arr}, lambda a: {S('a')}), lambda a: a <> '')"
+    return f"('{{\"spans\": [' || coalesce(array_to_string(list_transform({items}, lambda a: to_json(a)), ', '), '') || ']}}')"
+
+
+_TRAINING = [
+    D.TRUTH, D.UNANNOTATED, _AUG_IDS, D.PREDS,
+    "tr0 AS (SELECT id, pn_num, case_num, feature_num, annotation FROM truth WHERE pn_num IN (SELECT doc_id FROM labels))",
+    f"aug1 AS (SELECT a.id, a.pn_num, a.case_num, a.feature_num, {D.parse_first_object('p.raw')} AS annotation "
+    "FROM aug a JOIN preds p ON p.id = a.id AND p.model = 'm1')",
+    "aug2 AS (SELECT id, pn_num, case_num, feature_num, annotation FROM (SELECT *, row_number() OVER "
+    "(ORDER BY md5('42|' || id), id) AS rn, count(*) OVER () AS c FROM aug1) WHERE rn <= greatest(1, floor(c * 0.5)))",
+    "u AS (SELECT * FROM tr0 UNION ALL SELECT * FROM aug2)",
+    "trows AS (SELECT u.*, coalesce(n.pn_history, '') AS pn_history, coalesce(f.feature_text, '') AS feature_text "
+    "FROM u LEFT JOIN notes n USING (pn_num) LEFT JOIN features f ON f.case_num = u.case_num AND "
+    f"f.feature_num = u.feature_num WHERE {S('coalesce(n.pn_history, chr(32))')} <> '' AND "
+    f"{S('coalesce(f.feature_text, chr(32))')} <> '')",
+    f"trows2 AS (SELECT *, {_json_target('annotation')} AS assistant_target FROM trows)",
+]
+ORACLES["training_rows"] = W(*_TRAINING) + (
+    "SELECT id, pn_num, case_num, feature_num, length(pn_history) AS note_len, feature_text, "
+    "len(annotation) AS n_spans, assistant_target FROM trows2")
+ORACLES["span_histogram"] = W(*_TRAINING) + \
+    "SELECT len(annotation) AS n_spans, count(*) AS n_rows FROM trows2 GROUP BY 1"
+ORACLES["assistant_target"] = W(D.TRUTH) + f"SELECT id, {_json_target('annotation')} AS assistant_target FROM truth"
+ORACLES["parse_pylist"] = W(D.TRUTH) + (
+    f"SELECT id, len(annotation) AS n_spans, array_to_string(annotation, '{D.SEP}') AS spans, "
+    "array_to_string(list_transform(annotation, lambda s: (instr(pn_history, s) - 1) || ' ' || "
+    f"(instr(pn_history, s) - 1 + length(s))), '{D.SEP}') AS locations FROM truth "
+    "WHERE pn_num IN (SELECT doc_id FROM labels)")
+
+_FOLDS = _TRAINING + [
+    "g AS (SELECT case_num, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, case_num DESC) AS rn "
+    "FROM trows2 GROUP BY case_num)",
+    "rec AS (SELECT 0 AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::INTEGER AS case_num, NULL::INTEGER AS fold "
+    "UNION ALL SELECT r.i + 1, list_transform(range(5), lambda k: r.loads[k + 1] + CASE WHEN "
+    "k = list_position(r.loads, list_min(r.loads)) - 1 THEN g.n ELSE 0 END), g.case_num, "
+    "CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER) FROM rec r JOIN g ON g.rn = r.i + 1)",
+    "folds AS (SELECT case_num, fold FROM rec WHERE case_num IS NOT NULL)",
+]
+ORACLES["group_kfold"] = W(*_FOLDS).replace("WITH ", "WITH RECURSIVE ", 1) + (
+    "SELECT t.case_num, f.fold, count(*) AS n_rows FROM trows2 t JOIN folds f USING (case_num) GROUP BY 1, 2")
+ORACLES["fold_summary"] = W(*_FOLDS).replace("WITH ", "WITH RECURSIVE ", 1) + (
+    "SELECT side, count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT case_num)), ',') AS cases, "
+    "0::BIGINT AS leaky FROM (SELECT t.case_num, CASE WHEN f.fold = 4 THEN 'val' ELSE 'train' END AS side "
+    "FROM trows2 t JOIN folds f USING (case_num)) GROUP BY side")
+_SYS = SYSTEM_PROMPT.replace("'", "''")
+_CHAT = ("('<|im_start|>system' || chr(10) || '" + _SYS + "' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) "
+         "|| 'Note: \"' || " + S("pn_history") + " || '\"' || chr(10) || 'Feature: ' || feature_text || '<|im_end|>' "
+         "|| chr(10) || '<|im_start|>assistant' || chr(10) || assistant_target || '<|im_end|>' || chr(10))")
+ORACLES["length_percentiles"] = W(*_TRAINING, (
+    f"tok AS (SELECT len(list_filter(string_split_regex({_CHAT}, '{PY_BLANK_CLASS}+'), lambda t: t <> '')) AS n "
+    "FROM trows2)")) + (
+    "SELECT CAST(trunc(quantile_cont(n, 0.5)) AS INTEGER) AS p50, CAST(trunc(quantile_cont(n, 0.9)) AS INTEGER) AS p90, "
+    "CAST(trunc(quantile_cont(n, 0.99)) AS INTEGER) AS p99, max(n) AS max_len, count_if(n > 512) AS n_over, "
+    "count(*) AS n FROM tok")
+ORACLES["model_filter"] = W(D.PREDS) + "SELECT model, count(*) AS n FROM preds WHERE model IN ('m1', 'm3') GROUP BY model"

@@ -150,3 +150,43 @@ def vote_oracle(threshold: int) -> str:
         "e - length(regexp_extract(txt, '[ \\t\\n\\r]*$', 0)) AS e FROM seg)",
         "locs AS (SELECT id, string_agg(s || ' ' || e, ';' ORDER BY s) AS location FROM trimmed WHERE s < e GROUP BY id)",
     ) + "SELECT p.id, l.location FROM pairs p LEFT JOIN locs l USING (id)"
+
+
+SEP = "␟"
+PARSED = f"parsed AS (SELECT *, {parse_greedy('raw')} AS spans FROM preds)"
+EX = ("ex AS (SELECT id, pn_num, model, weight, unnest(spans) AS span, "
+      "generate_subscripts(spans, 1) - 1 AS span_idx FROM parsed)")
+LOCATED = ("located AS (SELECT id, model, span_idx, s AS start, s + length(sp) AS \"end\", "
+           "CASE WHEN x > 0 THEN 'exact' ELSE 'ci' END AS method, n AS note_len, note FROM ("
+           "SELECT *, CASE WHEN x > 0 THEN x - 1 WHEN c > 0 THEN c - 1 END AS s FROM ("
+           "SELECT e.id, e.model, e.span_idx, sp, n.pn_history AS note, length(n.pn_history) AS n, "
+           "instr(n.pn_history, sp) AS x, instr(lower(n.pn_history), lower(sp)) AS c FROM "
+           f"(SELECT *, {strip('span')} AS sp FROM ex) e JOIN notes n USING (pn_num) "
+           "WHERE sp <> '' AND length(n.pn_history) > 0)) WHERE s IS NOT NULL)")
+UNANNOTATED = ("unann AS (SELECT * FROM notes WHERE pn_num NOT IN (SELECT doc_id FROM labels) "
+               f"AND pn_history IS NOT NULL AND {strip('pn_history')} <> '')")
+
+
+def islands(src: str, keys: str) -> str:
+    """Character rows ``keys, pos`` to maximal runs ``keys, start, end``."""
+    return (f"SELECT {keys}, min(pos) AS start, max(pos) + 1 AS \"end\" FROM ("
+            f"SELECT {keys}, pos, pos - row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS g FROM {src}) "
+            f"GROUP BY {keys}, g")
+
+
+def occurrences_chars(src: str, keys: str, note: str, span: str) -> str:
+    """Characters covered by every (overlapping) occurrence of ``span`` in ``note``."""
+    return (f"SELECT DISTINCT {keys}, c.pos FROM (SELECT {keys}, {span}, i.i FROM {src}, "
+            f"LATERAL range(instr({note}, {span}) - 1, length({note}) - length({span}) + 1) AS i(i) "
+            f"WHERE length({span}) > 0 AND instr({note}, {span}) > 0 "
+            f"AND substr({note}, i.i + 1, length({span})) = {span}) o, "
+            f"LATERAL range(o.i, o.i + length(o.{span})) AS c(pos)")
+
+
+def sample_rows(src: str, n: int | str, seed: int, key: str) -> str:
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}|' || CAST({key} AS VARCHAR)), {key}) "
+            f"AS _rn FROM {src}) WHERE _rn <= {n}")
+
+
+def repr_roundtrip_note() -> str:
+    return "parse(repr(x)) is checked against x itself"

@@ -24,6 +24,12 @@ def locate(sub, s, pos=None) -> Column:
     return F.call_function("locate", *args)
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once and use it many times in ``body`` (keeps plans and
+    generated code small when a costly sub-expression is referenced repeatedly)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _ranges(codes: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for c in codes:
@@ -120,27 +126,23 @@ def parse_spans(c, mode: str = "greedy") -> Column:
     """
     raw = _col(c)
     if mode == "greedy":
-        t = strip_think(raw)
-        v1 = F.try_parse_json(t)
-        m = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-        v2 = F.try_parse_json(m)
-        v = F.when(_is_object(v1), v1).when(_is_object(v2), v2)
-        res = _spans_of(v, strip_items=True, string_iterates=False)
+        res = let(strip_think(raw), lambda t: let(
+            F.struct(F.try_parse_json(t).alias("a"), F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)).alias("b")),
+            lambda vv: let(F.when(_is_object(vv["a"]), vv["a"]).when(_is_object(vv["b"]), vv["b"]),
+                           lambda v: _spans_of(v, strip_items=True, string_iterates=False))))
     elif mode == "first_object":
-        t = strip_think(strip_u(raw))
-        m = F.regexp_extract(t, r'(?s)\{[^{}]*"spans"\s*:\s*\[[^\]]*\][^{}]*\}', 0)
-        t2 = F.when(m != "", m).otherwise(t)
-        v = F.try_parse_json(t2)
-        v = F.when(_is_object(v), v)
-        res = F.when(F.coalesce(raw, F.lit("")) == "", _empty()).otherwise(
-            _spans_of(v, strip_items=False, string_iterates=True))
+        def body(t):
+            return let(F.regexp_extract(t, r'(?s)\{[^{}]*"spans"\s*:\s*\[[^\]]*\][^{}]*\}', 0), lambda m: let(
+                F.try_parse_json(F.when(m != "", m).otherwise(t)),
+                lambda v0: let(F.when(_is_object(v0), v0),
+                               lambda v: _spans_of(v, strip_items=False, string_iterates=True))))
+        res = F.when(F.coalesce(raw, F.lit("")) == "", _empty()).otherwise(let(strip_think(strip_u(raw)), body))
     elif mode == "outer_braces":
-        t = strip_u(raw)
-        v1 = F.try_parse_json(t)
-        m = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-        v2 = F.try_parse_json(m)
-        v = F.when(v1.isNotNull(), F.when(_is_object(v1), v1)).when(_is_object(v2), v2)
-        res = _spans_of(v, strip_items=True, string_iterates=True)
+        res = let(F.struct(F.try_parse_json(strip_u(raw)).alias("a"),
+                           F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)).alias("b")),
+                  lambda vv: let(F.when(vv["a"].isNotNull(), F.when(_is_object(vv["a"]), vv["a"]))
+                                  .when(_is_object(vv["b"]), vv["b"]),
+                                 lambda v: _spans_of(v, strip_items=True, string_iterates=True)))
     else:
         raise ValueError(f"unknown parse mode {mode!r}")
     return F.coalesce(res, _empty())
@@ -148,12 +150,13 @@ def parse_spans(c, mode: str = "greedy") -> Column:
 
 def json_valid(c) -> Column:
     """Output is valid: after think-strip (and greedy retry) ``spans`` is a JSON list."""
-    t = strip_think(_col(c))
-    v1 = F.try_parse_json(t)
-    v2 = F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0))
-    v = F.when(_is_object(v1), v1).when(_is_object(v2), v2)
-    kind = F.schema_of_variant(F.try_variant_get(v, "$.spans", "variant"))
-    return F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+    def body(t):
+        return let(F.struct(F.try_parse_json(t).alias("a"),
+                            F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)).alias("b")),
+                   lambda vv: let(F.when(_is_object(vv["a"]), vv["a"]).when(_is_object(vv["b"]), vv["b"]),
+                                  lambda v: F.schema_of_variant(F.try_variant_get(v, "$.spans", "variant"))
+                                  .startswith("ARRAY")))
+    return F.coalesce(let(strip_think(_col(c)), body), F.lit(False))
 
 
 def jsonish(raw, spans) -> Column:
@@ -238,8 +241,7 @@ def _literal_eval_udf():
 
     import pandas as pd
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _lit_eval(s: pd.Series) -> pd.Series:
+    def _lit_eval(s):
         def one(v):
             if v is None:
                 return []
@@ -249,7 +251,8 @@ def _literal_eval_udf():
                 return []
             return [x for x in r if isinstance(x, str)] if isinstance(r, list) else []
         return s.map(one)
-    return _lit_eval
+    _lit_eval.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(T.ArrayType(T.StringType()))(_lit_eval)
 
 
 def parse_pylist(c) -> Column:

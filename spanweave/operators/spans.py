@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.functions.text import VOTE_BLANK_CLASS, locate, strip_u
+from spanweave.functions.text import VOTE_BLANK_CLASS, let, locate, strip_u
 
 _PROBE = 64  # bounded look-around before falling back to the whole remainder
 
@@ -195,12 +195,16 @@ def covered_chars(intervals) -> Column:
 def char_counts(note, pred, truth) -> Column:
     """Per-row ``struct<tp,fp,fn>`` over the character sets of all occurrences."""
     note = F.col(note) if isinstance(note, str) else note
-    occ = lambda arr: F.flatten(F.transform(F.coalesce(arr, F.array().cast("array<string>")),
+    occ = lambda arr: F.flatten(F.transform(F.coalesce(arr, F.array().cast("array<string>")),
                                             lambda s: occurrences(note, s)))
     p, t = occ(F.col(pred) if isinstance(pred, str) else pred), occ(F.col(truth) if isinstance(truth, str) else truth)
-    np_, nt, nu = covered_chars(p), covered_chars(t), covered_chars(F.concat(p, t))
-    tp = np_ + nt - nu
-    return F.struct(tp.alias("tp"), (np_ - tp).alias("fp"), (nt - tp).alias("fn"))
+
+    def counts(o):
+        return let(F.struct(covered_chars(o["p"]).alias("np"), covered_chars(o["t"]).alias("nt"),
+                            covered_chars(F.concat(o["p"], o["t"])).alias("nu")),
+                   lambda c: F.struct((c["np"] + c["nt"] - c["nu"]).alias("tp"), (c["nu"] - c["nt"]).alias("fp"),
+                                      (c["nu"] - c["np"]).alias("fn")))
+    return let(F.struct(p.alias("p"), t.alias("t")), counts)
 
 
 def micro_f1(tp: Column, fp: Column, fn: Column) -> Column:

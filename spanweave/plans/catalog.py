@@ -22,3 +22,228 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     n_voters = sum(w for _, w in T.REGISTRY)
     return ensemble_locations(T.pairs(spark, sf), T.notes(spark, sf).select("pn_num", "pn_history"),
                               T.predictions(spark, sf), threshold=2, n_voters=n_voters)
+
+
+# ----------------------------------------------------------------- batch 2
+from pyspark.sql import functions as F  # noqa: E402
+
+from spanweave.functions import prompts as P  # noqa: E402
+from spanweave.functions.text import (parse_pylist, parse_spans, strip_think, is_blank,  # noqa: E402
+                                      assistant_target)
+from spanweave.operators import relational as R  # noqa: E402
+from spanweave.operators import sampling as S  # noqa: E402
+from spanweave.operators import scoring as SC  # noqa: E402
+from spanweave.operators.spans import (locate_spans, merge_intervals, parse_location,  # noqa: E402
+                                       with_blank_edges, format_location)
+from spanweave.plans.ensemble import explode_spans  # noqa: E402
+from spanweave.plans.training import training_rows  # noqa: E402
+
+SEP = "␟"  # list separator in flattened outputs
+
+
+def _parsed(spark, sf, mode):
+    p = T.predictions(spark, sf)
+    s = parse_spans("raw", mode)
+    return p.select("id", "model", F.size(s).alias("n_spans"), F.array_join(s, SEP).alias("spans"))
+
+
+register("parse_spans")(lambda spark, sf: _parsed(spark, sf, "greedy"))
+register("parse_spans_first_object")(lambda spark, sf: _parsed(spark, sf, "first_object"))
+register("parse_spans_outer_braces")(lambda spark, sf: _parsed(spark, sf, "outer_braces"))
+
+
+@register("strip_think")
+def q_strip_think(spark, sf):
+    return T.predictions(spark, sf).select("id", "model", strip_think("raw").alias("text"))
+
+
+@register("json_valid_pct")
+def q_json_valid_pct(spark, sf):
+    return SC.json_valid_pct(T.predictions(spark, sf), "raw", ["model"])
+
+
+def _located(spark, sf):
+    notes = T.notes(spark, sf).select("pn_num", "pn_history")
+    return locate_spans(explode_spans(T.predictions(spark, sf)), notes)
+
+
+@register("locate_spans")
+def q_locate_spans(spark, sf):
+    return _located(spark, sf).select("id", "model", "span_idx", "start", "end", "method")
+
+
+@register("merge_spans")
+def q_merge_spans(spark, sf):
+    c = _located(spark, sf).withColumn("end", F.least("end", "note_len"))
+    return merge_intervals(c, ["id", "model"])
+
+
+@register("format_location")
+def q_format_location(spark, sf):
+    """All models' spans per pair: trim blanks, drop empties, merge touching, format."""
+    j = with_blank_edges(_located(spark, sf))
+    j = (j.withColumn("start", F.col("start") + F.col("lead")).withColumn("end", F.col("end") - F.col("trail"))
+          .filter(F.col("start") < F.col("end")))
+    return format_location(merge_intervals(j, ["id"]))
+
+
+@register("parse_location")
+def q_parse_location(spark, sf):
+    sub = flagship(spark, sf)
+    return sub.select("id", F.explode(parse_location("location")).alias("x")).select("id", "x.start", "x.end")
+
+
+@register("char_f1")
+def q_char_f1(spark, sf):
+    p = T.predictions_with_truth(spark, sf).withColumn("pred", parse_spans("raw", "outer_braces"))
+    return SC.char_scores(p, "pn_history", "pred", "annotation", by=["model"])
+
+
+@register("output_rates")
+def q_output_rates(spark, sf):
+    p = T.predictions_with_truth(spark, sf)
+    return SC.output_rates(p, "raw", "pn_history", "annotation", by=["model"], prefix="val_")
+
+
+@register("fill_rate")
+def q_fill_rate(spark, sf):
+    p = T.predictions(spark, sf).withColumn("spans", parse_spans("raw", "first_object"))
+    return SC.fill_rate(p, "spans", ["model"])
+
+
+def _unannotated(spark, sf):
+    return R.unannotated(T.notes(spark, sf), T.annotated_ids(spark, sf))
+
+
+@register("unannotated_notes")
+def q_unannotated(spark, sf):
+    return _unannotated(spark, sf).select("pn_num", "case_num")
+
+
+@register("nonblank_notes")
+def q_nonblank(spark, sf):
+    return R.nonblank(T.notes(spark, sf), "pn_history").groupBy("case_num").agg(F.count(F.lit(1)).alias("n_notes"))
+
+
+@register("sample_n")
+def q_sample_n(spark, sf):
+    return S.sample_n(_unannotated(spark, sf), 50, 42, "pn_num").select("pn_num", "case_num")
+
+
+@register("sample_fraction")
+def q_sample_fraction(spark, sf):
+    return S.sample_fraction(T.augmented_pairs(spark, sf), 0.5, 42, "id").select("id")
+
+
+@register("case_fanout")
+def q_case_fanout(spark, sf):
+    f = T.features(spark, sf).drop("feature_text")
+    return R.case_fanout(_unannotated(spark, sf).drop("pn_history"), f).select("pn_num", "case_num", "feature_num")
+
+
+@register("pair_ids")
+def q_pair_ids(spark, sf):
+    return T.pairs(spark, sf).select("id", "pn_num", "feature_num")
+
+
+@register("pair_totals")
+def q_pair_totals(spark, sf):
+    s = S.sample_n(_unannotated(spark, sf), 50, 42, "pn_num").drop("pn_history")
+    return R.case_fanout(s, T.features(spark, sf).drop("feature_text")).agg(F.count(F.lit(1)).alias("total_pairs"))
+
+
+@register("features_per_case")
+def q_features_per_case(spark, sf):
+    return T.features(spark, sf).groupBy("case_num").agg(
+        F.array_join(F.array_sort(F.collect_list("feature_num")), ",").alias("feature_nums"))
+
+
+@register("lookup_note")
+def q_lookup_note(spark, sf):
+    notes = R.dedupe_last(T.notes(spark, sf), ["pn_num"], "pn_num", ["pn_history"])
+    t = R.lookup(T.pairs(spark, sf), notes, ["pn_num"], "pn_history")
+    return t.select("id", F.length("pn_history").alias("note_len"), F.md5("pn_history").alias("note_md5"))
+
+
+@register("lookup_feature")
+def q_lookup_feature(spark, sf):
+    t = R.lookup(T.pairs(spark, sf), T.features(spark, sf), ["case_num", "feature_num"], "feature_text")
+    return t.select("id", "feature_text")
+
+
+@register("resume_pairs")
+def q_resume_pairs(spark, sf):
+    """Pairs of unannotated notes still to label, given a results table of valid outputs."""
+    from spanweave.functions.text import json_valid
+    todo = R.case_fanout(_unannotated(spark, sf).drop("pn_history"), T.features(spark, sf).drop("feature_text"))
+    todo = todo.withColumn("id", F.format_string("%05d_%03d", "pn_num", "feature_num"))
+    done = T.predictions(spark, sf).filter((F.col("model") == "m1") & json_valid("raw"))
+    return R.resume(todo, done, "id").select("id")
+
+
+@register("head_n")
+def q_head_n(spark, sf):
+    return R.head_n(T.pairs(spark, sf), 20, ["id"]).select("id", "pn_num")
+
+
+def _training(spark, sf):
+    return training_rows(T.train_pairs(spark, sf), T.augmented_pairs(spark, sf),
+                         T.notes(spark, sf), T.features(spark, sf), ratio=0.5, seed=42)
+
+
+@register("training_rows")
+def q_training_rows(spark, sf):
+    t = _training(spark, sf)
+    return t.select("id", "pn_num", "case_num", "feature_num", F.length("pn_history").alias("note_len"),
+                    "feature_text", F.size("annotation").alias("n_spans"), "assistant_target")
+
+
+@register("span_histogram")
+def q_span_histogram(spark, sf):
+    t = _training(spark, sf)
+    return t.groupBy(F.size("annotation").alias("n_spans")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("assistant_target")
+def q_assistant_target(spark, sf):
+    t = T.with_truth(T.pairs(spark, sf, with_text=True))
+    return t.select("id", assistant_target("annotation").alias("assistant_target"))
+
+
+@register("parse_pylist")
+def q_parse_pylist(spark, sf):
+    t = T.train_pairs(spark, sf)
+    a, l_ = parse_pylist("annotation"), parse_pylist("location")
+    return t.select("id", F.size(a).alias("n_spans"), F.array_join(a, SEP).alias("spans"),
+                    F.array_join(l_, SEP).alias("locations"))
+
+
+@register("group_kfold")
+def q_group_kfold(spark, sf):
+    f = S.group_kfold(_training(spark, sf), "case_num", 5)
+    return f.groupBy("case_num", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("fold_summary")
+def q_fold_summary(spark, sf):
+    f = S.split_fold(S.group_kfold(_training(spark, sf), "case_num", 5), 4, 5)
+    per_case = f.groupBy("case_num").agg(F.countDistinct("side").alias("k"))
+    j = f.join(per_case, "case_num")
+    return j.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"),
+                                 F.array_join(F.array_sort(F.collect_set("case_num")), ",").alias("cases"),
+                                 F.countDistinct(F.when(F.col("k") > 1, F.col("case_num"))).alias("leaky"))
+
+
+@register("length_percentiles")
+def q_length_percentiles(spark, sf):
+    t = _training(spark, sf)
+    text = P.render_chatml(P.chat_messages("pn_history", "feature_text", "assistant_target"))
+    t = t.select(F.size(P.whitespace_tokens(text)).alias("n_tokens"))
+    return SC.length_report(t, "n_tokens", 512)
+
+
+@register("model_filter")
+def q_model_filter(spark, sf):
+    wanted = [m.strip() for m in "m1,m3".split(",") if m.strip()]
+    return T.predictions(spark, sf).filter(F.col("model").isin(wanted)).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.functions.text import locate, pair_id, py_repr_list
+from spanweave.functions.text import let, locate, pair_id, py_repr_list
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -107,21 +107,25 @@ def _raw_output(note: Column, pid: Column, model: Column) -> Column:
     span = F.substring(note, (s + 1).cast("int"), (5 + F.pmod(h32(pid, model, "l"), F.lit(36))).cast("int"))
     s2 = F.pmod(h32(pid, model, "t"), F.greatest(F.length(note), F.lit(1)))
     span2 = F.substring(note, (s2 + 1).cast("int"), (5 + F.pmod(h32(pid, model, "u"), F.lit(20))).cast("int"))
-    js = F.to_json(F.array(span))
-    inner = F.substring(js, F.lit(2), F.length(js) - 2)
     v = F.pmod(h32(pid, model, "v"), F.lit(12))
-    up = F.translate(span, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    return (F.when(v <= 2, F.concat(F.lit('{"spans": '), js, F.lit("}")))
-             .when(v == 3, F.concat(F.lit('<think>\nchecking the note\n</think>\n\n{"spans": '), js, F.lit("}")))
-             .when(v == 4, F.concat(F.lit('```json\n{"spans": '), js, F.lit("}\n```")))
-             .when(v == 5, F.concat(F.lit('{"spans": '), js, F.lit("} <|im_end|>")))
-             .when(v == 6, F.concat(F.lit('{"spans": '), F.to_json(F.array(up)), F.lit("}")))
-             .when(v == 7, F.lit('{"spans": []}'))
-             .when(v == 8, F.concat(F.lit('{"spans": '), F.to_json(F.array(span, span2)), F.lit("}")))
-             .when(v == 9, F.concat(F.lit('{"spans": ["'), span))
-             .when(v == 10, F.concat(F.lit('{"spans": '), F.to_json(F.array(F.translate(span, "\n", " "))),
-                                     F.lit(', "note": 1}')))
-             .otherwise(F.concat(F.lit('Answer: {"spans": ['), inner, F.lit(', 1, null]}'))))
+
+    def render(r):
+        span, js, v = r["span"], r["js"], r["v"]
+        inner = F.substring(js, F.lit(2), F.length(js) - 2)
+        up = F.translate(span, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return (F.when(v <= 2, F.concat(F.lit('{"spans": '), js, F.lit("}")))
+                 .when(v == 3, F.concat(F.lit('<think>\nchecking the note\n</think>\n\n{"spans": '), js, F.lit("}")))
+                 .when(v == 4, F.concat(F.lit('```json\n{"spans": '), js, F.lit("}\n```")))
+                 .when(v == 5, F.concat(F.lit('{"spans": '), js, F.lit("} <|im_end|>")))
+                 .when(v == 6, F.concat(F.lit('{"spans": '), F.to_json(F.array(up)), F.lit("}")))
+                 .when(v == 7, F.lit('{"spans": []}'))
+                 .when(v == 8, F.concat(F.lit('{"spans": '), F.to_json(F.array(span, r["span2"])), F.lit("}")))
+                 .when(v == 9, F.concat(F.lit('{"spans": ["'), span))
+                 .when(v == 10, F.concat(F.lit('{"spans": '), F.to_json(F.array(F.translate(span, "\n", " "))),
+                                         F.lit(', "note": 1}')))
+                 .otherwise(F.concat(F.lit('Answer: {"spans": ['), inner, F.lit(', 1, null]}'))))
+    return let(F.struct(span.alias("span"), span2.alias("span2"), v.alias("v"),
+                        F.to_json(F.array(span)).alias("js")), render)
 
 
 def predictions(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
@@ -132,3 +136,24 @@ def predictions(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
     out = p.withColumn("_m", F.explode(reg)).select("*", "_m.model", "_m.weight")
     return out.select("id", "pn_num", "case_num", "feature_num", "model", "weight",
                       _raw_output(F.col("pn_history"), F.col("id"), F.col("model")).alias("raw"))
+
+
+def predictions_with_truth(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
+    """Model outputs next to the note, feature and true spans, in one scan (no join back)."""
+    p = with_truth(pairs(spark, sf_dir, with_text=True))
+    reg = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(int(w)).alias("weight"))
+                    for m, w in (registry or REGISTRY)])
+    out = p.withColumn("_m", F.explode(reg)).select("*", "_m.model", "_m.weight").drop("_m")
+    return out.withColumn("raw", _raw_output(F.col("pn_history"), F.col("id"), F.col("model")))
+
+
+def augmented_pairs(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFrame:
+    """Pseudo-labelled pairs as written by the labelling job: repr-string annotation
+    of the first-object parse of one model's output, for unannotated notes."""
+    from spanweave.functions.text import is_blank, parse_spans
+    n = notes(spark, sf_dir).join(annotated_ids(spark, sf_dir), "pn_num", "left_anti")
+    n = n.filter(~is_blank(F.col("pn_history")))
+    p = n.join(features(spark, sf_dir).drop("feature_text"), "case_num").withColumn("id", pair_id("pn_num", "feature_num"))
+    raw = _raw_output(F.col("pn_history"), F.col("id"), F.lit(model))
+    return p.select("id", "pn_num", "feature_num", "case_num",
+                    py_repr_list(parse_spans(raw, "first_object")).alias("annotation"))
