@@ -171,14 +171,22 @@ def parse_location(c) -> Column:
 
 # ------------------------------------------------------------------ scoring
 def occurrences(note, span) -> Column:
-    """All (overlapping) occurrences of ``span`` in ``note`` as ``array<struct<s,e>>``."""
+    """All (overlapping) occurrences of ``span`` in ``note`` as ``array<struct<s,e>>``.
+
+    A zero-width lookahead counts the occurrences in the JVM regex engine; the
+    fold then walks ``locate`` from hit to hit, so the cost follows the number
+    of hits rather than the note length.
+    """
     note = F.col(note) if isinstance(note, str) else note
     L = F.length(span)
-    first = locate(span, note)
-    last = F.length(note) - locate(F.reverse(span), F.reverse(note)) + 1 - L + 1
-    seq = F.sequence(first - 1, last - 1)
-    hits = F.filter(seq, lambda i: F.substring(note, i + 1, L) == span)
-    return F.when((L > 0) & (first > 0), F.transform(hits, lambda i: F.struct(i.alias("s"), (i + L).alias("e")))) \
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(span, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    cnt = F.size(F.regexp_extract_all(note, quoted, F.lit(0)))
+    starts = F.aggregate(
+        F.sequence(F.lit(1), cnt), F.array().cast("array<int>"),
+        lambda acc, _: F.concat(acc, F.array(
+            locate(span, note, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 2) - 1)))
+    return F.when((L > 0) & (locate(span, note) > 0),
+                  F.transform(starts, lambda i: F.struct(i.alias("s"), (i + L).alias("e")))) \
             .otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
