@@ -81,6 +81,18 @@ def flatten_newlines(c) -> Column:
 
 
 # ---------------------------------------------------------------- JSON spans
+def parse_json_strict(t: Column) -> Column:
+    """``json.loads`` semantics: exactly one JSON value, nothing after it.
+
+    ``try_parse_json`` alone stops after the first value; wrapping the text in
+    ``[...]`` makes any trailing content an array element (or a syntax error),
+    and a second element means the text held more than one value.
+    """
+    return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
+               lambda w: F.when(F.try_variant_get(w, "$[1]", "variant").isNull(),
+                                F.try_variant_get(w, "$[0]", "variant")))
+
+
 def _is_object(v: Column) -> Column:
     return v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
 
@@ -127,19 +139,19 @@ def parse_spans(c, mode: str = "greedy") -> Column:
     raw = _col(c)
     if mode == "greedy":
         res = let(strip_think(raw), lambda t: let(
-            F.struct(F.try_parse_json(t).alias("a"), F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)).alias("b")),
+            F.struct(parse_json_strict(t).alias("a"), parse_json_strict(F.regexp_extract(t, r"(?s)\{.*\}", 0)).alias("b")),
             lambda vv: let(F.when(_is_object(vv["a"]), vv["a"]).when(_is_object(vv["b"]), vv["b"]),
                            lambda v: _spans_of(v, strip_items=True, string_iterates=False))))
     elif mode == "first_object":
         def body(t):
             return let(F.regexp_extract(t, r'(?s)\{[^{}]*"spans"\s*:\s*\[[^\]]*\][^{}]*\}', 0), lambda m: let(
-                F.try_parse_json(F.when(m != "", m).otherwise(t)),
+                parse_json_strict(F.when(m != "", m).otherwise(t)),
                 lambda v0: let(F.when(_is_object(v0), v0),
                                lambda v: _spans_of(v, strip_items=False, string_iterates=True))))
         res = F.when(F.coalesce(raw, F.lit("")) == "", _empty()).otherwise(let(strip_think(strip_u(raw)), body))
     elif mode == "outer_braces":
-        res = let(F.struct(F.try_parse_json(strip_u(raw)).alias("a"),
-                           F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)).alias("b")),
+        res = let(F.struct(parse_json_strict(strip_u(raw)).alias("a"),
+                           parse_json_strict(F.regexp_extract(raw, r"(?s)\{.*\}", 0)).alias("b")),
                   lambda vv: let(F.when(vv["a"].isNotNull(), F.when(_is_object(vv["a"]), vv["a"]))
                                   .when(_is_object(vv["b"]), vv["b"]),
                                  lambda v: _spans_of(v, strip_items=True, string_iterates=True)))
@@ -151,8 +163,8 @@ def parse_spans(c, mode: str = "greedy") -> Column:
 def json_valid(c) -> Column:
     """Output is valid: after think-strip (and greedy retry) ``spans`` is a JSON list."""
     def body(t):
-        return let(F.struct(F.try_parse_json(t).alias("a"),
-                            F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)).alias("b")),
+        return let(F.struct(parse_json_strict(t).alias("a"),
+                            parse_json_strict(F.regexp_extract(t, r"(?s)\{.*\}", 0)).alias("b")),
                    lambda vv: let(F.when(_is_object(vv["a"]), vv["a"]).when(_is_object(vv["b"]), vv["b"]),
                                   lambda v: F.schema_of_variant(F.try_variant_get(v, "$.spans", "variant"))
                                   .startswith("ARRAY")))
