@@ -156,3 +156,117 @@ ORACLES["length_percentiles"] = W(*_TRAINING, (
     "CAST(trunc(quantile_cont(n, 0.99)) AS INTEGER) AS p99, max(n) AS max_len, count_if(n > 512) AS n_over, "
     "count(*) AS n FROM tok")
 ORACLES["model_filter"] = W(D.PREDS) + "SELECT model, count(*) AS n FROM preds WHERE model IN ('m1', 'm3') GROUP BY model"
+
+# ----------------------------------------------------------------- telemetry
+_TAGCASE = ("CASE event_type WHEN 'view' THEN 'loss' WHEN 'click' THEN 'eval_loss' WHEN 'purchase' THEN 'grad_norm' "
+            "WHEN 'signup' THEN 'learning_rate' WHEN 'error' THEN 'eval_runtime' END")
+LOG = ("log0 AS (SELECT 'run' || (user_id % 8) AS run, event_id, ts, epoch_us(ts) / 1e6 AS wall_time, "
+       f"{_TAGCASE} AS tag, value, props FROM events), "
+       "log AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS step, "
+       "floor((wall_time - 1704067200) / 3600)::INTEGER AS hstep, "
+       "CASE WHEN tag = 'loss' THEN value END AS loss, CASE WHEN tag = 'eval_loss' THEN value END AS eval_loss, "
+       "CASE WHEN tag = 'grad_norm' THEN value END AS grad_norm, "
+       "CASE WHEN tag = 'learning_rate' THEN value END AS learning_rate, "
+       "CASE WHEN tag = 'eval_runtime' THEN value END AS eval_runtime FROM log0)")
+L = f"WITH {LOG}\n"
+ORACLES["telemetry_clean"] = L + (
+    "SELECT run, step, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM log "
+    "WHERE TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL")
+ORACLES["event_pivot"] = L + (
+    "SELECT run, hstep, " + ", ".join(f"round(avg(CASE WHEN tag = '{t}' THEN value END), 6) AS {t}"
+                                      for t in ["loss", "eval_loss", "grad_norm", "learning_rate", "eval_runtime"])
+    + " FROM log GROUP BY run, hstep")
+ORACLES["grad_stats"] = L + (
+    "SELECT run, round(avg(grad_norm), 6) AS mean, round(stddev_samp(grad_norm), 6) AS std, "
+    "round(min(grad_norm), 6) AS min, round(max(grad_norm), 6) AS max, count(grad_norm) AS n "
+    "FROM log WHERE grad_norm IS NOT NULL GROUP BY run")
+ORACLES["best_checkpoint"] = L + (
+    "SELECT run, min(eval_loss) AS best_eval_loss, min(step) FILTER (WHERE eval_loss = m) AS best_step FROM "
+    "(SELECT *, min(eval_loss) OVER (PARTITION BY run) AS m FROM log WHERE eval_loss IS NOT NULL) GROUP BY run")
+ORACLES["last_row"] = L + "SELECT run, arg_max(loss, step) AS last_loss FROM (SELECT run, step, loss FROM log) " \
+                          "GROUP BY run"
+ORACLES["last_row"] = L + ("SELECT l.run, l.loss AS last_loss FROM log l JOIN (SELECT run, max(step) AS s FROM log "
+                           "GROUP BY run) m ON l.run = m.run AND l.step = m.s")
+ORACLES["last_nonnull"] = L + ("SELECT l.run, l.loss AS last_loss FROM log l JOIN (SELECT run, max(step) AS s FROM log "
+                               "WHERE loss IS NOT NULL GROUP BY run) m ON l.run = m.run AND l.step = m.s")
+ORACLES["relative_time"] = L + (
+    "SELECT run, step, round((wall_time - min(wall_time) OVER (PARTITION BY run)) / 60.0, 6) AS minutes "
+    "FROM log WHERE loss IS NOT NULL")
+ORACLES["tail_n"] = L + ("SELECT run, step FROM (SELECT run, step, count(*) OVER (PARTITION BY run) AS c FROM log) "
+                         "WHERE step > c - 500")
+ORACLES["train_eval_curve"] = L + (
+    "SELECT coalesce(t.run, e.run) AS run, coalesce(t.hstep, e.hstep) AS hstep, round(t.loss, 6) AS loss, "
+    "round(e.eval_loss, 6) AS eval_loss FROM "
+    "(SELECT run, hstep, avg(loss) AS loss FROM log WHERE loss IS NOT NULL GROUP BY 1, 2) t FULL OUTER JOIN "
+    "(SELECT run, hstep, avg(eval_loss) AS eval_loss FROM log WHERE eval_loss IS NOT NULL GROUP BY 1, 2) e "
+    "ON t.run = e.run AND t.hstep = e.hstep")
+ORACLES["schedule_check"] = L + (
+    "SELECT run, min(learning_rate) AS lr_min, max(learning_rate) AS lr_max, arg_min(learning_rate, step) AS lr_first, "
+    "arg_max(learning_rate, step) AS lr_last FROM log WHERE learning_rate IS NOT NULL GROUP BY run")
+ORACLES["event_counts"] = L + "SELECT run, count(*) AS n_events FROM log GROUP BY ROLLUP (run)"
+ORACLES["early_stop_point"] = L + (
+    "SELECT run, min(step) AS stop_step FROM (SELECT run, step, row_number() OVER (PARTITION BY run, g ORDER BY step) - 1 "
+    "AS streak FROM (SELECT run, step, sum(imp) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND CURRENT ROW) AS g FROM (SELECT run, step, CASE WHEN pb IS NULL OR eval_loss < pb THEN 1 ELSE 0 END AS imp FROM "
+    "(SELECT run, step, eval_loss, min(eval_loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING "
+    "AND 1 PRECEDING) AS pb FROM log WHERE eval_loss IS NOT NULL)))) WHERE streak = 3 GROUP BY run")
+RUNM = ("runm AS (SELECT run, max(step) AS final_step, count(eval_loss) AS total_eval_steps, "
+        "min(eval_loss) AS best_eval_loss, arg_max(loss, step) FILTER (WHERE loss IS NOT NULL) AS final_train_loss, "
+        "arg_max(eval_loss, step) FILTER (WHERE eval_loss IS NOT NULL) AS final_eval_loss, avg(grad_norm) AS grad_mean, "
+        "count(*) AS n_events FROM log GROUP BY run)")
+LR = f"WITH {LOG}, {RUNM}\n"
+ORACLES["run_summary"] = LR + (
+    "SELECT run, final_step, total_eval_steps, best_eval_loss, final_train_loss, final_eval_loss, "
+    "round(final_eval_loss - final_train_loss, 6) AS train_eval_gap FROM runm")
+ORACLES["minmax_matrix"] = LR + (
+    "SELECT run, metric, round(CASE WHEN value IS NULL OR hi = lo OR hi IS NULL THEN 0.5 "
+    "WHEN metric IN ('final_train_loss', 'best_eval_loss', 'grad_mean') THEN 1.0 - (value - lo) / (hi - lo) "
+    "ELSE (value - lo) / (hi - lo) END, 6) AS score FROM (SELECT *, min(value) OVER (PARTITION BY metric) AS lo, "
+    "max(value) OVER (PARTITION BY metric) AS hi FROM (UNPIVOT (SELECT run, final_train_loss, best_eval_loss, grad_mean, "
+    "CAST(n_events AS DOUBLE) AS n_events FROM runm) ON final_train_loss, best_eval_loss, grad_mean, n_events "
+    "INTO NAME metric VALUE value))")
+ORACLES["size_class_stats"] = LR + (
+    "SELECT size_class, round(avg(best_eval_loss), 6) AS eval_mean, round(stddev_samp(best_eval_loss), 6) AS eval_std, "
+    "round(avg(final_train_loss), 6) AS train_mean, round(stddev_samp(final_train_loss), 6) AS train_std, "
+    "round(avg(grad_mean), 6) AS grad_mean, round(stddev_samp(grad_mean), 6) AS grad_std, "
+    "round(rest, 6) AS eval_rest_mean, "
+    "round((avg(best_eval_loss) - rest) / rest, 6) AS rel_gap FROM (SELECT c.*, "
+    "(sum(best_eval_loss) OVER () - sum(best_eval_loss) OVER (PARTITION BY size_class)) / "
+    "(count(*) OVER () - count(*) OVER (PARTITION BY size_class)) AS rest FROM "
+    "(SELECT runm.*, CASE WHEN CAST(substr(run, 4) AS INTEGER) < 4 THEN 'small' ELSE 'large' END AS size_class "
+    "FROM runm) c) GROUP BY size_class, rest")
+BENCH = (
+    "b0 AS (SELECT event_type AS label, count(*) AS n, CAST(round(sum(value)) AS BIGINT) AS output_toks, "
+    "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 10000.0 AS wall_time_s, avg(length(props)) AS avg_chars, "
+    "array_to_string(list_sort(list(DISTINCT props)), ' ') AS err FROM events GROUP BY event_type), "
+    "b1 AS (SELECT *, CASE WHEN label <> 'error' THEN 'OK' ELSE 'ERROR' END AS status, "
+    "CASE WHEN label = 'error' THEN 'failed: ' || err END AS error, "
+    "CASE WHEN label <> 'error' THEN round(output_toks / wall_time_s, 1) END AS output_toks_ps, "
+    "CASE WHEN label <> 'error' THEN round(floor(avg_chars / 4) * n / wall_time_s, 1) END AS input_toks_ps FROM b0), "
+    "bench AS (SELECT *, round(1716000 / output_toks_ps / 3600, 2) AS eta_14k_hours, "
+    "round(1716000 / (output_toks_ps * 0.8) / 3600, 2) AS eta_worst_hours FROM b1), "
+    "quality AS (SELECT event_type AS label, round(100 * avg(CAST(value < 300 AS INTEGER)), 1) AS valid_pct "
+    "FROM events GROUP BY event_type)")
+B = f"WITH {BENCH}\n"
+ORACLES["throughput"] = B + ("SELECT label, n, output_toks, output_toks_ps, input_toks_ps, eta_14k_hours, "
+                             "eta_worst_hours FROM bench")
+ORACLES["bench_status"] = B + "SELECT label, status, substr(coalesce(error, ''), 1, 80) AS error FROM bench"
+ORACLES["bench_rank"] = B + (
+    "SELECT label, status, output_toks_ps, CASE WHEN eta_worst_hours < 9 THEN 'yes' WHEN eta_worst_hours IS NOT NULL "
+    "THEN 'no' ELSE 'ERR' END AS fits_budget, row_number() OVER (ORDER BY output_toks_ps DESC NULLS LAST, label) AS rank "
+    "FROM bench")
+ORACLES["bench_quality_join"] = B + \
+    "SELECT b.label, b.output_toks_ps, q.valid_pct FROM bench b LEFT JOIN quality q USING (label)"
+ORACLES["bench_pick"] = B + (
+    "SELECT b.label, b.output_toks_ps, q.valid_pct FROM bench b LEFT JOIN quality q USING (label) "
+    "WHERE coalesce(CASE WHEN eta_worst_hours <> 0 THEN eta_worst_hours END, 99.0) < 9 AND valid_pct >= 90 "
+    "ORDER BY output_toks_ps DESC, label LIMIT 3")
+ORACLES["timing_summary"] = (
+    "SELECT model, rows, elapsed_s, printf('%02d:%02d:%02d', elapsed_s // 3600, (elapsed_s % 3600) // 60, elapsed_s % 60) "
+    "AS elapsed, round(rows / nullif(elapsed_s, 0), 6) AS rows_per_s FROM (SELECT event_type AS model, count(*) AS rows, "
+    "CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS elapsed_s FROM events GROUP BY event_type)")
+ORACLES["ablation_delta"] = LR + (
+    "SELECT run, best_eval_loss AS score, round(best_eval_loss - first_value(best_eval_loss) OVER (ORDER BY run), 6) "
+    "AS delta, best_eval_loss = min(best_eval_loss) OVER () AS is_best FROM runm")
+ORACLES["model_coverage"] = W(D.PREDS) + (
+    f"SELECT model, count_if(len({D.parse_greedy('raw')}) > 0) AS non_empty, count(*) AS n FROM preds GROUP BY model")

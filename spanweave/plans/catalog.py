@@ -25,6 +25,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------- batch 2
+from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from spanweave.functions import prompts as P  # noqa: E402
@@ -247,3 +248,232 @@ def q_model_filter(spark, sf):
     wanted = [m.strip() for m in "m1,m3".split(",") if m.strip()]
     return T.predictions(spark, sf).filter(F.col("model").isin(wanted)).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------------------- telemetry
+from spanweave.operators import telemetry as TM  # noqa: E402
+
+EPOCH0 = 1704067200  # 2024-01-01T00:00:00Z, origin of the hourly step buckets
+
+
+def _log(spark, sf):
+    return TM.training_log(T.read_table(spark, sf, "events"))
+
+
+def _hourly(spark, sf):
+    return _log(spark, sf).withColumn("hstep", F.floor((F.col("wall_time") - EPOCH0) / 3600).cast("int"))
+
+
+def _r6(df, cols):
+    for c in cols:
+        df = df.withColumn(c, F.round(c, 6))
+    return df
+
+
+@register("telemetry_clean")
+def q_telemetry_clean(spark, sf):
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return _log(spark, sf).select("run", "step", k.alias("k")).filter(F.col("k").isNotNull())
+
+
+@register("event_pivot")
+def q_event_pivot(spark, sf):
+    h = _hourly(spark, sf).withColumn("tag", F.concat(F.lit("train/"), "tag"))
+    return _r6(TM.event_pivot(h, ["run", "hstep"]), TM.TAGS)
+
+
+@register("grad_stats")
+def q_grad_stats(spark, sf):
+    return _r6(TM.series_stats(_log(spark, sf), ["run"], "grad_norm"), ["mean", "std", "min", "max"])
+
+
+@register("best_checkpoint")
+def q_best_checkpoint(spark, sf):
+    return TM.best_step(_log(spark, sf), ["run"], "eval_loss")
+
+
+@register("last_row")
+def q_last_row(spark, sf):
+    return TM.last_row_value(_log(spark, sf), ["run"], "loss")
+
+
+@register("last_nonnull")
+def q_last_nonnull(spark, sf):
+    return TM.last_nonnull_value(_log(spark, sf), ["run"], "loss")
+
+
+@register("relative_time")
+def q_relative_time(spark, sf):
+    r = TM.minutes_since_start(_log(spark, sf), ["run"], "wall_time", F.col("loss").isNotNull())
+    return _r6(r.select("run", "step", "minutes"), ["minutes"])
+
+
+@register("tail_n")
+def q_tail_n(spark, sf):
+    return TM.tail(_log(spark, sf), ["run"], "step", 500).select("run", "step")
+
+
+@register("train_eval_curve")
+def q_train_eval_curve(spark, sf):
+    h = _hourly(spark, sf)
+    tr = h.filter(F.col("loss").isNotNull()).groupBy("run", "hstep").agg(F.avg("loss").alias("loss"))
+    ev = h.filter(F.col("eval_loss").isNotNull()).groupBy("run", "hstep").agg(F.avg("eval_loss").alias("eval_loss"))
+    return _r6(tr.join(ev, ["run", "hstep"], "full_outer"), ["loss", "eval_loss"])
+
+
+@register("schedule_check")
+def q_schedule_check(spark, sf):
+    lr = _log(spark, sf).filter(F.col("learning_rate").isNotNull())
+    return lr.groupBy("run").agg(F.min("learning_rate").alias("lr_min"), F.max("learning_rate").alias("lr_max"),
+                                 F.min_by("learning_rate", "step").alias("lr_first"),
+                                 F.max_by("learning_rate", "step").alias("lr_last"))
+
+
+@register("event_counts")
+def q_event_counts(spark, sf):
+    return _log(spark, sf).rollup("run").agg(F.count(F.lit(1)).alias("n_events"))
+
+
+@register("early_stop_point")
+def q_early_stop(spark, sf):
+    return TM.early_stop(_log(spark, sf), ["run"], "eval_loss", patience=3)
+
+
+def _run_metrics(spark, sf):
+    log = _log(spark, sf)
+    return log.groupBy("run").agg(
+        F.max("step").alias("final_step"), F.count("eval_loss").alias("total_eval_steps"),
+        F.min("eval_loss").alias("best_eval_loss"),
+        F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("step"))).alias("final_train_loss"),
+        F.max_by("eval_loss", F.when(F.col("eval_loss").isNotNull(), F.col("step"))).alias("final_eval_loss"),
+        F.avg("grad_norm").alias("grad_mean"), F.count(F.lit(1)).alias("n_events"))
+
+
+@register("run_summary")
+def q_run_summary(spark, sf):
+    m = _run_metrics(spark, sf).withColumn("train_eval_gap", F.col("final_eval_loss") - F.col("final_train_loss"))
+    return _r6(m.drop("grad_mean", "n_events"), ["train_eval_gap"])
+
+
+@register("minmax_matrix")
+def q_minmax(spark, sf):
+    m = _run_metrics(spark, sf).select("run", "final_train_loss", "best_eval_loss", "grad_mean",
+                                       F.col("n_events").cast("double").alias("n_events"))
+    s = TM.minmax_scores(m, "run", {"final_train_loss": True, "best_eval_loss": True, "grad_mean": True,
+                                    "n_events": False})
+    return _r6(s, ["score"])
+
+
+# Fixed size-class dimension of the runs (name -> class).
+SIZE_CLASS = [(f"run{i}", "small" if i < 4 else "large") for i in range(8)]
+
+
+@register("size_class_stats")
+def q_size_class(spark, sf):
+    dim = spark.createDataFrame(SIZE_CLASS, "run string, size_class string")
+    m = _run_metrics(spark, sf).join(F.broadcast(dim), "run")
+    per = m.groupBy("size_class").agg(F.avg("best_eval_loss").alias("eval_mean"),
+                                      F.stddev_samp("best_eval_loss").alias("eval_std"),
+                                      F.avg("final_train_loss").alias("train_mean"),
+                                      F.stddev_samp("final_train_loss").alias("train_std"),
+                                      F.avg("grad_mean").alias("grad_mean"), F.stddev_samp("grad_mean").alias("grad_std"),
+                                      F.sum("best_eval_loss").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    tot = m.agg(F.sum("best_eval_loss").alias("_ts"), F.count(F.lit(1)).alias("_tn"))
+    j = per.withColumn("_k", F.lit(1)).join(tot.withColumn("_k", F.lit(1)), "_k")
+    rest = (F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))
+    j = j.withColumn("eval_rest_mean", rest).withColumn("rel_gap", (F.col("eval_mean") - rest) / rest)
+    return _r6(j.drop("_k", "_s", "_n", "_ts", "_tn"),
+               ["eval_mean", "eval_std", "train_mean", "train_std", "grad_mean", "grad_std", "eval_rest_mean", "rel_gap"])
+
+
+def _bench(spark, sf):
+    """Benchmark rows, one per label (event type): throughput analytics inputs."""
+    ev = T.read_table(spark, sf, "events")
+    b = ev.groupBy(F.col("event_type").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value")).cast("long").alias("output_toks"),
+        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6 / 10000.0)
+        .alias("wall_time_s"),
+        F.avg(F.length("props")).alias("avg_chars"),
+        F.array_join(F.array_sort(F.collect_set("props")), " ").alias("_err"))
+    ok = F.col("label") != "error"
+    b = b.withColumn("status", F.when(ok, "OK").otherwise("ERROR")) \
+         .withColumn("error", F.when(~ok, F.concat(F.lit("failed: "), F.col("_err")))).drop("_err")
+    return TM_bench(b, ok)
+
+
+def TM_bench(b, ok):
+    tok_ps = F.round(F.col("output_toks") / F.col("wall_time_s"), 1)
+    b = b.withColumn("output_toks_ps", F.when(ok, tok_ps))
+    est_in = F.floor(F.col("avg_chars") / 4) * F.col("n")
+    b = b.withColumn("input_toks_ps", F.when(ok, F.round(est_in / F.col("wall_time_s"), 1)))
+    total_out = 14300 * 40 * 3  # fixed workload of the ETA estimate (rows x tokens x passes)
+    b = b.withColumn("eta_14k_hours", F.round(total_out / F.col("output_toks_ps") / 3600, 2))
+    return b.withColumn("eta_worst_hours", F.round(total_out / (F.col("output_toks_ps") * 0.8) / 3600, 2))
+
+
+def _quality(spark, sf):
+    ev = T.read_table(spark, sf, "events")
+    return ev.groupBy(F.col("event_type").alias("label")).agg(
+        F.round(100 * F.avg((F.col("value") < 300).cast("int")), 1).alias("valid_pct"))
+
+
+@register("throughput")
+def q_throughput(spark, sf):
+    return _bench(spark, sf).select("label", "n", "output_toks", "output_toks_ps", "input_toks_ps",
+                                    "eta_14k_hours", "eta_worst_hours")
+
+
+@register("bench_status")
+def q_bench_status(spark, sf):
+    return _bench(spark, sf).select("label", "status", F.substring(F.coalesce("error", F.lit("")), 1, 80).alias("error"))
+
+
+def _budget(col):
+    return F.when(F.col(col) < 9, "yes").when(F.col(col).isNotNull(), "no").otherwise("ERR")
+
+
+@register("bench_rank")
+def q_bench_rank(spark, sf):
+    b = _bench(spark, sf).withColumn("fits_budget", _budget("eta_worst_hours"))
+    w = Window.orderBy(F.col("output_toks_ps").desc_nulls_last(), F.col("label"))
+    return b.select("label", "status", "output_toks_ps", "fits_budget", F.row_number().over(w).alias("rank"))
+
+
+@register("bench_quality_join")
+def q_bench_quality(spark, sf):
+    return _bench(spark, sf).join(_quality(spark, sf), "label", "left").select("label", "output_toks_ps", "valid_pct")
+
+
+@register("bench_pick")
+def q_bench_pick(spark, sf):
+    b = _bench(spark, sf).join(_quality(spark, sf), "label", "left")
+    fits = F.coalesce(F.when(F.col("eta_worst_hours") != 0, F.col("eta_worst_hours")), F.lit(99.0)) < 9
+    return b.filter(fits & (F.col("valid_pct") >= 90)).orderBy(F.col("output_toks_ps").desc(), "label") \
+            .limit(3).select("label", "output_toks_ps", "valid_pct")
+
+
+@register("timing_summary")
+def q_timing(spark, sf):
+    ev = T.read_table(spark, sf, "events")
+    t = ev.groupBy(F.col("event_type").alias("model")).agg(
+        F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("rows"))
+    secs = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6
+    t = t.withColumn("elapsed_s", F.floor(secs).cast("long"))
+    return t.select("model", "rows", "elapsed_s", TM.hms(F.col("elapsed_s")).alias("elapsed"),
+                    F.round(F.col("rows") / F.nullif(F.col("elapsed_s"), F.lit(0)), 6).alias("rows_per_s"))
+
+
+@register("ablation_delta")
+def q_ablation(spark, sf):
+    m = _run_metrics(spark, sf).select("run", F.col("best_eval_loss").alias("score"))
+    w = Window.orderBy("run")
+    out = m.withColumn("delta", F.round(F.col("score") - F.first("score").over(w.rowsBetween(Window.unboundedPreceding, 0)), 6)) \
+           .withColumn("is_best", F.col("score") == F.min("score").over(Window.partitionBy()))
+    return out
+
+
+@register("model_coverage")
+def q_model_coverage(spark, sf):
+    p = T.predictions(spark, sf)
+    return p.groupBy("model").agg(F.count_if(F.size(parse_spans("raw")) > 0).alias("non_empty"),
+                                  F.count(F.lit(1)).alias("n"))
