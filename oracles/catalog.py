@@ -270,3 +270,67 @@ ORACLES["ablation_delta"] = LR + (
     "AS delta, best_eval_loss = min(best_eval_loss) OVER () AS is_best FROM runm")
 ORACLES["model_coverage"] = W(D.PREDS) + (
     f"SELECT model, count_if(len({D.parse_greedy('raw')}) > 0) AS non_empty, count(*) AS n FROM preds GROUP BY model")
+
+# ------------------------------------------------------ retrieval and prompts
+_TRAIN_T = "tt AS (SELECT * FROM truth WHERE pn_num IN (SELECT doc_id FROM labels))"
+ORACLES["retrieval_corpus"] = W(D.TRUTH, _TRAIN_T) + (
+    "SELECT id, 'Feature: ' || feature_text || '  Annotation: ' || ann AS embed_text, "
+    "md5(substr(pn_history, 1, 500)) AS excerpt_md5, "
+    "'[' || array_to_string(list_transform(annotation, lambda s: '''' || (instr(pn_history, s) - 1) || ' ' || "
+    "(instr(pn_history, s) - 1 + length(s)) || ''''), ', ') || ']' AS location FROM ("
+    f"SELECT *, array_to_string(list_filter(annotation, lambda a: {S('a')} <> ''), ' | ') AS ann FROM tt) "
+    "WHERE coalesce(feature_text, '') <> '' AND ann <> ''")
+_NORM = "list_transform({e}, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform({e}, lambda y: CAST(y AS DOUBLE) * y))))"
+ORACLES["knn_topk"] = (
+    "WITH q AS (SELECT label, min(vec_id) AS qid FROM embeddings GROUP BY label), "
+    f"qv AS (SELECT q.qid, {_NORM.format(e='e.embedding')} AS v FROM q JOIN embeddings e ON e.vec_id = q.qid), "
+    f"c AS (SELECT vec_id, {_NORM.format(e='embedding')} AS v FROM embeddings WHERE vec_id NOT IN (SELECT qid FROM q)), "
+    "s AS (SELECT qv.qid, c.vec_id, list_inner_product(qv.v, c.v) AS score FROM qv CROSS JOIN c) "
+    "SELECT qid AS query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
+ORACLES["chat_messages"] = W(*_TRAINING) + f"SELECT id, length({_CHAT}) AS text_len, md5({_CHAT}) AS text_md5 FROM trows2"
+_TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+ORACLES["chatml_render"] = (
+    f"SELECT conv_id, count(*) AS n_turns, length(coalesce(string_agg({_TURN}, '' ORDER BY turn), '') || "
+    f"'<|im_start|>assistant' || chr(10)) AS text_len, md5(coalesce(string_agg({_TURN}, '' ORDER BY turn), '') || "
+    "'<|im_start|>assistant' || chr(10)) AS text_md5 FROM conversations GROUP BY conv_id")
+_UC = "('Note: \"' || " + S("coalesce(pn_history, '')") + " || '\"' || chr(10) || 'Feature: ' || coalesce(feature_text, ''))"
+_SYS_TURN = "'<|im_start|>system' || chr(10) || '" + _SYS + "' || '<|im_end|>' || chr(10)"
+ORACLES["fewshot_chat"] = W(*_TRAINING, (
+    "ex AS (SELECT string_agg('<|im_start|>user' || chr(10) || " + _UC + " || '<|im_end|>' || chr(10) || "
+    "'<|im_start|>assistant' || chr(10) || assistant_target || '<|im_end|>' || chr(10), '' ORDER BY id) AS turns "
+    "FROM (SELECT * FROM trows2 ORDER BY id LIMIT 3))")) + (
+    "SELECT p.id, 8 AS n_messages, md5(" + _SYS_TURN + " || ex.turns || '<|im_start|>user' || chr(10) || "
+    + _UC.replace("pn_history", "p.pn_history").replace("feature_text", "p.feature_text") +
+    " || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS text_md5 FROM pairs p, ex")
+def _toks(x: str) -> str:
+    return "len(list_filter(string_split_regex(" + x + ", '" + PY_BLANK_CLASS + "+'), lambda t: t <> ''))"
+
+ORACLES["label_mask"] = (
+    "WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rdesc FROM conversations), "
+    f"r AS (SELECT conv_id, coalesce(string_agg({_TURN}, '' ORDER BY turn), '') AS full_t, "
+    f"coalesce(string_agg({_TURN}, '' ORDER BY turn) FILTER (WHERE rdesc > 1), '') || '<|im_start|>assistant' || chr(10) "
+    "AS prompt_t FROM c GROUP BY conv_id), "
+    f"n AS (SELECT conv_id, least({_toks('full_t')}, 512) AS f, least({_toks('prompt_t')}, 512) AS p FROM r) "
+    "SELECT conv_id, f AS n_tokens, least(p, f) AS n_masked, least(p, f) = f AS all_masked FROM n")
+ORACLES["pad_batches"] = W(*_TRAINING, (
+    f"tok AS (SELECT id, {_toks(_CHAT)} AS n_tok FROM trows2)")) + (
+    "SELECT bucket, batch, count(*) AS n_rows, max(n_tok) AS max_len, sum(n_tok)::BIGINT AS tokens, "
+    "CAST(ceil(max(n_tok) / 8) * 8 AS BIGINT) AS padded_len FROM (SELECT *, CAST(floor((row_number() OVER "
+    "(PARTITION BY bucket ORDER BY n_tok, id) - 1) / 8) AS BIGINT) AS batch FROM (SELECT *, "
+    "CAST(floor(n_tok / 256) AS BIGINT) AS bucket FROM tok)) GROUP BY bucket, batch")
+_CLS = ("(CASE WHEN len(cs) = 0 THEN '[^\\n]' ELSE '[' || array_to_string(list_transform(cs, lambda ch: CASE WHEN "
+        "ch IN (']', '^', '-', '\\', '[', '&') THEN '\\' || ch ELSE ch END), '') || ']' END)")
+_PAT = ("('\\{\"spans\": \\[(?:\"' || cls || '*\"(?:, \"' || cls || '*\"){0,9})?\\]\\}')")
+_CS = ("cls_t AS (SELECT pn_num, pn_history, " + _CLS + " AS cls FROM (SELECT pn_num, pn_history, list_sort(list_filter("
+       "list_distinct(string_split(coalesce(pn_history, ''), '')), lambda ch: ch <> '' AND ch <> '\"' AND ch <> '\\' "
+       "AND unicode(ch) >= 32 AND unicode(ch) <> 127)) AS cs FROM notes))")
+ORACLES["constraint_regex"] = W(_CS) + f"SELECT pn_num, length({_PAT}) AS pattern_len, md5({_PAT}) AS pattern_md5 FROM cls_t"
+ORACLES["constraint_check"] = W(_CS, D.PREDS) + (
+    f"SELECT p.model, count_if(regexp_full_match(coalesce(p.raw, ''), {_PAT})) AS n_obey, count(*) AS n "
+    "FROM preds p JOIN cls_t c USING (pn_num) GROUP BY p.model")
+ORACLES["feature_variants"] = W() + (
+    "SELECT feature_num, generate_subscripts(v, 1) - 1 AS variant_idx, unnest(v) AS variant FROM (SELECT feature_num, "
+    f"list_filter(list_transform(string_split(regexp_replace(feature_text, '(?i)-or-', ';', 'g'), ';'), "
+    f"lambda p: {S(chr(116) + 'ranslate(p, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}), "
+    "lambda p: p <> '') AS v FROM features)")

@@ -294,3 +294,30 @@ def feature_variants(c) -> Column:
     """Feature text alternatives: split on ``-OR-`` (any case), ``-`` read as a blank."""
     parts = F.split(F.regexp_replace(_col(c), "(?i)-or-", ";"), ";")
     return F.filter(F.transform(parts, lambda p: strip_u(F.translate(p, "-", " "))), lambda p: p != "")
+
+
+# ------------------------------------------------------- output constraints
+def note_char_class(note) -> Column:
+    """Character class of the note's distinct characters (code-point order),
+    without ``"``, backslash and control characters; ``] ^ - \\`` are escaped,
+    and ``[`` and ``&`` too because Java classes treat them as syntax.
+    An empty set gives ``[^\\n]``."""
+    chars = F.array_distinct(F.split(F.coalesce(_col(note), F.lit("")), ""))
+    chars = F.array_sort(F.filter(chars, lambda ch: (ch != "") & (ch != '"') & (ch != "\\")
+                                  & (F.ascii(ch) >= 0x20) & (F.ascii(ch) != 0x7F)))
+    esc = F.transform(chars, lambda ch: F.when(ch.isin("]", "^", "-", "\\", "[", "&"), F.concat(F.lit("\\"), ch))
+                      .otherwise(ch))
+    return F.when(F.size(chars) == 0, F.lit("[^\\n]")).otherwise(F.concat(F.lit("["), F.array_join(esc, ""), F.lit("]")))
+
+
+def constraint_regex(note, max_spans: int = 10) -> Column:
+    """Pattern a well-formed answer for this note must match:
+    ``{"spans": []}`` or up to ``max_spans`` quoted items drawn from the note's characters."""
+    item = F.concat(F.lit('"'), note_char_class(note), F.lit('*"'))
+    rest = F.concat(F.lit("(?:, "), item, F.lit(f"){{0,{max_spans - 1}}}"))
+    return F.concat(F.lit('\\{"spans": \\[(?:'), item, rest, F.lit(")?\\]\\}"))
+
+
+def obeys(raw, pattern) -> Column:
+    """The whole output matches the (per-row) pattern."""
+    return F.call_function("rlike", F.coalesce(_col(raw), F.lit("")), F.concat(F.lit("^(?:"), _col(pattern), F.lit(")\\z")))

@@ -477,3 +477,151 @@ def q_model_coverage(spark, sf):
     p = T.predictions(spark, sf)
     return p.groupBy("model").agg(F.count_if(F.size(parse_spans("raw")) > 0).alias("non_empty"),
                                   F.count(F.lit(1)).alias("n"))
+
+
+# ----------------------------------------------------- retrieval and prompts
+from spanweave.functions.text import constraint_regex, feature_variants, obeys, strip_u as _strip  # noqa: E402
+from spanweave.operators import retrieval as RT  # noqa: E402
+
+
+def _train_parsed(spark, sf):
+    t = T.train_pairs(spark, sf).withColumn("annotation", parse_pylist("annotation"))
+    t = R.lookup(t, T.notes(spark, sf).select("pn_num", "pn_history"), ["pn_num"], "pn_history")
+    return R.lookup(t, T.features(spark, sf), ["case_num", "feature_num"], "feature_text")
+
+
+def retrieval_corpus(train):
+    """Retrieval examples: ``Feature: X  Annotation: a | b`` (two blanks), note excerpt of 500."""
+    ann = F.array_join(F.filter("annotation", lambda a: _strip(a) != ""), " | ")
+    c = train.withColumn("annotation_str", ann).filter((F.col("feature_text") != "") & (F.col("annotation_str") != ""))
+    return c.select("id", "feature_text", "annotation_str",
+                    F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation: "), "annotation_str").alias("embed_text"),
+                    F.substring("pn_history", 1, 500).alias("pn_history"), "location")
+
+
+@register("retrieval_corpus")
+def q_retrieval_corpus(spark, sf):
+    c = retrieval_corpus(_train_parsed(spark, sf))
+    return c.select("id", "embed_text", F.md5("pn_history").alias("excerpt_md5"), "location")
+
+
+def _emb_split(spark, sf):
+    e = T.read_table(spark, sf, "embeddings")
+    q = e.groupBy("label").agg(F.min("vec_id").alias("query_id"))
+    queries = e.join(q, e["vec_id"] == q["query_id"], "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    corpus = e.join(q, e["vec_id"] == q["query_id"], "left_anti").select("vec_id", "embedding")
+    return queries, corpus
+
+
+@register("knn_topk")
+def q_knn_topk(spark, sf):
+    queries, corpus = _emb_split(spark, sf)
+    r = RT.knn_topk(queries, corpus, 3)
+    return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("fewshot_prompt")
+def q_fewshot_prompt(spark, sf):
+    """Pseudo-labelling prompts for sampled unannotated notes: top-3 retrieved examples
+    per distinct feature (hoisted), joined back to every (note, feature) pair."""
+    corpus = RT.hashing_embed(retrieval_corpus(_train_parsed(spark, sf)), "embed_text")
+    corpus = corpus.withColumn("cid", F.col("id"))
+    feats = T.features(spark, sf).withColumn("qtext", F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation:")))
+    q = RT.hashing_embed(feats, "qtext").select(F.col("feature_num").alias("query_id"), "embedding")
+    top = RT.knn_topk(q, corpus.select("cid", "embedding"), 3, cid="cid", normalize=False)
+    ex = top.join(corpus.select("cid", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "cid")
+    ex = ex.groupBy(F.col("query_id").alias("feature_num")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "pn_history", "feature_text", "annotation"))),
+                    lambda x: F.struct(x["pn_history"].alias("pn_history"), x["feature_text"].alias("feature_text"),
+                                       x["annotation"].alias("annotation"))).alias("examples"))
+    notes = S.sample_n(_unannotated(spark, sf), 50, 42, "pn_num")
+    pairs = R.case_fanout(notes, T.features(spark, sf)).join(ex, "feature_num", "left")
+    msgs = P.fewshot_messages("pn_history", "feature_text", F.coalesce("examples", F.array()))
+    return pairs.select(F.format_string("%05d_%03d", "pn_num", "feature_num").alias("id"),
+                        F.size(msgs).alias("n_messages"), F.md5(msgs[1]["content"]).alias("user_md5"))
+
+
+@register("chat_messages")
+def q_chat_messages(spark, sf):
+    t = _training(spark, sf)
+    text = P.render_chatml(P.chat_messages("pn_history", "feature_text", "assistant_target"))
+    return t.select("id", F.length(text).alias("text_len"), F.md5(text).alias("text_md5"))
+
+
+def _conversation_messages(spark, sf):
+    c = T.read_table(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
+                                                lambda x: F.struct(x["role"].alias("role"),
+                                                                   x["text"].alias("content"))).alias("messages"))
+
+
+@register("chatml_render")
+def q_chatml(spark, sf):
+    m = _conversation_messages(spark, sf)
+    text = P.render_chatml("messages", add_generation_prompt=True)
+    return m.select("conv_id", F.size("messages").alias("n_turns"), F.length(text).alias("text_len"),
+                    F.md5(text).alias("text_md5"))
+
+
+@register("fewshot_chat")
+def q_fewshot_chat(spark, sf):
+    """Fixed-example chat: the 3 first annotated rows (by id) as alternating user /
+    assistant turns, then the query turn, for every pair."""
+    tr = _training(spark, sf)
+    ex = tr.orderBy("id").limit(3).select("id", P.user_content("pn_history", "feature_text").alias("u"),
+                                           "assistant_target")
+    turns = ex.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "u", "assistant_target"))),
+                                         lambda x: F.array(P.msg("user", x["u"]), P.msg("assistant", x["assistant_target"]))))
+                   .alias("turns"))
+    # one-row example table (3 examples, bounded): broadcast on a constant key
+    p = T.pairs(spark, sf, with_text=True).withColumn("_k", F.lit(1)).join(
+        F.broadcast(turns.withColumn("_k", F.lit(1))), "_k")
+    msgs = F.concat(F.array(P.msg("system", F.lit(P.SYSTEM_PROMPT))), F.col("turns"),
+                    F.array(P.msg("user", P.user_content("pn_history", "feature_text"))))
+    text = P.render_chatml(msgs, add_generation_prompt=True)
+    return p.select("id", F.size(msgs).alias("n_messages"), F.md5(text).alias("text_md5"))
+
+
+@register("label_mask")
+def q_label_mask(spark, sf):
+    m = _conversation_messages(spark, sf)
+    full = P.whitespace_tokens(P.render_chatml("messages"))
+    prompt = P.whitespace_tokens(P.render_chatml(F.slice("messages", 1, F.size("messages") - 1), True))
+    ids = lambda toks: F.transform(toks, lambda t: F.length(t))
+    lab = P.mask_labels(ids(prompt), ids(full), 512)
+    out = m.select("conv_id", lab.alias("labels"))
+    return out.select("conv_id", F.size("labels").alias("n_tokens"),
+                      F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"),
+                      F.forall("labels", lambda x: x == -100).alias("all_masked"))
+
+
+@register("pad_batches")
+def q_pad_batches(spark, sf):
+    t = _training(spark, sf)
+    text = P.render_chatml(P.chat_messages("pn_history", "feature_text", "assistant_target"))
+    t = t.select("id", F.size(P.whitespace_tokens(text)).alias("n_tok"))
+    t = t.withColumn("bucket", F.floor(F.col("n_tok") / 256))
+    w = Window.partitionBy("bucket").orderBy("n_tok", "id")
+    t = t.withColumn("batch", F.floor((F.row_number().over(w) - 1) / 8))
+    b = t.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_tok").alias("max_len"),
+                                         F.sum("n_tok").alias("tokens"))
+    return b.withColumn("padded_len", (F.ceil(F.col("max_len") / 8) * 8).cast("long"))
+
+
+@register("constraint_regex")
+def q_constraint_regex(spark, sf):
+    pat = constraint_regex("pn_history", 10)
+    return T.notes(spark, sf).select("pn_num", F.length(pat).alias("pattern_len"), F.md5(pat).alias("pattern_md5"))
+
+
+@register("constraint_check")
+def q_constraint_check(spark, sf):
+    p = T.predictions(spark, sf).join(T.notes(spark, sf).select("pn_num", "pn_history"), "pn_num")
+    ok = obeys("raw", constraint_regex("pn_history", 10))
+    return p.groupBy("model").agg(F.count_if(ok).alias("n_obey"), F.count(F.lit(1)).alias("n"))
+
+
+@register("feature_variants")
+def q_feature_variants(spark, sf):
+    f = T.features(spark, sf)
+    return f.select("feature_num", F.posexplode(feature_variants("feature_text")).alias("variant_idx", "variant"))
