@@ -625,3 +625,55 @@ def q_constraint_check(spark, sf):
 def q_feature_variants(spark, sf):
     f = T.features(spark, sf)
     return f.select("feature_num", F.posexplode(feature_variants("feature_text")).alias("variant_idx", "variant"))
+
+
+# ------------------------------------------------ fuzzy location and labelers
+# (no SQL oracle: alignment by LCS ratio is not expressible in SQL on whole
+# tables; tests/test_fuzzy.py checks it against brute force)
+from spanweave.operators import labelers as LB  # noqa: E402
+from spanweave.plans.pseudo_label import pseudo_label  # noqa: E402
+
+
+def _located_fuzzy(spark, sf, mode, cutoff):
+    notes = T.notes(spark, sf).select("pn_num", "pn_history")
+    return locate_spans(explode_spans(T.predictions(spark, sf)), notes, fuzzy_cutoff=cutoff, fuzzy_mode=mode)
+
+
+@register("locate_spans_fuzzy")
+def q_locate_fuzzy(spark, sf):
+    return _located_fuzzy(spark, sf, "partial", 70.0).select("id", "model", "span_idx", "start", "end", "method")
+
+
+@register("locate_spans_window")
+def q_locate_window(spark, sf):
+    return _located_fuzzy(spark, sf, "window", 72.0).select("id", "model", "span_idx", "start", "end", "method")
+
+
+@register("ensemble_vote_fuzzy")
+def q_ensemble_fuzzy(spark, sf):
+    n_voters = sum(w for _, w in T.REGISTRY)
+    return ensemble_locations(T.pairs(spark, sf), T.notes(spark, sf).select("pn_num", "pn_history"),
+                              T.predictions(spark, sf), threshold=2, n_voters=n_voters, fuzzy_cutoff=70.0)
+
+
+@register("pseudo_label")
+def q_pseudo_label(spark, sf):
+    corpus = retrieval_corpus(_train_parsed(spark, sf))
+    return pseudo_label(T.notes(spark, sf), T.annotated_ids(spark, sf), T.features(spark, sf), corpus,
+                        LB.phrase_labeler_factory, n_sample=50, seed=42)
+
+
+class _FlakyLabeler(LB.PhraseLabeler):
+    """Primary backend that fails on batches starting with an odd note number."""
+
+    def __call__(self, pdf):
+        if len(pdf) and int(pdf["pn_num"].iloc[0]) % 2 == 1:
+            raise RuntimeError("backend unavailable")
+        return super().__call__(pdf)
+
+
+@register("labeler_fallback")
+def q_labeler_fallback(spark, sf):
+    pairs = T.pairs(spark, sf, with_text=True)
+    out = LB.label_with_fallback(pairs, _FlakyLabeler, LB.phrase_labeler_factory, batch=32)
+    return out.select("id", F.size(parse_spans("raw")).alias("n_spans"), F.col("error").isNull().alias("ok"))
