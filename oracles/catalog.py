@@ -334,3 +334,16 @@ ORACLES["feature_variants"] = W() + (
     f"list_filter(list_transform(string_split(regexp_replace(feature_text, '(?i)-or-', ';', 'g'), ';'), "
     f"lambda p: {S(chr(116) + 'ranslate(p, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}), "
     "lambda p: p <> '') AS v FROM features)")
+
+# ----------------------------------------------------------------- streaming
+ORACLES["telemetry_stream"] = (
+    "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, 'run' || (user_id % 8) AS run, "
+    "count(*) AS n_events, round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS loss, "
+    "round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS eval_loss FROM events GROUP BY 1, 2")
+_VARS = (f"list_filter(list_transform(string_split(regexp_replace(feature_text, '(?i)-or-', ';', 'g'), ';'), "
+         f"lambda p: {S(chr(116) + 'ranslate(p, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}), "
+         "lambda p: p <> '')")
+ORACLES["stream_label"] = W() + (
+    f"SELECT id, least(len(list_filter({_VARS}, lambda v: instr(lower(coalesce(pn_history, '')), lower(v)) > 0)), 10) "
+    "AS n_spans FROM pairs")
+ORACLES["stream_vote"] = D.vote_oracle(2)

@@ -677,3 +677,30 @@ def q_labeler_fallback(spark, sf):
     pairs = T.pairs(spark, sf, with_text=True)
     out = LB.label_with_fallback(pairs, _FlakyLabeler, LB.phrase_labeler_factory, batch=32)
     return out.select("id", F.size(parse_spans("raw")).alias("n_spans"), F.col("error").isNull().alias("ok"))
+
+
+# ----------------------------------------------------------------- streaming
+from spanweave.streaming import jobs as SJ  # noqa: E402
+
+
+@register("telemetry_stream")
+def q_telemetry_stream(spark, sf):
+    r = SJ.telemetry_windows(spark, T.read_table(spark, sf, "events"))
+    return _r6(r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "run",
+                        "n_events", "loss", "eval_loss"), ["loss", "eval_loss"])
+
+
+@register("stream_label")
+def q_stream_label(spark, sf):
+    out = SJ.incremental_labels(spark, T.notes(spark, sf), T.features(spark, sf), LB.phrase_labeler_factory)
+    return out.select("id", F.size(parse_spans("raw")).alias("n_spans"))
+
+
+@register("stream_vote")
+def q_stream_vote(spark, sf):
+    notes = T.notes(spark, sf).select("pn_num", "pn_history")
+    preds = T.predictions(spark, sf)
+    located = with_blank_edges(locate_spans(explode_spans(preds), notes))
+    n_voters = sum(w for _, w in T.REGISTRY)
+    r = SJ.online_vote(spark, located, preds.select("id", "model"), n_voters, 2, n_models=len(T.REGISTRY))
+    return r.select("id", "location")
