@@ -347,3 +347,24 @@ ORACLES["stream_label"] = W() + (
     f"SELECT id, least(len(list_filter({_VARS}, lambda v: instr(lower(coalesce(pn_history, '')), lower(v)) > 0)), 10) "
     "AS n_spans FROM pairs")
 ORACLES["stream_vote"] = D.vote_oracle(2)
+
+# ------------------------------------------------------------ sources, sinks
+ORACLES["scan_csv_typed"] = W() + (
+    "SELECT pn_num, case_num, length(coalesce(pn_history, '')) AS note_len, md5(coalesce(pn_history, '')) AS note_md5 "
+    "FROM notes")
+ORACLES["scan_optional"] = ("SELECT count(*) AS n_train, 0::BIGINT AS n_augmented FROM (" + W() +
+                            "SELECT 1 FROM pairs WHERE pn_num IN (SELECT doc_id FROM labels))")
+ORACLES["input_contract"] = (
+    "SELECT 'documents' AS \"table\", true AS present, true AS columns_ok, (SELECT count(*) FROM documents) AS n_rows "
+    "UNION ALL SELECT 'benchmark', true, true, (SELECT count(*) FROM benchmark) "
+    "UNION ALL SELECT 'labels', true, true, (SELECT count(*) FROM labels)")
+ORACLES["materialize_once"] = W(D.TRUTH, _TRAIN_T) + (
+    "SELECT id, 'Feature: ' || feature_text || '  Annotation: ' || ann AS embed_text FROM ("
+    f"SELECT *, array_to_string(list_filter(annotation, lambda a: {S('a')} <> ''), ' | ') AS ann FROM tt) "
+    "WHERE coalesce(feature_text, '') <> '' AND ann <> ''")
+ORACLES["sink_submission_roundtrip"] = D.vote_oracle(2)
+ORACLES["json_runs"] = L + "SELECT run, step, loss, eval_loss FROM log WHERE loss IS NOT NULL OR eval_loss IS NOT NULL"
+ORACLES["nested_doc_explode"] = (
+    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_idx, "
+    "CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type, len(string_split(text, chr(10))) AS n_lines, "
+    "CASE WHEN role = 'user' THEN '' ELSE substr(coalesce(text, ''), 1, 5000) END AS output_text FROM conversations")

@@ -704,3 +704,100 @@ def q_stream_vote(spark, sf):
     n_voters = sum(w for _, w in T.REGISTRY)
     r = SJ.online_vote(spark, located, preds.select("id", "model"), n_voters, 2, n_models=len(T.REGISTRY))
     return r.select("id", "location")
+
+
+# ------------------------------------------------------------ sources, sinks
+from spanweave.session import unique_dir  # noqa: E402
+from spanweave.sources import files as FS  # noqa: E402
+
+NOTES_SCHEMA = "pn_num long, case_num int, pn_history string"
+SUBMISSION_SCHEMA = "id string, location string"
+TRAIN_SCHEMA = "id string, pn_num long, case_num int, feature_num long, annotation string, location string"
+
+
+@register("scan_csv_typed")
+def q_scan_csv(spark, sf):
+    path = unique_dir(spark, "notes-csv")
+    FS.write_csv(T.notes(spark, sf), path)
+    n = FS.read_csv_typed(spark, path, NOTES_SCHEMA)
+    return n.select("pn_num", "case_num", F.length(F.coalesce("pn_history", F.lit(""))).alias("note_len"),
+                    F.md5(F.coalesce("pn_history", F.lit(""))).alias("note_md5"))
+
+
+@register("scan_optional")
+def q_scan_optional(spark, sf):
+    train_path = unique_dir(spark, "train-csv")
+    FS.write_csv(T.train_pairs(spark, sf), train_path)
+    train = FS.read_csv_typed(spark, train_path, TRAIN_SCHEMA).withColumn("src", F.lit("train"))
+    aug = FS.read_optional(spark, unique_dir(spark, "augmented-missing"), TRAIN_SCHEMA).withColumn("src", F.lit("aug"))
+    u = train.unionByName(aug, allowMissingColumns=True)
+    return u.agg(F.count_if(F.col("src") == "train").alias("n_train"), F.count_if(F.col("src") == "aug").alias("n_augmented"))
+
+
+@register("input_contract")
+def q_input_contract(spark, sf):
+    need = {"documents": ["doc_id", "text", "source"], "benchmark": ["item_id", "text"], "labels": ["doc_id"]}
+    return FS.input_contract(spark, {t: (f"{sf.rstrip('/')}/{t}.parquet", cols) for t, cols in need.items()})
+
+
+@register("materialize_once")
+def q_materialize_once(spark, sf):
+    path = unique_dir(spark, "retrieval-meta")
+    corpus = retrieval_corpus(_train_parsed(spark, sf)).select("id", "embed_text")
+    FS.materialize_once(corpus, path)
+    return FS.materialize_once(corpus, path)  # second call reuses the table
+
+
+@register("sink_submission_roundtrip")
+def q_sink_submission(spark, sf):
+    path = unique_dir(spark, "submission")
+    FS.write_csv(flagship(spark, sf), path)
+    return FS.read_csv_typed(spark, path, SUBMISSION_SCHEMA)
+
+
+RUN_DOC_SCHEMA = ("model_name string, global_step long, "
+                  "log_history_snapshot array<struct<step:long,loss:double,eval_loss:double>>, "
+                  "trainer_state struct<log_history:array<struct<step:long,loss:double,eval_loss:double>>>")
+
+
+@register("json_runs")
+def q_json_runs(spark, sf):
+    """Per-run metric documents written as JSON, read back in one partitioned read;
+    history from the trainer state when non-empty, else from the snapshot."""
+    log = _log(spark, sf).filter(F.col("loss").isNotNull() | F.col("eval_loss").isNotNull())
+    hist = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "loss", "eval_loss")))
+    docs = log.groupBy("run").agg(hist.alias("h"), F.max("step").cast("long").alias("global_step"))
+    even = F.pmod(F.substring("run", 4, 8).cast("int"), F.lit(2)) == 0
+    docs = docs.select("run", F.col("run").alias("model_name"), "global_step", F.col("h").alias("log_history_snapshot"),
+                       F.struct(F.when(even, F.array().cast("array<struct<step:long,loss:double,eval_loss:double>>"))
+                                .otherwise(F.col("h")).alias("log_history")).alias("trainer_state"))
+    path = unique_dir(spark, "runs-json")
+    docs.write.mode("overwrite").partitionBy("run").json(path)
+    back = spark.read.schema(RUN_DOC_SCHEMA + ", run string").option("basePath", path).json(path)
+    src = F.when(F.size(F.coalesce("trainer_state.log_history", F.array())) > 0, F.col("trainer_state.log_history")) \
+           .otherwise(F.coalesce("log_history_snapshot", F.array()))
+    return back.select("run", F.explode(src).alias("e")).select("run", "e.step", "e.loss", "e.eval_loss")
+
+
+NB_SCHEMA = ("conv_id long, cells array<struct<cell_type:string,source:array<string>,"
+             "outputs:array<struct<output_type:string,text:string>>>>")
+
+
+@register("nested_doc_explode")
+def q_nested_doc(spark, sf):
+    """Notebook-like documents (one per conversation) exploded to cells and outputs."""
+    c = T.read_table(spark, sf, "conversations")
+    cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"),
+                    F.split("text", "\n").alias("source"),
+                    F.when(F.col("role") == "user", F.array().cast("array<struct<output_type:string,text:string>>"))
+                     .otherwise(F.array(F.struct(F.lit("stream").alias("output_type"), F.col("text").alias("text"))))
+                     .alias("outputs"))
+    docs = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))),
+                                                lambda x: x["c"]).alias("cells"))
+    path = unique_dir(spark, "notebooks-json")
+    docs.write.mode("overwrite").json(path)
+    nb = FS.read_json_docs(spark, path, NB_SCHEMA, multi_line=False)
+    cells = nb.select("conv_id", F.posexplode("cells").alias("cell_idx", "cell"))
+    out = F.array_join(F.transform(F.coalesce("cell.outputs", F.array()), lambda o: F.coalesce(o["text"], F.lit(""))), "")
+    return cells.select("conv_id", "cell_idx", F.col("cell.cell_type").alias("cell_type"),
+                        F.size("cell.source").alias("n_lines"), F.substring(out, 1, 5000).alias("output_text"))
