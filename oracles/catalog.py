@@ -368,3 +368,16 @@ ORACLES["nested_doc_explode"] = (
     "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_idx, "
     "CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type, len(string_split(text, chr(10))) AS n_lines, "
     "CASE WHEN role = 'user' THEN '' ELSE substr(coalesce(text, ''), 1, 5000) END AS output_text FROM conversations")
+
+# ------------------------------------------------------------ remaining keys
+ORACLES["vote_locations"] = ORACLES["parse_location"]
+ORACLES["prompt_cycle"] = W() + (
+    "SELECT r.i, t.id, length(pr) AS prompt_len, floor(length(pr) / 4)::BIGINT AS est_tokens FROM "
+    "(SELECT *, row_number() OVER (ORDER BY id) - 1 AS slot, '<|im_start|>system' || chr(10) || '" + _SYS +
+    "' || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || " + _UC +
+    " || chr(10) || chr(10) || '/no_think<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS pr "
+    "FROM (SELECT * FROM pairs ORDER BY id LIMIT 500)) t "
+    "JOIN (SELECT range AS i FROM range(500)) r ON r.i % (SELECT least(count(*), 500) FROM pairs) = t.slot")
+ORACLES["coverage_check"] = W(*_TRAINING) + (
+    "SELECT f.feature_num, coalesce(c.n, 0)::BIGINT AS n_rows, coalesce(c.n, 0) = 0 AS missing FROM features f "
+    "LEFT JOIN (SELECT feature_num, count(*) AS n FROM trows2 GROUP BY feature_num) c USING (feature_num)")

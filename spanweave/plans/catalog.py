@@ -801,3 +801,40 @@ def q_nested_doc(spark, sf):
     out = F.array_join(F.transform(F.coalesce("cell.outputs", F.array()), lambda o: F.coalesce(o["text"], F.lit(""))), "")
     return cells.select("conv_id", "cell_idx", F.col("cell.cell_type").alias("cell_type"),
                         F.size("cell.source").alias("n_lines"), F.substring(out, 1, 5000).alias("output_text"))
+
+
+# ------------------------------------------------------------ remaining keys
+@register("vote_locations")
+def q_vote_locations(spark, sf):
+    """Final voted intervals per pair (the sweep output before formatting)."""
+    from spanweave.operators.spans import majority_vote
+    notes = T.notes(spark, sf).select("pn_num", "pn_history")
+    edged = with_blank_edges(locate_spans(explode_spans(T.predictions(spark, sf)), notes))
+    return majority_vote(edged, 2, n_voters=sum(w for _, w in T.REGISTRY)).select("id", "start", "end")
+
+
+@register("prompt_cycle")
+def q_prompt_cycle(spark, sf, n_prompts: int = 500):
+    """Benchmark prompt set: note x feature pairs in id order, cycled to ``n_prompts``.
+
+    Only the first ``min(n, P)`` pairs can be used, so they are taken with a
+    per-partition top-n; the cycle is an equi-join of ``range(n)`` on ``i % m``.
+    """
+    top = T.pairs(spark, sf, with_text=True).orderBy("id").limit(n_prompts)
+    w = Window.orderBy("id")  # at most n_prompts rows
+    top = top.withColumn("slot", F.row_number().over(w) - 1)
+    m = top.agg(F.count(F.lit(1)).alias("m"))
+    idx = spark.range(n_prompts).withColumnRenamed("id", "i").withColumn("_k", F.lit(1)) \
+               .join(F.broadcast(m.withColumn("_k", F.lit(1))), "_k").withColumn("slot", F.col("i") % F.col("m"))
+    p = idx.join(top, "slot")
+    prompt = P.benchmark_prompt("pn_history", "feature_text")
+    return p.select("i", "id", F.length(prompt).alias("prompt_len"), F.floor(F.length(prompt) / 4).alias("est_tokens"))
+
+
+@register("coverage_check")
+def q_coverage_check(spark, sf):
+    """Expected features with the number of training rows that target them; zero = missing."""
+    t = _training(spark, sf).groupBy("feature_num").agg(F.count(F.lit(1)).alias("n_rows"))
+    exp = T.features(spark, sf).select("feature_num")
+    r = exp.join(t, "feature_num", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
+    return r.withColumn("missing", F.col("n_rows") == 0)
