@@ -101,7 +101,36 @@ def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     py_repr_list("annotation").alias("annotation"), py_repr_list(loc).alias("location"))
 
 
+def _with_raw(df: DataFrame, note: str = "pn_history", pid: str = "id", model: str = "model") -> DataFrame:
+    """Add the rendered model output ``raw``; intermediate columns keep the plan
+    in whole-stage codegen (each costly piece is computed once)."""
+    n, i, m = F.col(note), F.col(pid), F.col(model)
+    a = _anchor(n, i)
+    s = F.greatest(a + F.pmod(h32(i, m, "s"), F.lit(11)) - 5, F.lit(0))
+    df = (df.withColumn("_span", F.substring(n, (s + 1).cast("int"), (5 + F.pmod(h32(i, m, "l"), F.lit(36))).cast("int")))
+            .withColumn("_span2", F.substring(n, (F.pmod(h32(i, m, "t"), F.greatest(F.length(n), F.lit(1))) + 1).cast("int"),
+                                              (5 + F.pmod(h32(i, m, "u"), F.lit(20))).cast("int")))
+            .withColumn("_v", F.pmod(h32(i, m, "v"), F.lit(12)))
+            .withColumn("_js", F.to_json(F.array("_span"))))
+    span, js, v = F.col("_span"), F.col("_js"), F.col("_v")
+    inner = F.substring(js, F.lit(2), F.length(js) - 2)
+    up = F.translate(span, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    raw = (F.when(v <= 2, F.concat(F.lit('{"spans": '), js, F.lit("}")))
+            .when(v == 3, F.concat(F.lit('<think>\nchecking the note\n</think>\n\n{"spans": '), js, F.lit("}")))
+            .when(v == 4, F.concat(F.lit('```json\n{"spans": '), js, F.lit("}\n```")))
+            .when(v == 5, F.concat(F.lit('{"spans": '), js, F.lit("} <|im_end|>")))
+            .when(v == 6, F.concat(F.lit('{"spans": '), F.to_json(F.array(up)), F.lit("}")))
+            .when(v == 7, F.lit('{"spans": []}'))
+            .when(v == 8, F.concat(F.lit('{"spans": '), F.to_json(F.array(span, F.col("_span2"))), F.lit("}")))
+            .when(v == 9, F.concat(F.lit('{"spans": ["'), span))
+            .when(v == 10, F.concat(F.lit('{"spans": '), F.to_json(F.array(F.translate(span, "\n", " "))),
+                                    F.lit(', "note": 1}')))
+            .otherwise(F.concat(F.lit('Answer: {"spans": ['), inner, F.lit(', 1, null]}'))))
+    return df.withColumn("raw", raw).drop("_span", "_span2", "_v", "_js")
+
+
 def _raw_output(note: Column, pid: Column, model: Column) -> Column:
+    """Column form of :func:`_with_raw` (one expression; used for single-model outputs)."""
     a = _anchor(note, pid)
     s = F.greatest(a + F.pmod(h32(pid, model, "s"), F.lit(11)) - 5, F.lit(0))
     span = F.substring(note, (s + 1).cast("int"), (5 + F.pmod(h32(pid, model, "l"), F.lit(36))).cast("int"))
@@ -134,8 +163,7 @@ def predictions(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
     reg = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(int(w)).alias("weight"))
                     for m, w in (registry or REGISTRY)])
     out = p.withColumn("_m", F.explode(reg)).select("*", "_m.model", "_m.weight")
-    return out.select("id", "pn_num", "case_num", "feature_num", "model", "weight",
-                      _raw_output(F.col("pn_history"), F.col("id"), F.col("model")).alias("raw"))
+    return _with_raw(out).select("id", "pn_num", "case_num", "feature_num", "model", "weight", "raw")
 
 
 def predictions_with_truth(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
@@ -144,7 +172,7 @@ def predictions_with_truth(spark: SparkSession, sf_dir: str, registry=None) -> D
     reg = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(int(w)).alias("weight"))
                     for m, w in (registry or REGISTRY)])
     out = p.withColumn("_m", F.explode(reg)).select("*", "_m.model", "_m.weight").drop("_m")
-    return out.withColumn("raw", _raw_output(F.col("pn_history"), F.col("id"), F.col("model")))
+    return _with_raw(out)
 
 
 def augmented_pairs(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFrame:
