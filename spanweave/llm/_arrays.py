@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT_BYTES = 1 << 20
 _U = np.uint64
@@ -119,8 +120,19 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(rolled[a:b - k + 1])
         elif b > a:
-            short = (hashes[a:b] * _COEF[:b - a]).sum(dtype=np.uint64) + _COEF[32 + (b - a) % 30]
-            out.append(mix64(np.array([short], np.uint64)))
+            short = (hashes[a:b] * _COEF[:b - a]).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix64(short + _COEF[32 + (b - a) % 30]))
         else:
             out.append(hashes[:0])
     return out
+
+
+def row_ranges(column: pa.Array, limit: int = 1 << 22):
+    """Row ranges ``(from, to)`` of a string column with at most ``limit`` bytes each (one row at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) if len(column) else []
+    lo = 0
+    while lo < len(column):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + limit, "right")))
+        yield lo, hi
+        lo = hi

@@ -53,3 +53,70 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped",
                                     F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 3 THEN [array_to_string(a, ' ')]
+        ELSE list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+fp AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS f FROM s GROUP BY doc_id),
+rep AS (SELECT f, min(doc_id) AS r FROM fp GROUP BY f),
+rs AS (SELECT r, g, hash(g) AS h FROM rep JOIN s ON s.doc_id = rep.r),
+df AS (SELECT g, count(*) AS df FROM rs GROUP BY g),
+pos AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY df, h, g) AS k FROM rs JOIN df USING (g)),
+pre AS (SELECT r, g FROM pos JOIN n ON n.doc_id = pos.r WHERE k <= n - (90 * n + 99) // 100 + 1),
+cand AS (SELECT DISTINCT a.r AS x, b.r AS y FROM pre a JOIN pre b ON a.g = b.g AND a.r < b.r),
+inter AS (SELECT x, y, count(*) AS c FROM cand JOIN rs a ON a.r = x JOIN rs b ON b.r = y AND b.g = a.g GROUP BY x, y),
+e AS (SELECT x, y FROM inter JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(x, y) AS (SELECT r, r FROM rep UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN fp ON fp.doc_id = d.doc_id
+LEFT JOIN rep ON rep.f = fp.f LEFT JOIN comp ON comp.x = rep.r
+"""
+
+
+@_query("op2_ngram_jaccard_join", NEAR_SQL)
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.jaccard import similar_components
+    return similar_components(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+LEAK_SQL = r"""
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT kind, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM t),
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(a) - 3, 1)),
+        lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] || ' ' || a[i + 3] || ' ' || a[i + 4])) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'b' GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, max(n.n) AS n_item, count(*) AS n_shared, count(*) / max(n.n) AS containment
+FROM s b JOIN s d ON d.kind = 'd' AND b.kind = 'b' AND b.g = d.g JOIN n ON n.id = b.id
+GROUP BY d.id, b.id HAVING 5 * count(*) >= 4 * max(n.n)
+"""
+
+
+@_query("op8_benchmark_decontamination", LEAK_SQL)
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.decontam import contaminated
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def byte_bpe(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@_query("op6_token_binary")
+def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.pfor import read_ids, write_ids
+    return read_ids(write_ids(read_table(spark, sf_dir, "documents"), byte_bpe()))
+
+
+@_query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.packing import pack_documents
+    return pack_documents(read_table(spark, sf_dir, "documents"), byte_bpe())
