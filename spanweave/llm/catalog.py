@@ -120,3 +120,13 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanweave.llm.packing import pack_documents
     return pack_documents(read_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@_query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.quality import judge
+    out = judge(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), columns=["doc_id"])
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (out.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("natural"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                    F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance")))
