@@ -130,3 +130,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (out.withColumn("base_failed", failed).withColumn("kept", ~failed & F.col("natural"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                     F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance")))
+
+
+@_query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a passage: their text after it, the spans, and where the passages still stand."""
+    from spanweave.llm.paragraphs import dedup_passages
+    out = dedup_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.where(F.size("removed") > 0).select("doc_id", F.col("kept_in").alias("kept_doc_ids"), "removed",
+                                                   F.size("removed").alias("n_removed"), "text")

@@ -17,12 +17,17 @@ shingle of their prefixes, and are at most a tenth apart in size.
 """
 from __future__ import annotations
 
+import math
+import struct
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm._arrays import mix64, row_ranges, shingle_sets
+from spanweave.llm._bloom import held, twice_filter
 from spanweave.llm._graph import components
 from spanweave.llm._store import merged_blocks, packed, stored
 
@@ -36,19 +41,19 @@ def shingle_sketch(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndar
     block = min(SKETCH_BLOCK, 1 << bits)
 
     def count(batches):
-        held = np.zeros(1 << bits, np.uint32)
+        sums = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for lo, hi in row_ranges(batch.column(0)):
                 sets = shingle_sets(batch.column(0).slice(lo, hi - lo), k)
                 at = (np.concatenate(sets) >> _U(64 - bits)).astype(np.int64)
                 slots, n = np.unique(at, return_counts=True)
-                held[slots] += n.astype(np.uint32)
-        for b in np.flatnonzero(held.reshape(-1, block).any(axis=1)).tolist():
+                sums[slots] += n.astype(np.uint32)
+        for b in np.flatnonzero(sums.reshape(-1, block).any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([packed(held[b * block:(b + 1) * block])], pa.binary())], ["block", "payload"])
+                [pa.array([b], pa.int32()), pa.array([packed(sums[b * block:(b + 1) * block])], pa.binary())], ["block", "payload"])
 
-    def fold(held, more):
-        held += more
+    def fold(total, more):
+        total += more
 
     parts = docs.select(F.col(text_col)).mapInArrow(count, "block int, payload binary")
     out = np.zeros(1 << bits, np.uint32)
@@ -57,11 +62,9 @@ def shingle_sketch(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndar
     return out
 
 
-def _print(values: np.ndarray) -> str:
+def _print(values: np.ndarray) -> bytes:
     """128-bit fingerprint of a set of hashes (independent of their order)."""
-    a = mix64(values ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U)
-    b = mix64(values * _U(0xD6E8FEB86659FD93)).sum(dtype=_U)
-    return f"{int(a):016x}{int(b):016x}"
+    return struct.pack(">QQ", int(mix64(values ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U)), int(mix64(values * _U(0xD6E8FEB86659FD93)).sum(dtype=_U)))
 
 
 def prefix_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
@@ -83,23 +86,54 @@ def prefix_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
                     prefix.append(head.view(np.int64))
                 off = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(fp), pa.array(gid),
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))],
                     ["id", "n", "fp", "gid", "prefix"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(
-        make, "id bigint, n bigint, fp string, gid string, prefix array<bigint>")
+        make, "id bigint, n bigint, fp binary, gid binary, prefix array<bigint>")
+
 
+def hub_visits(sets: DataFrame, num: int, den: int, bloom_bits: int) -> DataFrame:
+    """``(hub, gid)``: the hubs that each group is sent to, the hub too; a group of several classes visits itself.
+
+    A shingle only counts where two groups of a linkable size hold it in their
+    prefixes. Sizes are cut into bands as wide as a link can span, so a pair
+    lies in one band or in two neighbours: each entry stands in its own band
+    and the next. Entries whose shingle a twice filter does not hold are left
+    out before anything shuffles.
+    """
+    groups = stored(sets.where("n > 0").select("gid", "n", "prefix").dropDuplicates(["gid"]), "groups")
 
-def hub_visits(sets: DataFrame) -> DataFrame:
-    """``(hub, gid)``: the hubs that each group is sent to, the hub too; a group of several classes visits itself."""
-    groups = sets.where("n > 0").select("gid", "n", "prefix").dropDuplicates(["gid"])
-    entries = groups.select("gid", F.posexplode("prefix").alias("pos", "token"))
-    hubs = (entries.groupBy("token").agg(F.count("*").alias("held"), F.min(F.struct("pos", "gid")).alias("first"))
-            .where("held > 1").select(F.col("token").alias("t"), F.col("first.gid").alias("hub")))
+    def tokens(batch):
+        yield batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+
+    bits = sets.sparkSession.sparkContext.broadcast(twice_filter(groups.select("prefix"), tokens, bloom_bits))
+    width = math.log(den / num) if num < den else 1.0
+
+    def spread(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            token = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(lists)), sizes)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(held(bits.value, token.view(_U)))
+            band = np.floor(np.log(batch.column(1).to_numpy()[owner[keep]].astype(np.float64)) / width).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner[keep])), pa.array(token[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(band)],
+                ["gid", "token", "pos", "band"])
+
+    entries = groups.select("gid", "n", "prefix").mapInArrow(spread, "gid binary, token bigint, pos int, band bigint")
+    entries = stored(entries, "entries").select("gid", "token", "pos", F.explode(F.array(
+        F.struct("band", F.lit(1).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(0).alias("own")))).alias("b")).select(
+        "gid", "token", "pos", "b.band", "b.own")
+    hubs = (entries.groupBy("token", "band").agg(F.count("*").alias("several"), F.sum("own").alias("some"), F.min(F.struct("pos", "gid")).alias("first"))
+            .where("several > 1 and some > 0").select(F.col("token").alias("t"), F.col("band").alias("b"), F.col("first.gid").alias("hub")))
     several = (sets.where("n > 0").select("gid", "fp").distinct().groupBy("gid").agg(F.count("*").alias("classes"))
                .where("classes > 1").select(F.col("gid").alias("hub"), "gid"))
-    return entries.join(hubs, F.col("token") == F.col("t")).select("hub", "gid").unionByName(several).distinct()
+    return (entries.join(hubs, (F.col("token") == F.col("t")) & (F.col("band") == F.col("b"))).select("hub", "gid")
+            .unionByName(several).distinct())
 
 
 def _links(sets: list[np.ndarray], names: list[str], num: int, den: int) -> list[tuple[str, str]]:
@@ -119,9 +153,9 @@ def _links(sets: list[np.ndarray], names: list[str], num: int, den: int) -> list
     total = int((counts > 1).sum())
     for lo in range(0, total, VOCABULARY_CHUNK):
         a, b = np.searchsorted(token, [lo, lo + VOCABULARY_CHUNK])
-        held = np.zeros((m, min(VOCABULARY_CHUNK, total - lo)), np.float32)
-        held[owner[a:b], token[a:b] - lo] = 1
-        inter += held @ held.T
+        member = np.zeros((m, min(VOCABULARY_CHUNK, total - lo)), np.float32)
+        member[owner[a:b], token[a:b] - lo] = 1
+        inter += member @ member.T
     inter = np.rint(inter).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - inter
     near = den * inter >= num * union
@@ -143,30 +177,34 @@ def _links(sets: list[np.ndarray], names: list[str], num: int, den: int) -> list
     return out
 
 
-def verified_links(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, visits: DataFrame, k: int, num: int, den: int,
-                   block_rows: int, block_shingles: int) -> DataFrame:
-    """``(a, b)``: links between class fingerprints, a spanning forest of each hub's classes.
+def block_pairs(at_hub: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """``at_hub (hub, fp, n, ...)`` with each hub's rows dealt to pairs of blocks ``(x, y)``.
 
-    A hub's classes are dealt into blocks by their fingerprint, with about
-    ``block_rows`` classes and ``block_shingles`` shingles each, and every
-    pair of blocks meets once.
+    Blocks go by fingerprint, with about ``block_rows`` rows and
+    ``block_shingles`` shingles each; every pair of blocks of a hub meets
+    once. Hubs with one row are left out.
     """
-    at_hub = visits.join(classes.select("gid", "fp", "n", "rep"), "gid").select("hub", "fp", "n", "rep")
     split = at_hub.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1").select(
         F.col("hub").alias("h"), F.ceil(F.greatest(F.col("m") / F.lit(block_rows), F.col("s") / F.lit(block_shingles))).cast("int").alias("blocks"))
-    own = (at_hub.join(split, F.col("hub") == F.col("h"))
-           .withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-           .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("hub", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "fp", "rep"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sent = own.join(texts, F.col("rep").eqNullSafe(F.col("id"))).select("hub", "x", "y", "fp", "text")
-    sent = sent.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "fp")
+    rest = [c for c in at_hub.columns if c not in ("hub", "n")]
+    return (at_hub.join(split, F.col("hub") == F.col("h"))
+            .withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+            .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("hub", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *rest))
+
+
+def verified_links(pairs: DataFrame, k: int, num: int, den: int, check_print: bool) -> DataFrame:
+    """``(a, b)``: a spanning forest of the links among the texts of each block pair of ``pairs (hub, x, y, fp, text)``.
+
+    With ``check_print`` only texts whose set has the fingerprint count.
+    """
+    sent = pairs.select("hub", "x", "y", "fp", "text").repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "fp")
 
     def verify(batches):
         at, names, sets, out = None, [], [], []
 
-        def close():
-            return _links(sets, names, num, den)
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
         for batch in batches:
             hubs, xs, ys, fps = (batch.column(c).to_pylist() for c in range(4))
@@ -174,21 +212,22 @@ def verified_links(docs: DataFrame, id_col: str, text_col: str, classes: DataFra
                 for i, s in zip(range(lo, hi), shingle_sets(batch.column(4).slice(lo, hi - lo), k)):
                     key = (hubs[i], xs[i], ys[i])
                     if key != at:
-                        out += close()
+                        out += _links(sets, names, num, den)
                         at, names, sets = key, [], []
-                    if (not names or names[-1] != fps[i]) and _print(s) == fps[i]:  # rows of one id may differ in text
+                    if (not names or names[-1] != fps[i]) and (not check_print or _print(s) == fps[i]):
                         names.append(fps[i])
                         sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["a", "b"])
+            yield emit()
             out = []
-        out = close()
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["a", "b"])
+        out = _links(sets, names, num, den)
+        yield emit()
 
-    return sent.mapInArrow(verify, "a string, b string")
+    return sent.mapInArrow(verify, "a binary, b binary")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100,
-                       sketch_bits: int = 22, block_rows: int = 512, block_shingles: int = 1 << 20) -> DataFrame:
+                       sketch_bits: int = 22, bloom_bits: int = 1 << 26, block_rows: int = 512,
+                       block_shingles: int = 1 << 20) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
     Words are runs outside 0x20 and 0x09-0x0D with A-Z lower-cased. A set is
@@ -205,8 +244,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = stored(prefix_sets(docs, "id", "text", k, num, den, shingle_sketch(docs, "text", k, sketch_bits)), "sets")
     classes = stored(sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n")), "classes")
-    visits = stored(hub_visits(sets), "visits")
-    links = stored(verified_links(docs, "id", "text", classes, visits, k, num, den, block_rows, block_shingles), "links")
+    visits = stored(hub_visits(sets, num, den, bloom_bits), "visits")
+    at_hub = visits.join(classes.select("gid", "fp", "n", "rep"), "gid").select("hub", "fp", "n", "rep")
+    pairs = block_pairs(at_hub, block_rows, block_shingles).join(docs, F.col("rep").eqNullSafe(F.col("id")))
+    links = stored(verified_links(pairs, k, num, den, check_print=True), "links")  # rows of one id may differ in text
     roots = components(links)
     grouped = classes.select("fp", "rep").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     low = grouped.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r")

@@ -18,12 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm._store import merged_blocks, packed, stored
+from spanweave.llm._bloom import held, twice_filter
+from spanweave.llm._store import stored
 
 BLANK = b" \t\n\x0b\x0c\r"
 _TAIL = bytes(range(0x80, 0xC0))
-PROBES = 3
-BLOCK_BITS = 1 << 20
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes]:
@@ -37,11 +36,6 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes]:
     return out
 
 
-def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(j) * step) & np.uint64(bits - 1) for j in range(PROBES)]).astype(np.int64)
-
-
 def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
@@ -51,47 +45,16 @@ def _texts(column: pa.Array):
         yield t.as_py() or b""
 
 
-def twice_filter(docs: DataFrame, text_col: str, min_chars: int, bloom_bits: int) -> np.ndarray:
-    """Packed bits of the merged filter of line hashes that more than one document (or batch) holds."""
-    block_bits = min(BLOCK_BITS, bloom_bits)
-    half = block_bits // 8
-
-    def build(batches):
-        once, twice = np.zeros(bloom_bits, bool), np.zeros(bloom_bits, bool)
-        for batch in batches:
-            h = _hashes(k for t in _texts(batch.column(0)) for k in set(line_keys(t, min_chars)))
-            if not len(h):
-                continue
-            h, n = np.unique(h, return_counts=True)
-            at = _places(h, bloom_bits)
-            again = (n > 1) | once[at].all(axis=0)
-            twice[at[:, again].ravel()] = True
-            once[at.ravel()] = True
-        found = once.reshape(-1, block_bits).any(axis=1)
-        for b in np.flatnonzero(found).tolist():
-            cut = slice(b * block_bits, (b + 1) * block_bits)
-            payload = packed(np.concatenate([np.packbits(once[cut]), np.packbits(twice[cut])]))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], ["block", "payload"])
-
-    def fold(held, more):
-        held[half:] |= more[half:] | (held[:half] & more[:half])
-        held[:half] |= more[:half]
-
-    parts = docs.select(F.col(text_col)).mapInArrow(build, "block int, payload binary")
-    blocks = merged_blocks(parts, bloom_bits // block_bits, "uint8", 2 * half, fold)
-    out = np.zeros(bloom_bits // 8, np.uint8)
-    for b, x in blocks.items():
-        out[b * half:(b + 1) * half] = x[half:]
-    return out
-
-
 def suspected_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, bloom_bits: int) -> DataFrame:
     """``(id, key, h)``: the lines whose hash the twice filter holds, once a row."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(twice_filter(docs, text_col, min_chars, bloom_bits))
+
+    def hashes(batch):
+        yield _hashes(k for t in _texts(batch.column(0)) for k in set(line_keys(t, min_chars)))
+
+    bits = spark.sparkContext.broadcast(twice_filter(docs.select(F.col(text_col)), hashes, bloom_bits))
 
     def pick(batches):
-        held = bits.value
         for batch in batches:
             ids, keys, hs = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
@@ -99,8 +62,7 @@ def suspected_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
                 if not own:
                     continue
                 h = _hashes(own)
-                at = _places(h, bloom_bits)
-                for j in np.flatnonzero(((held[at >> 3] >> (7 - (at & 7))) & 1).all(axis=0)).tolist():
+                for j in np.flatnonzero(held(bits.value, h)).tolist():
                     ids.append(i)
                     keys.append(own[j])
                     hs.append(int(h[j].view(np.int64)))
@@ -142,14 +104,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if drop is None or not len(drop):
                 rows.append((text, text.count("\n") + 1, 0))
                 continue
-            held = set(drop.tolist())
+            gone = set(drop.tolist())
             raw = text.encode()
             own = [x for x in raw.split(b"\n")]
             left = []
             for line, low in zip(own, raw.lower().split(b"\n")):
                 key = low.strip(BLANK)
                 short = len(key) < min_chars or len(key.translate(None, _TAIL)) < min_chars
-                if short or int(np.uint64(xxhash.xxh3_64_intdigest(key)).view(np.int64)) not in held:
+                if short or int(np.uint64(xxhash.xxh3_64_intdigest(key)).view(np.int64)) not in gone:
                     left.append(line)
             rows.append((b"\n".join(left).decode(), len(own), len(own) - len(left)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
