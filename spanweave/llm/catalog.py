@@ -139,3 +139,56 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.where(F.size("removed") > 0).select("doc_id", F.col("kept_in").alias("kept_doc_ids"), "removed",
                                                    F.size("removed").alias("n_removed"), "text")
+
+
+@_query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.langid import held_out
+    from spanweave.llm.toxicity import score, train
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = train(docs, read_table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return score(docs, machine).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+#: The rules of the contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+HOSTS_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+o AS (SELECT doc_id, 1 - quality AS bad FROM labels WHERE quality IN (0, 1)),
+h AS (SELECT host, regexp_extract(host, '([^.]*\.[^.]*|^[^.]*)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix,
+             count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS x FROM p LEFT JOIN o ON o.doc_id = p.page_id GROUP BY host),
+g AS (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0) AS mu FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM h GROUP BY suffix),
+sw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.9) - 1 AS m
+       FROM s, g WHERE n > 0),
+sm AS (SELECT suffix, (x + m * mu) / (n + m) AS mu FROM s, g, sw),
+d AS (SELECT h.domain, sm.mu, sum(n) AS n, sum(x) AS x FROM h JOIN sm USING (suffix) GROUP BY ALL),
+dw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.9) - 1 AS m
+       FROM d WHERE n > 0),
+dm AS (SELECT domain, (x + m * mu) / (n + m) AS mu FROM d, dw),
+k AS (SELECT h.host, h.n, h.x, dm.mu FROM h JOIN dm USING (domain)),
+kw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.9) - 1 AS m
+       FROM k WHERE n > 0),
+b AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) AS bad_bound
+      FROM (SELECT host, (x + m * mu) / (n + m) AS mean, n + m AS w FROM k, kw)),
+r AS (SELECT p.*, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                       WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                       WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                       WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, r.host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN bad_bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN b ON b.host = r.host
+"""
+
+
+@_query("op3_url_filter", HOSTS_SQL)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page outcomes are the quality labels of the same number: 0 is a bad page."""
+    from spanweave.llm.hosts import judge_urls
+    outcomes = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
