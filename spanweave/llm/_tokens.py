@@ -1,30 +1,46 @@
-"""Whole-text token ids with the tokenizers library and a bounded cache of text pieces."""
+"""Whole-text token ids with the tokenizers library and a bounded table of text pieces."""
 from __future__ import annotations
 
+import json
+import os
 import re
-from array import array
 
 import numpy as np
+import pyarrow as pa
 
-CACHE_PIECES = 1_000_000
-_PIECES = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -‏ -  ⁠　﻿]")
-_open: dict[str, PieceEncoder] = {}
+from spanweave.llm._arrays import row_ranges, utf8, word_hashes, words
+
+TABLE_BITS = 22
+_OPEN: dict[str, PieceEncoder] = {}
+
+
+def _other_space(data: np.ndarray) -> np.ndarray:
+    """Positions of white space and joiners outside 0x20 and 0x09-0x0D, and of a few characters near them."""
+    n = len(data)
+    one = (data >= 0x1C) & (data <= 0x1F)
+    lead = np.flatnonzero(((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3) | (data == 0xEF)))
+    lead = lead[lead < n - 1]
+    a, b = data[lead], data[lead + 1]
+    c = data[np.minimum(lead + 2, n - 1)]
+    odd = (((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & ((b == 0x9A) | (b == 0xA0)))
+           | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8F) | ((c >= 0xA8) & (c <= 0xAF)))) | ((a == 0xE2) & (b == 0x81) & (c >= 0x9F))
+           | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xEF) & (b == 0xBB)))
+    return np.concatenate([np.flatnonzero(one), lead[odd]])
 
 
 class PieceEncoder:
-    """Encodes a batch of texts to little-endian unsigned 32-bit ids.
+    """Encodes text columns to unsigned 32-bit ids.
 
     The byte-level pattern never lets a token run from a non-space character
     into white space, so a text's ids are the ids of its pieces (white space
     and the run after it) one after another. Pieces recur, so each is encoded
-    once while the cache holds it. Texts with white space outside ASCII, and
-    texts of a tokenizer without that pattern, are encoded whole.
+    once and found again by the 64-bit hash of its bytes, in a table of
+    ``2**TABLE_BITS`` slots that is emptied when half full. Texts with white
+    space outside ASCII, and all texts of a tokenizer without that pattern,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -33,54 +49,122 @@ class PieceEncoder:
                          and not spec.get("normalizer")
                          and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"]
                                      for x in spec.get("added_tokens", [])))
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not self.by_piece or _OTHER_SPACE.search(t)]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
-        cut = {i: _PIECES.findall(t) for i, t in enumerate(texts) if out[i] is None}
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        fresh = set()
-        for pieces in cut.values():
-            fresh.update(pieces)
-        fresh = list(fresh.difference(cache))
-        for lo in range(0, len(fresh), 20_000):
-            part = fresh[lo:lo + 20_000]
-            cache.update(zip(part, self._whole(part)))
-        for i, pieces in cut.items():
-            out[i] = b"".join(map(cache.__getitem__, pieces))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.key = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.at = np.zeros(1 << TABLE_BITS, np.int64)
+        self.size = np.zeros(1 << TABLE_BITS, np.int32)
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = self.entries = 0
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 if the table lacks it."""
+        mask = (1 << TABLE_BITS) - 1
+        out = np.full(len(h), -1, np.int64)
+        left, pos = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            there = self.key[pos]
+            same = there == h[left]
+            out[left[same]] = pos[same]
+            go = ~same & (there != 0)
+            left, pos = left[go], (pos[go] + 1) & mask
         return out
 
+    def _insert(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """Add distinct hashes that the table lacks."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        at = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        self.entries += len(h)
+        mask = (1 << TABLE_BITS) - 1
+        left, pos = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.key[pos] == 0)
+            slots, first = np.unique(pos[free], return_index=True)
+            own = left[free[first]]
+            self.key[slots], self.at[slots], self.size[slots] = h[own], at[own], size[own]
+            stay = np.ones(len(left), bool)
+            stay[free[first]] = False
+            left, pos = left[stay], (pos[stay] + 1) & mask
+
+    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of distinct pieces; a last stop mark after a letter is always a token border, so it is encoded apart."""
+        bare = [p[:-1] if len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha() else p for p in pieces]
+        need = list(set(bare) | {p[-1] for p, b in zip(pieces, bare) if p is not b})
+        ids = {}
+        for lo in range(0, len(need), 20_000):
+            ids.update(zip(need[lo:lo + 20_000], self._whole(need[lo:lo + 20_000])))
+        return [ids[b] if p is b else ids[b] + ids[p[-1]] for p, b in zip(pieces, bare)]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a text column (null: none), and row offsets into them."""
+        data, offsets = utf8(column)
+        rows = len(offsets) - 1
+        if not self.by_piece or len(data) > 1 << (TABLE_BITS + 1):  # a row so long may not fit the table
+            return self._rows_whole(data, offsets, np.arange(rows))
+        odd = np.unique(np.searchsorted(offsets, _other_space(data), "right") - 1)
+        starts, ends, first = words(data, offsets)
+        begins = np.concatenate([[0], ends[:-1]])
+        heads = first[:-1][np.diff(first) > 0]
+        row_of = np.repeat(np.arange(rows), np.diff(first))
+        begins[heads] = offsets[row_of[heads]]
+        last = np.where(np.diff(first) > 0, ends[np.maximum(first[1:], 1) - 1] if len(ends) else 0, offsets[:-1])
+        tail = np.flatnonzero(last < offsets[1:])  # white space at a row's end
+        begins, stops = np.concatenate([begins, last[tail]]), np.concatenate([ends, offsets[1:][tail]])
+        order = np.argsort(begins, kind="stable")
+        begins, stops = begins[order], stops[order]
+        h = np.maximum(word_hashes(data, begins, stops, lower=False), np.uint64(1))
+        if self.entries > 1 << (TABLE_BITS - 1):
+            self._empty()
+        slot = self._find(h)
+        fresh, where = np.unique(h[slot < 0], return_index=True)
+        if len(fresh):
+            where = np.flatnonzero(slot < 0)[where]
+            raw = data.tobytes()
+            known = self._encode_pieces([raw[a:b].decode() for a, b in zip(begins[where].tolist(), stops[where].tolist())])
+            self._insert(fresh, known)
+            slot[slot < 0] = self._find(h[slot < 0])
+        size = self.size[slot].astype(np.int64)
+        done = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[slot] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+        bounds = np.concatenate([[0], done])[np.searchsorted(begins, offsets)]
+        if not len(odd):
+            return ids, bounds
+        other, other_at = self._rows_whole(data, offsets, odd)
+        parts = np.split(ids, bounds[1:-1])
+        for i, r in enumerate(odd.tolist()):
+            parts[r] = other[other_at[i]:other_at[i + 1]]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _rows_whole(self, data, offsets, rows) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._whole([data[offsets[r]:offsets[r + 1]].tobytes().decode() for r in rows.tolist()])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder a worker process and file."""
-    import os
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _open:
-        _open[path] = PieceEncoder(path)
-    return _open[path]
-
-
-def text_groups(texts: list[str | None], chars: int = 1 << 22):
-    """Slices of a batch with at most ``chars`` characters each (one text at least): ``(from, texts)``."""
-    lo, held, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t or ""
-        if held and size + len(t) > chars:
-            yield lo, held
-            lo, held, size = i, [], 0
-        held.append(t)
-        size += len(t)
-    if held:
-        yield lo, held
-
-
-def ids_array(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u4")
+    if path not in _OPEN:
+        _OPEN[path] = PieceEncoder(path)
+    return _OPEN[path]
+
+
+def encoded_rows(column: pa.Array, path: str, end_id: int):
+    """``(row, ids)`` of every row of a text column, with ``end_id`` after its ids; works on slices of bounded size."""
+    enc = encoder(path)
+    for lo, hi in row_ranges(column):
+        ids, bounds = enc.encode(column.slice(lo, hi - lo))
+        for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), lo):
+            out = np.empty(b - a + 1, np.uint32)
+            out[:-1] = ids[a:b]
+            out[-1] = end_id
+            yield i, out

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm._store import stored
-from spanweave.llm._tokens import encoder, text_groups
+from spanweave.llm._tokens import encoded_rows
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0,
@@ -31,23 +31,18 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     Only the first piece of a longer document may be shorter. Null text is empty.
     """
     def cut(batches):
-        enc = encoder(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, group in text_groups(texts):
-                rows = []
-                for i, raw in enumerate(enc.encode(group), lo):
-                    raw += end
-                    n = len(raw) // 4
-                    edges = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    for p, (a, b) in enumerate(zip(edges, edges[1:])):
-                        part = raw[4 * a:4 * b]
-                        rows.append((ids[i], p, a, b - a, zlib.crc32(part), part))
-                cols = list(zip(*rows))
-                arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[5], pa.binary())] * with_ids,
-                                                 ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+            ids, rows = batch.column(0).to_pylist(), []
+            for i, own in encoded_rows(batch.column(1), tokenizer_path, end_id):
+                n = len(own)
+                edges = [0, n] if n <= capacity else [0, *range(n % capacity or capacity, n + 1, capacity)]
+                for p, (a, b) in enumerate(zip(edges, edges[1:])):
+                    raw = own[a:b].astype("<u4").tobytes()
+                    rows.append((ids[i], p, a, b - a, zlib.crc32(raw), raw if with_ids else None))
+            cols = list(zip(*rows)) or [[]] * 6
+            arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[5], pa.binary())] * with_ids,
+                                             ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(cut, schema)

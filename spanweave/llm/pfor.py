@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm._store import stored
-from spanweave.llm._tokens import encoder, text_groups
+from spanweave.llm._tokens import encoded_rows
 from spanweave.session import unique_dir
 
 MAGIC = b"SWPFOR1\0"
@@ -148,20 +148,17 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
     def write(batches):
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         store, root = _filesystem(path)
         ids, held, size, seq = [], [], 0, 0
-
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, group in text_groups(texts):
-                for i, raw in enumerate(enc.encode(group), lo):
-                    ids.append(own[i])
-                    held.append(raw + end)
-                    size += len(raw) // 4 + 1
-                    if size >= shard_ids:
-                        yield _shard_row(store, root, part, seq, ids, held, block, percentile)
-                        ids, held, size, seq = [], [], 0, seq + 1
+            own = batch.column(0).to_pylist()
+            for i, tokens in encoded_rows(batch.column(1), tokenizer_path, end_id):
+                ids.append(own[i])
+                held.append(tokens.astype("<u4").tobytes())
+                size += len(tokens)
+                if size >= shard_ids:
+                    yield _shard_row(store, root, part, seq, ids, held, block, percentile)
+                    ids, held, size, seq = [], [], 0, seq + 1
         if ids:
             yield _shard_row(store, root, part, seq, ids, held, block, percentile)
 
