@@ -75,21 +75,19 @@ def strip_think(c) -> Column:
     return strip_u(F.regexp_replace(_col(c), r"(?s)<think>.*?</think>", ""))
 
 
-def flatten_newlines(c) -> Column:
-    """The note as the model saw it in the older runner: newlines to blanks, stripped."""
-    return strip_u(F.translate(_col(c), "\n", " "))
+# ---------------------------------------------------------------- JSON spans
+_END = "\u241fend of value\u241f"
 
 
-# ---------------------------------------------------------------- JSON spans
 def parse_json_strict(t: Column) -> Column:
     """``json.loads`` semantics: exactly one JSON value, nothing after it.
 
-    ``try_parse_json`` alone stops after the first value; wrapping the text in
-    ``[...]`` makes any trailing content an array element (or a syntax error),
-    and a second element means the text held more than one value.
+    ``try_parse_json`` alone stops after the first value. The text is put
+    into an array before an end mark: only if the mark is the second and last
+    element did the text hold one value and no stray bracket or rest.
     """
-    return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))),
-               lambda w: F.when(F.try_variant_get(w, "$[1]", "variant").isNull(),
+    return let(F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]'))),
+               lambda w: F.when((F.try_variant_get(w, "$[1]", "string") == _END) & F.try_variant_get(w, "$[2]", "variant").isNull(),
                                 F.try_variant_get(w, "$[0]", "variant")))
 
 
@@ -186,6 +184,10 @@ def all_contained(spans, note) -> Column:
 def json_quote(c) -> Column:
     """A JSON string literal as ``json.dumps(..., ensure_ascii=False)`` writes it."""
     j = F.to_json(F.array(_col(c)))
+    low = j
+    for code in ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"):  # json.dumps writes them in lower case
+        low = F.regexp_replace(low, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    j = F.when(j.rlike(r"\\u00[01][A-F]"), low).otherwise(j)
     return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
@@ -228,7 +230,8 @@ _SQ = r"'(?:[^'\\\n]|\\.)*'"
 _DQ = r'"(?:[^"\\\n]|\\.)*"'
 _LIT = f"(?:{_SQ}|{_DQ})"
 _WS = r"[ \t\r\n]*"
-_LIST_OF_STR = rf"^{_WS}\[{_WS}(?:{_LIT}{_WS}(?:,{_WS}{_LIT}{_WS})*,?{_WS})?\]{_WS}$"
+_ITEM = rf"(?:{_LIT}|[-+]?[0-9.][0-9_.eE+-]*|None|True|False)"
+_LIST_OF_ITEMS = rf"^{_WS}\[{_WS}(?:{_ITEM}{_WS}(?:,{_WS}{_ITEM}{_WS})*,?{_WS})?\]{_WS}\z"
 
 
 def py_repr_str(c) -> Column:
@@ -248,40 +251,37 @@ def py_repr_list(arr) -> Column:
                     F.lit("]"))
 
 
-def _literal_eval_udf():
-    import ast
+_ESCAPE = r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|(?s)\\.|[^\\]+"
+_ONE_CHAR = {"\\n": "\n", "\\r": "\r", "\\t": "\t", "\\\\": "\\", "\\'": "'", '\\"': '"', "\\a": "\a", "\\b": "\b", "\\f": "\f", "\\v": "\v",
+             "\\\n": ""}
+
 
-    import pandas as pd
+def _unescape(body: Column) -> Column:
+    """The text of a Python string literal's body; unknown escapes stay as they are."""
+    def one(t):
+        wide = lambda digits, charset: F.decode(F.unhex(digits), charset)
+        out = F.when(t.startswith("\\x"), wide(F.concat(F.lit("00"), F.substring(t, 3, 2)), "UTF-16BE"))
+        out = out.when(t.startswith("\\u"), wide(F.substring(t, 3, 4), "UTF-16BE")).when(t.startswith("\\U"), wide(F.substring(t, 3, 8), "UTF-32"))
+        out = out.when(t.rlike(r"^\\[0-7]"), wide(F.lpad(F.conv(F.substring(t, 2, 3), 8, 16), 4, "0"), "UTF-16BE"))
+        for k, v in _ONE_CHAR.items():
+            out = out.when(t == F.lit(k), F.lit(v))
+        return out.otherwise(t)
 
-    def _lit_eval(s):
-        def one(v):
-            if v is None:
-                return []
-            try:
-                r = ast.literal_eval(str(v))
-            except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-                return []
-            return [x for x in r if isinstance(x, str)] if isinstance(r, list) else []
-        return s.map(one)
-    _lit_eval.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(T.ArrayType(T.StringType()))(_lit_eval)
+    parts = F.regexp_extract_all(body, F.lit(f"({_ESCAPE})"), F.lit(1))
+    return F.when(body.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(body)
 
 
 def parse_pylist(c) -> Column:
-    """Python-repr list of strings to ``array<string>``; null, bad or non-list gives ``[]``.
+    """Python-repr list to its string items as ``array<string>``; null, bad or non-list gives ``[]``.
 
-    Lists of plain quoted literals without backslashes are parsed by regular
-    expressions in the JVM; only rows with escapes or non-string items go to
-    an Arrow UDF running ``ast.literal_eval``.  Non-string items are dropped.
+    Lists of string literals, numbers, ``None``, ``True`` and ``False`` are
+    read in the JVM, escapes included; items that are not strings are
+    dropped. Anything else (nested or prefixed literals) gives ``[]``.
     """
     s = _col(c)
-    simple = s.rlike(_LIST_OF_STR) & ~s.contains("\\")
-    lits = F.regexp_extract_all(s, F.lit(f"({_LIT})"), 1)
-    fast = F.transform(lits, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    plain_empty = s.isNull() | ~s.rlike(r"^\s*\[")
-    return (F.when(plain_empty, _empty())
-            .when(simple, fast)
-            .otherwise(_literal_eval_udf()(s)))
+    items = F.regexp_extract_all(s, F.lit(f"({_ITEM})"), F.lit(1))
+    texts = F.filter(items, lambda x: F.substring(x, 1, 1).isin("'", '"'))
+    return F.when(s.rlike(_LIST_OF_ITEMS), F.transform(texts, lambda x: _unescape(F.substring(x, F.lit(2), F.length(x) - 2)))).otherwise(_empty())
 
 
 # ------------------------------------------------------------ ids & features
@@ -292,7 +292,7 @@ def pair_id(pn_num, feature_num) -> Column:
 
 def feature_variants(c) -> Column:
     """Feature text alternatives: split on ``-OR-`` (any case), ``-`` read as a blank."""
-    parts = F.split(F.regexp_replace(_col(c), "(?i)-or-", ";"), ";")
+    parts = F.split(_col(c), "(?i)-or-")
     return F.filter(F.transform(parts, lambda p: strip_u(F.translate(p, "-", " "))), lambda p: p != "")
 
 

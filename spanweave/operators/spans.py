@@ -14,22 +14,18 @@ from pyspark.sql import functions as F
 
 from spanweave.functions.text import VOTE_BLANK_CLASS, let, locate, strip_u
 
-_PROBE = 64  # bounded look-around before falling back to the whole remainder
-
 
 def _lead_blanks(note: Column, pos: Column) -> Column:
     """Number of vote blanks (space, tab, newline, CR) starting at 0-based ``pos``."""
-    near = F.length(F.regexp_extract(F.substring(note, pos + 1, _PROBE), f"^{VOTE_BLANK_CLASS}*", 0))
-    full = F.length(F.regexp_extract(F.substring(note, pos + 1, 2147483647), f"^{VOTE_BLANK_CLASS}*", 0))
-    return F.when(near < _PROBE, near).otherwise(full)
+    return F.length(F.regexp_extract(F.substring(note, pos + 1, 2147483647), f"^{VOTE_BLANK_CLASS}*", 0))
 
 
 def _trail_blanks(note: Column, end: Column) -> Column:
-    """Number of vote blanks ending just before 0-based exclusive ``end``."""
-    start = F.greatest(end - _PROBE, F.lit(0))
-    near = F.length(F.regexp_extract(F.substring(note, start + 1, end - start), f"{VOTE_BLANK_CLASS}*$", 0))
-    full = F.length(F.regexp_extract(F.substring(note, F.lit(1), end), f"{VOTE_BLANK_CLASS}*$", 0))
-    return F.when(near < end - start, near).otherwise(full)
+    """Number of vote blanks ending just before 0-based exclusive ``end``.
+
+    ``\\z`` is the very end; ``$`` would also match before a last line terminator.
+    """
+    return F.length(F.regexp_extract(F.substring(note, F.lit(1), end), f"{VOTE_BLANK_CLASS}*+\\z", 0))
 
 
 def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", span_col: str = "span",
@@ -120,10 +116,11 @@ def majority_vote(located: DataFrame, threshold: int, *, pair_key: str = "id", v
     # one shuffle by pair: every window below reuses this partitioning
     base = base.repartition(pair_key)
     merged = merge_intervals(base, [pair_key, voter, "_w"], carry=True)
-    ev = merged.select(pair_key, F.col("start").alias("pos"), F.col("_w").alias("d"),
-                       F.col("lead"), F.lit(None).cast("int").alias("trail")).unionByName(
-         merged.select(pair_key, F.col("end").alias("pos"), (-F.col("_w")).alias("d"),
-                       F.lit(None).cast("int").alias("lead"), F.col("trail")))
+    # both ends of an interval from one row, so the upstream plan runs once
+    none = F.lit(None).cast("int")
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.col("_w").alias("d"), F.col("lead").alias("lead"), none.alias("trail")),
+                   F.struct(F.col("end").alias("pos"), (-F.col("_w")).alias("d"), none.alias("lead"), F.col("trail").alias("trail")))
+    ev = merged.select(pair_key, F.explode(ends).alias("e")).select(pair_key, "e.*")
     ev = ev.groupBy(pair_key, "pos").agg(F.sum("d").alias("d"), F.max("lead").alias("lead"),
                                          F.max("trail").alias("trail"))
     w = Window.partitionBy(pair_key).orderBy("pos")

@@ -31,6 +31,8 @@ def test_parse_greedy(spark, raw, expected):
     ('{"spans": [" keep "]}', [" keep "]),
     ('{"spans": "ab"}', ["a", "b"]),
     ("", []),
+    ('{"spans": "ab"}]', []),
+    ('{"spans": "ab"}] more', []),
 ])
 def test_parse_first_object(spark, raw, expected):
     assert one(spark, parse_spans("x", "first_object"), raw) == expected
@@ -86,3 +88,32 @@ def test_assistant_target_matches_json_dumps(spark):
     got = df.select(assistant_target("x").alias("r")).first()["r"]
     clean = [s.strip() for s in vals if s.strip()]
     assert got == json.dumps({"spans": clean}, ensure_ascii=False)
+
+
+def test_control_characters_as_json_dumps(spark):
+    import json
+
+    from spanweave.functions.text import json_quote
+    for text in ["".join(map(chr, range(0x1A, 0x20))) + "\x0b\x0e\x0f\x7f", "\\u001F stays", "\\\x1f", "plain"]:
+        assert one(spark, json_quote("x"), text) == json.dumps(text, ensure_ascii=False)
+
+
+@pytest.mark.parametrize("items", [["a'b", 'c"d', "e\\f"], ["tab\t", "nl\n", "cr\r"], ["\x00\x1f\x7f\x85", "\u2028 \xa0", "é \U0001f600"], [], ["[", "],", "', '"],
+                                   ["\ud800 lone"[1:]]])
+def test_repr_lists_round_trip(spark, items):
+    assert one(spark, parse_pylist("x"), repr(items)) == items
+
+
+def test_pylist_plan_runs_no_python(spark):
+    import contextlib
+    import io
+    df = spark.createDataFrame([("['a']",)], "x string").select(parse_pylist("x"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    assert "EvalPython" not in out.getvalue()
+
+
+def test_feature_variants_split_on_or_only(spark):
+    from spanweave.functions.text import feature_variants
+    assert one(spark, feature_variants("x"), "a;b-OR-c-d-or- e") == ["a;b", "c d", "e"]
