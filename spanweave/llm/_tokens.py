@@ -11,6 +11,7 @@ import pyarrow as pa
 from spanweave.llm._arrays import row_ranges, utf8, word_hashes, words
 
 TABLE_BITS = 22
+MARKS = ".,;:!?$*#%&|<>()[]{}/\\\"-_=+@^~`"
 _OPEN: dict[str, PieceEncoder] = {}
 
 
@@ -49,6 +50,12 @@ class PieceEncoder:
                          and not spec.get("normalizer")
                          and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"]
                                      for x in spec.get("added_tokens", [])))
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(added)) if added else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # in the byte-level alphabet a character is a byte
+            self.bytes_of[i] = len(token)
         self._empty()
 
     def _empty(self) -> None:
@@ -74,10 +81,8 @@ class PieceEncoder:
             left, pos = left[go], (pos[go] + 1) & mask
         return out
 
-    def _insert(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """Add distinct hashes that the table lacks."""
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
+    def _insert(self, h: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Add distinct hashes that the table lacks, with their ids one after another."""
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used:self.used + len(flat)] = flat
@@ -95,14 +100,58 @@ class PieceEncoder:
             stay[free[first]] = False
             left, pos = left[stay], (pos[stay] + 1) & mask
 
-    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of distinct pieces; a last stop mark after a letter is always a token border, so it is encoded apart."""
-        bare = [p[:-1] if len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha() else p for p in pieces]
-        need = list(set(bare) | {p[-1] for p, b in zip(pieces, bare) if p is not b})
-        ids = {}
-        for lo in range(0, len(need), 20_000):
-            ids.update(zip(need[lo:lo + 20_000], self._whole(need[lo:lo + 20_000])))
-        return [ids[b] if p is b else ids[b] + ids[p[-1]] for p, b in zip(pieces, bare)]
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units one after another, in any order of units, with the start and size of each unit's."""
+        joined = np.fromiter((p[0] in " \n\t" and not p[-1].isspace() for p in units), bool, len(units))
+        start, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        flat, total, alone = [], 0, [np.flatnonzero(~joined)]
+        own = np.flatnonzero(joined)
+        for lo in range(0, len(own), 20_000):  # units that begin with a space can stand one after another
+            at = own[lo:lo + 20_000]
+            part = [units[i] for i in at.tolist()]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(
+                ["".join(part[i:i + 50]) for i in range(0, len(part), 50)], add_special_tokens=False)])
+            done = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)))
+            stop = np.searchsorted(done, ends) + 1
+            if stop[-1] != len(ids) or (done[stop - 1] != ends).any():
+                alone.append(at)
+                continue
+            size[at] = np.diff(stop, prepend=0)
+            start[at] = total + stop - size[at]
+            flat.append(ids)
+            total += len(ids)
+        at = np.concatenate(alone)
+        for lo in range(0, len(at), 20_000):
+            for i, e in zip(at[lo:lo + 20_000].tolist(), self._whole([units[i] for i in at[lo:lo + 20_000].tolist()])):
+                start[i], size[i] = total, len(e)
+                flat.append(np.array(e, np.uint32))
+                total += len(e)
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), start, size
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and how many each has.
+
+        A run of ASCII marks after a letter begins a token, so word and marks are encoded apart.
+        """
+        number: dict[str, int] = {}
+        heads, tails = [], []
+        for p in pieces:
+            b = p.rstrip(MARKS)
+            if len(b) < len(p) and len(b) > 1 and b[-1].isalpha() and not (self.added and self.added.search(p)):
+                heads.append(number.setdefault(b, len(number)))
+                tails.append(number.setdefault(p[len(b):], len(number)))
+            else:
+                heads.append(number.setdefault(p, len(number)))
+                tails.append(-1)
+        flat, start, size = self._encode_units(list(number))
+        parts = np.stack([heads, tails], axis=1).ravel()
+        parts = parts[parts >= 0]
+        n = size[parts]
+        done = np.cumsum(n)
+        ids = flat[np.repeat(start[parts] - (done - n), n) + np.arange(int(n.sum()))]
+        heads, tails = np.array(heads), np.array(tails)
+        return ids, size[heads] + np.where(tails >= 0, size[tails], 0)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a text column (null: none), and row offsets into them."""
@@ -129,8 +178,7 @@ class PieceEncoder:
         if len(fresh):
             where = np.flatnonzero(slot < 0)[where]
             raw = data.tobytes()
-            known = self._encode_pieces([raw[a:b].decode() for a, b in zip(begins[where].tolist(), stops[where].tolist())])
-            self._insert(fresh, known)
+            self._insert(fresh, *self._encode_pieces([raw[a:b].decode() for a, b in zip(begins[where].tolist(), stops[where].tolist())]))
             slot[slot < 0] = self._find(h[slot < 0])
         size = self.size[slot].astype(np.int64)
         done = np.cumsum(size)

@@ -43,7 +43,7 @@ def _letters() -> np.ndarray:
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """16-bit symbols of all texts (lower-cased letters, each other run as one space) and row offsets.
 
-    A row is one space, its words and their spaces; a row without letters is empty.
+    A row is its words, each with one space after it; a row without letters is empty.
     Code points beyond 16 bits keep their low bits, and count as letters if they are.
     """
     joined, sizes = [], []

@@ -14,9 +14,7 @@ SF = "/root/testdata/sf0.01"
 def kneser_ney(texts, order=4, discount=0.75, floor=65536):
     """Interpolated Kneser-Ney over padded character sequences, straight from the definition."""
     def symbols(t):
-        t = "".join(c if c.isalpha() else " " for c in t.lower())
-        t = re.sub(" +", " ", " " + t + " ")
-        return t if t.strip() else ""
+        return "".join(w + " " for w in "".join(c if c.isalpha() else " " for c in t.lower()).split())
     counts = Counter()
     for t in texts:
         s = symbols(t)
