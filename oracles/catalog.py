@@ -50,18 +50,19 @@ _PRED_NOTE = ("pn AS (SELECT p.id, p.model, n.pn_history AS note, p.raw, "
               f"{D.parse_outer_braces('p.raw')} AS pred FROM preds p JOIN notes n USING (pn_num))")
 ORACLES["char_f1"] = W(
     D.TRUTH, D.PREDS, _PRED_NOTE,
-    "pspan AS (SELECT id, model, note, unnest(pred) AS span FROM pn)",
-    "tspan AS (SELECT id, pn_history AS note, unnest(annotation) AS span FROM truth)",
-    f"pc AS ({D.occurrences_chars('pspan', 'id, model', 'note', 'span')})",
-    f"tc AS ({D.occurrences_chars('tspan', 'id', 'note', 'span')})",
-    "tpc AS (SELECT pc.model, count(*) AS tp FROM pc JOIN tc USING (id, pos) GROUP BY pc.model)",
-    "pcount AS (SELECT model, count(*) AS np FROM pc GROUP BY model)",
-    "m AS (SELECT model, count(*) AS n FROM preds GROUP BY model)",
-    "agg AS (SELECT m.model, coalesce(tp, 0) AS tp, coalesce(np, 0) - coalesce(tp, 0) AS fp, "
-    "(SELECT count(*) FROM tc) - coalesce(tp, 0) AS fn, n FROM m LEFT JOIN pcount USING (model) "
-    "LEFT JOIN tpc USING (model))",
-) + ("SELECT model, tp, fp, fn, n, CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0 "
-     "ELSE 2.0 * tp / (2 * tp + fp + fn) END AS char_f1 FROM agg")
+    "m3 AS (SELECT DISTINCT model FROM preds)",
+    "pspan AS (SELECT DISTINCT id, model, note, unnest(pred) AS span FROM pn)",
+    "tspan AS (SELECT DISTINCT id, pn_history AS note, unnest(annotation) AS span FROM truth)",
+    "aspan AS (SELECT id, model, 'p' AS side, note, span FROM pspan UNION ALL SELECT id, model, 't', note, span FROM tspan, m3)",
+    f"iv AS ({D.occurrence_intervals('aspan', 'id, model, side')})",
+    "both_ AS (SELECT id, model, side, s, e FROM iv UNION ALL SELECT id, model, 'u', s, e FROM iv)",
+    "far AS (SELECT *, max(e) OVER (PARTITION BY id, model, side ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM both_)",
+    "len AS (SELECT model, side, sum(greatest(0, e - greatest(s, coalesce(m, 0))))::BIGINT AS n FROM far GROUP BY model, side)",
+    "agg AS (SELECT m.model, m.n, coalesce(max(l.n) FILTER (side = 'p'), 0) AS np, coalesce(max(l.n) FILTER (side = 't'), 0) AS nt, "
+    "coalesce(max(l.n) FILTER (side = 'u'), 0) AS nu FROM (SELECT model, count(*) AS n FROM preds GROUP BY model) m "
+    "LEFT JOIN len l USING (model) GROUP BY m.model, m.n)",
+) + ("SELECT model, np + nt - nu AS tp, nu - nt AS fp, nu - np AS fn, n, CASE WHEN np + nt = 0 THEN 1.0 "
+     "ELSE 2.0 * (np + nt - nu) / (np + nt) END AS char_f1 FROM agg")
 ORACLES["output_rates"] = W(D.TRUTH, D.PREDS, _PRED_NOTE) + (
     "SELECT pn.model, count(*) AS val_gen_n, "
     f"avg(CAST(starts_with({S('coalesce(pn.raw, chr(0))')}, '{{') OR len(pred) > 0 "
@@ -86,9 +87,7 @@ ORACLES["sample_fraction"] = W(D.UNANNOTATED, _AUG_IDS) + (
 ORACLES["case_fanout"] = W(D.UNANNOTATED) + \
     "SELECT u.pn_num, u.case_num, f.feature_num FROM unann u JOIN features f USING (case_num)"
 ORACLES["pair_ids"] = W() + "SELECT id, pn_num, feature_num FROM pairs"
-ORACLES["pair_totals"] = W(D.UNANNOTATED) + (
-    f"SELECT count(*) AS total_pairs FROM ({D.sample_rows('unann', 50, 42, 'pn_num')}) s "
-    "JOIN features f USING (case_num)")
+ORACLES["pair_totals"] = W(D.UNANNOTATED) + "SELECT count(*) AS total_pairs FROM unann JOIN features f USING (case_num)"
 ORACLES["features_per_case"] = W() + (
     "SELECT case_num, array_to_string(list_sort(list(feature_num)), ',') AS feature_nums FROM features GROUP BY case_num")
 ORACLES["lookup_note"] = W() + (
@@ -238,7 +237,7 @@ ORACLES["size_class_stats"] = LR + (
 BENCH = (
     "b0 AS (SELECT event_type AS label, count(*) AS n, CAST(round(sum(value)) AS BIGINT) AS output_toks, "
     "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 10000.0 AS wall_time_s, avg(length(props)) AS avg_chars, "
-    "array_to_string(list_sort(list(DISTINCT props)), ' ') AS err FROM events GROUP BY event_type), "
+    "min(props) AS err FROM events GROUP BY event_type), "
     "b1 AS (SELECT *, CASE WHEN label <> 'error' THEN 'OK' ELSE 'ERROR' END AS status, "
     "CASE WHEN label = 'error' THEN 'failed: ' || err END AS error, "
     "CASE WHEN label <> 'error' THEN round(output_toks / wall_time_s, 1) END AS output_toks_ps, "
@@ -282,10 +281,9 @@ ORACLES["retrieval_corpus"] = W(D.TRUTH, _TRAIN_T) + (
     "WHERE coalesce(feature_text, '') <> '' AND ann <> ''")
 _NORM = "list_transform({e}, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform({e}, lambda y: CAST(y AS DOUBLE) * y))))"
 ORACLES["knn_topk"] = (
-    "WITH q AS (SELECT label, min(vec_id) AS qid FROM embeddings GROUP BY label), "
-    f"qv AS (SELECT q.qid, {_NORM.format(e='e.embedding')} AS v FROM q JOIN embeddings e ON e.vec_id = q.qid), "
-    f"c AS (SELECT vec_id, {_NORM.format(e='embedding')} AS v FROM embeddings WHERE vec_id NOT IN (SELECT qid FROM q)), "
-    "s AS (SELECT qv.qid, c.vec_id, list_inner_product(qv.v, c.v) AS score FROM qv CROSS JOIN c) "
+    f"WITH v AS (SELECT vec_id, {_NORM.format(e='embedding')} AS v FROM embeddings), "
+    "s AS (SELECT q.vec_id AS qid, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c "
+    "ON q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0) "
     "SELECT qid AS query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
     "(PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
 ORACLES["chat_messages"] = W(*_TRAINING) + f"SELECT id, length({_CHAT}) AS text_len, md5({_CHAT}) AS text_md5 FROM trows2"
@@ -311,8 +309,8 @@ ORACLES["label_mask"] = (
     f"r AS (SELECT conv_id, coalesce(string_agg({_TURN}, '' ORDER BY turn), '') AS full_t, "
     f"coalesce(string_agg({_TURN}, '' ORDER BY turn) FILTER (WHERE rdesc > 1), '') || '<|im_start|>assistant' || chr(10) "
     "AS prompt_t FROM c GROUP BY conv_id), "
-    f"n AS (SELECT conv_id, least({_toks('full_t')}, 512) AS f, least({_toks('prompt_t')}, 512) AS p FROM r) "
-    "SELECT conv_id, f AS n_tokens, least(p, f) AS n_masked, least(p, f) = f AS all_masked FROM n")
+    f"n AS (SELECT conv_id, {_toks('full_t')} AS f, {_toks('prompt_t')} AS p FROM r) "
+    "SELECT conv_id, f AS n_tokens, 0 AS n_truncated, least(p, f) AS n_masked, least(p, f) = f AS all_masked FROM n")
 ORACLES["pad_batches"] = W(*_TRAINING, (
     f"tok AS (SELECT id, {_toks(_CHAT)} AS n_tok FROM trows2)")) + (
     "SELECT bucket, batch, count(*) AS n_rows, max(n_tok) AS max_len, sum(n_tok)::BIGINT AS tokens, "
@@ -331,7 +329,7 @@ ORACLES["constraint_check"] = W(_CS, D.PREDS) + (
     "FROM preds p JOIN cls_t c USING (pn_num) GROUP BY p.model")
 ORACLES["feature_variants"] = W() + (
     "SELECT feature_num, generate_subscripts(v, 1) - 1 AS variant_idx, unnest(v) AS variant FROM (SELECT feature_num, "
-    f"list_filter(list_transform(string_split(regexp_replace(feature_text, '(?i)-or-', ';', 'g'), ';'), "
+    f"list_filter(list_transform(string_split_regex(feature_text, '(?i)-or-'), "
     f"lambda p: {S(chr(116) + 'ranslate(p, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}), "
     "lambda p: p <> '') AS v FROM features)")
 
@@ -340,12 +338,13 @@ ORACLES["telemetry_stream"] = (
     "SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M:%S') AS window_start, 'run' || (user_id % 8) AS run, "
     "count(*) AS n_events, round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS loss, "
     "round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS eval_loss FROM events GROUP BY 1, 2")
-_VARS = (f"list_filter(list_transform(string_split(regexp_replace(feature_text, '(?i)-or-', ';', 'g'), ';'), "
+_VARS = (f"list_filter(list_transform(string_split_regex(feature_text, '(?i)-or-'), "
          f"lambda p: {S(chr(116) + 'ranslate(p, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ')')}), "
          "lambda p: p <> '')")
-ORACLES["stream_label"] = W() + (
-    f"SELECT id, least(len(list_filter({_VARS}, lambda v: instr(lower(coalesce(pn_history, '')), lower(v)) > 0)), 10) "
-    "AS n_spans FROM pairs")
+_HITS = (f"coalesce(list_sum(list_transform({_VARS}, lambda v: CAST((length(lower(coalesce(pn_history, ''))) - "
+         "length(replace(lower(coalesce(pn_history, '')), lower(v), ''))) / length(v) AS INTEGER))), 0)::INTEGER")
+ORACLES["stream_label"] = W() + f"SELECT id, {_HITS} AS n_spans FROM pairs"
+ORACLES["labeler_fallback"] = W() + f"SELECT id, {_HITS} AS n_spans, true AS ok FROM pairs"
 ORACLES["stream_vote"] = D.vote_oracle(2)
 
 # ------------------------------------------------------------ sources, sinks
@@ -365,9 +364,12 @@ ORACLES["materialize_once"] = W(D.TRUTH, _TRAIN_T) + (
 ORACLES["sink_submission_roundtrip"] = D.vote_oracle(2)
 ORACLES["json_runs"] = L + "SELECT run, step, loss, eval_loss FROM log WHERE loss IS NOT NULL OR eval_loss IS NOT NULL"
 ORACLES["nested_doc_explode"] = (
-    "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_idx, "
-    "CASE WHEN role = 'user' THEN 'markdown' ELSE 'code' END AS cell_type, len(string_split(text, chr(10))) AS n_lines, "
-    "CASE WHEN role = 'user' THEN '' ELSE substr(coalesce(text, ''), 1, 5000) END AS output_text FROM conversations")
+    "WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS cell_idx, "
+    "len(string_split(text, chr(10))) AS n_lines FROM conversations) "
+    "SELECT conv_id, cell_idx, 'markdown' AS cell_type, n_lines, NULL::INTEGER AS output_idx, NULL AS output_type, NULL::INTEGER AS output_len, "
+    "NULL AS output_md5, NULL::INTEGER AS html_len, NULL::INTEGER AS image_bytes FROM c WHERE role = 'user' UNION ALL "
+    "SELECT conv_id, cell_idx, 'code', n_lines, 0, 'stream', length(text), md5(text), NULL, NULL FROM c WHERE role <> 'user' UNION ALL "
+    "SELECT conv_id, cell_idx, 'code', n_lines, 1, 'display_data', NULL, NULL, length(text) + 7, strlen(text) FROM c WHERE role <> 'user'")
 
 # ------------------------------------------------------------ remaining keys
 ORACLES["vote_locations"] = ORACLES["parse_location"]
@@ -381,3 +383,15 @@ ORACLES["prompt_cycle"] = W() + (
 ORACLES["coverage_check"] = W(*_TRAINING) + (
     "SELECT f.feature_num, coalesce(c.n, 0)::BIGINT AS n_rows, coalesce(c.n, 0) = 0 AS missing FROM features f "
     "LEFT JOIN (SELECT feature_num, count(*) AS n FROM trows2 GROUP BY feature_num) c USING (feature_num)")
+ORACLES["ensemble_vote_weighted"] = D.vote_oracle(4).replace(D.REGISTRY_VALUES, "(VALUES ('m1', 2), ('m2', 2), ('m3', 1), ('m4', 1)) r(model, weight)")
+ORACLES["telemetry_sliding"] = (
+    "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, run, count(*) AS n_events FROM (SELECT 'run' || (user_id % 8) AS run, "
+    "unnest([time_bucket(INTERVAL 1 hour, ts), time_bucket(INTERVAL 1 hour, ts) - INTERVAL 1 hour]) AS w FROM events) GROUP BY 1, 2")
+ORACLES["minmax_pivot"] = ("WITH mm AS (" + ORACLES["minmax_matrix"] + ") SELECT metric, " + ", ".join(
+    f"max(score) FILTER (run = 'run{i}') AS run{i}" for i in range(8)) + " FROM mm GROUP BY metric")
+ORACLES["training_drops"] = W() + (
+    f"SELECT count_if({S("coalesce(pn_history, '')")} = '' OR {S("coalesce(feature_text, '')")} = '') AS dropped, count(*) AS n "
+    "FROM pairs WHERE pn_num IN (SELECT doc_id FROM labels)")
+ORACLES["summary_sink"] = ("WITH rs AS (" + ORACLES["run_summary"] + ") SELECT run, final_step, best_eval_loss, "
+    "CASE WHEN CAST(substr(run, 4) AS INTEGER) < 4 THEN 'small' ELSE 'large' END AS size_class, "
+    "CASE WHEN CAST(substr(run, 4) AS INTEGER) < 4 THEN 1.7::DOUBLE ELSE 8.0::DOUBLE END AS params_b FROM rs")

@@ -174,19 +174,21 @@ def islands(src: str, keys: str) -> str:
             f"GROUP BY {keys}, g")
 
 
-def occurrences_chars(src: str, keys: str, note: str, span: str) -> str:
-    """Characters covered by every (overlapping) occurrence of ``span`` in ``note``."""
-    return (f"SELECT DISTINCT {keys}, c.pos FROM (SELECT {keys}, {span}, i.i FROM {src}, "
-            f"LATERAL range(instr({note}, {span}) - 1, length({note}) - length({span}) + 1) AS i(i) "
-            f"WHERE length({span}) > 0 AND instr({note}, {span}) > 0 "
-            f"AND substr({note}, i.i + 1, length({span})) = {span}) o, "
-            f"LATERAL range(o.i, o.i + length(o.{span})) AS c(pos)")
+def occurrence_intervals(src: str, keys: str) -> str:
+    """``keys, s, e`` of every (overlapping) occurrence of ``span`` in ``note``.
+
+    A span none of whose ends is its own beginning cannot overlap itself, so
+    splitting the note by it finds all; the few others are tried at every place.
+    """
+    border = "len(list_filter(range(1, length(span)), lambda k: substr(span, k + 1) = substr(span, 1, length(span) - k))) > 0"
+    here = f"FROM {src} WHERE length(span) > 0 AND contains(note, span)"
+    return (f"SELECT {keys}, s, s + n AS e FROM (SELECT {keys}, length(span) AS n, unnest(list_transform(range(1, len(string_split(note, span))), "
+            "lambda j: CAST(list_sum(list_transform(string_split(note, span)[1:j], lambda x: length(x))) + (j - 1) * length(span) AS BIGINT))) AS s "
+            f"{here} AND NOT ({border})) UNION ALL "
+            f"SELECT {keys}, s, s + n AS e FROM (SELECT {keys}, length(span) AS n, unnest(list_filter(range(0, length(note) - length(span) + 1), "
+            f"lambda i: note[i + 1:i + length(span)] = span)) AS s {here} AND ({border}))")
 
 
 def sample_rows(src: str, n: int | str, seed: int, key: str) -> str:
     return (f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}|' || CAST({key} AS VARCHAR)), {key}) "
             f"AS _rn FROM {src}) WHERE _rn <= {n}")
-
-
-def repr_roundtrip_note() -> str:
-    return "parse(repr(x)) is checked against x itself"

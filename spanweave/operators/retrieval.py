@@ -1,26 +1,32 @@
 """Exact nearest-neighbour retrieval (inner product on L2-normalised vectors).
 
-Plan: the query block (size-checked) is broadcast; every corpus partition
-scores its rows against all queries with one matrix product per Arrow batch
-and keeps only its own top-k per query (ties broken by corpus id), so the
-shuffle carries ``k x batches`` candidates per query; a final ``row_number``
-picks the global top-k.  Exact: a global top-k row is in its batch's top-k.
-Query sets over the broadcast budget are processed in blocks.
+Plan: both sides are packed into blocks of bounded size (ids and a matrix a
+row). The query set meets the corpus block against block, each pair of blocks
+is one matrix product, and only the k best of each query leave a task (ties
+broken by corpus id); a final ``row_number`` picks the global top-k. Exact: a
+global top-k row is in the top-k of its block. No side passes the driver.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERY_BLOCK_BYTES = 64 << 20
+from spanweave.functions.text import let
+
+QUERY_BLOCK = 256
+CORPUS_BLOCK = 2048
+
+Embedder = Callable[[DataFrame, str, str], DataFrame]  # (rows, text column, output column) -> rows with the vector
 
 
 def l2_normalize(c) -> Column:
     """``x / ||x||`` in double precision (zero vectors stay zero)."""
     c = F.col(c) if isinstance(c, str) else c
     arr = F.transform(c, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(arr, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    return let(arr, lambda a: let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(
+        a, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))))
 
 
 def hashing_embed(df: DataFrame, text: str, out: str = "embedding", dim: int = 384) -> DataFrame:
@@ -33,53 +39,49 @@ def hashing_embed(df: DataFrame, text: str, out: str = "embedding", dim: int = 3
     return nm.withColumn(out, vector_to_array("_nv")).drop("_tok", "_tf", "_nv")
 
 
-def _score_partitions(corpus: DataFrame, qids, qmat, k: int, cid: str, vec: str) -> DataFrame:
-    import numpy as np
-    sc = corpus.sparkSession.sparkContext
-    bq = sc.broadcast((list(qids), qmat))
-    id_type = dict(corpus.dtypes)[cid]
+def _blocks(df: DataFrame, id_col: str, vec: str, rows: int, prefix: str) -> DataFrame:
+    """Rows packed ``rows`` at a time: ``<prefix>_ids``, ``<prefix>_matrix`` (flat) and ``<prefix>_dim``."""
+    id_type = dict(df.dtypes)[id_col]
 
-    def score(batches):
+    def pack(batches):
+        import numpy as np
         import pandas as pd
-        q_ids, Q = bq.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            E = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            ids = pdf[cid].to_numpy()
-            S = E @ Q.T  # (batch, queries)
-            kk = min(k, len(ids))
-            rows_q, rows_c, rows_s = [], [], []
-            for j, q in enumerate(q_ids):
-                order = np.lexsort((ids, -S[:, j]))[:kk]
-                rows_q.extend([q] * kk)
-                rows_c.extend(ids[order].tolist())
-                rows_s.extend(S[order, j].tolist())
-            yield pd.DataFrame({"query_id": rows_q, cid: rows_c, "score": rows_s})
-
-    qtype = "bigint" if all(isinstance(x, int) for x in qids) else "string"
-    return corpus.select(cid, vec).mapInPandas(score, f"query_id {qtype}, {cid} {id_type}, score double")
+            for lo in range(0, len(pdf), rows):
+                part = pdf.iloc[lo:lo + rows]
+                flat = np.concatenate([np.asarray(v, np.float64) for v in part[vec]])
+                yield pd.DataFrame({f"{prefix}_ids": [part[id_col].tolist()], f"{prefix}_matrix": [flat], f"{prefix}_dim": [len(flat) // len(part)]})
+
+    return df.select(id_col, vec).where(F.col(vec).isNotNull()).mapInPandas(
+        pack, f"{prefix}_ids array<{id_type}>, {prefix}_matrix array<double>, {prefix}_dim int")
 
 
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, *, qid: str = "query_id", cid: str = "vec_id",
              vec: str = "embedding", normalize: bool = True) -> DataFrame:
-    """Top-``k`` corpus rows per query by inner product (``rank`` 1..k, ties by ``cid``)."""
-    import numpy as np
+    """Top-``k`` corpus rows per query by inner product (``rank`` 1..k, ties by ``cid``); an empty side gives no rows."""
     if normalize:
         queries = queries.withColumn(vec, l2_normalize(vec))
         corpus = corpus.withColumn(vec, l2_normalize(vec))
-    n_q = queries.count()
-    dim = len(queries.select(vec).first()[0]) if n_q else 0
-    block = max(1, MAX_QUERY_BLOCK_BYTES // max(1, 8 * dim))
-    parts = []
-    ordered = queries.select(qid, vec).orderBy(qid)
-    for off in range(0, n_q, block):
-        rows = ordered.offset(off).limit(block).collect() if n_q > block else ordered.collect()
-        qmat = np.array([np.asarray(r[vec], dtype=np.float64) for r in rows]).reshape(len(rows), dim)
-        parts.append(_score_partitions(corpus, [r[qid] for r in rows], qmat, k, cid, vec))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    q_type, c_type = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
+    # a stated query set against all rows: the rows of both sides are blocks
+    pairs = _blocks(corpus, cid, vec, CORPUS_BLOCK, "c").crossJoin(_blocks(queries, qid, vec, QUERY_BLOCK, "q"))
+
+    def best(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids = np.array(row.c_ids)
+                scores = np.asarray(row.q_matrix).reshape(-1, row.q_dim) @ np.asarray(row.c_matrix).reshape(-1, row.c_dim).T
+                n = min(k, len(ids))
+                edge = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
+                out = []
+                for q, s, e in zip(row.q_ids, scores, edge):
+                    some = np.flatnonzero(s >= e)
+                    some = some[np.lexsort((ids[some], -s[some]))[:n]]
+                    out += zip([q] * n, ids[some].tolist(), s[some].tolist())
+                yield pd.DataFrame(out, columns=["query_id", cid, "score"])
+
+    found = pairs.mapInPandas(best, f"query_id {q_type}, {cid} {c_type}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(cid))
-    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return out.withColumnRenamed("query_id", qid)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("query_id", qid)

@@ -24,13 +24,23 @@ def tag_expr(event_type: Column) -> Column:
 
 
 def training_log(events: DataFrame, n_runs: int = 8) -> DataFrame:
-    """Events as a sparse training log: one metric per row, ``step`` numbered per run by time."""
+    """Events as a sparse training log: one metric per row, ``step`` numbered per run by time.
+
+    A run may hold any share of the rows, so it is numbered by hours: rows
+    within an hour by a window, plus the count of all hours before (a table
+    of runs and hours).
+    """
     ev = events.select(
         F.concat(F.lit("run"), F.pmod("user_id", F.lit(n_runs)).cast("string")).alias("run"),
         "event_id", "ts", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("wall_time"),
         tag_expr(F.col("event_type")).alias("tag"), F.col("value"), F.col("props"))
-    w = Window.partitionBy("run").orderBy("ts", "event_id")
-    ev = ev.withColumn("step", F.row_number().over(w))
+    ev = ev.withColumn("_hour", F.floor(F.col("wall_time") / 3600))
+    before = Window.partitionBy("run").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = ev.groupBy("run", "_hour").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("run").alias("_run"), F.col("_hour").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("run", "_hour").orderBy("ts", "event_id")
+    ev = (ev.withColumn("_row", F.row_number().over(w)).join(hours, (F.col("run") == F.col("_run")) & F.col("_hour").eqNullSafe(F.col("_of")))
+          .withColumn("step", (F.col("_before") + F.col("_row")).cast("int")).drop("_run", "_of", "_before", "_row", "_hour"))
     for t in TAGS:
         ev = ev.withColumn(t, F.when(F.col("tag") == t, F.col("value")))
     return ev
@@ -71,13 +81,14 @@ def last_nonnull_value(df: DataFrame, by: list[str], col: str, order: str = "ste
 def minutes_since_start(df: DataFrame, by: list[str], t: str, where: Column) -> DataFrame:
     """``(t - min(t) over run) / 60`` over the rows selected by ``where``."""
     d = df.filter(where)
-    return d.withColumn("minutes", (F.col(t) - F.min(t).over(Window.partitionBy(*by))) / 60.0)
+    first = d.groupBy(*by).agg(F.min(t).alias("_first"))
+    return d.join(first, by).withColumn("minutes", (F.col(t) - F.col("_first")) / 60.0).drop("_first")
 
 
-def tail(df: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
-    """The last ``n`` rows per group by ``order``."""
-    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+def tail(df: DataFrame, by: list[str], step: str, n: int) -> DataFrame:
+    """The last ``n`` rows per group by ``step``, which numbers the rows of a group from 1 without gaps."""
+    last = df.groupBy(*by).agg(F.max(step).alias("_last"))
+    return df.join(last, by).filter(F.col(step) > F.col("_last") - n).drop("_last")
 
 
 def early_stop(df: DataFrame, by: list[str], metric: str, step: str = "step", patience: int = 3) -> DataFrame:

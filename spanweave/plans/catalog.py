@@ -149,7 +149,7 @@ def q_pair_ids(spark, sf):
 
 @register("pair_totals")
 def q_pair_totals(spark, sf):
-    s = S.sample_n(_unannotated(spark, sf), 50, 42, "pn_num").drop("pn_history")
+    s = _unannotated(spark, sf).drop("pn_history")
     return R.case_fanout(s, T.features(spark, sf).drop("feature_text")).agg(F.count(F.lit(1)).alias("total_pairs"))
 
 
@@ -394,7 +394,7 @@ def _bench(spark, sf):
         ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6 / 10000.0)
         .alias("wall_time_s"),
         F.avg(F.length("props")).alias("avg_chars"),
-        F.array_join(F.array_sort(F.collect_set("props")), " ").alias("_err"))
+        F.min("props").alias("_err"))
     ok = F.col("label") != "error"
     b = b.withColumn("status", F.when(ok, "OK").otherwise("ERROR")) \
          .withColumn("error", F.when(~ok, F.concat(F.lit("failed: "), F.col("_err")))).drop("_err")
@@ -506,11 +506,10 @@ def q_retrieval_corpus(spark, sf):
 
 
 def _emb_split(spark, sf):
+    """Query set: every vector whose id is divisible by 20, against all others."""
     e = T.read_table(spark, sf, "embeddings")
-    q = e.groupBy("label").agg(F.min("vec_id").alias("query_id"))
-    queries = e.join(q, e["vec_id"] == q["query_id"], "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
-    corpus = e.join(q, e["vec_id"] == q["query_id"], "left_anti").select("vec_id", "embedding")
-    return queries, corpus
+    q = F.col("vec_id") % 20 == 0
+    return e.where(q).select(F.col("vec_id").alias("query_id"), "embedding"), e.where(~q).select("vec_id", "embedding")
 
 
 @register("knn_topk")
@@ -522,7 +521,7 @@ def q_knn_topk(spark, sf):
 
 @register("fewshot_prompt")
 def q_fewshot_prompt(spark, sf):
-    """Pseudo-labelling prompts for sampled unannotated notes: top-3 retrieved examples
+    """Pseudo-labelling prompts for all unannotated notes: top-3 retrieved examples
     per distinct feature (hoisted), joined back to every (note, feature) pair."""
     corpus = RT.hashing_embed(retrieval_corpus(_train_parsed(spark, sf)), "embed_text")
     corpus = corpus.withColumn("cid", F.col("id"))
@@ -534,8 +533,7 @@ def q_fewshot_prompt(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "pn_history", "feature_text", "annotation"))),
                     lambda x: F.struct(x["pn_history"].alias("pn_history"), x["feature_text"].alias("feature_text"),
                                        x["annotation"].alias("annotation"))).alias("examples"))
-    notes = S.sample_n(_unannotated(spark, sf), 50, 42, "pn_num")
-    pairs = R.case_fanout(notes, T.features(spark, sf)).join(ex, "feature_num", "left")
+    pairs = R.case_fanout(_unannotated(spark, sf), T.features(spark, sf)).join(ex, "feature_num", "left")
     msgs = P.fewshot_messages("pn_history", "feature_text", F.coalesce("examples", F.array()))
     return pairs.select(F.format_string("%05d_%03d", "pn_num", "feature_num").alias("id"),
                         F.size(msgs).alias("n_messages"), F.md5(msgs[1]["content"]).alias("user_md5"))
@@ -583,14 +581,15 @@ def q_fewshot_chat(spark, sf):
 
 
 @register("label_mask")
-def q_label_mask(spark, sf):
+def q_label_mask(spark, sf, max_len: int | None = None):
+    """Labels of each conversation; ``max_len`` cuts the token arrays (reported in ``n_truncated``)."""
     m = _conversation_messages(spark, sf)
     full = P.whitespace_tokens(P.render_chatml("messages"))
     prompt = P.whitespace_tokens(P.render_chatml(F.slice("messages", 1, F.size("messages") - 1), True))
     ids = lambda toks: F.transform(toks, lambda t: F.length(t))
-    lab = P.mask_labels(ids(prompt), ids(full), 512)
-    out = m.select("conv_id", lab.alias("labels"))
-    return out.select("conv_id", F.size("labels").alias("n_tokens"),
+    lab = P.mask_labels(ids(prompt), ids(full), max_len)
+    out = m.select("conv_id", lab.alias("labels"), F.size(full).alias("n_full"))
+    return out.select("conv_id", F.size("labels").alias("n_tokens"), (F.col("n_full") - F.size("labels")).alias("n_truncated"),
                       F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"),
                       F.forall("labels", lambda x: x == -100).alias("all_masked"))
 
@@ -660,22 +659,14 @@ def q_ensemble_fuzzy(spark, sf):
 def q_pseudo_label(spark, sf):
     corpus = retrieval_corpus(_train_parsed(spark, sf))
     return pseudo_label(T.notes(spark, sf), T.annotated_ids(spark, sf), T.features(spark, sf), corpus,
-                        LB.phrase_labeler_factory, n_sample=50, seed=42)
-
-
-class _FlakyLabeler(LB.PhraseLabeler):
-    """Primary backend that fails on batches starting with an odd note number."""
-
-    def __call__(self, pdf):
-        if len(pdf) and int(pdf["pn_num"].iloc[0]) % 2 == 1:
-            raise RuntimeError("backend unavailable")
-        return super().__call__(pdf)
+                        LB.phrase_labeler_factory)
 
 
 @register("labeler_fallback")
 def q_labeler_fallback(spark, sf):
+    """A primary backend whose context holds 2,000 characters; batches with a longer note go to one without a limit."""
     pairs = T.pairs(spark, sf, with_text=True)
-    out = LB.label_with_fallback(pairs, _FlakyLabeler, LB.phrase_labeler_factory, batch=32)
+    out = LB.label_with_fallback(pairs, lambda: LB.PhraseLabeler(max_note_chars=2000), LB.phrase_labeler_factory, batch=32)
     return out.select("id", F.size(parse_spans("raw")).alias("n_spans"), F.col("error").isNull().alias("ok"))
 
 
@@ -780,27 +771,36 @@ def q_json_runs(spark, sf):
 
 
 NB_SCHEMA = ("conv_id long, cells array<struct<cell_type:string,source:array<string>,"
-             "outputs:array<struct<output_type:string,text:string>>>>")
+             "outputs:array<struct<output_type:string,text:string,data:struct<html:string,image:string>>>>>")
 
 
 @register("nested_doc_explode")
 def q_nested_doc(spark, sf):
-    """Notebook-like documents (one per conversation) exploded to cells and outputs."""
+    """Notebook-like documents (one per conversation) to one row an output: whole texts, html, decoded images.
+
+    Cells without outputs keep one row with a null output index.
+    """
     c = T.read_table(spark, sf, "conversations")
+    output = "struct<output_type:string,text:string,data:struct<html:string,image:string>>"
+    none = F.lit(None).cast("string")
+    stream = F.struct(F.lit("stream").alias("output_type"), F.col("text").alias("text"),
+                      F.lit(None).cast("struct<html:string,image:string>").alias("data"))
+    shown = F.struct(F.lit("display_data").alias("output_type"), none.alias("text"),
+                     F.struct(F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"),
+                              F.base64(F.col("text").cast("binary")).alias("image")).alias("data"))
     cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"),
                     F.split("text", "\n").alias("source"),
-                    F.when(F.col("role") == "user", F.array().cast("array<struct<output_type:string,text:string>>"))
-                     .otherwise(F.array(F.struct(F.lit("stream").alias("output_type"), F.col("text").alias("text"))))
-                     .alias("outputs"))
+                    F.when(F.col("role") == "user", F.array().cast(f"array<{output}>")).otherwise(F.array(stream, shown)).alias("outputs"))
     docs = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))),
                                                 lambda x: x["c"]).alias("cells"))
     path = unique_dir(spark, "notebooks-json")
     docs.write.mode("overwrite").json(path)
     nb = FS.read_json_docs(spark, path, NB_SCHEMA, multi_line=False)
     cells = nb.select("conv_id", F.posexplode("cells").alias("cell_idx", "cell"))
-    out = F.array_join(F.transform(F.coalesce("cell.outputs", F.array()), lambda o: F.coalesce(o["text"], F.lit(""))), "")
-    return cells.select("conv_id", "cell_idx", F.col("cell.cell_type").alias("cell_type"),
-                        F.size("cell.source").alias("n_lines"), F.substring(out, 1, 5000).alias("output_text"))
+    outs = cells.select("conv_id", "cell_idx", "cell", F.posexplode_outer("cell.outputs").alias("output_idx", "o"))
+    return outs.select("conv_id", "cell_idx", F.col("cell.cell_type").alias("cell_type"), F.size("cell.source").alias("n_lines"), "output_idx",
+                       F.col("o.output_type").alias("output_type"), F.length("o.text").alias("output_len"), F.md5("o.text").alias("output_md5"),
+                       F.length("o.data.html").alias("html_len"), F.octet_length(F.unbase64("o.data.image")).alias("image_bytes"))
 
 
 # ------------------------------------------------------------ remaining keys
@@ -838,3 +838,45 @@ def q_coverage_check(spark, sf):
     exp = T.features(spark, sf).select("feature_num")
     r = exp.join(t, "feature_num", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
     return r.withColumn("missing", F.col("n_rows") == 0)
+
+
+# Weighted registry: (model, weight); a run of characters needs votes of weight 4 in 6.
+WEIGHTED_REGISTRY = [("m1", 2), ("m2", 2), ("m3", 1), ("m4", 1)]
+
+
+@register("ensemble_vote_weighted")
+def q_ensemble_weighted(spark, sf):
+    return ensemble_locations(T.pairs(spark, sf), T.notes(spark, sf).select("pn_num", "pn_history"),
+                              T.predictions(spark, sf, WEIGHTED_REGISTRY), threshold=4, n_voters=sum(w for _, w in WEIGHTED_REGISTRY))
+
+
+@register("telemetry_sliding")
+def q_telemetry_sliding(spark, sf):
+    """Two-hour windows every hour, as a stream."""
+    r = SJ.telemetry_windows(spark, T.read_table(spark, sf, "events"), window="2 hours", slide="1 hour")
+    return r.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "run", "n_events")
+
+
+@register("minmax_pivot")
+def q_minmax_pivot(spark, sf):
+    """The comparison matrix with a column a run."""
+    s = q_minmax(spark, sf)
+    return s.groupBy("metric").pivot("run", [r for r, _ in SIZE_CLASS]).agg(F.first("score"))
+
+
+@register("training_drops")
+def q_training_drops(spark, sf):
+    """How many training rows the blank filter drops, of how many."""
+    from spanweave.plans.training import dropped_counts
+    p = T.pairs(spark, sf, with_text=True).join(T.annotated_ids(spark, sf), "pn_num", "left_semi")
+    return dropped_counts(p)
+
+
+@register("summary_sink")
+def q_summary_sink(spark, sf):
+    """Run summaries joined with the static sizes of their class, written as JSON documents and read back."""
+    dim = spark.createDataFrame([(r, c, 1.7 if c == "small" else 8.0) for r, c in SIZE_CLASS], "run string, size_class string, params_b double")
+    path = unique_dir(spark, "run-summaries")
+    q_run_summary(spark, sf).join(dim, "run").write.mode("overwrite").json(path)
+    back = FS.read_json_docs(spark, path, "run string, final_step long, best_eval_loss double, size_class string, params_b double", multi_line=False)
+    return back.select("run", "final_step", "best_eval_loss", "size_class", "params_b")

@@ -13,14 +13,15 @@ from spanweave.operators import retrieval as RT
 from spanweave.operators import sampling as S
 from spanweave.operators.labelers import label
 from spanweave.operators.spans import locate_spans
+from spanweave.session import unique_dir
 
 
-def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
+def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3, embed: RT.Embedder = RT.hashing_embed) -> DataFrame:
     """Top-k retrieval examples per *distinct* feature (the query depends only on the
     feature, so it is computed once per feature and joined back)."""
-    c = RT.hashing_embed(corpus, "embed_text").withColumn("cid", F.col("id"))
+    c = embed(corpus, "embed_text").withColumn("cid", F.col("id"))
     q = features.select("feature_num", F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation:")).alias("qtext"))
-    q = RT.hashing_embed(q, "qtext").select(F.col("feature_num").alias("query_id"), "embedding")
+    q = embed(q, "qtext").select(F.col("feature_num").alias("query_id"), "embedding")
     top = RT.knn_topk(q, c.select("cid", "embedding"), k, cid="cid", normalize=False)
     ex = top.join(c.select("cid", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "cid")
     return ex.groupBy(F.col("query_id").alias("feature_num")).agg(F.transform(
@@ -30,20 +31,25 @@ def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3) ->
 
 
 def pseudo_label(notes: DataFrame, annotated: DataFrame, features: DataFrame, corpus: DataFrame, labeler_factory,
-                 *, n_sample: int = 50, seed: int = 42, k: int = 3, cutoff: float = 72.0,
-                 done: DataFrame | None = None, batch: int = 32) -> DataFrame:
+                 *, n_sample: int | None = None, seed: int = 42, k: int = 3, cutoff: float = 72.0,
+                 done: DataFrame | None = None, batch: int = 32, embed: RT.Embedder = RT.hashing_embed) -> DataFrame:
     """Rows ``id, pn_num, feature_num, case_num, annotation, location, error``
     (repr-string lists; ``annotation`` keeps every parsed span, ``location``
-    only the located ones, in span order)."""
-    sample = S.sample_n(R.unannotated(notes, annotated), n_sample, seed, "pn_num")
+    only the located ones, in span order). All unannotated notes are labelled,
+    or ``n_sample`` of them. The labels are written once to the shared store."""
+    sample = R.unannotated(notes, annotated)
+    if n_sample is not None:
+        sample = S.sample_n(sample, n_sample, seed, "pn_num")
     pairs = R.case_fanout(sample, features.filter(F.col("feature_text") != "")) \
              .withColumn("id", pair_id("pn_num", "feature_num"))
     if done is not None:
         pairs = R.resume(pairs, done, "id")
-    ex = examples_per_feature(features, corpus, k)
+    ex = examples_per_feature(features, corpus, k, embed)
     pairs = pairs.join(ex, "feature_num", "left").withColumn(
         "messages", P.fewshot_messages("pn_history", "feature_text", F.coalesce("examples", F.array())))
-    out = label(pairs.drop("examples"), labeler_factory, batch=batch)
+    path = unique_dir(notes.sparkSession, "pseudo-labels")
+    label(pairs.drop("examples"), labeler_factory, batch=batch).drop("messages").write.parquet(path)
+    out = notes.sparkSession.read.parquet(path)
     out = out.withColumn("spans", parse_spans("raw", "first_object"))
     ex_spans = out.select("id", "pn_num", F.posexplode("spans").alias("pos", "span"))
     loc = locate_spans(ex_spans, notes.select("pn_num", "pn_history"), fuzzy_cutoff=cutoff, fuzzy_mode="window")

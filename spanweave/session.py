@@ -37,13 +37,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession, sub: str) -> str:
     """A folder on the shared checkpoint storage named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage (HDFS/S3/...). Only when it
-    is unset (local tests) a fresh local scratch folder is created and
-    registered, so nothing ever falls back to a machine-local path silently
-    on a real cluster.
+    On a cluster that setting names shared storage (HDFS/S3/a mounted disk)
+    and must be there: without it this raises. In local mode (tests), where
+    driver and tasks are one process, a fresh scratch folder is registered.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spanweave-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -57,10 +58,6 @@ def unique_dir(spark: SparkSession, sub: str) -> str:
     return shared_dir(spark, f"{sub}-{uuid.uuid4().hex[:12]}")
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop FileSystem API (works for any scheme)."""
     jvm = spark.sparkContext._jvm
@@ -69,8 +66,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(conf).exists(p))
 
 
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster that has not installed it."""
+    import shutil
+    import spanweave
+    root = os.path.dirname(os.path.dirname(os.path.abspath(spanweave.__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spanweave-zip-"), "spanweave"), "zip", root, "spanweave")
+    spark.sparkContext.addPyFile(archive)

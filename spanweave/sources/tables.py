@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import let, locate, pair_id, py_repr_list
+from spanweave.session import unique_dir
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -37,10 +38,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def registry_df(spark: SparkSession, registry=None) -> DataFrame:
-    return spark.createDataFrame(registry or REGISTRY, "model string, weight int")
-
-
 def h32(*parts) -> Column:
     """Deterministic 32-bit hash of the ``|``-joined parts (md5 prefix)."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
@@ -157,8 +154,24 @@ def _raw_output(note: Column, pid: Column, model: Column) -> Column:
                         F.to_json(F.array(span)).alias("js")), render)
 
 
+_OUTPUTS: dict[tuple, str] = {}
+
+
 def predictions(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
-    """Long model-output table ``id, pn_num, case_num, feature_num, model, weight, raw``."""
+    """Long model-output table ``id, pn_num, case_num, feature_num, model, weight, raw``.
+
+    The outputs stand for a model's answers, which a run would find on disk:
+    they are written to the shared store once a session and read from there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(registry or REGISTRY))
+    if key not in _OUTPUTS:
+        path = unique_dir(spark, "model-outputs")
+        _model_outputs(spark, sf_dir, registry).write.parquet(path)
+        _OUTPUTS[key] = path
+    return spark.read.parquet(_OUTPUTS[key])
+
+
+def _model_outputs(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
     p = pairs(spark, sf_dir, with_text=True).drop("feature_text")
     reg = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(int(w)).alias("weight"))
                     for m, w in (registry or REGISTRY)])
