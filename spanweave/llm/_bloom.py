@@ -26,8 +26,8 @@ def _set(bitmap: np.ndarray, places: np.ndarray) -> None:
         bitmap[byte[first]] |= np.bitwise_or.reduceat(np.left_shift(1, places & 7).astype(np.uint8), first)
 
 
-def twice_filter(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], bits: int) -> np.ndarray:
-    """Packed bits of the filter of hashes that occur twice or more in ``rows``; its size is ``bits / 8`` bytes.
+def twice_filter(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]], bits: int, once_only: bool = False) -> np.ndarray:
+    """Packed bits of the filter of hashes that occur twice or more in ``rows`` (or once); its size is ``bits / 8`` bytes.
 
     ``hashes`` turns a batch into arrays of 64-bit hashes. Merged with
     ``twice |= other.twice | (once & other.once)``: no repeated hash is ever
@@ -55,7 +55,7 @@ def twice_filter(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np
     blocks = merged_blocks(rows.mapInArrow(build, "block int, payload binary"), bits // block_bits, "uint8", 2 * half, fold)
     out = np.zeros(bits // 8, np.uint8)
     for b, x in blocks.items():
-        out[b * half:(b + 1) * half] = x[half:]
+        out[b * half:(b + 1) * half] = x[:half] if once_only else x[half:]
     return out
 
 

@@ -7,9 +7,10 @@ shingle of their prefixes, and are at most a tenth apart in size.
 
 * Documents with equal sets are one class; classes with the same prefix and
   size are one group, which stands for all its members in the join.
-* Every prefix shingle that two groups hold names a hub: the group in which
-  it stands earliest, mostly the text that the others were copied from. Each
-  group is sent once to each of its hubs, so whoever shares a shingle meets.
+* Every prefix shingle that two groups hold names a hub: of its groups the
+  one with the fewest shingles of its own, mostly the text that the others
+  were copied from. One order names all hubs, so a family has few of them.
+  Each group is sent once to each of its hubs: whoever shares a shingle meets.
 * At a hub the groups expand to classes and every pair is verified exactly,
   by counting common shingles block against block. A hub with many members
   is split into blocks of bounded size, and each pair of blocks is a task of
@@ -21,6 +22,7 @@ import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -37,7 +39,7 @@ VOCABULARY_CHUNK = 1 << 13
 
 
 def shingle_sketch(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndarray:
-    """How many documents hold the shingles of each of ``2**bits`` hash slots (uint32, a fixed size)."""
+    """How many documents hold the shingles of each of ``2**bits`` hash slots (uint16, 65535 stands for more; a fixed size)."""
     block = min(SKETCH_BLOCK, 1 << bits)
 
     def count(batches):
@@ -50,14 +52,14 @@ def shingle_sketch(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndar
                 sums[slots] += n.astype(np.uint32)
         for b in np.flatnonzero(sums.reshape(-1, block).any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([packed(sums[b * block:(b + 1) * block])], pa.binary())], ["block", "payload"])
+                [pa.array([b], pa.int32()), pa.array([packed(np.minimum(sums[b * block:(b + 1) * block], 65535).astype(np.uint16))], pa.binary())], ["block", "payload"])
 
     def fold(total, more):
-        total += more
+        total[:] = np.minimum(total.astype(np.uint32) + more, 65535)
 
     parts = docs.select(F.col(text_col)).mapInArrow(count, "block int, payload binary")
-    out = np.zeros(1 << bits, np.uint32)
-    for b, x in merged_blocks(parts, (1 << bits) // block, "uint32", block, fold).items():
+    out = np.zeros(1 << bits, np.uint16)
+    for b, x in merged_blocks(parts, (1 << bits) // block, "uint16", block, fold).items():
         out[b * block:(b + 1) * block] = x
     return out
 
@@ -117,18 +119,19 @@ def hub_visits(sets: DataFrame, num: int, den: int, bloom_bits: int) -> DataFram
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             token = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             owner = np.repeat(np.arange(len(lists)), sizes)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = np.flatnonzero(held(bits.value, token.view(_U)))
+            known = held(bits.value, token.view(_U))
+            own = (sizes - np.bincount(owner, known, len(lists))).astype(np.int32)
+            keep = np.flatnonzero(known)
             band = np.floor(np.log(batch.column(1).to_numpy()[owner[keep]].astype(np.float64)) / width).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(owner[keep])), pa.array(token[keep]), pa.array(pos[keep].astype(np.int32)), pa.array(band)],
-                ["gid", "token", "pos", "band"])
+                [batch.column(0).take(pa.array(owner[keep])), pa.array(token[keep]), pa.array(own[owner[keep]]), pa.array(band)],
+                ["gid", "token", "alone", "band"])
 
-    entries = groups.select("gid", "n", "prefix").mapInArrow(spread, "gid binary, token bigint, pos int, band bigint")
-    entries = stored(entries, "entries").select("gid", "token", "pos", F.explode(F.array(
+    entries = groups.select("gid", "n", "prefix").mapInArrow(spread, "gid binary, token bigint, alone int, band bigint")
+    entries = stored(entries, "entries").select("gid", "token", "alone", F.explode(F.array(
         F.struct("band", F.lit(1).alias("own")), F.struct((F.col("band") + 1).alias("band"), F.lit(0).alias("own")))).alias("b")).select(
-        "gid", "token", "pos", "b.band", "b.own")
-    hubs = (entries.groupBy("token", "band").agg(F.count("*").alias("several"), F.sum("own").alias("some"), F.min(F.struct("pos", "gid")).alias("first"))
+        "gid", "token", "alone", "b.band", "b.own")
+    hubs = (entries.groupBy("token", "band").agg(F.count("*").alias("several"), F.sum("own").alias("some"), F.min(F.struct("alone", "gid")).alias("first"))
             .where("several > 1 and some > 0").select(F.col("token").alias("t"), F.col("band").alias("b"), F.col("first.gid").alias("hub")))
     several = (sets.where("n > 0").select("gid", "fp").distinct().groupBy("gid").agg(F.count("*").alias("classes"))
                .where("classes > 1").select(F.col("gid").alias("hub"), "gid"))
@@ -225,8 +228,21 @@ def verified_links(pairs: DataFrame, k: int, num: int, den: int, check_print: bo
     return sent.mapInArrow(verify, "a binary, b binary")
 
 
+def _named(ids: DataFrame, bits: int):
+    """A filter for rows whose id is among ``ids``, by a Bloom filter of fixed size; lets a few others through."""
+    hashed = ids.select(F.xxhash64(F.col(ids.columns[0])))
+    known = ids.sparkSession.sparkContext.broadcast(
+        twice_filter(hashed, lambda batch: [batch.column(0).to_numpy().view(_U)], bits, once_only=True))
+
+    @F.pandas_udf("boolean")
+    def named(hashes: pd.Series) -> pd.Series:
+        return pd.Series(held(known.value, hashes.to_numpy().view(_U)))
+
+    return lambda id_: named(F.xxhash64(id_))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100,
-                       sketch_bits: int = 22, bloom_bits: int = 1 << 26, block_rows: int = 512,
+                       sketch_bits: int = 24, bloom_bits: int = 1 << 28, block_rows: int = 512,
                        block_shingles: int = 1 << 20) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -246,7 +262,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stored(sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n")), "classes")
     visits = stored(hub_visits(sets, num, den, bloom_bits), "visits")
     at_hub = visits.join(classes.select("gid", "fp", "n", "rep"), "gid").select("hub", "fp", "n", "rep")
-    pairs = block_pairs(at_hub, block_rows, block_shingles).join(docs, F.col("rep").eqNullSafe(F.col("id")))
+    texts = docs.where(F.col("id").isNull() | _named(visits.join(classes.select("gid", "rep"), "gid").select("rep"), bloom_bits >> 2)(F.col("id")))
+    pairs = block_pairs(at_hub, block_rows, block_shingles).join(texts, F.col("rep").eqNullSafe(F.col("id")))
     links = stored(verified_links(pairs, k, num, den, check_print=True), "links")  # rows of one id may differ in text
     roots = components(links)
     grouped = classes.select("fp", "rep").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))

@@ -3,16 +3,16 @@
 A shard file holds the ids of consecutive documents (ascending id):
 
     8 bytes   magic ``SWPFOR1\\0``
-    5 x u64   documents, ids, values a block, blocks, percentile
+    5 x u64   documents, ids, values a block, blocks, largest percentile
     i64[docs] document ids; u8[docs] 1 where the id is null; u64[docs] ids of each document
     u64[blocks + 1]  start of each block, from the first block on (the index)
     blocks    u32 minimum, u8 width, u16 exceptions, packed values (minimum taken
               off, ``width`` low bits each, little-endian bit order),
               u16[exceptions] positions, u32[exceptions] whole values less the minimum
 
-The width of a block is that of its value at the percentile, so outliers do
-not widen it: they stand whole in the exception list. Any block can be
-decoded alone by the index.
+The width of a block is that of its value at a percentile (of a few, the one
+that makes the block smallest), so outliers do not widen it: they stand whole
+in the exception list. Any block can be decoded alone by the index.
 """
 from __future__ import annotations
 
@@ -30,6 +30,7 @@ from spanweave.llm._tokens import encoded_rows
 from spanweave.session import unique_dir
 
 MAGIC = b"SWPFOR1\0"
+PERCENTILES = (90, 95, 98, 100)
 HEADER = struct.Struct("<8s5Q")
 BLOCK = struct.Struct("<IBH")
 
@@ -47,15 +48,28 @@ def _unpack_bits(rows: np.ndarray, width: int, size: int) -> np.ndarray:
     return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(axis=1).astype(np.uint32).reshape(len(rows), size)
 
 
-def encode_shard(doc_ids: list[int | None], docs: list[bytes], block: int = 512, percentile: int = 90) -> bytes:
+def _widths(rest: np.ndarray, percentiles: tuple[int, ...]) -> np.ndarray:
+    """For each block the width of its value at that one of ``percentiles`` which makes the block smallest."""
+    ranked = np.sort(rest, axis=1)
+    size = rest.shape[1]
+    widths, cost = [], []
+    for p in percentiles:
+        top = ranked[:, max(0, -(-size * p // 100) - 1)]
+        w = np.ceil(np.log2(top.astype(np.float64) + 1)).astype(np.int64)
+        odd = (rest > ((np.uint64(1) << w.astype(np.uint64)) - np.uint64(1))[:, None]).sum(axis=1)
+        widths.append(w)
+        cost.append(-(-size * w // 8) + 6 * odd)
+    return np.choose(np.argmin(cost, axis=0), widths)
+
+
+def encode_shard(doc_ids: list[int | None], docs: list[bytes], block: int = 512, percentiles: tuple[int, ...] = PERCENTILES) -> bytes:
     """One shard file of the little-endian 32-bit ids of ``docs``."""
     ids = np.frombuffer(b"".join(docs), "<u4")
     blocks = -(-len(ids) // block)
     full = np.concatenate([ids, np.full(blocks * block - len(ids), ids[-1] if len(ids) else 0, np.uint32)]).reshape(blocks, block)
     low = full.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = full - low[:, None]
-    rank = min(block - 1, block * percentile // 100)
-    widths = np.ceil(np.log2(np.partition(rest, rank, axis=1)[:, rank].astype(np.float64) + 1)).astype(np.int64) if blocks else low
+    widths = _widths(rest, percentiles) if blocks else np.zeros(0, np.int64)
     bodies: list[bytes] = [b""] * blocks
     for w in np.unique(widths).tolist():
         for at in np.array_split(np.flatnonzero(widths == w), max(1, -(-int((widths == w).sum()) // 512))):
@@ -67,7 +81,7 @@ def encode_shard(doc_ids: list[int | None], docs: list[bytes], block: int = 512,
                 bodies[i] = (BLOCK.pack(int(low[i]), w, len(where)) + out.tobytes()
                              + where.astype("<u2").tobytes() + rest[i][where].astype("<u4").tobytes())
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bodies])]).astype("<u8")
-    head = HEADER.pack(MAGIC, len(docs), len(ids), block, blocks, percentile)
+    head = HEADER.pack(MAGIC, len(docs), len(ids), block, blocks, max(percentiles))
     table = (np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array([x is None for x in doc_ids], "u1").tobytes()
              + np.array([len(d) // 4 for d in docs], "<u8").tobytes())
     return b"".join([head, table, starts.tobytes(), *bodies])
@@ -130,7 +144,7 @@ def _filesystem(uri: str):
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-              path: str | None = None, shard_ids: int = 1 << 22, block: int = 512, percentile: int = 90) -> DataFrame:
+              path: str | None = None, shard_ids: int = 1 << 22, block: int = 512, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """Encode all texts into shard files in ascending id order; returns the manifest ``(part, seq, path, n_docs, n_ids)``.
 
     Null text is empty; each document ends with ``end_id``. Null ids come
@@ -157,22 +171,22 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 held.append(tokens.astype("<u4").tobytes())
                 size += len(tokens)
                 if size >= shard_ids:
-                    yield _shard_row(store, root, part, seq, ids, held, block, percentile)
+                    yield _shard_row(store, root, part, seq, ids, held, block, percentiles)
                     ids, held, size, seq = [], [], 0, seq + 1
         if ids:
-            yield _shard_row(store, root, part, seq, ids, held, block, percentile)
+            yield _shard_row(store, root, part, seq, ids, held, block, percentiles)
 
     return stored(rows.mapInArrow(write, "part int, seq int, name string, n_docs bigint, n_ids bigint").withColumn(
         "folder", F.lit(path)), "manifest")
 
 
-def _shard_row(store, root: str, part: int, seq: int, ids: list, docs: list[bytes], block: int, percentile: int) -> pa.RecordBatch:
+def _shard_row(store, root: str, part: int, seq: int, ids: list, docs: list[bytes], block: int, percentiles: tuple[int, ...]) -> pa.RecordBatch:
     import uuid
     name = f"{part:06d}-{seq:06d}.pfor"
     store.create_dir(root, recursive=True)
     temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(temporary) as f:
-        f.write(encode_shard(ids, docs, block, percentile))
+        f.write(encode_shard(ids, docs, block, percentiles))
     store.move(temporary, f"{root}/{name}")
     return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "name": [name],
                                        "n_docs": [len(docs)], "n_ids": [sum(map(len, docs)) // 4]})
