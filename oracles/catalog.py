@@ -395,3 +395,28 @@ ORACLES["training_drops"] = W() + (
 ORACLES["summary_sink"] = ("WITH rs AS (" + ORACLES["run_summary"] + ") SELECT run, final_step, best_eval_loss, "
     "CASE WHEN CAST(substr(run, 4) AS INTEGER) < 4 THEN 'small' ELSE 'large' END AS size_class, "
     "CASE WHEN CAST(substr(run, 4) AS INTEGER) < 4 THEN 1.7::DOUBLE ELSE 8.0::DOUBLE END AS params_b FROM rs")
+
+
+def _repr(x: str) -> str:
+    """Python's ``repr`` of a text without control characters other than tab and line ends."""
+    bs = "chr(92)"
+    e = f"replace(replace(replace(replace({x}, {bs}, {bs} || {bs}), chr(10), {bs} || 'n'), chr(13), {bs} || 'r'), chr(9), {bs} || 't')"
+    return (f"(CASE WHEN contains({x}, chr(39)) AND NOT contains({x}, chr(34)) THEN chr(34) || {e} || chr(34) "
+            f"ELSE chr(39) || replace({e}, chr(39), {bs} || chr(39)) || chr(39) END)")
+
+
+ORACLES["pseudo_label"] = W(
+    D.UNANNOTATED,
+    "pr AS (SELECT printf('%05d_%03d', u.pn_num, f.feature_num) AS id, u.pn_num, f.feature_num, u.case_num, u.pn_history AS note, f.feature_text "
+    "FROM unann u JOIN features f USING (case_num) WHERE f.feature_text <> '')",
+    f"vs AS (SELECT id, note, unnest(vars) AS v, generate_subscripts(vars, 1) AS vi FROM (SELECT *, {_VARS} AS vars FROM pr))",
+    "st AS (SELECT *, list_transform(range(1, len(string_split(lower(note), lower(v)))), lambda j: CAST(list_sum(list_transform("
+    "string_split(lower(note), lower(v))[1:j], lambda x: length(x))) + (j - 1) * length(v) AS BIGINT)) AS starts FROM vs "
+    "WHERE contains(lower(note), lower(v)))",
+    "hit AS (SELECT id, vi, generate_subscripts(starts, 1) AS j, note, length(v) AS n, unnest(starts) AS s FROM st)",
+    "sp AS (SELECT id, vi, j, note, substr(note, s + 1, n) AS span FROM hit)",
+    f"lo AS (SELECT id, vi, j, span, instr(note, {S('span')}) - 1 AS s, length({S('span')}) AS n FROM sp)",
+    f"ag AS (SELECT id, string_agg({_repr('span')}, ', ' ORDER BY vi, j) AS a, "
+    "string_agg(chr(39) || s || ' ' || (s + n) || chr(39), ', ' ORDER BY vi, j) AS l FROM lo GROUP BY id)",
+) + ("SELECT pr.id, pn_num, feature_num, case_num, '[' || coalesce(a, '') || ']' AS annotation, '[' || coalesce(l, '') || ']' AS location, "
+     "NULL::VARCHAR AS error FROM pr LEFT JOIN ag USING (id)")
