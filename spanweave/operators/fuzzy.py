@@ -62,63 +62,59 @@ def _bound(common: int, m: int, n: int) -> float:
     return 100.0 if tot == 0 else 100.0 * 2 * common / tot
 
 
-def _partial_impl(s1: str, s2: str, cutoff: float):
-    """s1 is the shorter text. Returns (score, dest_start, dest_end)."""
-    p = _Pattern(s1)
-    len1, len2 = len(s1), len(s2)
-    need = Counter(s1)
-    chars = set(s1)
-    best, ds, de = 0.0, 0, len1
-    floor = cutoff
-
-    def consider(lo, hi, common):
-        nonlocal best, ds, de, floor
-        if _bound(common, len1, hi - lo) < floor or _bound(common, len1, hi - lo) <= best:
-            return False
-        r = p.ratio(s2, lo, hi)
-        if r >= floor and r > best:
-            best, ds, de = r, lo, hi
-            floor = r
-            return r == 100.0
-        return False
-
-    # prefixes s2[:i], i < len1
-    have: Counter = Counter()
-    common = 0
-    for i in range(1, len1):
-        ch = s2[i - 1]
-        have[ch] += 1
-        if have[ch] <= need.get(ch, 0):
-            common += 1
-        if ch in chars and consider(0, i, common):
-            return best, ds, de
-    # full windows s2[i:i+len1] for i < len2 - len1
-    have = Counter(s2[:len1])
-    common = sum(min(c, need.get(ch, 0)) for ch, c in have.items())
-    for i in range(0, len2 - len1):
-        if i > 0:
-            out, inn = s2[i - 1], s2[i + len1 - 1]
-            if have[out] <= need.get(out, 0):
-                common -= 1
-            have[out] -= 1
-            have[inn] += 1
-            if have[inn] <= need.get(inn, 0):
-                common += 1
-        if s2[i + len1 - 1] in chars and consider(i, i + len1, common):
-            return best, ds, de
-    # suffixes s2[i:], i >= len2 - len1
-    start = max(len2 - len1, 0)
-    have = Counter(s2[start:])
-    common = sum(min(c, need.get(ch, 0)) for ch, c in have.items())
-    for i in range(start, len2):
-        if i > start:
-            out = s2[i - 1]
-            if have[out] <= need.get(out, 0):
-                common -= 1
-            have[out] -= 1
-        if s2[i] in chars and consider(i, len2, common):
-            return best, ds, de
-    return best, ds, de
+class _Overlap:
+    """Characters (with multiplicity) that a pattern shares with a window of a text, kept while the window's ends move."""
+
+    def __init__(self, pattern: str, text: str):
+        self.need, self.text = Counter(pattern), text
+        self.have: Counter = Counter()
+        self.lo = self.hi = self.shared = 0
+
+    def move(self, lo: int, hi: int) -> int:
+        while self.hi < hi:
+            ch = self.text[self.hi]
+            self.have[ch] += 1
+            self.shared += self.have[ch] <= self.need[ch]
+            self.hi += 1
+        while self.lo < lo:
+            ch = self.text[self.lo]
+            self.shared -= self.have[ch] <= self.need[ch]
+            self.have[ch] -= 1
+            self.lo += 1
+        return self.shared
+
+
+def _partial_windows(size: int, n: int):
+    """``(from, to, edge)`` of the windows of the partial rule, in order; ``edge`` is the end that moved last.
+
+    Prefixes shorter than the span, windows of its length, then suffixes; both
+    ends only ever move forward.
+    """
+    for i in range(1, size):
+        yield 0, i, i - 1
+    for i in range(n - size):
+        yield i, i + size, i + size - 1
+    for i in range(max(n - size, 0), n):
+        yield i, n, i
+
+
+def _partial_impl(short: str, text: str, cutoff: float):
+    """First best window of ``text`` for ``short``: ``(score, from, to)``, score 0 below the cutoff.
+
+    Only windows whose moving end is a character of the span count.
+    """
+    pattern, overlap = _Pattern(short), _Overlap(short, text)
+    best, at = 0.0, (0, len(short))
+    for lo, hi, edge in _partial_windows(len(short), len(text)):
+        most = _bound(overlap.move(lo, hi), len(short), hi - lo)
+        if text[edge] not in pattern.masks or most < cutoff or most <= best:
+            continue
+        score = pattern.ratio(text, lo, hi)
+        if score >= cutoff and score > best:
+            best, at = score, (lo, hi)
+            if best == 100.0:
+                break
+    return best, *at
 
 
 def partial_alignment(span: str, note: str, cutoff: float):
@@ -145,39 +141,21 @@ def window_alignment(span: str, note: str, cutoff: float):
     """(start, end, score) by ascending window sizes around the span length, or None."""
     if not span or not note:
         return None
-    L, n = len(span), len(note)
-    p = _Pattern(span)
-    need = Counter(span)
-    best, bs, be = 0.0, -1, -1
-    for win in range(max(1, int(L * 0.80)), min(n, int(L * 1.20)) + 1):
-        if n - win + 1 <= 0:
-            continue
-        size_best, size_pos = None, -1
-        floor = cutoff
-        have = Counter(note[:win])
-        common = sum(min(c, need.get(ch, 0)) for ch, c in have.items())
-        for s in range(0, n - win + 1):
-            if s > 0:
-                out, inn = note[s - 1], note[s + win - 1]
-                if have[out] <= need.get(out, 0):
-                    common -= 1
-                have[out] -= 1
-                have[inn] += 1
-                if have[inn] <= need.get(inn, 0):
-                    common += 1
-            ub = _bound(common, L, win)
-            if ub < floor or (size_best is not None and ub <= size_best):
+    pattern, n = _Pattern(span), len(note)
+    best, at = 0.0, None
+    for size in range(max(1, int(len(span) * 0.80)), min(n, int(len(span) * 1.20)) + 1):
+        overlap, here = _Overlap(span, note), best
+        for lo in range(n - size + 1):
+            most = _bound(overlap.move(lo, lo + size), len(span), size)
+            if most < cutoff or most <= here:
                 continue
-            r = p.ratio(note, s, s + win)
-            if r >= floor and (size_best is None or r > size_best):
-                size_best, size_pos, floor = r, s, r
-                if r == 100.0:
+            score = pattern.ratio(note, lo, lo + size)
+            if score >= cutoff and score > here:
+                here, at = score, (lo, lo + size)
+                if score == 100.0:
                     break
-        if size_best is not None and size_best > best:
-            best, bs, be = size_best, size_pos, size_pos + win
-    if best >= cutoff and bs != -1:
-        return bs, be, best
-    return None
+        best = here
+    return None if at is None else (*at, best)
 
 
 def _udf(mode: str, cutoff: float):

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import VOTE_BLANK_CLASS, let, locate, strip_u
+from spanweave.session import unique_dir
 
 
 def _lead_blanks(note: Column, pos: Column) -> Column:
@@ -57,10 +58,14 @@ def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", spa
     j = j.filter(F.length(note) > 0)
     if fuzzy_cutoff is not None:
         from spanweave.operators.fuzzy import fuzzy_locate
-        found = j.filter(F.col("start").isNotNull())
-        miss = j.filter(F.col("start").isNull()).drop("start", "end", "method")
-        fz = fuzzy_locate(miss, span_col=span_col, note_col=note_col, cutoff=fuzzy_cutoff, mode=fuzzy_mode)
-        j = found.unionByName(fz)
+        texts = notes.select(key, note_col)
+        path = unique_dir(j.sparkSession, "located")  # both branches read what the first two steps found
+        j.drop(note_col).write.parquet(path)
+        seen = j.sparkSession.read.parquet(path)
+        lost = seen.filter(F.col("start").isNull()).drop("start", "end", "method")
+        miss = lost.select(key, span_col).distinct().join(texts, key).repartition(key, span_col)
+        found = fuzzy_locate(miss, span_col=span_col, note_col=note_col, cutoff=fuzzy_cutoff, mode=fuzzy_mode).drop(note_col)
+        j = seen.filter(F.col("start").isNotNull()).unionByName(lost.join(found, [key, span_col])).join(texts, key)
     else:
         j = j.filter(F.col("start").isNotNull())
     return j.withColumn("note_len", F.length(note))
