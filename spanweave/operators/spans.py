@@ -44,18 +44,23 @@ def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", spa
     """
     s = spans.withColumn(span_col, strip_u(F.col(span_col)))
     s = s.filter(F.col(span_col) != "")
-    j = s.join(notes.select(key, note_col), key, "inner")
-    note, span = F.col(note_col), F.col(span_col)
-    exact = locate(span, note)
-    ci = locate(F.lower(span), F.lower(note))
-    j = (j.withColumn("_x", exact)
-           .withColumn("_c", F.when(F.col("_x") == 0, ci).otherwise(F.lit(0)))
-           .withColumn("start", F.when(F.col("_x") > 0, F.col("_x") - 1)
-                       .when(F.col("_c") > 0, F.col("_c") - 1))
-           .withColumn("end", F.col("start") + F.length(span))
-           .withColumn("method", F.when(F.col("_x") > 0, "exact").when(F.col("_c") > 0, "ci"))
-           .drop("_x", "_c"))
+    rest = [c for c in s.columns if c != key]
+    # a note meets all its spans (one list a note) once: its text is joined and lower-cased once
+    lists = s.groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("_spans"))
+    j = lists.join(notes.select(key, note_col), key, "inner")
+    note = F.col(note_col)
     j = j.filter(F.length(note) > 0)
+
+    def search(low):
+        return F.transform("_spans", lambda r: F.struct(
+            r.alias("r"), locate(r[span_col], note).alias("x"), locate(F.lower(r[span_col]), low).alias("c")))
+
+    j = j.select(key, note_col, F.explode(let(F.lower(note), search)).alias("_f"))
+    exact, ci = F.col("_f.x"), F.col("_f.c")
+    j = j.select(key, *(F.col("_f.r")[c].alias(c) for c in rest), note_col,
+                 F.when(exact > 0, exact - 1).when(ci > 0, ci - 1).alias("start"),
+                 F.when(exact > 0, "exact").when(ci > 0, "ci").alias("method"))
+    j = j.withColumn("end", F.col("start") + F.length(span_col))
     if fuzzy_cutoff is not None:
         from spanweave.operators.fuzzy import fuzzy_locate
         texts = notes.select(key, note_col)
