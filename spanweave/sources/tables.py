@@ -57,6 +57,19 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("text").alias("feature_text"))
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _on_disk(spark: SparkSession, sf_dir: str, name: str, build, *key) -> DataFrame:
+    """A table that a run would find on disk (model outputs, label files): written to the shared store once a session."""
+    at = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, *key)
+    if at not in _WRITTEN:
+        path = unique_dir(spark, name)
+        build().write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
+
+
 def annotated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pn_num"))
 
@@ -90,6 +103,10 @@ def with_truth(p: DataFrame) -> DataFrame:
 
 def train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The annotated pairs as they sit on disk: python-repr ``annotation``/``location`` strings."""
+    return _on_disk(spark, sf_dir, "train-pairs", lambda: _train_pairs(spark, sf_dir))
+
+
+def _train_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir, with_text=True).join(annotated_ids(spark, sf_dir), "pn_num", "left_semi")
     p = with_truth(p)
     loc = F.transform(p["annotation"], lambda s: F.concat_ws(" ", (locate(s, F.col("pn_history")) - 1).cast("string"),
@@ -154,21 +171,9 @@ def _raw_output(note: Column, pid: Column, model: Column) -> Column:
                         F.to_json(F.array(span)).alias("js")), render)
 
 
-_OUTPUTS: dict[tuple, str] = {}
-
-
 def predictions(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
-    """Long model-output table ``id, pn_num, case_num, feature_num, model, weight, raw``.
-
-    The outputs stand for a model's answers, which a run would find on disk:
-    they are written to the shared store once a session and read from there.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(registry or REGISTRY))
-    if key not in _OUTPUTS:
-        path = unique_dir(spark, "model-outputs")
-        _model_outputs(spark, sf_dir, registry).write.parquet(path)
-        _OUTPUTS[key] = path
-    return spark.read.parquet(_OUTPUTS[key])
+    """Long model-output table ``id, pn_num, case_num, feature_num, model, weight, raw``."""
+    return _on_disk(spark, sf_dir, "model-outputs", lambda: _model_outputs(spark, sf_dir, registry), tuple(registry or REGISTRY))
 
 
 def _model_outputs(spark: SparkSession, sf_dir: str, registry=None) -> DataFrame:
@@ -191,6 +196,10 @@ def predictions_with_truth(spark: SparkSession, sf_dir: str, registry=None) -> D
 def augmented_pairs(spark: SparkSession, sf_dir: str, model: str = "m1") -> DataFrame:
     """Pseudo-labelled pairs as written by the labelling job: repr-string annotation
     of the first-object parse of one model's output, for unannotated notes."""
+    return _on_disk(spark, sf_dir, "augmented-pairs", lambda: _augmented_pairs(spark, sf_dir, model), model)
+
+
+def _augmented_pairs(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
     from spanweave.functions.text import is_blank, parse_spans
     n = notes(spark, sf_dir).join(annotated_ids(spark, sf_dir), "pn_num", "left_anti")
     n = n.filter(~is_blank(F.col("pn_history")))
