@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanweave.llm._store import merged_blocks, packed
+from spanweave.llm._store import merged_blocks, packed, release
 
 PROBES = 3
 BLOCK_BITS = 1 << 20
@@ -47,6 +47,8 @@ def twice_filter(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterable[np
         for b in np.flatnonzero(once.reshape(-1, half).any(axis=1)).tolist():
             payload = packed(np.concatenate([once[b * half:(b + 1) * half], twice[b * half:(b + 1) * half]]))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], ["block", "payload"])
+        del once, twice
+        release()
 
     def fold(held, more):
         held[half:] |= more[half:] | (held[:half] & more[:half])

@@ -48,10 +48,21 @@ def merged_blocks(parts: DataFrame, blocks: int, dtype: str, width: int,
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.int32()),
                  pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())], ["block", "payload"])
+            held.clear()
+            release()
 
     rows = (parts.repartition(min(blocks, 64), F.col("block")).mapInArrow(merge, "block int, payload binary").collect())
     return {r["block"]: np.frombuffer(zlib.decompress(bytes(r["payload"])), dtype) for r in rows}
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, before its worker idles (glibc; elsewhere nothing)."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def packed(array: np.ndarray) -> bytes:
     return zlib.compress(array.tobytes(), 1)

@@ -10,7 +10,8 @@ import pyarrow as pa
 
 from spanweave.llm._arrays import row_ranges, utf8, word_hashes, words
 
-TABLE_BITS = 22
+TABLE_BITS = 20
+SLICE_BYTES = 1 << 20
 MARKS = ".,;:!?$*#%&|<>()[]{}/\\\"-_=+@^~`"
 _OPEN: dict[str, PieceEncoder] = {}
 
@@ -60,7 +61,7 @@ class PieceEncoder:
 
     def _empty(self) -> None:
         self.key = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.at = np.zeros(1 << TABLE_BITS, np.int64)
+        self.at = np.zeros(1 << TABLE_BITS, np.uint32)
         self.size = np.zeros(1 << TABLE_BITS, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = self.entries = 0
@@ -182,7 +183,7 @@ class PieceEncoder:
             slot[slot < 0] = self._find(h[slot < 0])
         size = self.size[slot].astype(np.int64)
         done = np.cumsum(size)
-        ids = self.pool[np.repeat(self.at[slot] - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+        ids = self.pool[np.repeat(self.at[slot].astype(np.int64) - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
         bounds = np.concatenate([[0], done])[np.searchsorted(begins, offsets)]
         if not len(odd):
             return ids, bounds
@@ -209,7 +210,7 @@ def encoder(path: str) -> PieceEncoder:
 def encoded_rows(column: pa.Array, path: str, end_id: int):
     """``(row, ids)`` of every row of a text column, with ``end_id`` after its ids; works on slices of bounded size."""
     enc = encoder(path)
-    for lo, hi in row_ranges(column):
+    for lo, hi in row_ranges(column, SLICE_BYTES):
         ids, bounds = enc.encode(column.slice(lo, hi - lo))
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()), lo):
             out = np.empty(b - a + 1, np.uint32)

@@ -11,8 +11,9 @@ shingle of their prefixes, and are at most a tenth apart in size.
   one with the fewest shingles of its own, mostly the text that the others
   were copied from. One order names all hubs, so a family has few of them.
   Each group is sent once to each of its hubs: whoever shares a shingle meets.
-* At a hub the groups expand to classes and every pair is verified exactly,
-  by counting common shingles block against block. A hub with many members
+* At a hub the groups expand to classes. Pairs that a parity bitmap of their
+  sets rules out are dropped; the others are verified exactly, by counting
+  common shingles block against block. A hub with many members
   is split into blocks of bounded size, and each pair of blocks is a task of
   its own. Only the links of a spanning forest leave a task, never all pairs.
 """
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 from spanweave.llm._arrays import mix64, row_ranges, shingle_sets
 from spanweave.llm._bloom import held, twice_filter
 from spanweave.llm._graph import components
-from spanweave.llm._store import merged_blocks, packed, stored
+from spanweave.llm._store import merged_blocks, packed, release, stored
 
 _U = np.uint64
 SKETCH_BLOCK = 1 << 16
-VOCABULARY_CHUNK = 1 << 13
+VOCABULARY_CHUNK = 1 << 12
+PARITY_BITS = 1024
 
 
 def shingle_sketch(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndarray:
@@ -43,16 +45,18 @@ def shingle_sketch(docs: DataFrame, text_col: str, k: int, bits: int) -> np.ndar
     block = min(SKETCH_BLOCK, 1 << bits)
 
     def count(batches):
-        sums = np.zeros(1 << bits, np.uint32)
+        sums = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for lo, hi in row_ranges(batch.column(0)):
                 sets = shingle_sets(batch.column(0).slice(lo, hi - lo), k)
                 at = (np.concatenate(sets) >> _U(64 - bits)).astype(np.int64)
                 slots, n = np.unique(at, return_counts=True)
-                sums[slots] += n.astype(np.uint32)
+                sums[slots] = np.minimum(sums[slots].astype(np.int64) + n, 65535)
         for b in np.flatnonzero(sums.reshape(-1, block).any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([b], pa.int32()), pa.array([packed(np.minimum(sums[b * block:(b + 1) * block], 65535).astype(np.uint16))], pa.binary())], ["block", "payload"])
+                [pa.array([b], pa.int32()), pa.array([packed(sums[b * block:(b + 1) * block])], pa.binary())], ["block", "payload"])
+        del sums
+        release()
 
     def fold(total, more):
         total[:] = np.minimum(total.astype(np.uint32) + more, 65535)
@@ -70,7 +74,7 @@ def _print(values: np.ndarray) -> bytes:
 
 
 def prefix_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """``(id, n, fp, gid, prefix)``: set size, fingerprints of the set and of its prefix with the size, the prefix."""
+    """``(id, n, fp, gid, prefix, bits)``: set size, fingerprints of the set and of its prefix with the size, the prefix, a parity bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     shift = _U(64 - (len(sketch).bit_length() - 1))
 
@@ -78,7 +82,7 @@ def prefix_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
         weight = shared.value
         for batch in batches:
             for lo, hi in row_ranges(batch.column(1)):
-                n, fp, gid, prefix = [], [], [], []
+                n, fp, gid, prefix, bits = [], [], [], [], []
                 for s in shingle_sets(batch.column(1).slice(lo, hi - lo), k):
                     n.append(len(s))
                     fp.append(_print(s))
@@ -86,14 +90,16 @@ def prefix_sets(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
                     head = s[np.lexsort((s, weight[(s >> shift).astype(np.int64)]))[:length]]
                     gid.append(_print(np.append(head, _U(len(s)))))
                     prefix.append(head.view(np.int64))
+                    bits.append(np.packbits(np.bincount((s & _U(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes())
                 off = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(gid, pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))],
-                    ["id", "n", "fp", "gid", "prefix"])
+                     pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(prefix) if prefix else [], pa.int64())),
+                     pa.array(bits, pa.binary())], ["id", "n", "fp", "gid", "prefix", "bits"])
+        release()
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col)).mapInArrow(
-        make, "id bigint, n bigint, fp binary, gid binary, prefix array<bigint>")
+        make, "id bigint, n bigint, fp binary, gid binary, prefix array<bigint>, bits binary")
 
 
 def hub_visits(sets: DataFrame, num: int, den: int, bloom_bits: int) -> DataFrame:
@@ -189,13 +195,55 @@ def block_pairs(at_hub: DataFrame, block_rows: int, block_shingles: int) -> Data
     """
     split = at_hub.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("s")).where("m > 1").select(
         F.col("hub").alias("h"), F.ceil(F.greatest(F.col("m") / F.lit(block_rows), F.col("s") / F.lit(block_shingles))).cast("int").alias("blocks"))
-    rest = [c for c in at_hub.columns if c not in ("hub", "n")]
+    rest = [c for c in at_hub.columns if c != "hub"]
     return (at_hub.join(split, F.col("hub") == F.col("h"))
             .withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
             .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("hub", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *rest))
 
 
+def possible_partners(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """``(at, who)``: the rows of ``pairs (hub, x, y, fp, n, bits)`` that may link with another of their block pair.
+
+    Two sets differ in at least as many shingles as their parity bitmaps
+    differ in bits, which bounds the intersection from above; so no link is
+    lost, and nearly all chance meetings go without their texts being sent.
+    """
+    sent = pairs.select("hub", "x", "y", "fp", "n", "bits").repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "fp")
+
+    def keep(rows):
+        if len(rows) < 2:
+            return []
+        n = np.array([r[1] for r in rows], np.int64)
+        bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        apart = np.rint(ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
+        total = n[:, None] + n[None, :]
+        common = np.minimum((total - apart) // 2, np.minimum(n[:, None], n[None, :]))
+        near = den * common >= num * (total - common)
+        np.fill_diagonal(near, False)
+        return [rows[i][0] for i in np.flatnonzero(near.any(axis=1)).tolist()]
+
+    def check(batches):
+        at, rows, out = None, [], []
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["at", "who"])
+
+        for batch in batches:
+            for hub, x, y, fp, n, bits in zip(*(batch.column(c).to_pylist() for c in range(6))):
+                if (hub, x, y) != at:
+                    out += [(at[0], f) for f in keep(rows)] if rows else []
+                    at, rows = (hub, x, y), []
+                rows.append((fp, n, bits))
+            yield emit()
+            out = []
+        out = [(at[0], f) for f in keep(rows)] if rows else []
+        yield emit()
+
+    return sent.mapInArrow(check, "at binary, who binary").distinct()
+
+
 def verified_links(pairs: DataFrame, k: int, num: int, den: int, check_print: bool) -> DataFrame:
     """``(a, b)``: a spanning forest of the links among the texts of each block pair of ``pairs (hub, x, y, fp, text)``.
 
@@ -224,6 +272,8 @@ def verified_links(pairs: DataFrame, k: int, num: int, den: int, check_print: bo
             out = []
         out = _links(sets, names, num, den)
         yield emit()
+        sets = []
+        release()
 
     return sent.mapInArrow(verify, "a binary, b binary")
 
@@ -242,7 +292,7 @@ def _named(ids: DataFrame, bits: int):
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100,
-                       sketch_bits: int = 24, bloom_bits: int = 1 << 28, block_rows: int = 512,
+                       sketch_bits: int = 24, bloom_bits: int = 1 << 27, block_rows: int = 512,
                        block_shingles: int = 1 << 20) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``.
 
@@ -259,10 +309,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = stored(prefix_sets(docs, "id", "text", k, num, den, shingle_sketch(docs, "text", k, sketch_bits)), "sets")
-    classes = stored(sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n")), "classes")
-    visits = stored(hub_visits(sets, num, den, bloom_bits), "visits")
-    at_hub = visits.join(classes.select("gid", "fp", "n", "rep"), "gid").select("hub", "fp", "n", "rep")
-    texts = docs.where(F.col("id").isNull() | _named(visits.join(classes.select("gid", "rep"), "gid").select("rep"), bloom_bits >> 2)(F.col("id")))
+    classes = stored(sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("gid").alias("gid"), F.first("n").alias("n"),
+                                                           F.first("bits").alias("bits")), "classes")
+    visits = hub_visits(sets, num, den, bloom_bits)
+    at_hub = stored(visits.join(classes, "gid").select("hub", "fp", "n", "rep", "bits"), "visits")
+    partners = possible_partners(block_pairs(at_hub, block_rows, block_shingles), num, den)
+    at_hub = stored(at_hub.join(partners, (F.col("hub") == F.col("at")) & (F.col("fp") == F.col("who"))).select("hub", "fp", "n", "rep"), "partners")
+    texts = docs.where(F.col("id").isNull() | _named(at_hub.select("rep"), bloom_bits >> 2)(F.col("id")))
     pairs = block_pairs(at_hub, block_rows, block_shingles).join(texts, F.col("rep").eqNullSafe(F.col("id")))
     links = stored(verified_links(pairs, k, num, den, check_print=True), "links")  # rows of one id may differ in text
     roots = components(links)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm._arrays import mix64
-from spanweave.llm._store import stored
+from spanweave.llm._store import release, stored
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -100,7 +100,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang: Column) -> DataFrame:
                 rows.setdefault(x, []).append(i)
             for name, own in rows.items():
                 held_g, held_c = np.zeros(0, _U), np.zeros(0, np.int64)
-                for a, b in _slices([texts[i] for i in own], 1 << 22):
+                for a, b in _slices([texts[i] for i in own]):
                     g, c = np.unique(grams([texts[i] for i in own[a:b]])[0], return_counts=True)
                     both = np.concatenate([held_g, g])
                     order = np.argsort(both, kind="stable")
@@ -111,6 +111,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(held_g), pa.string()), pa.array(held_g.view(np.int64)), pa.array(held_c, pa.int64())],
                     ["lang", "g", "c"])
+        release()
 
     found = docs.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, g bigint, c bigint")
     return found.groupBy("lang", "g").agg(F.sum("c").alias("c"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.llm._store import stored
+from spanweave.llm._store import release, stored
 from spanweave.llm._tokens import encoded_rows
 
 
@@ -43,6 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[5], pa.binary())] * with_ids,
                                              ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        release()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(cut, schema)

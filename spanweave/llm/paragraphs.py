@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from spanweave.llm._arrays import mix64, row_ranges, shingles, utf8, word_hashes, words
 from spanweave.llm._bloom import held, twice_filter
 from spanweave.llm._graph import components
-from spanweave.llm._store import stored
+from spanweave.llm._store import release, stored
 from spanweave.llm.jaccard import block_pairs, verified_links
 
 _U = np.uint64
@@ -113,6 +113,7 @@ def suspected_units(docs: DataFrame, id_col: str, text_col: str, k: int, min_wor
                     pa.array([struct.pack(">QQ", *prints[i].tolist()) for i in some], pa.binary()), pa.array(n[some], pa.int64()),
                     pa.array([strings[kept[i]] for i in some], pa.string()),
                     pa.array([keys[i][known[i]].view(np.int64) for i in some], pa.list_(pa.int64()))], ["id", "unit", "fp", "n", "text", "keys"])
+        release()
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(
         pick, "id bigint, unit int, fp binary, n bigint, text string, keys array<bigint>")
@@ -173,8 +174,8 @@ def cut_units(text: str, gone: set[int], min_run_words: int) -> tuple[str, list[
     return "".join(kept), out
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, min_words: int = 8,
-                   min_run_words: int = 25, recall: float = 0.98, bloom_bits: int = 1 << 28, block_rows: int = 512,
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, min_words: int = 6,
+                   min_run_words: int = 20, recall: float = 0.98, bloom_bits: int = 1 << 28, block_rows: int = 512,
                    block_shingles: int = 1 << 20) -> DataFrame:
     """``docs`` without repeated passages in ``text_col``, plus ``removed`` and ``kept_in``.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.llm._store import stored
+from spanweave.llm._store import release, stored
 from spanweave.llm._tokens import encoded_rows
 from spanweave.session import unique_dir
 
@@ -144,7 +144,7 @@ def _filesystem(uri: str):
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
-              path: str | None = None, shard_ids: int = 1 << 22, block: int = 512, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
+              path: str | None = None, shard_ids: int = 1 << 20, block: int = 512, percentiles: tuple[int, ...] = PERCENTILES) -> DataFrame:
     """Encode all texts into shard files in ascending id order; returns the manifest ``(part, seq, path, n_docs, n_ids)``.
 
     Null text is empty; each document ends with ``end_id``. Null ids come
@@ -175,6 +175,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                     ids, held, size, seq = [], [], 0, seq + 1
         if ids:
             yield _shard_row(store, root, part, seq, ids, held, block, percentiles)
+        ids, held = [], []
+        release()
 
     return stored(rows.mapInArrow(write, "part int, seq int, name string, n_docs bigint, n_ids bigint").withColumn(
         "folder", F.lit(path)), "manifest")
@@ -220,5 +222,6 @@ def read_ids(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4], pa.binary())] * with_ids,
                                                  ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+        release()
 
     return shards.mapInArrow(read, schema)
