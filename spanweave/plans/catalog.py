@@ -618,9 +618,9 @@ def q_constraint_regex(spark, sf):
 
 @register("constraint_check")
 def q_constraint_check(spark, sf):
-    p = T.predictions(spark, sf).join(T.notes(spark, sf).select("pn_num", "pn_history"), "pn_num")
-    ok = obeys("raw", constraint_regex("pn_history", 10))
-    return p.groupBy("model").agg(F.count_if(ok).alias("n_obey"), F.count(F.lit(1)).alias("n"))
+    patterns = T.notes(spark, sf).select("pn_num", constraint_regex("pn_history", 10).alias("pattern"))  # once a note
+    p = T.predictions(spark, sf).join(patterns, "pn_num")
+    return p.groupBy("model").agg(F.count_if(obeys("raw", F.col("pattern"))).alias("n_obey"), F.count(F.lit(1)).alias("n"))
 
 
 @register("feature_variants")
