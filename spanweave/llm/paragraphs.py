@@ -1,10 +1,11 @@
 """Substring dedup by paragraph MinHash banding.
 
-A text's units are its sentences, none longer than a line: their borders
-depend on the text around them alone, so a passage is cut alike wherever it
-stands, also in the middle of a line. Units of enough words get MinHash
-signatures of their 5-word shingles, cut into bands that :func:`tune` chooses
-for high recall. A twice filter (fixed size) tells which band keys occur
+A text's units are paragraphs with content-defined borders: a word ends one if
+its rank (sentence and line ends first, then a hash of the last two words) is
+the least among its neighbours, so a passage is cut alike wherever it stands,
+also when it begins and ends inside a sentence, and every word of a text is in
+a unit that is long enough to be compared. Units get MinHash signatures of
+their 5-word shingles, cut into bands that :func:`tune` chooses for high recall. A twice filter (fixed size) tells which band keys occur
 twice; only those units shuffle. Equal units form a class; classes that
 collide in a band meet at the smallest of them, are verified by exact
 Jaccard in blocks, and components of the links are clusters. The first unit
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -54,6 +56,57 @@ def units(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def sentences(texts: list[str | None]) -> list[list[tuple[int, int]]]:
+    """:func:`units` of each text."""
+    return [units(t) for t in texts]
+
+
+def paragraphs(texts: list[str | None], least: int = 6, most: int = 32) -> list[list[tuple[int, int]]]:
+    """Spans of each text's paragraphs: together they hold all its words, each ``least`` to ``most`` words (a shorter text is one).
+
+    A word ends a paragraph if its rank is the smallest among ``least - 1``
+    words on either side (the first of equal ones). The ends of the text rank
+    first, ends of sentences and lines second, then the hash of the word and
+    the one before in its sentence. Where that leaves more than ``most`` words, cuts follow the
+    last border at fixed steps.
+    """
+    data, offsets = utf8(pa.array(texts, pa.large_string()))
+    starts, ends, first = words(data, offsets)
+    n, near = len(starts), least - 1
+    if not n:
+        return [[] for _ in texts]
+    last = np.zeros(n, bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    hashes = word_hashes(data, starts, ends)
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    before = np.concatenate([[_U(0)], np.where((stop | last)[:-1], _U(0), hashes[:-1])])
+    rank = (mix64(hashes + before * _U(0x9E3779B97F4A7C15)) >> _U(2)) | np.where(stop, _U(1 << 62), _U(2 << 62))
+    rank[last] = 0
+    around = np.concatenate([np.zeros(near, _U), rank, np.zeros(near, _U)])
+    border = last.copy()
+    low = np.ones(n, bool)
+    for j in range(1, near + 1):
+        low &= (rank < around[near - j:near - j + n]) & (rank <= around[near + j:near + j + n])
+    border |= low
+    step = 3 * most // 4
+    at = np.concatenate([[-1], np.flatnonzero(border)])
+    for i in np.flatnonzero(np.diff(at) > most).tolist():
+        a, b = int(at[i]), int(at[i + 1])
+        while b - a > most:
+            a += step
+            border[a] = True
+    to = np.flatnonzero(border)
+    head = np.concatenate([[0], to[:-1] + 1])
+    own = np.searchsorted(first, to, "right") - 1
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    base = chars[offsets[own]]
+    spans = list(zip((chars[starts[head]] - base).tolist(), (chars[ends[to]] - base).tolist()))
+    cuts = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    return [spans[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _signatures(column: pa.Array, k: int, min_words: int, bands: int, rows: int):
     """For the units of ``min_words`` words: their rows, shingle counts, two 64-bit prints and band keys (units x bands)."""
     data, offsets = utf8(column)
@@ -77,26 +130,27 @@ def _signatures(column: pa.Array, k: int, min_words: int, bands: int, rows: int)
     return kept, n, prints, keys
 
 
-def _unit_groups(texts: list[str | None], size: int = 1 << 21):
+def _unit_groups(texts: list[str | None], split: Callable, size: int = 1 << 20):
     """Groups of texts of bounded length: row of each unit, its number in the row, its string."""
-    rows, numbers, strings, total = [], [], [], 0
-    for i, t in enumerate(texts):
-        for j, (a, b) in enumerate(units(t)):
-            rows.append(i)
-            numbers.append(j)
-            strings.append(t[a:b])
+    lo, total = 0, 0
+    for hi, t in enumerate(texts, 1):
         total += len(t or "")
-        if total > size:
-            yield rows, numbers, strings
-            rows, numbers, strings, total = [], [], [], 0
-    if rows:
-        yield rows, numbers, strings
+        if total > size or hi == len(texts):
+            rows, numbers, strings = [], [], []
+            for i, spans in enumerate(split(texts[lo:hi]), lo):
+                rows += [i] * len(spans)
+                numbers += range(len(spans))
+                strings += [texts[i][a:b] for a, b in spans]
+            if rows:
+                yield rows, numbers, strings
+            lo, total = hi, 0
 
 
-def suspected_units(docs: DataFrame, id_col: str, text_col: str, k: int, min_words: int, bands: int, rows: int, bloom_bits: int) -> DataFrame:
+def suspected_units(docs: DataFrame, id_col: str, text_col: str, k: int, min_words: int, bands: int, rows: int, bloom_bits: int,
+                    split: Callable = sentences) -> DataFrame:
     """``(id, unit, fp, n, text, keys)``: units that share a band key with another, as far as the twice filter can tell."""
     def hashes(batch):
-        for _, _, strings in _unit_groups(batch.column(0).to_pylist()):
+        for _, _, strings in _unit_groups(batch.column(0).to_pylist(), split):
             yield _signatures(pa.array(strings, pa.string()), k, min_words, bands, rows)[3].ravel()
 
     bits = docs.sparkSession.sparkContext.broadcast(twice_filter(docs.select(F.col(text_col)), hashes, bloom_bits))
@@ -104,7 +158,7 @@ def suspected_units(docs: DataFrame, id_col: str, text_col: str, k: int, min_wor
     def pick(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for own, numbers, strings in _unit_groups(batch.column(1).to_pylist()):
+            for own, numbers, strings in _unit_groups(batch.column(1).to_pylist(), split):
                 kept, n, prints, keys = _signatures(pa.array(strings, pa.string()), k, min_words, bands, rows)
                 known = held(bits.value, keys.ravel()).reshape(keys.shape)
                 some = np.flatnonzero(known.any(axis=1)).tolist()
@@ -120,10 +174,10 @@ def suspected_units(docs: DataFrame, id_col: str, text_col: str, k: int, min_wor
 
 
 def repeated_units(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, min_words: int, recall: float, bloom_bits: int,
-                   block_rows: int, block_shingles: int) -> DataFrame:
+                   block_rows: int, block_shingles: int, split: Callable = sentences) -> DataFrame:
     """``(id, unit, first_id)``: units that repeat an earlier one of their cluster, and the document where that stands."""
     bands, rows = tune(num / den, recall)
-    found = stored(suspected_units(docs, id_col, text_col, k, min_words, bands, rows, bloom_bits), "units")
+    found = stored(suspected_units(docs, id_col, text_col, k, min_words, bands, rows, bloom_bits, split), "units")
     classes = stored(found.groupBy("fp").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("keys").alias("keys")), "unit-classes")
     entries = classes.select("fp", F.explode("keys").alias("key"))
     hubs = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("hub")).where("c > 1").select(F.col("key").alias("k"), "hub")
@@ -142,13 +196,13 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
             .select("id", "unit", F.when(F.col("first.id") < last, F.col("first.id")).alias("first_id")))
 
 
-def cut_units(text: str, gone: set[int], min_run_words: int) -> tuple[str, list[tuple[int, int]]]:
+def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = sentences) -> tuple[str, list[tuple[int, int]]]:
     """A text without its repeated units, and the spans taken out.
 
     A run of repeated units (short units between two of them go along) counts
     from ``min_run_words`` words on; shorter ones stay.
     """
-    spans = units(text)
+    spans = split([text])[0]
     size = [len(text[a:b].split()) for a, b in spans]
     runs, run = [], []
     for j in range(len(spans)):
@@ -174,13 +228,13 @@ def cut_units(text: str, gone: set[int], min_run_words: int) -> tuple[str, list[
     return "".join(kept), out
 
 
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, min_words: int = 8,
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, min_words: int = 6,
                    min_run_words: int = 20, recall: float = 0.98, bloom_bits: int = 1 << 28, block_rows: int = 512,
                    block_shingles: int = 1 << 20) -> DataFrame:
     """``docs`` without repeated passages in ``text_col``, plus ``removed`` and ``kept_in``.
 
-    Units are sentences within a line; those of ``min_words`` words at least
-    are compared by their ``k``-word shingles (A-Z lower-cased) and cluster
+    Units are :func:`paragraphs` of ``min_words`` words at least (only a text
+    with fewer words has a shorter one, which stays). They are compared by their ``k``-word shingles (A-Z lower-cased) and cluster
     when the Jaccard similarity is ``num / den`` or more. Of a cluster the
     unit with the smallest (id, position) stays. Of the others, a run goes if
     it has ``min_run_words`` words; ``removed`` holds the spans (characters
@@ -192,7 +246,10 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document: equal rows are cut alike. Other columns pass through; input
     columns named ``removed`` or ``kept_in`` are replaced. No rows give none.
     """
-    found = repeated_units(docs, id_col, text_col, k, num, den, min_words, recall, bloom_bits, block_rows, block_shingles)
+    def split(texts):
+        return paragraphs(texts, min_words)
+
+    found = repeated_units(docs, id_col, text_col, k, num, den, min_words, recall, bloom_bits, block_rows, block_shingles, split)
     drops = found.groupBy(F.col("id").alias("drop_id")).agg(F.collect_set("unit").alias("gone"), F.collect_set(F.struct("unit", "first_id")).alias("stands"))
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>, units array<int>")
@@ -202,8 +259,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if text is None or drop is None:
                 rows.append((text, [], []))
                 continue
-            left, spans = cut_units(text, set(drop.tolist()), min_run_words)
-            inside = [j for j, (a, b) in enumerate(units(text)) if any(x <= a and b <= y for x, y in spans)]
+            left, spans = cut_units(text, set(drop.tolist()), min_run_words, split)
+            inside = [j for j, (a, b) in enumerate(split([text])[0]) if any(x <= a and b <= y for x, y in spans)]
             rows.append((left, [{"start": a, "end": b} for a, b in spans], inside))
         return pd.DataFrame(rows, columns=["text", "removed", "units"])
 

@@ -96,3 +96,30 @@ def test_banding_reaches_its_recall():
     for similarity, recall in ((0.8, 0.98), (0.9, 0.999), (0.5, 0.9)):
         bands, rows = tune(similarity, recall)
         assert bands * rows <= 48 and 1 - (1 - similarity ** rows) ** bands >= recall
+
+
+def test_paragraphs_hold_every_word_and_ignore_what_is_around():
+    from spanweave.llm.paragraphs import paragraphs
+    rng = random.Random(9)
+    texts = [None, "", " \n ", "Too short.", "same " * 200, "Ünd ß. " * 30, "\n".join(sentence(rng, rng.randrange(1, 60)) for _ in range(40))]
+    for t, spans in zip(texts, paragraphs(texts)):
+        parts = [(t or "")[a:b].split() for a, b in spans]
+        assert sum(parts, []) == (t or "").split() and paragraphs([t]) == [spans]
+        assert all(6 <= len(x) <= 32 for x in parts) or len(sum(parts, [])) < 6
+    a, b, passage = ([x for _ in range(40) for x in sentence(rng, 17).split()] for _ in range(3))
+    one, other = " ".join(a[:300] + passage + a[300:]), " ".join(b[:205] + passage + b[205:])
+    shared = {one[x:y] for x, y in paragraphs([one])[0]} & {other[x:y] for x, y in paragraphs([other])[0]}
+    assert len(" ".join(shared).split()) > len(passage) - 60
+
+
+def test_passages_of_short_sentences_and_inside_sentences_go(spark):
+    rng = random.Random(12)
+    short = " ".join(sentence(rng, rng.randrange(2, 6)) for _ in range(20))  # no sentence of six words
+    inner = " ".join(x for _ in range(3) for x in sentence(rng, 22).split())[8:-8].strip()  # begins and ends inside a sentence
+    own = [sentence(rng, 20)[:-1] for _ in range(8)]
+    rows = [(2 * i + j, f"{own[4 * i + 2 * j]} {p} {own[4 * i + 2 * j + 1]}") for i, p in enumerate((short, inner)) for j in (0, 1)]
+    got = {r["doc_id"]: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), bloom_bits=1 << 20).collect()}
+    for first, passage in ((0, short), (2, inner)):
+        assert got[first]["removed"] == [] and got[first + 1]["kept_in"] == [first]
+        assert len(got[first + 1]["text"].split()) <= 40 + len(passage.split()) / 2
+        assert all(w in got[first + 1]["text"].split() for w in rows[first + 1][1].split() if w not in passage.split())
