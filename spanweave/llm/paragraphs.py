@@ -196,11 +196,12 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
             .select("id", "unit", F.when(F.col("first.id") < last, F.col("first.id")).alias("first_id")))
 
 
-def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = sentences) -> tuple[str, list[tuple[int, int]]]:
+def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = sentences, along: int = 3) -> tuple[str, list[tuple[int, int]]]:
     """A text without its repeated units, and the spans taken out.
 
-    A run of repeated units (short units between two of them go along) counts
-    from ``min_run_words`` words on; shorter ones stay.
+    A run of repeated units (up to ``along`` short units between two of them go
+    along) counts from ``min_run_words`` words on; shorter ones stay. Units that
+    go along are not known to repeat: where all units are compared it must be 0.
     """
     spans = split([text])[0]
     size = [len(text[a:b].split()) for a, b in spans]
@@ -208,7 +209,7 @@ def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = s
     for j in range(len(spans)):
         if j in gone:
             run.append(j)
-        elif run and size[j] < 10 and any(x in gone for x in range(j + 1, min(j + 4, len(spans)))):
+        elif run and size[j] < 10 and any(x in gone for x in range(j + 1, min(j + along + 1, len(spans)))):
             run.append(j)
         elif run:
             runs.append(run)
@@ -237,7 +238,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with fewer words has a shorter one, which stays). They are compared by their ``k``-word shingles (A-Z lower-cased) and cluster
     when the Jaccard similarity is ``num / den`` or more. Of a cluster the
     unit with the smallest (id, position) stays. Of the others, a run goes if
-    it has ``min_run_words`` words; ``removed`` holds the spans (characters
+    it has ``min_run_words`` words, and only units that repeat go; ``removed`` holds the spans (characters
     of the input text) and ``kept_in`` the ids of the documents where the
     units still stand. Collisions are found with probability ``recall`` at
     the threshold, and always for equal units.
@@ -259,7 +260,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if text is None or drop is None:
                 rows.append((text, [], []))
                 continue
-            left, spans = cut_units(text, set(drop.tolist()), min_run_words, split)
+            left, spans = cut_units(text, set(drop.tolist()), min_run_words, split, along=0)
             inside = [j for j, (a, b) in enumerate(split([text])[0]) if any(x <= a and b <= y for x, y in spans)]
             rows.append((left, [{"start": a, "end": b} for a, b in spans], inside))
         return pd.DataFrame(rows, columns=["text", "removed", "units"])

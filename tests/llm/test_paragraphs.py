@@ -123,3 +123,22 @@ def test_passages_of_short_sentences_and_inside_sentences_go(spark):
         assert got[first]["removed"] == [] and got[first + 1]["kept_in"] == [first]
         assert len(got[first + 1]["text"].split()) <= 40 + len(passage.split()) / 2
         assert all(w in got[first + 1]["text"].split() for w in rows[first + 1][1].split() if w not in passage.split())
+
+
+def test_the_only_copy_of_a_short_sentence_stays(spark):
+    rng = random.Random(21)
+    parts = [" ".join(sentence(rng, 14) for _ in range(3)) for _ in range(3)]
+    rows = []
+    for i, n in enumerate((8, 8, 9, 7)):  # near copies: a short sentence of its own in each, one of them changed in one word
+        short = [sentence(rng, n), sentence(rng, n)]
+        if i == 1:
+            short[0] = rows[0][2][0].replace(rows[0][2][0].split()[4], "changed")
+        rows.append((i, f"{parts[0]} {short[0]} {parts[1]} {short[1]} {parts[2]}", short))
+    out = dedup_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), bloom_bits=1 << 20)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[0] == rows[0][1]
+    for i, _, short in rows[1:]:
+        assert got[i].split() == " ".join(short).split()
+    text = " ".join(x[1] for x in rows[:1])
+    cut, spans = cut_units(text, {0, 1, 2, 4, 5, 6}, 20, along=0)  # unit 3 may be the first of its cluster
+    assert rows[0][2][0] in cut and len(spans) == 2
