@@ -191,3 +191,20 @@ def test_bad_hosts_are_blocked_and_thin_ones_shrink(spark):
     out = judge_urls(pages, spark.createDataFrame([*bad, (None, 1), (1, None)], "page_id bigint, bad int"), [])
     got = {r["host"]: r["verdict"] for r in out.select("host", "verdict").distinct().collect()}
     assert got == {"spam.a.com": "block", "ok.a.com": "allow", "good.b.com": "allow", "thin.b.com": "allow", "new.b.com": "allow"}
+
+
+def test_wrong_language_and_no_common_words_are_not_natural(spark):
+    from spanweave.llm.quality import judge
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0").select("doc_id", "text", "lang")
+    rng = random.Random(4)
+    salad = [(-1 - i, " ".join("".join(rng.choice("aeinorstlu") for _ in range(rng.randrange(6, 10))) for _ in range(n)) + ".", "en") for i, n in enumerate((120, 400, 3000))]
+    text = {}
+    for r in docs.where("length(text) between 2500 and 6000 and doc_id % 3 = 0").orderBy("doc_id").collect():
+        text.setdefault(r["lang"], []).append(r["text"])
+    wrong = [(-1000 - 100 * i - j, t, other) for i, (x, other) in enumerate((("en", "de"), ("de", "en"), ("de", "fr"), ("en", "es"), ("fr", "de"))) for j, t in enumerate(text[x][:5])]
+    out = judge(docs.unionByName(spark.createDataFrame(salad + wrong, "doc_id bigint, text string, lang string")), columns=["doc_id", "lang"]).cache()
+    got = {r["doc_id"]: r["natural"] for r in out.where("doc_id < 0").collect()}
+    assert not any(got[i] for i, _, _ in salad)
+    assert sum(not got[i] for i, _, _ in wrong) >= 0.95 * len(wrong)
+    clean = out.where("doc_id >= 0 and n_words >= 100").groupBy("lang").agg(F.avg(F.col("natural").cast("int")).alias("share")).collect()
+    assert len(clean) == 4 and all(r["share"] > 0.8 for r in clean)
