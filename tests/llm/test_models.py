@@ -208,3 +208,11 @@ def test_wrong_language_and_no_common_words_are_not_natural(spark):
     assert sum(not got[i] for i, _, _ in wrong) >= 0.95 * len(wrong)
     clean = out.where("doc_id >= 0 and n_words >= 100").groupBy("lang").agg(F.avg(F.col("natural").cast("int")).alias("share")).collect()
     assert len(clean) == 4 and all(r["share"] > 0.8 for r in clean)
+
+
+def test_repeated_windows_compare_whole_hashes(spark):
+    from spanweave.llm.quality import repeated_windows
+    high = 1 << 62  # differs in a high bit alone
+    rows = [([7, 7, 1, 2, 1 | high, 3, 4, -5, 6],), ([1, 2, 3],), ([9, 8, 9, 8 | high, 5, 9],), ([],)]
+    df = spark.createDataFrame(rows, "h array<bigint>")
+    assert [r[0] for r in df.select(repeated_windows(F.col("h"))).collect()] == [4, 0, 8, 0]
