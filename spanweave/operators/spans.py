@@ -45,35 +45,31 @@ def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", spa
     s = spans.withColumn(span_col, strip_u(F.col(span_col)))
     s = s.filter(F.col(span_col) != "")
     rest = [c for c in s.columns if c != key]
-    # a note meets all its spans (one list a note) once: its text is joined and lower-cased once
-    lists = s.groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("_spans"))
-    j = lists.join(notes.select(key, note_col), key, "inner")
-    note = F.col(note_col)
-    j = j.filter(F.length(note) > 0)
-
-    def search(low):
-        return F.transform("_spans", lambda r: F.struct(
-            r.alias("r"), locate(r[span_col], note).alias("x"), locate(F.lower(r[span_col]), low).alias("c")))
-
-    j = j.select(key, note_col, F.explode(let(F.lower(note), search)).alias("_f"))
-    exact, ci = F.col("_f.x"), F.col("_f.c")
-    j = j.select(key, *(F.col("_f.r")[c].alias(c) for c in rest), note_col,
-                 F.when(exact > 0, exact - 1).when(ci > 0, ci - 1).alias("start"),
-                 F.when(exact > 0, "exact").when(ci > 0, "ci").alias("method"))
-    j = j.withColumn("end", F.col("start") + F.length(span_col))
+    # only distinct pairs are searched, one row each: no group of a hot note is ever gathered
+    texts = notes.select(key, note_col)
+    note, span = F.col(note_col), F.col(span_col)
+    pairs = s.select(key, span_col).distinct().join(texts.filter(F.length(note) > 0), key)
+    exact = locate(span, note)
+
+    def hit(at, method):
+        return F.struct((at - 1).alias("start"), F.lit(method).alias("method"))
+
+    found = F.when(exact > 0, hit(exact, "exact")).otherwise(
+        let(locate(F.lower(span), F.lower(note)), lambda c: F.when(c > 0, hit(c, "ci"))))
+    hits = pairs.select(key, span_col, found.alias("_at")).select(key, span_col, "_at.start", "_at.method")
+    if fuzzy_cutoff is None:
+        hits = hits.filter(F.col("start").isNotNull())
+    j = s.join(hits, [key, span_col]).select(key, *rest, "start", "method").withColumn("end", F.col("start") + F.length(span_col))
     if fuzzy_cutoff is not None:
         from spanweave.operators.fuzzy import fuzzy_locate
-        texts = notes.select(key, note_col)
         path = unique_dir(j.sparkSession, "located")  # both branches read what the first two steps found
-        j.drop(note_col).write.parquet(path)
+        j.write.parquet(path)
         seen = j.sparkSession.read.parquet(path)
         lost = seen.filter(F.col("start").isNull()).drop("start", "end", "method")
         miss = lost.select(key, span_col).distinct().join(texts, key).repartition(key, span_col)
         found = fuzzy_locate(miss, span_col=span_col, note_col=note_col, cutoff=fuzzy_cutoff, mode=fuzzy_mode).drop(note_col)
-        j = seen.filter(F.col("start").isNotNull()).unionByName(lost.join(found, [key, span_col])).join(texts, key)
-    else:
-        j = j.filter(F.col("start").isNotNull())
-    return j.withColumn("note_len", F.length(note))
+        j = seen.filter(F.col("start").isNotNull()).unionByName(lost.join(found, [key, span_col]))
+    return j.join(texts, key).select(key, *rest, note_col, "start", "method", "end").withColumn("note_len", F.length(note))
 
 
 def with_blank_edges(located: DataFrame, note_col: str = "pn_history") -> DataFrame:
