@@ -754,17 +754,24 @@ RUN_DOC_SCHEMA = ("model_name string, global_step long, "
                   "trainer_state struct<log_history:array<struct<step:long,loss:double,eval_loss:double>>>")
 
 
-@register("json_runs")
-def q_json_runs(spark, sf):
-    """Per-run metric documents written as JSON, read back in one partitioned read;
-    history from the trainer state when non-empty, else from the snapshot."""
-    log = _log(spark, sf).filter(F.col("loss").isNotNull() | F.col("eval_loss").isNotNull())
+RUN_BLOCK_STEPS = 10_000
+
+
+def run_documents(log, block_steps: int = RUN_BLOCK_STEPS):
+    """One document for each run and block of steps, so that none holds more than ``block_steps`` steps of a run."""
     hist = F.array_sort(F.collect_list(F.struct(F.col("step").cast("long").alias("step"), "loss", "eval_loss")))
-    docs = log.groupBy("run").agg(hist.alias("h"), F.max("step").cast("long").alias("global_step"))
+    docs = log.groupBy("run", F.floor(F.col("step") / block_steps).alias("block")).agg(hist.alias("h"), F.max("step").cast("long").alias("global_step"))
     even = F.pmod(F.substring("run", 4, 8).cast("int"), F.lit(2)) == 0
-    docs = docs.select("run", F.col("run").alias("model_name"), "global_step", F.col("h").alias("log_history_snapshot"),
+    return docs.select("run", F.col("run").alias("model_name"), "global_step", F.col("h").alias("log_history_snapshot"),
                        F.struct(F.when(even, F.array().cast("array<struct<step:long,loss:double,eval_loss:double>>"))
                                 .otherwise(F.col("h")).alias("log_history")).alias("trainer_state"))
+
+
+@register("json_runs")
+def q_json_runs(spark, sf):
+    """Metric documents (one a run and block of steps) written as JSON, read back in one partitioned read;
+    history from the trainer state when non-empty, else from the snapshot."""
+    docs = run_documents(_log(spark, sf).filter(F.col("loss").isNotNull() | F.col("eval_loss").isNotNull()))
     path = unique_dir(spark, "runs-json")
     docs.write.mode("overwrite").partitionBy("run").json(path)
     back = spark.read.schema(RUN_DOC_SCHEMA + ", run string").option("basePath", path).json(path)

@@ -110,3 +110,14 @@ def test_knn_of_an_empty_side(spark):
     q = v.withColumnRenamed("vec_id", "query_id")
     assert knn_topk(q.limit(0), v).count() == 0 and knn_topk(q, v.limit(0)).count() == 0
     assert [tuple(r)[:3] for r in knn_topk(q.where("query_id = 1"), v, 5).orderBy("rank").collect()] == [(1, 1, 1.0), (1, 2, 0.0)]
+
+
+def test_run_documents_hold_a_bounded_block_of_steps(spark):
+    from pyspark.sql import functions as F
+    from spanweave.plans.catalog import run_documents
+    log = spark.range(25000).select(F.concat(F.lit("run"), (F.col("id") % 2).cast("string")).alias("run"), (F.col("id") / 2).cast("int").alias("step"),
+                                    F.col("id").cast("double").alias("loss"), F.lit(None).cast("double").alias("eval_loss"))
+    docs = run_documents(log, 1000).select("run", "log_history_snapshot", "trainer_state.log_history").collect()
+    assert len(docs) == 26 and max(len(r["log_history_snapshot"]) for r in docs) == 1000
+    assert all(len(r["log_history"]) == (0 if r["run"] == "run0" else len(r["log_history_snapshot"])) for r in docs)
+    assert sorted((r["run"], e["step"], e["loss"]) for r in docs for e in r["log_history_snapshot"]) == sorted(tuple(r) for r in log.select("run", "step", "loss").collect())
