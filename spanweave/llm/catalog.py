@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with the SQL that checks them where SQL can say it.
+"""The queries of the operators, with the SQL that checks them where SQL can say it.
 
 Every query applies its operator with production parameters to the whole of
 its table; digest columns come from the operator's own results.
@@ -192,3 +192,35 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.whitening import whiten
+    return whiten(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@_query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.runs import longest, periodic_runs, with_planted_runs
+    docs = with_planted_runs(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (periodic_runs(docs)
+            .select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *(c.alias(k) for k, c in longest(F.col("runs")).items()),
+                    F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+COPIES_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER w = 1 AS kept, sha256(body) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY body ORDER BY chars DESC, doc_id)
+"""
+
+
+@_query("op13_exact_dedup", COPIES_SQL)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanweave.llm.exact import exact_groups
+    return (exact_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+            .select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256"))
