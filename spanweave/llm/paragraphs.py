@@ -4,17 +4,19 @@ A text's units are paragraphs with content-defined borders: a word ends one if
 its rank (sentence and line ends first, then a hash of the last two words) is
 the least among its neighbours, so a passage is cut alike wherever it stands,
 also when it begins and ends inside a sentence, and every word of a text is in
-a unit that is long enough to be compared. Units get MinHash signatures of
-their 5-word shingles, cut into bands that :func:`tune` chooses for high recall. A twice filter (fixed size) tells which band keys occur
-twice; only those units shuffle. Equal units form a class; classes that
-collide in a band meet at the smallest of them, are verified by exact
-Jaccard in blocks, and components of the links are clusters. The first unit
-of a cluster stays, the others go.
+a unit that is long enough to be compared. Equal units form a class, named by
+a 128-bit print of its shingles. MinHash signatures of 5-word shingles are cut
+into bands that :func:`tune` chooses for high recall with few keys; band keys
+shuffle as pairs of numbers (each pair of key and class once a batch), and classes that share a key meet at
+the smallest of them. Only the texts of classes that meet another are sent:
+they are verified by exact Jaccard in blocks, and components of the links are
+clusters. The first unit of a cluster stays, the others go.
+
+What tasks get as a filter is sized from a count and at most ``filter_bits``
+large; a full filter lets more rows shuffle and changes no result.
 """
 from __future__ import annotations
 
-import re
-import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -30,35 +32,20 @@ from spanweave.llm._store import release, stored
 from spanweave.llm.jaccard import block_pairs, verified_links
 
 _U = np.uint64
-UNIT = re.compile(r"(?:[^\n.!?]++|[.!?]++(?=[^\s.!?]))++[.!?]*+|[.!?]++")
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def tune(similarity: float, recall: float, most: int = 48) -> tuple[int, int]:
-    """``(bands, rows)``: the most selective banding of at most ``most`` hashes whose recall at ``similarity`` is ``recall`` or more."""
-    for rows in range(most, 0, -1):
-        bands = most // rows
-        if 1 - (1 - similarity ** rows) ** bands >= recall:
-            while bands > 1 and 1 - (1 - similarity ** rows) ** (bands - 1) >= recall:
-                bands -= 1
-            return bands, rows
-    return most, 1
-
-
-def units(text: str | None) -> list[tuple[int, int]]:
-    """Spans of a text's units, without blanks at their ends."""
-    out = []
-    for m in UNIT.finditer(text or ""):
-        part = m.group()
-        left = len(part) - len(part.lstrip())
-        if left < len(part):
-            out.append((m.start() + left, m.start() + len(part.rstrip())))
-    return out
-
+def tune(similarity: float, recall: float, rows: int = 2, most: int = 96) -> tuple[int, int]:
+    """``(bands, rows)``: the fewest bands whose recall at ``similarity`` is ``recall`` or more, with ``rows`` hashes each (one, if ``most`` is not enough).
 
-def sentences(texts: list[str | None]) -> list[list[tuple[int, int]]]:
-    """:func:`units` of each text."""
-    return [units(t) for t in texts]
+    Every band is a key that shuffles for every unit, while a chance meeting
+    costs one comparison, so few keys go before selective ones.
+    """
+    for rows in range(rows, 0, -1):
+        for bands in range(1, most // rows + 1):
+            if 1 - (1 - similarity ** rows) ** bands >= recall:
+                return bands, rows
+    return most, 1
 
 
 def paragraphs(texts: list[str | None], least: int = 6, most: int = 32) -> list[list[tuple[int, int]]]:
@@ -107,27 +94,40 @@ def paragraphs(texts: list[str | None], least: int = 6, most: int = 32) -> list[
     return [spans[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _signatures(column: pa.Array, k: int, min_words: int, bands: int, rows: int):
-    """For the units of ``min_words`` words: their rows, shingle counts, two 64-bit prints and band keys (units x bands)."""
-    data, offsets = utf8(column)
-    starts, ends, first = words(data, offsets)
-    kept = np.flatnonzero(np.diff(first) >= max(min_words, k))
-    if not len(kept):
-        return kept, kept, np.zeros((0, 2), _U), np.zeros((0, bands), _U)
-    parts = shingles(word_hashes(data, starts, ends), first, k)
-    parts = [parts[i] for i in kept.tolist()]
-    n = np.array([len(p) for p in parts])
-    flat = np.concatenate(parts)
-    at = np.cumsum(n) - n
-    place = (2 * (np.arange(len(flat)) - np.repeat(at, n)) + 1).astype(_U)
-    prints = np.stack([np.add.reduceat(mix64(flat ^ s) * place, at) for s in _SEEDS[-2:]], axis=1)
-    keys = np.empty((len(kept), bands), _U)
-    for b in range(bands):
-        key = np.full(len(kept), _U(b + 1))
-        for r in range(rows):
-            key = mix64(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix64(flat ^ _SEEDS[b * rows + r]), at))
-        keys[:, b] = key
-    return kept, n, prints, keys
+class _Units:
+    """Units of ``k`` words and ``min_words`` or more among strings: which they are (``kept``), shingle counts ``n`` and hashes."""
+
+    def __init__(self, strings: list[str], k: int, min_words: int):
+        data, offsets = utf8(pa.array(strings, pa.large_string()))
+        starts, ends, first = words(data, offsets)
+        self.kept = np.flatnonzero(np.diff(first) >= max(min_words, k))
+        parts = shingles(word_hashes(data, starts, ends), first, k) if len(self.kept) else []
+        parts = [parts[i] for i in self.kept.tolist()]
+        self.n = np.array([len(p) for p in parts], np.int64)
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, _U)
+        self.at = np.cumsum(self.n) - self.n
+
+    def prints(self) -> np.ndarray:
+        """Two 64-bit numbers a unit, equal for equal sequences of shingles."""
+        if not len(self.n):
+            return np.zeros((0, 2), _U)
+        place = (2 * (np.arange(len(self.flat)) - np.repeat(self.at, self.n)) + 1).astype(_U)
+        return np.stack([np.add.reduceat(mix64(self.flat ^ s) * place, self.at) for s in _SEEDS[-2:]], axis=1)
+
+    def keys(self, bands: int, rows: int) -> np.ndarray:
+        """Band keys (units x bands)."""
+        out = np.empty((len(self.n), bands), _U)
+        for b in range(bands if len(self.n) else 0):
+            key = np.full(len(self.n), _U(b + 1))
+            for r in range(rows):
+                key = mix64(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix64(self.flat ^ _SEEDS[b * rows + r]), self.at))
+            out[:, b] = key
+        return out
+
+
+def _names(prints: np.ndarray) -> pa.Array:
+    """Prints as binary values of 16 bytes."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(prints), [None, pa.py_buffer(prints.astype(">u8").tobytes())]).cast(pa.binary())
 
 
 def _unit_groups(texts: list[str | None], split: Callable, size: int = 1 << 20):
@@ -146,62 +146,116 @@ def _unit_groups(texts: list[str | None], split: Callable, size: int = 1 << 20):
             lo, total = hi, 0
 
 
-def suspected_units(docs: DataFrame, id_col: str, text_col: str, k: int, min_words: int, bands: int, rows: int, bloom_bits: int,
-                    split: Callable = sentences) -> DataFrame:
-    """``(id, unit, fp, n, text, keys)``: units that share a band key with another, as far as the twice filter can tell."""
-    def hashes(batch):
-        for _, _, strings in _unit_groups(batch.column(0).to_pylist(), split):
-            yield _signatures(pa.array(strings, pa.string()), k, min_words, bands, rows)[3].ravel()
+def _filter(values: DataFrame, filter_bits: int):
+    """Broadcast filter of the 64-bit numbers of ``values``: 16 bits for each of them, at most ``filter_bits`` in all."""
+    bits = min(filter_bits, max(1 << 16, 1 << (16 * values.count()).bit_length()))
+    return values.sparkSession.sparkContext.broadcast(
+        twice_filter(values, lambda batch: [batch.column(0).to_numpy().astype(np.int64).view(_U)], bits, once_only=True))
+
+
+def meetings(docs: DataFrame, text_col: str, k: int, min_words: int, bands: int, rows: int, split: Callable) -> DataFrame:
+    """``(hub, p)``: classes (by the first half of their print) that share a band key, with the smallest of each key; the hub too."""
+    def emit(batches):
+        for batch in batches:
+            for _, _, strings in _unit_groups(batch.column(0).to_pylist(), split):
+                units = _Units(strings, k, min_words)
+                key, p = units.keys(bands, rows).ravel(), np.repeat(units.prints()[:, 0], bands)
+                order = np.lexsort((p, key))
+                key, p = key[order], p[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (p[1:] != p[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(p[new].view(np.int64))], ["key", "p"])
+        release()
 
-    bits = docs.sparkSession.sparkContext.broadcast(twice_filter(docs.select(F.col(text_col)), hashes, bloom_bits))
+    def meet(batches):
+        held = None  # key and hub of the row before
+        for batch in batches:
+            key, p = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            begin = np.ones(len(key), bool)
+            begin[1:] = key[1:] != key[:-1]
+            hub = p[np.maximum.accumulate(np.where(begin, np.arange(len(key)), 0))]
+            if held is not None and held[0] == key[0]:
+                hub[:len(key) if begin[1:].sum() == 0 else 1 + int(np.argmax(begin[1:]))] = held[1]
+            held = key[-1], hub[-1]
+            other = hub != p
+            yield pa.RecordBatch.from_arrays([pa.array(hub[other]), pa.array(p[other])], ["hub", "p"])
+
+    keyed = docs.select(F.col(text_col)).mapInArrow(emit, "key bigint, p bigint")
+    found = stored(keyed.repartition("key").sortWithinPartitions("key", "p").mapInArrow(meet, "hub bigint, p bigint").distinct(), "meetings")
+    return found.unionByName(found.select("hub", F.col("hub").alias("p")).distinct())
+
+
+def linked_classes(docs: DataFrame, text_col: str, k: int, num: int, den: int, min_words: int, recall: float, filter_bits: int,
+                   block_rows: int, block_shingles: int, split: Callable) -> DataFrame:
+    """``(node, root)``: classes that are linked with another by Jaccard ``num / den``, and the smallest of their cluster."""
+    bands, rows = tune(num / den, recall)
+    visits = meetings(docs, text_col, k, min_words, bands, rows, split)
+    wanted = _filter(visits.select("p").distinct(), filter_bits)
 
-    def pick(batches):
+    def fetch(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for own, numbers, strings in _unit_groups(batch.column(1).to_pylist(), split):
-                kept, n, prints, keys = _signatures(pa.array(strings, pa.string()), k, min_words, bands, rows)
-                known = held(bits.value, keys.ravel()).reshape(keys.shape)
-                some = np.flatnonzero(known.any(axis=1)).tolist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([ids[own[kept[i]]] for i in some], pa.int64()), pa.array([numbers[kept[i]] for i in some], pa.int32()),
-                    pa.array([struct.pack(">QQ", *prints[i].tolist()) for i in some], pa.binary()), pa.array(n[some], pa.int64()),
-                    pa.array([strings[kept[i]] for i in some], pa.string()),
-                    pa.array([keys[i][known[i]].view(np.int64) for i in some], pa.list_(pa.int64()))], ["id", "unit", "fp", "n", "text", "keys"])
+            for _, _, strings in _unit_groups(batch.column(0).to_pylist(), split):
+                units = _Units(strings, k, min_words)
+                prints = units.prints()
+                some = np.flatnonzero(held(wanted.value, prints[:, 0]))
+                some = some[np.unique(prints[some], axis=0, return_index=True)[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(prints[some, 0].view(np.int64)), _names(prints[some]), pa.array(units.n[some]),
+                                                  pa.array([strings[i] for i in units.kept[some].tolist()], pa.string())], ["p", "fp", "n", "text"])
         release()
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(
-        pick, "id bigint, unit int, fp binary, n bigint, text string, keys array<bigint>")
+    texts = docs.select(F.col(text_col)).mapInArrow(fetch, "p bigint, fp binary, n bigint, text string")
+    classes = texts.groupBy("p", "fp", "n").agg(F.first("text").alias("text"))
+    at_hub = stored(visits.join(classes, "p").select("hub", "fp", "n", "text"), "unit-visits")
+    return components(stored(verified_links(block_pairs(at_hub, block_rows, block_shingles), k, num, den, check_print=False), "unit-links"))
 
 
-def repeated_units(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, min_words: int, recall: float, bloom_bits: int,
-                   block_rows: int, block_shingles: int, split: Callable = sentences) -> DataFrame:
-    """``(id, unit, first_id)``: units that repeat an earlier one of their cluster, and the document where that stands."""
-    bands, rows = tune(num / den, recall)
-    found = stored(suspected_units(docs, id_col, text_col, k, min_words, bands, rows, bloom_bits, split), "units")
-    classes = stored(found.groupBy("fp").agg(F.first("n").alias("n"), F.first("text").alias("text"), F.first("keys").alias("keys")), "unit-classes")
-    entries = classes.select("fp", F.explode("keys").alias("key"))
-    hubs = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("fp").alias("hub")).where("c > 1").select(F.col("key").alias("k"), "hub")
-    visits = entries.join(hubs, F.col("key") == F.col("k")).select("hub", F.col("fp").alias("f")).distinct()
-    at_hub = visits.join(classes, F.col("f") == F.col("fp")).select("hub", "fp", "n", "text")
-    links = stored(verified_links(block_pairs(at_hub, block_rows, block_shingles), k, num, den, check_print=False), "unit-links")
-    roots = components(links)
-    last = F.lit(2**63 - 1)
-    placed = found.select("id", "unit", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(
-        "id", "unit", F.coalesce("root", "fp").alias("cluster"))
-    placed = stored(placed, "placed")
-    firsts = (placed.groupBy("cluster").agg(F.min(F.struct(F.coalesce("id", last).alias("id"), "unit")).alias("first"), F.count("*").alias("c"))
-              .where("c > 1").select(F.col("cluster").alias("of"), "first"))
-    return (placed.join(firsts, F.col("cluster") == F.col("of"))
-            .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("unit") == F.col("first.unit"))))
-            .select("id", "unit", F.when(F.col("first.id") < last, F.col("first.id")).alias("first_id")))
+def repeated_units(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, min_words: int, recall: float, filter_bits: int,
+                   block_rows: int, block_shingles: int, split: Callable) -> DataFrame:
+    """``(id, unit, first_id)``: units that repeat an earlier one of their cluster, and the document where that stands.
 
+    Places are counted by class first, so a class or cluster of any size is a
+    row a task before it shuffles; only units of repeated clusters come again.
+    """
+    roots = linked_classes(docs, text_col, k, num, den, min_words, recall, filter_bits, block_rows, block_shingles, split)
+    last = F.lit(2**63 - 1)
 
-def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = sentences, along: int = 3) -> tuple[str, list[tuple[int, int]]]:
+    def units(only=None):
+        def emit(batches):
+            for batch in batches:
+                ids = batch.column(0)
+                for own, numbers, strings in _unit_groups(batch.column(1).to_pylist(), split):
+                    units = _Units(strings, k, min_words)
+                    prints, kept = units.prints(), units.kept
+                    if only is not None:
+                        some = held(only.value, prints[:, 0])
+                        prints, kept = prints[some], kept[some]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.array(own, np.int64)[kept])), pa.array(np.array(numbers, np.int32)[kept]),
+                                                      _names(prints)], ["id", "unit", "fp"])
+            release()
+        return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(emit, "id bigint, unit int, fp binary")
+
+    place = F.struct(F.coalesce("id", last).alias("id"), "unit")
+    classes = units().groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("c"))
+    classes = (classes.join(roots, F.col("fp") == F.col("node"), "left").where("c > 1 or root is not null")
+               .select("fp", F.coalesce("root", "fp").alias("cluster"), "first", "c"))
+    classes = stored(classes, "unit-classes")
+    clusters = (classes.groupBy("cluster").agg(F.min("first").alias("first"), F.sum("c").alias("c")).where("c > 1")
+                .select(F.col("cluster").alias("of"), F.col("first").alias("stays")))
+    named = stored(classes.join(clusters, F.col("cluster") == F.col("of")).select(F.col("fp").alias("name"), "stays"), "unit-clusters")
+    half = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("bigint")
+    again = units(_filter(named.select(half.alias("p")), filter_bits))
+    return (again.join(named, F.col("fp") == F.col("name"))
+            .where(~(F.coalesce("id", last).eqNullSafe(F.col("stays.id")) & (F.col("unit") == F.col("stays.unit"))))
+            .select("id", "unit", F.when(F.col("stays.id") < last, F.col("stays.id")).alias("first_id")))
+
+
+def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable) -> tuple[str, list[tuple[int, int]]]:
     """A text without its repeated units, and the spans taken out.
 
-    A run of repeated units (up to ``along`` short units between two of them go
-    along) counts from ``min_run_words`` words on; shorter ones stay. Units that
-    go along are not known to repeat: where all units are compared it must be 0.
+    A run of repeated units counts from ``min_run_words`` words on; shorter
+    ones stay. Nothing goes but units that repeat.
     """
     spans = split([text])[0]
     size = [len(text[a:b].split()) for a, b in spans]
@@ -209,8 +263,6 @@ def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = s
     for j in range(len(spans)):
         if j in gone:
             run.append(j)
-        elif run and size[j] < 10 and any(x in gone for x in range(j + 1, min(j + along + 1, len(spans)))):
-            run.append(j)
         elif run:
             runs.append(run)
             run = []
@@ -230,7 +282,7 @@ def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable = s
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, min_words: int = 6,
-                   min_run_words: int = 20, recall: float = 0.98, bloom_bits: int = 1 << 28, block_rows: int = 512,
+                   min_run_words: int = 20, recall: float = 0.98, filter_bits: int = 1 << 28, block_rows: int = 512,
                    block_shingles: int = 1 << 20) -> DataFrame:
     """``docs`` without repeated passages in ``text_col``, plus ``removed`` and ``kept_in``.
 
@@ -241,7 +293,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     it has ``min_run_words`` words, and only units that repeat go; ``removed`` holds the spans (characters
     of the input text) and ``kept_in`` the ids of the documents where the
     units still stand. Collisions are found with probability ``recall`` at
-    the threshold, and always for equal units.
+    the threshold, and always for equal units. Documents that lose nothing
+    do not shuffle.
 
     Null or empty texts stay; null ids sort last. Rows with one id are one
     document: equal rows are cut alike. Other columns pass through; input
@@ -250,7 +303,8 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def split(texts):
         return paragraphs(texts, min_words)
 
-    found = repeated_units(docs, id_col, text_col, k, num, den, min_words, recall, bloom_bits, block_rows, block_shingles, split)
+    found = repeated_units(docs, id_col, text_col, k, num, den, min_words, recall, filter_bits, block_rows, block_shingles, split)
+    found = stored(found, "repeated-units")
     drops = found.groupBy(F.col("id").alias("drop_id")).agg(F.collect_set("unit").alias("gone"), F.collect_set(F.struct("unit", "first_id")).alias("stands"))
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>, units array<int>")
@@ -260,15 +314,27 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if text is None or drop is None:
                 rows.append((text, [], []))
                 continue
-            left, spans = cut_units(text, set(drop.tolist()), min_run_words, split, along=0)
+            left, spans = cut_units(text, set(drop.tolist()), min_run_words, split)
             inside = [j for j, (a, b) in enumerate(split([text])[0]) if any(x <= a and b <= y for x, y in spans)]
             rows.append((left, [{"start": a, "end": b} for a, b in spans], inside))
         return pd.DataFrame(rows, columns=["text", "removed", "units"])
 
-    wide = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own_id"))
-    out = (wide.join(drops, F.col("own_id").eqNullSafe(F.col("drop_id")), "left")
+    some = _filter(found.select(F.xxhash64("id")).distinct(), filter_bits)
+
+    @F.pandas_udf("boolean")
+    def touched(hashes: pd.Series) -> pd.Series:
+        return pd.Series(held(some.value, hashes.to_numpy().view(_U)))
+
+    wide = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own_id")).withColumn("touched", touched(F.xxhash64("own_id")))
+    none, ids = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<bigint>")
+    names = [c for c in docs.columns if c not in ("removed", "kept_in")]
+
+    def columns(text, removed, kept_in):
+        return [*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in names), removed.alias("removed"), kept_in.alias("kept_in")]
+
+    out = (wide.where("touched").join(drops, F.col("own_id").eqNullSafe(F.col("drop_id")), "left")
            .select("row", "stands", cut(F.col("row").getField(text_col), "gone").alias("cut")))
-    kept = [F.col("cut.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("removed", "kept_in")]
     stands = F.filter("stands", lambda s: F.array_contains(F.col("cut.units"), s.getField("unit")) & s.getField("first_id").isNotNull())
-    return out.select(*kept, F.col("cut.removed").alias("removed"),
-                      F.coalesce(F.array_sort(F.array_distinct(F.transform(stands, lambda s: s.getField("first_id")))), F.array().cast("array<bigint>")).alias("kept_in"))
+    kept_in = F.coalesce(F.array_sort(F.array_distinct(F.transform(stands, lambda s: s.getField("first_id")))), ids)
+    return (out.select(*columns(F.col("cut.text"), F.col("cut.removed"), kept_in))
+            .unionByName(wide.where("not touched").select(*columns(F.col("row").getField(text_col), none, ids))))

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from spanweave.llm.paragraphs import cut_units, dedup_passages, repeated_units, tune, units
+from spanweave.llm.paragraphs import cut_units, dedup_passages, paragraphs, repeated_units, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -14,9 +14,9 @@ def shingle_set(text, k=5):
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
 
 
-def brute(rows, min_words=8):
+def brute(rows, min_words=6):
     """(id, unit, first id) of units that repeat an earlier one of their cluster."""
-    found = [(i, j, shingle_set(t[a:b])) for i, t in rows if t for j, (a, b) in enumerate(units(t)) if len(WORD.findall(t[a:b])) >= min_words]
+    found = [(i, j, shingle_set(t[a:b])) for i, t in rows if t for j, (a, b) in enumerate(paragraphs([t])[0]) if len(WORD.findall(t[a:b])) >= min_words]
     root = list(range(len(found)))
 
     def find(x):
@@ -35,6 +35,10 @@ def brute(rows, min_words=8):
     return {(i, j, min(g)[0]) for g in groups.values() for i, j in g if (i, j) != min(g)}
 
 
+def sentences_of(text):
+    return [(m.start(), m.end()) for m in re.finditer(r"[^ .][^.]*\.", text)]
+
+
 def sentence(rng, n):
     return " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(200)) for _ in range(n)).capitalize() + "."
 
@@ -54,14 +58,39 @@ def corpus(seed=3):
     return rows
 
 
+def found_units(spark, rows, recall, filter_bits=1 << 20, block_rows=512):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return {tuple(r) for r in repeated_units(df, "doc_id", "text", 5, 4, 5, 6, recall, filter_bits, block_rows, 1 << 20, paragraphs).collect()}
+
+
 @pytest.mark.parametrize("block_rows", [512, 4])
 def test_repeated_units_match_brute_force(spark, block_rows):
     rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {tuple(r) for r in repeated_units(df, "doc_id", "text", 5, 4, 5, 8, 0.9999, 1 << 20, block_rows, 1 << 20).collect()}
+    got = found_units(spark, rows, 0.9999, block_rows=block_rows)
     assert got == brute(rows) and len(got) > 40
 
 
+def test_registered_recall_and_a_full_filter(spark):
+    rows = [(i, t) for c in range(3) for i, t in ((1000 * c + i, t) for i, t in corpus(30 + c))]
+    want = brute(rows)
+    got = found_units(spark, rows, 0.98, filter_bits=1 << 16)
+    assert got <= want and len(got) >= 0.98 * len(want) > 100
+    assert found_units(spark, rows, 0.98, filter_bits=64) == got  # every row passes the filter
+
+
+def test_a_hot_unit_and_long_texts(spark):
+    rng = random.Random(40)
+    hot = " ".join(sentence(rng, 15) for _ in range(3))
+    rows = [(i, f"{sentence(rng, 12)}\n{hot}" if i % 3 == 0 else sentence(rng, 12)) for i in range(300)]
+    rows.append((999, "\n".join(sentence(rng, rng.randrange(5, 40)) for _ in range(12000)) + "\n" + hot))  # more than one group of units
+    assert len(rows[-1][1]) > 1 << 20
+    out = dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), filter_bits=1 << 20)
+    cut = {r["doc_id"]: r for r in out.where("size(removed) > 0").collect()}
+    assert set(cut) == {i for i in range(3, 300, 3)} | {999} and {tuple(r["kept_in"]) for r in cut.values()} == {(0,)}
+    assert all(cut[i]["text"].strip() == t.split("\n")[0] for i, t in rows[:-1] if i in cut)
+    assert cut[999]["text"].strip() == rows[-1][1][:-len(hot)].strip()
+
+
 def test_passages_go_and_the_rest_stays(spark):
     rng = random.Random(1)
     passage = " ".join(sentence(rng, 14) for _ in range(4))
@@ -69,7 +98,7 @@ def test_passages_go_and_the_rest_stays(spark):
     rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{own[2]} {passage} {own[3]}"), (3, f"{own[4]}\n{passage}\n{own[5]}"), (4, own[6]), (5, None), (6, ""),
             (7, f"{own[7]}\n{passage[:passage.index('.') + 1]}"), (None, passage), (4, own[6])]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, units string")
-    out = dedup_passages(df, bloom_bits=1 << 20)
+    out = dedup_passages(df, filter_bits=1 << 20)
     assert out.columns == ["doc_id", "text", "units", "removed", "kept_in"]
     got = {}
     for r in out.collect():
@@ -79,27 +108,28 @@ def test_passages_go_and_the_rest_stays(spark):
     assert got[3][0][0] == f"{own[4]}\n{own[5]}" and got[None][0][0] == ""
     at = got[2][0][1][0]
     assert rows[1][1][at[0]:at[1]] == passage
-    assert got[7][0][1] == []  # one sentence of 14 words is no run of 25
-    assert dedup_passages(df.limit(0), bloom_bits=1 << 20).count() == 0
+    assert got[7][0][1] == []  # one sentence of 14 words is no run of 20
+    assert dedup_passages(df.limit(0), filter_bits=1 << 20).count() == 0
+
 
+def test_cuts():
+    def split(texts):
+        return [[(m.start(), m.end()) for m in re.finditer(r"[^.]+\.", t)] for t in texts]
 
-def test_units_and_cuts():
-    assert [t[a:b] for t in ["One. Two! x.y  3.5?\n\n ...  Ünd\n"] for a, b in units(t)] == ["One.", "Two!", "x.y  3.5?", "...", "Ünd"]
-    assert units(None) == units("") == units(" \n ") == []
-    text = "Keep me. " + " ".join(["word"] * 30) + ". tiny. " + " ".join(["more"] * 9) + ". End."
-    assert cut_units(text, {1, 3}, 25)[0] == "Keep me. End."
-    assert cut_units(text, {3}, 25) == (text, [])
-    assert cut_units("", set(), 25) == ("", [])
+    text = "Keep me." + " ".join(["word"] * 30) + ".tiny." + " ".join(["more"] * 9) + ".End."
+    assert cut_units(text, {1, 2, 3}, 25, split)[0] == "Keep me.End."
+    assert cut_units(text, {1, 3}, 25, split)[0] == text.replace(" ".join(["word"] * 30) + ".", "")  # the tiny one stays, and what is left is short
+    assert cut_units(text, {3}, 25, split) == (text, [])
+    assert cut_units("", set(), 25, split) == ("", [])
 
 
 def test_banding_reaches_its_recall():
     for similarity, recall in ((0.8, 0.98), (0.9, 0.999), (0.5, 0.9)):
         bands, rows = tune(similarity, recall)
-        assert bands * rows <= 48 and 1 - (1 - similarity ** rows) ** bands >= recall
+        assert bands * rows <= 96 and 1 - (1 - similarity ** rows) ** bands >= recall
 
 
 def test_paragraphs_hold_every_word_and_ignore_what_is_around():
-    from spanweave.llm.paragraphs import paragraphs
     rng = random.Random(9)
     texts = [None, "", " \n ", "Too short.", "same " * 200, "Ünd ß. " * 30, "\n".join(sentence(rng, rng.randrange(1, 60)) for _ in range(40))]
     for t, spans in zip(texts, paragraphs(texts)):
@@ -118,10 +148,10 @@ def test_passages_of_short_sentences_and_inside_sentences_go(spark):
     inner = " ".join(x for _ in range(3) for x in sentence(rng, 22).split())[8:-8].strip()  # begins and ends inside a sentence
     own = [sentence(rng, 20)[:-1] for _ in range(8)]
     rows = [(2 * i + j, f"{own[4 * i + 2 * j]} {p} {own[4 * i + 2 * j + 1]}") for i, p in enumerate((short, inner)) for j in (0, 1)]
-    got = {r["doc_id"]: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), bloom_bits=1 << 20).collect()}
+    got = {r["doc_id"]: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), filter_bits=1 << 20).collect()}
     for first, passage in ((0, short), (2, inner)):
         assert got[first]["removed"] == [] and got[first + 1]["kept_in"] == [first]
-        assert len(got[first + 1]["text"].split()) <= 40 + len(passage.split()) / 2
+        assert len(got[first + 1]["text"].split()) <= 40 + 2 * 16
         assert all(w in got[first + 1]["text"].split() for w in rows[first + 1][1].split() if w not in passage.split())
 
 
@@ -134,11 +164,11 @@ def test_the_only_copy_of_a_short_sentence_stays(spark):
         if i == 1:
             short[0] = rows[0][2][0].replace(rows[0][2][0].split()[4], "changed")
         rows.append((i, f"{parts[0]} {short[0]} {parts[1]} {short[1]} {parts[2]}", short))
-    out = dedup_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), bloom_bits=1 << 20)
+    out = dedup_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), filter_bits=1 << 20)
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got[0] == rows[0][1]
     for i, _, short in rows[1:]:
         assert got[i].split() == " ".join(short).split()
     text = " ".join(x[1] for x in rows[:1])
-    cut, spans = cut_units(text, {0, 1, 2, 4, 5, 6}, 20, along=0)  # unit 3 may be the first of its cluster
+    cut, spans = cut_units(text, {0, 1, 2, 4, 5, 6}, 20, lambda ts: [sentences_of(t) for t in ts])  # unit 3 may be the first of its cluster
     assert rows[0][2][0] in cut and len(spans) == 2
