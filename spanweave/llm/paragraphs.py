@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.llm._arrays import mix64, row_ranges, shingles, utf8, word_hashes, words
+from spanweave.llm._arrays import mix64, row_ranges, utf8, word_hashes, words
 from spanweave.llm._bloom import held, twice_filter
 from spanweave.llm._graph import components
 from spanweave.llm._store import release, stored
@@ -94,6 +94,17 @@ def paragraphs(texts: list[str | None], least: int = 6, most: int = 32) -> list[
     return [spans[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _rolling(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the ``k`` words from each place on, as far as there are ``k``."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return hashes[:0]
+    out = np.zeros(n, _U)
+    for j in range(k):
+        out += hashes[j:n + j] * (_SEEDS[96 + j] | _U(1))
+    return mix64(out)
+
+
 class _Units:
     """Units of ``k`` words and ``min_words`` or more among strings: which they are (``kept``), shingle counts ``n`` and hashes."""
 
@@ -101,11 +112,10 @@ class _Units:
         data, offsets = utf8(pa.array(strings, pa.large_string()))
         starts, ends, first = words(data, offsets)
         self.kept = np.flatnonzero(np.diff(first) >= max(min_words, k))
-        parts = shingles(word_hashes(data, starts, ends), first, k) if len(self.kept) else []
-        parts = [parts[i] for i in self.kept.tolist()]
-        self.n = np.array([len(p) for p in parts], np.int64)
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, _U)
+        self.n = (np.diff(first) - k + 1)[self.kept]
         self.at = np.cumsum(self.n) - self.n
+        rolled = _rolling(word_hashes(data, starts, ends), k)
+        self.flat = rolled[np.repeat(first[self.kept] - self.at, self.n) + np.arange(self.n.sum())]
 
     def prints(self) -> np.ndarray:
         """Two 64-bit numbers a unit, equal for equal sequences of shingles."""
@@ -251,14 +261,12 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, k: int, num: int
             .select("id", "unit", F.when(F.col("stays.id") < last, F.col("stays.id")).alias("first_id")))
 
 
-def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable) -> tuple[str, list[tuple[int, int]]]:
-    """A text without its repeated units, and the spans taken out.
+def cut_units(text: str, gone: set[int], min_run_words: int, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """A text with units at ``spans`` without its repeated units, and the spans taken out.
 
     A run of repeated units counts from ``min_run_words`` words on; shorter
     ones stay. Nothing goes but units that repeat.
     """
-    spans = split([text])[0]
-    size = [len(text[a:b].split()) for a, b in spans]
     runs, run = [], []
     for j in range(len(spans)):
         if j in gone:
@@ -267,7 +275,7 @@ def cut_units(text: str, gone: set[int], min_run_words: int, split: Callable) ->
             runs.append(run)
             run = []
     runs.append(run)
-    out = [(spans[r[0]][0], spans[r[-1]][1]) for r in runs if r and sum(size[j] for j in r) >= min_run_words]
+    out = [(spans[r[0]][0], spans[r[-1]][1]) for r in runs if r and sum(len(text[a:b].split()) for a, b in spans[r[0]:r[-1] + 1]) >= min_run_words]
     kept, at = [], 0
     for a, b in out:
         kept.append(text[at:a])
@@ -309,14 +317,15 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @F.pandas_udf("text string, removed array<struct<start:int,end:int>>, units array<int>")
     def cut(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, drop in zip(texts, gone):
-            if text is None or drop is None:
-                rows.append((text, [], []))
-                continue
-            left, spans = cut_units(text, set(drop.tolist()), min_run_words, split)
-            inside = [j for j, (a, b) in enumerate(split([text])[0]) if any(x <= a and b <= y for x, y in spans)]
-            rows.append((left, [{"start": a, "end": b} for a, b in spans], inside))
+        rows, texts, gone = [], texts.tolist(), gone.tolist()
+        for lo, hi in row_ranges(pa.array(texts, pa.large_string())):
+            for text, drop, at in zip(texts[lo:hi], gone[lo:hi], split(texts[lo:hi])):
+                if text is None or drop is None:
+                    rows.append((text, [], []))
+                    continue
+                left, spans = cut_units(text, set(drop.tolist()), min_run_words, at)
+                inside = [j for j in drop.tolist() if any(x <= at[j][0] and at[j][1] <= y for x, y in spans)]
+                rows.append((left, [{"start": a, "end": b} for a, b in spans], inside))
         return pd.DataFrame(rows, columns=["text", "removed", "units"])
 
     some = _filter(found.select(F.xxhash64("id")).distinct(), filter_bits)

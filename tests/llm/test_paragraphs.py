@@ -113,14 +113,14 @@ def test_passages_go_and_the_rest_stays(spark):
 
 
 def test_cuts():
-    def split(texts):
-        return [[(m.start(), m.end()) for m in re.finditer(r"[^.]+\.", t)] for t in texts]
+    def units(t):
+        return [(m.start(), m.end()) for m in re.finditer(r"[^.]+\.", t)]
 
     text = "Keep me." + " ".join(["word"] * 30) + ".tiny." + " ".join(["more"] * 9) + ".End."
-    assert cut_units(text, {1, 2, 3}, 25, split)[0] == "Keep me.End."
-    assert cut_units(text, {1, 3}, 25, split)[0] == text.replace(" ".join(["word"] * 30) + ".", "")  # the tiny one stays, and what is left is short
-    assert cut_units(text, {3}, 25, split) == (text, [])
-    assert cut_units("", set(), 25, split) == ("", [])
+    assert cut_units(text, {1, 2, 3}, 25, units(text))[0] == "Keep me.End."
+    assert cut_units(text, {1, 3}, 25, units(text))[0] == text.replace(" ".join(["word"] * 30) + ".", "")  # the tiny one stays, and what is left is short
+    assert cut_units(text, {3}, 25, units(text)) == (text, [])
+    assert cut_units("", set(), 25, []) == ("", [])
 
 
 def test_banding_reaches_its_recall():
@@ -170,5 +170,5 @@ def test_the_only_copy_of_a_short_sentence_stays(spark):
     for i, _, short in rows[1:]:
         assert got[i].split() == " ".join(short).split()
     text = " ".join(x[1] for x in rows[:1])
-    cut, spans = cut_units(text, {0, 1, 2, 4, 5, 6}, 20, lambda ts: [sentences_of(t) for t in ts])  # unit 3 may be the first of its cluster
+    cut, spans = cut_units(text, {0, 1, 2, 4, 5, 6}, 20, sentences_of(text))  # unit 3 may be the first of its cluster
     assert rows[0][2][0] in cut and len(spans) == 2
