@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.llm.hosts import PUBLIC_SUFFIXES
 from spanweave.sources.tables import read_table
 
 LLM_QUERIES: dict = {}
@@ -158,22 +159,23 @@ WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?
                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 o AS (SELECT doc_id, 1 - quality AS bad FROM labels WHERE quality IN (0, 1)),
-h AS (SELECT host, regexp_extract(host, '([^.]*\.[^.]*|^[^.]*)$', 1) AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix,
-             count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS x FROM p LEFT JOIN o ON o.doc_id = p.page_id GROUP BY host),
-g AS (SELECT coalesce(sum(x) / nullif(sum(n), 0), 0) AS mu FROM h),
-s AS (SELECT suffix, sum(n) AS n, sum(x) AS x FROM h GROUP BY suffix),
-sw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.9) - 1 AS m
-       FROM s, g WHERE n > 0),
-sm AS (SELECT suffix, (x + m * mu) / (n + m) AS mu FROM s, g, sw),
-d AS (SELECT h.domain, sm.mu, sum(n) AS n, sum(x) AS x FROM h JOIN sm USING (suffix) GROUP BY ALL),
-dw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.9) - 1 AS m
-       FROM d WHERE n > 0),
-dm AS (SELECT domain, (x + m * mu) / (n + m) AS mu FROM d, dw),
-k AS (SELECT h.host, h.n, h.x, dm.mu FROM h JOIN dm USING (domain)),
-kw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.9) - 1 AS m
-       FROM k WHERE n > 0),
-b AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) AS bad_bound
-      FROM (SELECT host, (x + m * mu) / (n + m) AS mean, n + m AS w FROM k, kw)),
+c AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS x FROM p LEFT JOIN o ON o.doc_id = p.page_id GROUP BY host),
+q AS (SELECT c.*, string_split(host, '.') AS parts FROM c),
+h AS (SELECT host, n, x, k, array_to_string(parts[greatest(len(parts) - k, 1):], '.') AS domain, array_to_string(parts[greatest(len(parts) - k + 1, 1):], '.') AS suffix
+      FROM (SELECT q.*, CASE WHEN array_to_string(parts[greatest(len(parts) - 1, 1):], '.') IN (PUBLIC) THEN 2 ELSE 1 END AS k FROM q)),
+d AS (SELECT domain, suffix, sum(n) AS dn, sum(x) AS dx FROM h GROUP BY domain, suffix),
+s AS (SELECT suffix, sum(dn) AS sn, sum(dx) AS sx FROM d GROUP BY suffix),
+s1 AS (SELECT suffix, sn, sx, (t.x - sx) / nullif(t.n - sn, 0) AS top FROM s, (SELECT sum(n) AS n, sum(x) AS x FROM h) t),
+sw AS (SELECT 1 / least(greatest(coalesce(sum(pow(sx / sn - top, 2) * sn - top * (1 - top)) / nullif(sum(top * (1 - top) * (sn - 1)), 0), 0.001), 0.001), 0.5) - 1 AS w
+       FROM s1 WHERE sn > 0 AND top > 0 AND top < 1),
+d1 AS (SELECT domain, dn, dx, coalesce((sx - dx + w * top) / (sn - dn + w), (sx - dx) / nullif(sn - dn, 0)) AS above FROM d JOIN s1 USING (suffix), sw),
+dw AS (SELECT 1 / least(greatest(coalesce(sum(pow(dx / dn - above, 2) * dn - above * (1 - above)) / nullif(sum(above * (1 - above) * (dn - 1)), 0), 0.001), 0.001), 0.5) - 1 AS w
+       FROM d1 WHERE dn > 0 AND above > 0 AND above < 1),
+k AS (SELECT host, n, x, coalesce((dx - x + w * above) / (dn - n + w), (dx - x) / nullif(dn - n, 0)) AS mu FROM h JOIN d1 USING (domain), dw),
+kw AS (SELECT 1 / least(greatest(coalesce(sum(pow(x / n - mu, 2) * n - mu * (1 - mu)) / nullif(sum(mu * (1 - mu) * (n - 1)), 0), 0.001), 0.001), 0.5) - 1 AS w
+       FROM k WHERE n > 0 AND mu > 0 AND mu < 1),
+b AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + w + 1)) AS bad_bound
+      FROM (SELECT host, n, w, (x + w * coalesce(mu, 0)) / (n + w) AS mean FROM k, kw)),
 r AS (SELECT p.*, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
                        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
                        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
@@ -182,7 +184,7 @@ SELECT page_id, r.host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN bad_bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN b ON b.host = r.host
-"""
+""".replace("PUBLIC", ", ".join(f"'{x}'" for x in PUBLIC_SUFFIXES))
 
 
 @_query("op3_url_filter", HOSTS_SQL)
