@@ -2,13 +2,15 @@
 
 Terms are lower-cased words without ASCII punctuation, hashed to
 ``2**hash_bits`` slots. The classifier is fitted on a bounded sample of
-labelled rows (``sample_rows``, picked by a hash of the id): the slots whose
-share among toxic rows differs most from that among others become its
-features, at most ``features`` of them, and a second-order factorization
-machine learns a weight for each and a vector whose products are the weights
-of pairs. So a pair such as an insult with a group mention can weigh more
-than both alone, which additive weights cannot say. What the driver fits on
-is at most ``sample_rows * features`` slot numbers. All rows are scored.
+labelled rows (``sample_rows``, picked by a hash of the id). Its features are
+the slots whose share among toxic rows differs most from that among others,
+and both slots of every pair whose joint presence says more than the two say
+apart (see :func:`strong_pairs`), also where neither says anything alone. A
+second-order factorization machine learns a weight for each feature and a
+vector whose products are the weights of pairs. So a pair such as an insult
+with a group mention can weigh more than both alone, which additive weights
+cannot say. What the driver fits on is at most ``sample_rows * (features +
+pair_terms)`` slot numbers. All rows are scored.
 """
 from __future__ import annotations
 
@@ -112,13 +114,42 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int, factors: int
     return float(theta[0][0]), theta[1], theta[2]
 
 
+def strong_pairs(rows: list[np.ndarray], labels: np.ndarray, terms: int, min_z: float, least: int = 10, most: int = 128, step: int = 2048) -> np.ndarray:
+    """Terms of the pairs whose toxic share departs from what the two terms add, by ``min_z`` standard errors or more.
+
+    For two terms the rows fall in four cells: both, one, the other, none. The
+    contrast of a pair is ``p11 - p10 - p01 + p00``; it is 0 where the terms
+    only add. Pairs with fewer than ``least`` rows in a cell are left out, and of the
+    rest the ``most`` strongest count.
+    """
+    both, toxic = np.zeros((terms, terms)), np.zeros((terms, terms))
+    for lo in range(0, len(rows), step):
+        own = rows[lo:lo + step]
+        x = np.zeros((len(own), terms), np.float32)
+        x[np.repeat(np.arange(len(own)), [len(r) for r in own]), np.concatenate(own) if own else []] = 1
+        both += x.T @ x
+        toxic += (x * labels[lo:lo + step, None].astype(np.float32)).T @ x
+    n, t = np.diag(both).copy(), np.diag(toxic).copy()
+    cells = [both, n[:, None] - both, n[None, :] - both, len(rows) - n[:, None] - n[None, :] + both]
+    bad = [toxic, t[:, None] - toxic, t[None, :] - toxic, labels.sum() - t[:, None] - t[None, :] + toxic]
+    enough = np.logical_and.reduce([c >= least for c in cells])
+    share = [b / np.maximum(c, 1) for b, c in zip(bad, cells)]
+    p = labels.mean() if len(labels) else 0.0
+    spread = np.sqrt(max(p * (1 - p), 1e-9) * sum(1 / np.maximum(c, 1) for c in cells))
+    z = np.where(enough, np.abs(share[0] - share[1] - share[2] + share[3]) / spread, 0)
+    i, j = np.nonzero(np.triu(z, 1) >= min_z)
+    strongest = np.lexsort((j, i, -z[i, j]))[:most]
+    return np.unique(np.concatenate([i[strongest], j[strongest]]))
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
           hash_bits: int = 18, sample_rows: int = 16_384, features: int = 2048,
-          min_z: float = 4.0) -> Machine:
+          min_z: float = 4.0, pair_terms: int = 1024, min_pair_z: float = 6.0) -> Machine:
     """Fit on the labelled rows for which ``usable`` (a condition on ``labels``) holds, ``sample_rows`` of them at most.
 
-    Slots whose shares differ by fewer than ``min_z`` standard errors are no
-    features. Null labels teach nothing. Without any label the score is one half. Rows
+    Slots whose shares differ by fewer than ``min_z`` standard errors are
+    features only if they belong to one of the :func:`strong_pairs` among the
+    ``pair_terms`` slots that most rows hold. Null labels teach nothing. Without any label the score is one half. Rows
     of a repeated id each count.
     """
     spark = docs.sparkSession
@@ -154,7 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
     z[whole | (n0 + n1 < 5)] = 0
     best = np.lexsort((slot, -z))[:features]
     best = best[z[best] >= min_z]
-    feature[slot[best]] = np.arange(len(best))
+    common = np.lexsort((slot, -np.where(whole, 0, n0 + n1)))[:pair_terms]
+    common = common[(n0 + n1)[common] * ~whole[common] >= 20]
+    wanted = np.concatenate([best, common[~np.isin(common, best)]])
+    feature[slot[wanted]] = np.arange(len(wanted))
     shared = spark.sparkContext.broadcast(feature)
 
     def pick(batches):
@@ -170,8 +204,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
 
     learnt = taken.mapInArrow(pick, "id bigint, label int, x array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     x = [np.asarray(v, np.int64) for v in learnt.column("x").to_pylist()]
-    bias, weight, vector = fit(x, learnt.column("label").to_numpy().astype(float), max(1, len(best)))
-    return Machine(feature, hash_bits, bias, weight, vector)
+    y = learnt.column("label").to_numpy().astype(float)
+    place = np.full(len(wanted), -1)
+    place[feature[slot[common]]] = np.arange(len(common))
+    paired = strong_pairs([place[r][place[r] >= 0] for r in x], y, len(common), min_pair_z)
+    kept = np.unique(np.concatenate([np.arange(len(best)), feature[slot[common[paired]]]])).astype(np.int64)
+    number = np.full(len(wanted) + 1, -1)
+    number[kept] = np.arange(len(kept))
+    x = [number[r][number[r] >= 0] for r in x]
+    bias, weight, vector = fit(x, y, max(1, len(kept)))
+    return Machine(number[feature], hash_bits, bias, weight, vector)  # number[-1] is -1: no feature
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", limit: float = 0.3) -> DataFrame:

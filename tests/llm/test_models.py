@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,64 @@ def test_bad_hosts_are_blocked_and_thin_ones_shrink(spark):
     assert got == {"spam.a.com": "block", "ok.a.com": "allow", "good.b.com": "allow", "thin.b.com": "allow", "new.b.com": "allow"}
 
 
+def test_own_pages_are_no_prior(spark):
+    from spanweave.llm.hosts import PUBLIC_SUFFIXES, domain_of, judge_urls, suffix_of
+    rows, bad = [], []
+
+    def put(host, n, x):
+        for j in range(n):
+            rows.append((len(rows), f"http://{host}/{j}", "p", "r", "v", 0.5))
+            bad.append((rows[-1][0], int(j < x)))
+
+    for i in range(300):
+        put(f"h{i}.dom{i % 60}.com", 6, 0 if i % 9 else 5)
+    put("one.zzy", 1, 1)  # alone in its domain and suffix
+    put("lone.lonely.com", 2, 2)  # alone in its domain
+    put("first.ten.com", 2, 2)
+    for j in range(10):
+        put(f"s{j}.ten.com", 3, 0)
+    put("worst.com", 200, 190)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, path string, rule string, verdict string, bad_bound double")
+    out = judge_urls(pages, spark.createDataFrame(bad, "page_id bigint, bad int"), [])
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict", "bad_bound"]
+    got = {r["host"]: (r["verdict"], r["bad_bound"]) for r in out.select("host", "verdict", "bad_bound").distinct().collect()}
+    assert got["one.zzy"][0] == "allow" and got["worst.com"][0] == "block"
+    assert got["first.ten.com"][1] < got["lone.lonely.com"][1]  # clean siblings speak for a host
+    only = judge_urls(pages.where("url like '%one.zzy%'"), spark.createDataFrame([(rows[-1][0], 1)] + bad, "page_id bigint, bad int"), [])
+    assert [r["verdict"] for r in only.collect()] == ["allow"]
+    hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "xco.uk", "b.xco.uk", "x.com", "com", "", "1.2.3.4", "u@x.org:80", "a..b"]
+    cut = spark.createDataFrame([(h,) for h in hosts], "h string").select(domain_of(F.col("h")), suffix_of(F.col("h"))).collect()
+    assert "co.uk" in PUBLIC_SUFFIXES
+    assert [tuple(r) for r in cut] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("xco.uk", "uk"), ("xco.uk", "uk"), ("x.com", "com"),
+                                       ("com", "com"), ("", ""), ("3.4", "4"), ("x.org:80".replace("x", "u@x"), "org:80"), (".b", "b")]
+
+
+def test_a_pair_without_marginal_effect_is_learnt(spark):
+    from spanweave.llm.toxicity import score, term_slots, train
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(4000):  # toxic when exactly one of the two stands there
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = [f"w{rng.randrange(400)}" for _ in range(8)] + ["alpha"] * a + ["Beta!"] * b
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), 0.5, 7))
+        labels.append((i, int(a != b)))
+    docs = spark.createDataFrame([*rows, *rows[:50]], "doc_id bigint, text string, score double, predicted int")
+    machine = train(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"), F.col("doc_id") % 4 != 2)
+    out = score(docs, machine)
+    assert out.columns == ["doc_id", "text", "score", "predicted"]
+    got = out.collect()
+    assert len(got) == 4050
+    held = [(r["predicted"], dict(labels)[r["doc_id"]]) for r in got if r["doc_id"] % 4 == 2]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    for r in got[:40]:  # the score by definition
+        slots = {int(term_slots(pa.array([w]), machine.hash_bits)[0][0]) for w in re.findall(r"[^\W_]+", r["text"])}
+        f = [int(machine.feature[s]) for s in slots if machine.feature[s] >= 0]
+        z = machine.bias + sum(machine.weight[a] for a in f) + sum(float(machine.vector[a] @ machine.vector[b]) for k, a in enumerate(f) for b in f[:k])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+    assert score(docs.limit(0), machine).collect() == []
+
+
 def test_wrong_language_and_no_common_words_are_not_natural(spark):
     from spanweave.llm.quality import judge
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 4 = 0").select("doc_id", "text", "lang")
