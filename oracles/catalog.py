@@ -420,3 +420,40 @@ ORACLES["pseudo_label"] = W(
     "string_agg(chr(39) || s || ' ' || (s + n) || chr(39), ', ' ORDER BY vi, j) AS l FROM lo GROUP BY id)",
 ) + ("SELECT pr.id, pn_num, feature_num, case_num, '[' || coalesce(a, '') || ']' AS annotation, '[' || coalesce(l, '') || ']' AS location, "
      "NULL::VARCHAR AS error FROM pr LEFT JOIN ag USING (id)")
+
+# ------------------------------------------- event documents, training-log streams
+_TAG = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (
+    ("view", "loss"), ("click", "eval_loss"), ("purchase", "grad_norm"), ("signup", "learning_rate"), ("error", "eval_runtime"))) + " END"
+_V = "coalesce(CAST(value AS VARCHAR), 'null')"
+_T = "'{\"tag\":\"train/' || tag || '\"'"
+_TENSOR = f"',\"tensor\":{{\"dtype\":\"DT_FLOAT\",\"floatVal\":[' || {_V} || ']}}}}'"
+EVENT_JSON = f"""WITH e AS (SELECT event_id, 'run' || (user_id % 8) AS run, value, props, floor(epoch(ts))::BIGINT AS wall, {_TAG} AS tag FROM events),
+j AS (SELECT run, CAST('{{"run":"' || run || '","wall_time":' || wall || ',"step":' || event_id || CASE WHEN event_id % 7 = 0 THEN '' ELSE ',"summary":[' ||
+  CASE WHEN event_id % 17 = 0 THEN {_T} || ',"value":null' || {_TENSOR}
+       WHEN event_id % 5 = 0 THEN {_T} || {_TENSOR}
+       WHEN event_id % 13 = 0 THEN {_T} || ',"value":0}},' || {_T} || ',"value":' || {_V} || '}}'
+       WHEN event_id % 19 = 0 THEN {_T} || '}}' ELSE {_T} || ',"value":' || {_V} || '}}' END ||
+  CASE WHEN event_id % 11 = 0 THEN ',{{"tag":"props/k","value":' || coalesce(json_extract_string(props, '$.k'), 'null') || '}}' ELSE '' END || ']' END || '}}' AS JSON) AS doc FROM e),
+s AS (SELECT run, CAST(doc->>'$.step' AS BIGINT) AS step, CAST(doc->>'$.wall_time' AS DOUBLE) AS wall_time, json_extract(doc, '$.summary[*]') AS items
+      FROM j WHERE json_exists(doc, '$.summary')),
+u AS (SELECT run, step, i, x->>'$.tag' AS tag, CASE WHEN json_exists(x, '$.value') THEN 'value' WHEN json_exists(x, '$.tensor') THEN 'tensor' END AS source,
+             try_cast(x->>'$.value' AS DOUBLE) AS v, try_cast(x->>'$.tensor.floatVal[0]' AS DOUBLE) AS t
+      FROM (SELECT run, step, unnest(items) AS x, generate_subscripts(items, 1) AS i FROM s)),
+w AS (SELECT * FROM u WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY step, tag ORDER BY i DESC) = 1),
+r AS (SELECT s.run, s.step, s.wall_time, w.tag, w.source, CASE WHEN w.source = 'value' THEN w.v END AS number,
+             CASE WHEN w.source = 'tensor' THEN w.t END AS tensor_number FROM s LEFT JOIN w ON w.step = s.step)
+"""
+ORACLES["event_json"] = EVENT_JSON + "SELECT * FROM r"
+ORACLES["event_json_pivot"] = EVENT_JSON + (
+    "SELECT run, CAST(floor((wall_time - 1704067200) / 3600) AS INTEGER) AS hstep, " + ", ".join(
+        f"round(avg(CASE WHEN tag = 'train/{t}' THEN number END), 6) AS {t}" for t in ["loss", "eval_loss", "grad_norm", "learning_rate", "eval_runtime"])
+    + " FROM r WHERE source = 'value' GROUP BY 1, 2")
+ORACLES["telemetry_sessions"] = (
+    f"WITH e AS (SELECT 'run' || (user_id % 8) AS run, ts, {_TAG} AS tag, value FROM events), "
+    "b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY run ORDER BY ts) <= INTERVAL 30 minute THEN 0 ELSE 1 END AS fresh FROM e), "
+    "g AS (SELECT *, sum(fresh) OVER (PARTITION BY run ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b) "
+    "SELECT run, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 30 minute, '%Y-%m-%d %H:%M:%S.%f') AS session_end, "
+    "count(*) AS n_events, round(avg(CASE WHEN tag = 'loss' THEN value END), 6) AS loss, "
+    "round(avg(CASE WHEN tag = 'eval_loss' THEN value END), 6) AS eval_loss FROM g GROUP BY run, s")
+ORACLES["telemetry_append"] = L + "SELECT run, step, loss, eval_loss, learning_rate, grad_norm FROM log"
+ORACLES["stream_vote_state"] = D.vote_oracle(2)

@@ -4,8 +4,9 @@ Offsets are 0-based, end-exclusive, counted in code points (Spark's
 ``locate``/``substring``/``length`` are 1-based code-point functions).
 Nothing here materialises a per-character array: voting is an interval
 sweep whose cost is proportional to the number of span boundaries, and the
-sweep input is pre-aggregated per (pair, position) so one hot pair can hold at
-most ``2 * note_length`` rows however many spans it receives.
+sweep input is pre-aggregated: of a voter's spans with one start only the
+furthest end is sent, so a hot pair has at most ``note_length`` rows a voter
+in its task, and ``2 * note_length`` positions, however many spans it receives.
 """
 from __future__ import annotations
 
@@ -45,10 +46,8 @@ def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", spa
     s = spans.withColumn(span_col, strip_u(F.col(span_col)))
     s = s.filter(F.col(span_col) != "")
     rest = [c for c in s.columns if c != key]
-    # only distinct pairs are searched, one row each: no group of a hot note is ever gathered
     texts = notes.select(key, note_col)
     note, span = F.col(note_col), F.col(span_col)
-    pairs = s.select(key, span_col).distinct().join(texts.filter(F.length(note) > 0), key)
     exact = locate(span, note)
 
     def hit(at, method):
@@ -56,19 +55,22 @@ def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", spa
 
     found = F.when(exact > 0, hit(exact, "exact")).otherwise(
         let(locate(F.lower(span), F.lower(note)), lambda c: F.when(c > 0, hit(c, "ci"))))
-    hits = pairs.select(key, span_col, found.alias("_at")).select(key, span_col, "_at.start", "_at.method")
+    # spans meet their note in one join (rows of a hot note are split, never gathered) and are searched in the row;
+    # a generator yields the hit, so that no filter makes the search run twice
+    hits = let(found, lambda x: F.when(x.isNotNull(), F.array(x)))
+    explode = F.inline if fuzzy_cutoff is None else F.inline_outer
+    j = s.join(texts.filter(F.length(note) > 0), key).select(key, *rest, note_col, explode(hits))
+    j = j.withColumn("end", F.col("start") + F.length(span_col))
     if fuzzy_cutoff is None:
-        hits = hits.filter(F.col("start").isNotNull())
-    j = s.join(hits, [key, span_col]).select(key, *rest, "start", "method").withColumn("end", F.col("start") + F.length(span_col))
-    if fuzzy_cutoff is not None:
-        from spanweave.operators.fuzzy import fuzzy_locate
-        path = unique_dir(j.sparkSession, "located")  # both branches read what the first two steps found
-        j.write.parquet(path)
-        seen = j.sparkSession.read.parquet(path)
-        lost = seen.filter(F.col("start").isNull()).drop("start", "end", "method")
-        miss = lost.select(key, span_col).distinct().join(texts, key).repartition(key, span_col)
-        found = fuzzy_locate(miss, span_col=span_col, note_col=note_col, cutoff=fuzzy_cutoff, mode=fuzzy_mode).drop(note_col)
-        j = seen.filter(F.col("start").isNotNull()).unionByName(lost.join(found, [key, span_col]))
+        return j.withColumn("note_len", F.length(note))
+    from spanweave.operators.fuzzy import fuzzy_locate
+    path = unique_dir(j.sparkSession, "located")  # both branches read what the first two steps found
+    j.drop(note_col).write.parquet(path)
+    seen = j.sparkSession.read.parquet(path)
+    lost = seen.filter(F.col("start").isNull()).drop("start", "end", "method")
+    miss = lost.select(key, span_col).distinct().join(texts, key).repartition(key, span_col)
+    found = fuzzy_locate(miss, span_col=span_col, note_col=note_col, cutoff=fuzzy_cutoff, mode=fuzzy_mode).drop(note_col)
+    j = seen.filter(F.col("start").isNotNull()).unionByName(lost.join(found, [key, span_col]))
     return j.join(texts, key).select(key, *rest, note_col, "start", "method", "end").withColumn("note_len", F.length(note))
 
 
@@ -88,12 +90,23 @@ def with_blank_edges(located: DataFrame, note_col: str = "pn_history") -> DataFr
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end",
-                    touching: bool = True, carry: bool = False) -> DataFrame:
+                    touching: bool = True, carry: bool = False, together: list[str] | None = None) -> DataFrame:
     """Islands merge: overlapping (and, by default, touching) intervals per ``keys``.
 
     Returns one row per merged interval with ``start``/``end``; with
     ``carry`` the blank counts of the first start and the last end travel along.
+    Of intervals with one start only the furthest end counts, so those are
+    taken first, in part before the shuffle: a window then holds at most one
+    row for each position, however often an interval is repeated. ``together``
+    names the keys that later steps group by.
     """
+    furthest = [F.max(end).alias(end)] if not carry else [
+        F.max(F.struct(F.col(end).alias("e"), F.col("trail").alias("t"))).alias("_far"), F.max("lead").alias("lead")]
+    df = df.groupBy(*keys, start).agg(*furthest)
+    if carry:
+        df = df.select(*keys, start, F.col("_far.e").alias(end), "lead", F.col("_far.t").alias("trail"))
+    if together:
+        df = df.repartition(*together)
     w = Window.partitionBy(*keys).orderBy(F.col(start), F.col(end))
     prev = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     brk = (F.col(start) > prev) if touching else (F.col(start) >= prev)
@@ -119,9 +132,8 @@ def majority_vote(located: DataFrame, threshold: int, *, pair_key: str = "id", v
     t = threshold if n_voters is None else min(threshold, n_voters)
     wcol = F.col(weight) if weight else F.lit(1)
     base = located.select(pair_key, voter, wcol.alias("_w"), "start", "end", "lead", "trail")
-    # one shuffle by pair: every window below reuses this partitioning
-    base = base.repartition(pair_key)
-    merged = merge_intervals(base, [pair_key, voter, "_w"], carry=True)
+    # furthest ends by start, then one shuffle by pair: every window below reuses that partitioning
+    merged = merge_intervals(base, [pair_key, voter, "_w"], carry=True, together=[pair_key])
     # both ends of an interval from one row, so the upstream plan runs once
     none = F.lit(None).cast("int")
     ends = F.array(F.struct(F.col("start").alias("pos"), F.col("_w").alias("d"), F.col("lead").alias("lead"), none.alias("trail")),

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanweave.operators.scan import prefix_scan
+from spanweave.session import unique_dir
+from spanweave.sources.files import materialize_once
+
 # Fixed mapping of the driver's event types onto training-log tags.
 TAG_OF_EVENT = {"view": "loss", "click": "eval_loss", "purchase": "grad_norm", "signup": "learning_rate",
                 "error": "eval_runtime"}
@@ -91,16 +95,26 @@ def tail(df: DataFrame, by: list[str], step: str, n: int) -> DataFrame:
     return df.join(last, by).filter(F.col(step) > F.col("_last") - n).drop("_last")
 
 
-def early_stop(df: DataFrame, by: list[str], metric: str, step: str = "step", patience: int = 3) -> DataFrame:
+def early_stop(df: DataFrame, by: list[str], metric: str, step: str = "step", patience: int = 3, size: int = 1 << 14) -> DataFrame:
     """First step where ``patience`` consecutive evaluations did not improve the best
-    (strictly lower) value; runs that never stop are absent."""
-    d = df.filter(F.col(metric).isNotNull())
-    w = Window.partitionBy(*by).orderBy(step)
-    prev_best = F.min(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = d.withColumn("_imp", F.when(prev_best.isNull() | (F.col(metric) < prev_best), 1).otherwise(0))
-    d = d.withColumn("_grp", F.sum("_imp").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("_streak", F.row_number().over(Window.partitionBy(*by, "_grp").orderBy(step)) - 1)
-    return d.filter(F.col("_streak") == patience).groupBy(*by).agg(F.min(step).alias("stop_step"))
+    (strictly lower) value; runs that never stop are absent.
+
+    ``step`` is distinct within a run and 0 or more. A run may have any number
+    of evaluations: best values and counts are prefix scans over blocks of
+    ``size`` steps (:func:`prefix_scan`), and streaks go on across their
+    borders. Both tables that are read more than once are written first.
+    """
+    spark = df.sparkSession
+    evals = materialize_once(df.filter(F.col(metric).isNotNull()).select(*by, F.col(step).cast("bigint").alias("_step"), F.col(metric).alias("_value"),
+                                                                         F.lit(1).alias("_one")), unique_dir(spark, "evals"))
+    seen = prefix_scan(evals, by, "_step", {"_best": ("min", "_value"), "_before": ("sum", "_one")}, size)
+    number = F.coalesce("_before", F.lit(0)) + 1
+    better = F.col("_best").isNull() | (F.col("_value") < F.col("_best"))
+    marked = seen.select(*by, "_step", number.alias("_no"), F.when(better, number).alias("_better"))
+    marked = materialize_once(marked, unique_dir(spark, "evals-marked"))
+    late = prefix_scan(marked, by, "_step", {"_last": ("max", "_better")}, size)
+    stops = late.filter(F.col("_better").isNull() & (F.col("_no") - F.col("_last") == patience))
+    return stops.groupBy(*by).agg(F.min("_step").cast(df.schema[step].dataType).alias("stop_step"))
 
 
 def minmax_scores(wide: DataFrame, id_col: str, metrics: dict[str, bool]) -> DataFrame:

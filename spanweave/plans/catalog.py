@@ -890,3 +890,6 @@ def q_summary_sink(spark, sf):
     q_run_summary(spark, sf).join(dim, "run").write.mode("overwrite").json(path)
     back = FS.read_json_docs(spark, path, "run string, final_step long, best_eval_loss double, size_class string, params_b double", multi_line=False)
     return back.select("run", "final_step", "best_eval_loss", "size_class", "params_b")
+
+
+from spanweave.plans import catalog_logs  # noqa: E402, F401  (registers its queries)
