@@ -311,12 +311,18 @@ ORACLES["label_mask"] = (
     "AS prompt_t FROM c GROUP BY conv_id), "
     f"n AS (SELECT conv_id, {_toks('full_t')} AS f, {_toks('prompt_t')} AS p FROM r) "
     "SELECT conv_id, f AS n_tokens, 0 AS n_truncated, least(p, f) AS n_masked, least(p, f) = f AS all_masked FROM n")
+_WORDS = lambda x: "list_filter(string_split_regex(" + x + ", '" + PY_BLANK_CLASS + "+'), lambda t: t <> '')"
+_PROMPT = _SYS_TURN + " || '<|im_start|>user' || chr(10) || " + _UC + " || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
 ORACLES["pad_batches"] = W(*_TRAINING, (
-    f"tok AS (SELECT id, {_toks(_CHAT)} AS n_tok FROM trows2)")) + (
-    "SELECT bucket, batch, count(*) AS n_rows, max(n_tok) AS max_len, sum(n_tok)::BIGINT AS tokens, "
-    "CAST(ceil(max(n_tok) / 8) * 8 AS BIGINT) AS padded_len FROM (SELECT *, CAST(floor((row_number() OVER "
-    "(PARTITION BY bucket ORDER BY n_tok, id) - 1) / 8) AS BIGINT) AS batch FROM (SELECT *, "
-    "CAST(floor(n_tok / 256) AS BIGINT) AS bucket FROM tok)) GROUP BY bucket, batch")
+    f"tok AS (SELECT id, list_transform({_WORDS(_CHAT)}, lambda t: 1 + ('0x' || substr(md5(t), 1, 7))::INTEGER) AS ids, {_toks(_PROMPT)} AS p FROM trows2)"), (
+    "num AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY bucket ORDER BY n_tok, md5(id), id) - 1) / 8) AS BIGINT) AS batch "
+    "FROM (SELECT *, len(ids) AS n_tok, CAST(floor(len(ids) / 256) AS BIGINT) AS bucket FROM tok))"), (
+    "pad AS (SELECT *, CAST(ceil(max(n_tok) OVER (PARTITION BY bucket, batch) / 8) * 8 AS BIGINT) AS padded_len FROM num)"), (
+    "dig AS (SELECT *, md5(array_to_string(list_concat(ids, list_transform(range(padded_len - n_tok), lambda i: 0)), ',')) AS di, "
+    "md5(array_to_string(list_transform(range(padded_len), lambda i: CASE WHEN i < least(p, n_tok) OR i >= n_tok THEN -100 ELSE ids[i + 1] END), ',')) AS dl FROM pad)")) + (
+    "SELECT bucket, batch, count(*) AS n_rows, max(n_tok) AS max_len, sum(n_tok)::BIGINT AS tokens, max(padded_len) AS padded_len, "
+    "md5(string_agg(di, '' ORDER BY n_tok, md5(id), id)) AS ids_md5, md5(string_agg(dl, '' ORDER BY n_tok, md5(id), id)) AS labels_md5 "
+    "FROM dig GROUP BY bucket, batch")
 _CLS = ("(CASE WHEN len(cs) = 0 THEN '[^\\n]' ELSE '[' || array_to_string(list_transform(cs, lambda ch: CASE WHEN "
         "ch IN (']', '^', '-', '\\', '[', '&') THEN '\\' || ch ELSE ch END), '') || ']' END)")
 _PAT = ("('\\{\"spans\": \\[(?:\"' || cls || '*\"(?:, \"' || cls || '*\"){0,9})?\\]\\}')")

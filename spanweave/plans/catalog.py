@@ -31,7 +31,9 @@ from pyspark.sql import functions as F  # noqa: E402
 from spanweave.functions import prompts as P  # noqa: E402
 from spanweave.functions.text import (parse_pylist, parse_spans, strip_think, is_blank,  # noqa: E402
                                       assistant_target)
+from spanweave.functions.tokenizers import BLANKS  # noqa: E402
 from spanweave.operators import relational as R  # noqa: E402
+from spanweave.operators.batching import padded_rows  # noqa: E402
 from spanweave.operators import sampling as S  # noqa: E402
 from spanweave.operators import scoring as SC  # noqa: E402
 from spanweave.operators.spans import (locate_spans, merge_intervals, parse_location,  # noqa: E402
@@ -239,10 +241,10 @@ def q_fold_summary(spark, sf):
 
 
 @register("length_percentiles")
-def q_length_percentiles(spark, sf):
+def q_length_percentiles(spark, sf, tokenizer=BLANKS):
     t = _training(spark, sf)
     text = P.render_chatml(P.chat_messages("pn_history", "feature_text", "assistant_target"))
-    t = t.select(F.size(P.whitespace_tokens(text)).alias("n_tokens"))
+    t = t.select(tokenizer.count(text).alias("n_tokens"))
     return SC.length_report(t, "n_tokens", 512)
 
 
@@ -584,30 +586,38 @@ def q_fewshot_chat(spark, sf):
 
 
 @register("label_mask")
-def q_label_mask(spark, sf, max_len: int | None = None):
+def q_label_mask(spark, sf, max_len: int | None = None, tokenizer=BLANKS):
     """Labels of each conversation; ``max_len`` cuts the token arrays (reported in ``n_truncated``)."""
     m = _conversation_messages(spark, sf)
-    full = P.whitespace_tokens(P.render_chatml("messages"))
-    prompt = P.whitespace_tokens(P.render_chatml(F.slice("messages", 1, F.size("messages") - 1), True))
-    ids = lambda toks: F.transform(toks, lambda t: F.length(t))
-    lab = P.mask_labels(ids(prompt), ids(full), max_len)
-    out = m.select("conv_id", lab.alias("labels"), F.size(full).alias("n_full"))
+    full = tokenizer.ids(P.render_chatml("messages"))
+    prompt = tokenizer.ids(P.render_chatml(F.slice("messages", 1, F.size("messages") - 1), True))
+    out = m.select("conv_id", prompt.alias("p"), full.alias("f"))
+    out = out.select("conv_id", P.mask_labels("p", "f", max_len).alias("labels"), F.size("f").alias("n_full"))
     return out.select("conv_id", F.size("labels").alias("n_tokens"), (F.col("n_full") - F.size("labels")).alias("n_truncated"),
                       F.size(F.filter("labels", lambda x: x == -100)).alias("n_masked"),
                       F.forall("labels", lambda x: x == -100).alias("all_masked"))
 
 
-@register("pad_batches")
-def q_pad_batches(spark, sf):
+def encoded_training(spark, sf, tokenizer=BLANKS):
+    """``id, input_ids, labels`` of every training row (labels count in the answer alone), written once."""
     t = _training(spark, sf)
-    text = P.render_chatml(P.chat_messages("pn_history", "feature_text", "assistant_target"))
-    t = t.select("id", F.size(P.whitespace_tokens(text)).alias("n_tok"))
-    t = t.withColumn("bucket", F.floor(F.col("n_tok") / 256))
-    w = Window.partitionBy("bucket").orderBy("n_tok", "id")
-    t = t.withColumn("batch", F.floor((F.row_number().over(w) - 1) / 8))
-    b = t.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_tok").alias("max_len"),
-                                         F.sum("n_tok").alias("tokens"))
-    return b.withColumn("padded_len", (F.ceil(F.col("max_len") / 8) * 8).cast("long"))
+    full = P.render_chatml(P.chat_messages("pn_history", "feature_text", "assistant_target"))
+    prompt = P.render_chatml(P.chat_messages("pn_history", "feature_text"), True)
+    t = t.select("id", tokenizer.ids(full).alias("input_ids"), tokenizer.ids(prompt).alias("p"))
+    t = t.select("id", "input_ids", P.mask_labels("p", "input_ids").alias("labels"))
+    return FS.materialize_once(t, unique_dir(spark, "encoded"))
+
+
+@register("pad_batches")
+def q_pad_batches(spark, sf, tokenizer=BLANKS):
+    """Batches of eight rows of like length, with digests of their padded ids and labels (row by row)."""
+    rows = padded_rows(encoded_training(spark, sf, tokenizer), tokenizer.pad_id)
+    said = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
+    rows = rows.select("bucket", "batch", "n_tok", "padded_len", F.struct("place", said("input_ids").alias("ids"), said("labels").alias("labels")).alias("r"))
+    b = rows.groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_tok").alias("max_len"), F.sum("n_tok").alias("tokens"),
+                                            F.max("padded_len").cast("bigint").alias("padded_len"), F.array_sort(F.collect_list("r")).alias("l"))
+    digest = lambda f: F.md5(F.array_join(F.transform("l", lambda x: x[f]), "").cast("binary"))
+    return b.select("bucket", "batch", "n_rows", "max_len", "tokens", "padded_len", digest("ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
 
 
 @register("constraint_regex")
