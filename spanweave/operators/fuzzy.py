@@ -11,15 +11,21 @@ Similarity is the normalised Indel ratio ``100 * 2 * LCS(a, b) / (|a| + |b|)``
   ascending; within a size the first best window scoring at least the cutoff;
   a later size must be strictly better.
 
-Both run in an Arrow UDF over the unresolved rows only.  LCS uses the
-bit-parallel recurrence of Hyyro (2004) on Python integers, and windows are
-skipped when an upper bound from the character multiset overlap cannot beat
-the current best.
+Both run in an Arrow UDF over the unresolved rows only.  A note is never
+walked window by window: a count filter names the windows that can reach the
+cutoff, from running counts of the span's characters (a window with ``c``
+characters of the span, with multiplicity, has ``LCS <= c``, so by the Indel
+bound ``200 c / (m + w)`` is the most it can score; single characters are the
+only grams whose pigeonhole bound says anything at these cutoffs).  The LCS of
+the windows that are left comes from the bit-parallel recurrence of Hyyro
+(2004), for all of them at once in 64-bit arrays; spans of more than 64
+characters use it on Python integers, one window after the other.
 """
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,20 +123,81 @@ def _partial_impl(short: str, text: str, cutoff: float):
     return best, *at
 
 
+class _Windows:
+    """Scores of many windows of a text for one span of at most 64 characters."""
+
+    def __init__(self, span: str, text: str):
+        self.m, self.n = len(span), len(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.masks = np.zeros(self.n, np.uint64)  # places of each character of the text in the span
+        self.counts = []  # (how often the span has a character, its running count in the text)
+        for ch, need in Counter(span).items():
+            here = codes == ord(ch)
+            if here.any():
+                self.masks[here] = sum(1 << i for i, c in enumerate(span) if c == ch)
+                self.counts.append((need, np.concatenate([[0], np.cumsum(here, dtype=np.int32)])))
+
+    def most(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The most that each window can score, from the characters it shares with the span."""
+        shared = np.zeros(len(lo), np.int64)
+        for need, run in self.counts:
+            shared += np.minimum(run[hi] - run[lo], need)
+        return 200.0 * shared / (self.m + hi - lo)
+
+    def scores(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        full = np.uint64((1 << self.m) - 1)
+        v = np.full(len(lo), full)
+        width = hi - lo
+        for j in range(int(width.max(initial=0))):
+            mask = self.masks[np.minimum(lo + j, self.n - 1)]
+            mask[j >= width] = 0
+            u = v & mask
+            v = ((v + u) | (v - u)) & full
+        return 200.0 * (self.m - np.bitwise_count(v).astype(np.int64)) / (self.m + width)
+
+    def best(self, lo: np.ndarray, hi: np.ndarray, cutoff: float, first: int = 64) -> tuple[float, int]:
+        """Score and number of the first best window that reaches the cutoff (0 and -1 if none does)."""
+        most = self.most(lo, hi)
+        some = np.flatnonzero((most >= cutoff) & (most > 0))
+        if not len(some):
+            return 0.0, -1
+        if len(some) > first:  # the most promising ones first: windows that cannot reach their best need no LCS
+            top = some[np.argpartition(most[some], len(some) - first)[-first:]]
+            some = some[most[some] >= self.scores(lo[top], hi[top]).max()]
+        score = self.scores(lo[some], hi[some])
+        at = int(np.argmax(score))
+        return (float(score[at]), int(some[at])) if score[at] >= cutoff and score[at] > 0 else (0.0, -1)
+
+
+def _partial(short: str, text: str, cutoff: float):
+    """:func:`_partial_impl` with all windows at once (spans of at most 64 characters)."""
+    if len(short) > 64:
+        return _partial_impl(short, text, cutoff)
+    m, n = len(short), len(text)
+    from_, to, tail = np.arange(1, m), np.arange(n - m), np.arange(max(n - m, 0), n)
+    lo = np.concatenate([np.zeros(m - 1, np.int64), to, tail])
+    hi = np.concatenate([from_, to + m, np.full(len(tail), n)])
+    edge = np.concatenate([from_ - 1, to + m - 1, tail])
+    windows = _Windows(short, text)
+    kept = np.flatnonzero(windows.masks[edge] != 0)
+    score, at = windows.best(lo[kept], hi[kept], cutoff)
+    return (0.0, 0, m) if at < 0 else (score, int(lo[kept[at]]), int(hi[kept[at]]))
+
+
 def partial_alignment(span: str, note: str, cutoff: float):
     """(start, end, score) of the best partial alignment in ``note``, or None."""
     if not span or not note:
         return None
     len1, len2 = len(span), len(note)
     if len1 <= len2:
-        score, ds, de = _partial_impl(span, note, cutoff)
+        score, ds, de = _partial(span, note, cutoff)
         if score != 100.0 and len1 == len2:
-            s2, ss, se = _partial_impl(note, span, max(cutoff, score))
+            s2, ss, se = _partial(note, span, max(cutoff, score))
             if s2 > score:
                 score, ds, de = s2, 0, len1  # source side of the swapped call is the whole note
         start, end = ds, de
     else:
-        score, _, _ = _partial_impl(note, span, cutoff)
+        score, _, _ = _partial(note, span, cutoff)
         start, end = 0, len2
     if score < cutoff or score == 0.0:
         return None
@@ -141,23 +208,36 @@ def window_alignment(span: str, note: str, cutoff: float):
     """(start, end, score) by ascending window sizes around the span length, or None."""
     if not span or not note:
         return None
-    pattern, n = _Pattern(span), len(note)
+    n = len(note)
+    sizes = range(max(1, int(len(span) * 0.80)), min(n, int(len(span) * 1.20)) + 1)
+    windows = _Windows(span, note) if len(span) <= 64 else None
     best, at = 0.0, None
-    for size in range(max(1, int(len(span) * 0.80)), min(n, int(len(span) * 1.20)) + 1):
-        overlap, here = _Overlap(span, note), best
-        for lo in range(n - size + 1):
-            most = _bound(overlap.move(lo, lo + size), len(span), size)
-            if most < cutoff or most <= here:
-                continue
-            score = pattern.ratio(note, lo, lo + size)
-            if score >= cutoff and score > here:
-                here, at = score, (lo, lo + size)
-                if score == 100.0:
-                    break
-        best = here
+    for size in sizes:
+        if windows:
+            lo = np.arange(n - size + 1)
+            score, i = windows.best(lo, lo + size, max(cutoff, best))
+        else:
+            score, i = _first_best(span, note, size, cutoff, best)
+        if i >= 0 and score > best:
+            best, at = score, (i, i + size)
     return None if at is None else (*at, best)
 
 
+def _first_best(span: str, note: str, size: int, cutoff: float, here: float) -> tuple[float, int]:
+    """Score and start of the first best window of ``size`` that beats ``here``, one after the other."""
+    pattern, overlap, at = _Pattern(span), _Overlap(span, note), -1
+    for lo in range(len(note) - size + 1):
+        most = _bound(overlap.move(lo, lo + size), len(span), size)
+        if most < cutoff or most <= here:
+            continue
+        score = pattern.ratio(note, lo, lo + size)
+        if score >= cutoff and score > here:
+            here, at = score, lo
+            if score == 100.0:
+                break
+    return here, at
+
+
 def _udf(mode: str, cutoff: float):
     import pandas as pd
     fn = partial_alignment if mode == "partial" else window_alignment

@@ -101,3 +101,27 @@ def test_newline_crossing_span_found_fuzzily():
     note = "pain in the\nchest since monday"
     r = partial_alignment("the chest", note, 70.0)
     assert r is not None and note[r[0]:r[1]].replace("\n", " ") == "the chest"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_long_spans_and_many_windows_match_brute_force(seed):
+    """Spans on either side of 64 characters, wide characters, and more windows than are scored first."""
+    rnd = random.Random(500 + seed)
+    for size in (1, 20, 63, 64, 65, 90):
+        for _ in range(3):
+            note = "".join(rnd.choice("ab é日\n😀") for _ in range(rnd.randint(size, 220)))
+            at = rnd.randrange(len(note))
+            span = "".join(c for c in note[at:at + size] if rnd.random() > 0.1) or "b"
+            assert partial_alignment(span, note, 70.0) == brute_partial(span, note, 70.0), (span, note)
+            assert window_alignment(span, note, 72.0) == brute_window(span, note, 72.0), (span, note)
+
+
+def test_both_scorers_agree():
+    from spanweave.operators.fuzzy import _partial, _partial_impl
+    rnd = random.Random(9)
+    for _ in range(60):
+        note = "".join(rnd.choice("abcdefgh  \n") for _ in range(rnd.randint(40, 900)))
+        at = rnd.randrange(len(note))
+        span = "".join(c for c in note[at:at + rnd.randint(1, 40)] if rnd.random() > 0.2) or "a"
+        for cutoff in (0.0, 60.0, 70.0, 90.0):
+            assert _partial(span, note, cutoff) == _partial_impl(span, note, cutoff)
