@@ -286,6 +286,9 @@ ORACLES["knn_topk"] = (
     "ON q.vec_id % 20 = 0 AND c.vec_id % 20 <> 0) "
     "SELECT qid AS query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER "
     "(PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 3")
+ORACLES["knn_index_recall"] = (
+    "SELECT count(*) AS n_queries, sum(least(3, (SELECT count(*) FROM embeddings WHERE vec_id % 20 <> 0)))::BIGINT AS n_neighbours, "
+    "true AS recall_ok FROM embeddings WHERE vec_id % 20 = 0")
 ORACLES["chat_messages"] = W(*_TRAINING) + f"SELECT id, length({_CHAT}) AS text_len, md5({_CHAT}) AS text_md5 FROM trows2"
 _TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 ORACLES["chatml_render"] = (
@@ -379,6 +382,7 @@ ORACLES["nested_doc_explode"] = (
 
 # ------------------------------------------------------------ remaining keys
 ORACLES["vote_locations"] = ORACLES["parse_location"]
+ORACLES["vote_grouped"] = ORACLES["parse_location"]
 ORACLES["prompt_cycle"] = W() + (
     "SELECT r.i, t.id, length(pr) AS prompt_len, floor(length(pr) / 4)::BIGINT AS est_tokens FROM "
     "(SELECT *, row_number() OVER (ORDER BY id) - 1 AS slot, '<|im_start|>system' || chr(10) || '" + _SYS +

@@ -56,15 +56,10 @@ def _blocks(df: DataFrame, id_col: str, vec: str, rows: int, prefix: str) -> Dat
         pack, f"{prefix}_ids array<{id_type}>, {prefix}_matrix array<double>, {prefix}_dim int")
 
 
-def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, *, qid: str = "query_id", cid: str = "vec_id",
-             vec: str = "embedding", normalize: bool = True) -> DataFrame:
-    """Top-``k`` corpus rows per query by inner product (``rank`` 1..k, ties by ``cid``); an empty side gives no rows."""
-    if normalize:
-        queries = queries.withColumn(vec, l2_normalize(vec))
-        corpus = corpus.withColumn(vec, l2_normalize(vec))
-    q_type, c_type = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
-    # a stated query set against all rows: the rows of both sides are blocks
-    pairs = _blocks(corpus, cid, vec, CORPUS_BLOCK, "c").crossJoin(_blocks(queries, qid, vec, QUERY_BLOCK, "q"))
+def best_of_blocks(pairs: DataFrame, k: int, cid: str, q_type: str, c_type: str) -> DataFrame:
+    """``(query_id, cid, score)``: the ``k`` best rows of each corpus block for each query of the block it meets.
+
+    Scores are rounded to 12 decimals, so equal vectors tie in any block."""
 
     def best(batches):
         import numpy as np
@@ -73,6 +68,7 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, *, qid: str = "q
             for row in pdf.itertuples(index=False):
                 ids = np.array(row.c_ids)
                 scores = np.asarray(row.q_matrix).reshape(-1, row.q_dim) @ np.asarray(row.c_matrix).reshape(-1, row.c_dim).T
+                scores = np.round(scores, 12)  # a product's last digits depend on the shape of the block
                 n = min(k, len(ids))
                 edge = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
                 out = []
@@ -82,6 +78,24 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, *, qid: str = "q
                     out += zip([q] * n, ids[some].tolist(), s[some].tolist())
                 yield pd.DataFrame(out, columns=["query_id", cid, "score"])
 
-    found = pairs.mapInPandas(best, f"query_id {q_type}, {cid} {c_type}, score double")
+    return pairs.mapInPandas(best, f"query_id {q_type}, {cid} {c_type}, score double")
+
+
+def top_ranks(found: DataFrame, k: int, cid: str) -> DataFrame:
+    """The ``k`` best rows of each query with ``rank`` 1..k, ties by ``cid``."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(cid))
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("query_id", qid)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, *, qid: str = "query_id", cid: str = "vec_id",
+             vec: str = "embedding", normalize: bool = True) -> DataFrame:
+    """Top-``k`` corpus rows per query by inner product (``rank`` 1..k, ties by ``cid``); an empty side gives no rows."""
+    if normalize:
+        queries = queries.withColumn(vec, l2_normalize(vec))
+        corpus = corpus.withColumn(vec, l2_normalize(vec))
+    q_type, c_type = dict(queries.dtypes)[qid], dict(corpus.dtypes)[cid]
+    # a stated query set against all rows: the rows of both sides are blocks
+    pairs = _blocks(corpus, cid, vec, CORPUS_BLOCK, "c").crossJoin(_blocks(queries, qid, vec, QUERY_BLOCK, "q"))
+
+    found = best_of_blocks(pairs, k, cid, q_type, c_type)
+    return top_ranks(found, k, cid).withColumnRenamed("query_id", qid)

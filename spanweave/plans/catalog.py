@@ -486,6 +486,7 @@ def q_model_coverage(spark, sf):
 
 # ----------------------------------------------------- retrieval and prompts
 from spanweave.functions.text import constraint_regex, feature_variants, obeys, strip_u as _strip  # noqa: E402
+from spanweave.operators import ivf as IVF  # noqa: E402
 from spanweave.operators import retrieval as RT  # noqa: E402
 
 
@@ -524,6 +525,26 @@ def q_knn_topk(spark, sf):
     return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _by_index(spark, sf):
+    queries, corpus = _emb_split(spark, sf)
+    return IVF.search(IVF.tune_probes(IVF.build_index(corpus), corpus, 3), queries, 3)
+
+
+@register("knn_topk_index")
+def q_knn_topk_index(spark, sf):
+    """Top-3 by an inverted file over all other vectors, probes tuned for a recall of 0.95 on sampled rows."""
+    return _by_index(spark, sf).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("knn_index_recall")
+def q_knn_index_recall(spark, sf):
+    """Neighbours of the exact search, and whether the index finds nine in ten of them."""
+    exact = q_knn_topk(spark, sf).select("query_id", "vec_id")
+    found = exact.join(_by_index(spark, sf).select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours"),
+                     (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recall_ok"))
+
+
 @register("fewshot_prompt")
 def q_fewshot_prompt(spark, sf):
     """Pseudo-labelling prompts for all unannotated notes: top-3 retrieved examples
@@ -833,6 +854,15 @@ def q_vote_locations(spark, sf):
     return majority_vote(edged, 2, n_voters=sum(w for _, w in T.REGISTRY)).select("id", "start", "end")
 
 
+@register("vote_grouped")
+def q_vote_grouped(spark, sf):
+    """``vote_locations`` by a grouped Arrow function."""
+    from spanweave.operators.grouped_vote import vote_grouped
+    notes = T.notes(spark, sf).select("pn_num", "pn_history")
+    edged = with_blank_edges(locate_spans(explode_spans(T.predictions(spark, sf)), notes))
+    return vote_grouped(edged, 2, n_voters=sum(w for _, w in T.REGISTRY))
+
+
 @register("prompt_cycle")
 def q_prompt_cycle(spark, sf, n_prompts: int = 500):
     """Benchmark prompt set: note x feature pairs in id order, cycled to ``n_prompts``.
