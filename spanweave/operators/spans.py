@@ -187,7 +187,8 @@ def parse_location(c) -> Column:
 def occurrences(note, span) -> Column:
     """All (overlapping) occurrences of ``span`` in ``note`` as ``array<struct<s,e>>``.
 
-    A zero-width lookahead counts the occurrences in the JVM regex engine; the
+    A span that is found once, as most are, takes two searches. Of others a
+    zero-width lookahead counts the occurrences in the JVM regex engine; the
     fold then walks ``locate`` from hit to hit, so the cost follows the number
     of hits rather than the note length.
     """
@@ -199,9 +200,18 @@ def occurrences(note, span) -> Column:
         F.sequence(F.lit(1), cnt), F.array().cast("array<int>"),
         lambda acc, _: F.concat(acc, F.array(
             locate(span, note, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) + 2) - 1)))
-    return F.when((L > 0) & (locate(span, note) > 0),
-                  F.transform(starts, lambda i: F.struct(i.alias("s"), (i + L).alias("e")))) \
-            .otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    def found(first):
+        once = F.array(F.struct((first - 1).alias("s"), (first - 1 + L).alias("e")))
+        many = F.transform(starts, lambda i: F.struct(i.alias("s"), (i + L).alias("e")))
+        return F.when((L > 0) & (first > 0), F.when(locate(span, note, first + 1) > 0, many).otherwise(once)) \
+                .otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    return let(locate(span, note), found)
+
+
+def all_occurrences(note, spans) -> Column:
+    """Occurrences of every span of an array (null: none), as one array of intervals."""
+    spans = F.col(spans) if isinstance(spans, str) else spans
+    return F.flatten(F.transform(F.coalesce(spans, F.array().cast("array<string>")), lambda s: occurrences(note, s)))
 
 
 def covered_chars(intervals) -> Column:
@@ -214,19 +224,21 @@ def covered_chars(intervals) -> Column:
         lambda acc: acc["t"])
 
 
-def char_counts(note, pred, truth) -> Column:
-    """Per-row ``struct<tp,fp,fn>`` over the character sets of all occurrences."""
-    note = F.col(note) if isinstance(note, str) else note
-    occ = lambda arr: F.flatten(F.transform(F.coalesce(arr, F.array().cast("array<string>")),
-                                            lambda s: occurrences(note, s)))
-    p, t = occ(F.col(pred) if isinstance(pred, str) else pred), occ(F.col(truth) if isinstance(truth, str) else truth)
+def interval_counts(pred, truth) -> Column:
+    """``struct<tp,fp,fn>`` in characters of two arrays of intervals."""
+    pred, truth = (F.col(c) if isinstance(c, str) else c for c in (pred, truth))
 
     def counts(o):
         return let(F.struct(covered_chars(o["p"]).alias("np"), covered_chars(o["t"]).alias("nt"),
                             covered_chars(F.concat(o["p"], o["t"])).alias("nu")),
                    lambda c: F.struct((c["np"] + c["nt"] - c["nu"]).alias("tp"), (c["nu"] - c["nt"]).alias("fp"),
                                       (c["nu"] - c["np"]).alias("fn")))
-    return let(F.struct(p.alias("p"), t.alias("t")), counts)
+    return let(F.struct(pred.alias("p"), truth.alias("t")), counts)
+
+
+def char_counts(note, pred, truth) -> Column:
+    """Per-row ``struct<tp,fp,fn>`` over the character sets of all occurrences."""
+    return interval_counts(all_occurrences(note, pred), all_occurrences(note, truth))
 
 
 def micro_f1(tp: Column, fp: Column, fn: Column) -> Column:

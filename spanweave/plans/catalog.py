@@ -96,16 +96,22 @@ def q_parse_location(spark, sf):
     return sub.select("id", F.explode(parse_location("location")).alias("x")).select("id", "x.start", "x.end")
 
 
+def _judged(spark, sf):
+    """Stored model outputs, the truth of each pair, and the notes."""
+    preds = T.predictions(spark, sf).select("id", "pn_num", "model", "raw")
+    return preds, T.with_truth(T.pairs(spark, sf, with_text=True)), T.notes(spark, sf).select("pn_num", "pn_history")
+
+
 @register("char_f1")
 def q_char_f1(spark, sf):
-    p = T.predictions_with_truth(spark, sf).withColumn("pred", parse_spans("raw", "outer_braces"))
-    return SC.char_scores(p, "pn_history", "pred", "annotation", by=["model"])
+    preds, truth, notes = _judged(spark, sf)
+    preds = preds.withColumn("pred", parse_spans("raw", "outer_braces")).drop("raw")
+    return SC.char_scores_of_tables(preds, truth, notes, by=["model"])
 
 
 @register("output_rates")
 def q_output_rates(spark, sf):
-    p = T.predictions_with_truth(spark, sf)
-    return SC.output_rates(p, "raw", "pn_history", "annotation", by=["model"], prefix="val_")
+    return SC.output_rates_of_tables(*_judged(spark, sf), by=["model"], prefix="val_")
 
 
 @register("fill_rate")
