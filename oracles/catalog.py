@@ -262,13 +262,15 @@ ORACLES["bench_pick"] = B + (
     "ORDER BY output_toks_ps DESC, label LIMIT 3")
 ORACLES["timing_summary"] = (
     "SELECT model, rows, elapsed_s, printf('%02d:%02d:%02d', elapsed_s // 3600, (elapsed_s % 3600) // 60, elapsed_s % 60) "
-    "AS elapsed, round(rows / nullif(elapsed_s, 0), 6) AS rows_per_s FROM (SELECT event_type AS model, count(*) AS rows, "
+    "AS elapsed, round(rows / nullif(elapsed_s, 0), 6) AS rows_per_s, "
+    "round(sum(rows) OVER () * nullif(elapsed_s, 0) / rows, 3) AS est_full_s FROM (SELECT event_type AS model, count(*) AS rows, "
     "CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6) AS BIGINT) AS elapsed_s FROM events GROUP BY event_type)")
 ORACLES["ablation_delta"] = LR + (
     "SELECT run, best_eval_loss AS score, round(best_eval_loss - first_value(best_eval_loss) OVER (ORDER BY run), 6) "
     "AS delta, best_eval_loss = min(best_eval_loss) OVER () AS is_best FROM runm")
 ORACLES["model_coverage"] = W(D.PREDS) + (
     f"SELECT model, count_if(len({D.parse_greedy('raw')}) > 0) AS non_empty, count(*) AS n FROM preds GROUP BY model")
+ORACLES["model_coverage"] = (ORACLES["model_coverage"] + f" UNION ALL SELECT 'submission', count(location), count(*) FROM ({D.vote_oracle(2)})")
 
 # ------------------------------------------------------ retrieval and prompts
 _TRAIN_T = "tt AS (SELECT * FROM truth WHERE pn_num IN (SELECT doc_id FROM labels))"
@@ -363,9 +365,12 @@ ORACLES["scan_csv_typed"] = W() + (
 ORACLES["scan_optional"] = ("SELECT count(*) AS n_train, 0::BIGINT AS n_augmented FROM (" + W() +
                             "SELECT 1 FROM pairs WHERE pn_num IN (SELECT doc_id FROM labels))")
 ORACLES["input_contract"] = (
-    "SELECT 'documents' AS \"table\", true AS present, true AS columns_ok, (SELECT count(*) FROM documents) AS n_rows "
-    "UNION ALL SELECT 'benchmark', true, true, (SELECT count(*) FROM benchmark) "
-    "UNION ALL SELECT 'labels', true, true, (SELECT count(*) FROM labels)")
+    "SELECT 'documents' AS \"table\", true AS present, true AS columns_ok, true AS types_ok, count(*) AS n_rows, "
+    "count_if(doc_id IS NULL OR text IS NULL) AS n_null FROM documents "
+    "UNION ALL SELECT 'benchmark', true, true, true, count(*), count_if(item_id IS NULL) FROM benchmark "
+    "UNION ALL SELECT 'labels', true, true, false, count(*), count_if(doc_id IS NULL) FROM labels "
+    "UNION ALL SELECT 'pages', true, false, false, count(*), 0 FROM pages "
+    "UNION ALL SELECT 'no_such_table', false, false, false, 0, 0")
 ORACLES["materialize_once"] = W(D.TRUTH, _TRAIN_T) + (
     "SELECT id, 'Feature: ' || feature_text || '  Annotation: ' || ann AS embed_text FROM ("
     f"SELECT *, array_to_string(list_filter(annotation, lambda a: {S('a')} <> ''), ' | ') AS ann FROM tt) "

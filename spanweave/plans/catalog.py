@@ -465,13 +465,15 @@ def q_bench_pick(spark, sf):
 
 @register("timing_summary")
 def q_timing(spark, sf):
+    """Rows and seconds of each model, and the seconds it would need for the rows of all (a row a model meets there)."""
     ev = T.read_table(spark, sf, "events")
     t = ev.groupBy(F.col("event_type").alias("model")).agg(
         F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.count(F.lit(1)).alias("rows"))
     secs = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6
     t = t.withColumn("elapsed_s", F.floor(secs).cast("long"))
     return t.select("model", "rows", "elapsed_s", TM.hms(F.col("elapsed_s")).alias("elapsed"),
-                    F.round(F.col("rows") / F.nullif(F.col("elapsed_s"), F.lit(0)), 6).alias("rows_per_s"))
+                    F.round(F.col("rows") / F.nullif(F.col("elapsed_s"), F.lit(0)), 6).alias("rows_per_s"),
+                    F.round(F.sum("rows").over(Window.partitionBy()) * F.nullif(F.col("elapsed_s"), F.lit(0)) / F.col("rows"), 3).alias("est_full_s"))
 
 
 @register("ablation_delta")
@@ -485,9 +487,11 @@ def q_ablation(spark, sf):
 
 @register("model_coverage")
 def q_model_coverage(spark, sf):
+    """Non-empty outputs of each model and, as the row ``submission``, voted pairs with a location."""
     p = T.predictions(spark, sf)
-    return p.groupBy("model").agg(F.count_if(F.size(parse_spans("raw")) > 0).alias("non_empty"),
-                                  F.count(F.lit(1)).alias("n"))
+    models = p.groupBy("model").agg(F.count_if(F.size(parse_spans("raw")) > 0).alias("non_empty"), F.count(F.lit(1)).alias("n"))
+    voted = flagship(spark, sf).agg(F.count("location").alias("non_empty"), F.count(F.lit(1)).alias("n"))
+    return models.unionByName(voted.withColumn("model", F.lit("submission")))
 
 
 # ----------------------------------------------------- retrieval and prompts
@@ -767,8 +771,10 @@ def q_scan_optional(spark, sf):
 
 @register("input_contract")
 def q_input_contract(spark, sf):
-    need = {"documents": ["doc_id", "text", "source"], "benchmark": ["item_id", "text"], "labels": ["doc_id"]}
-    return FS.input_contract(spark, {t: (f"{sf.rstrip('/')}/{t}.parquet", cols) for t, cols in need.items()})
+    """Tables that a run needs, one column name and one type that are not there, and one table that is missing."""
+    need = {"documents": "doc_id bigint not null, text string not null, source string", "benchmark": "item_id bigint not null, text string",
+            "labels": "doc_id string not null, toxic int", "pages": "page_id bigint, no_such_column string", "no_such_table": "id bigint"}
+    return FS.input_contract(spark, {t: (f"{sf.rstrip('/')}/{t}.parquet", ddl) for t, ddl in need.items()})
 
 
 @register("materialize_once")
