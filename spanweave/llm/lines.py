@@ -90,7 +90,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = stored(suspected_lines(docs, id_col, text_col, min_chars, bloom_bits), "lines")
     repeated = (lines.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper"))
                 .where(F.col("n") >= min_docs).select(F.col("key").alias("k"), "keeper"))
-    drops = (lines.distinct().join(repeated, F.col("key") == F.col("k"))
+    # two stored tables: their join is a broadcast, or two plain shuffles of which a hot line's partition can be split
+    drops = (lines.join(stored(repeated, "repeated-lines"), F.col("key") == F.col("k"))
              .where(~F.col("id").eqNullSafe(F.col("keeper")))
              .groupBy(F.col("id").alias("drop_id")).agg(F.collect_set("h").alias("drop_keys")))
 
