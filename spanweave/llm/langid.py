@@ -3,11 +3,13 @@
 Training counts every 4-character sequence of all labelled texts, in one
 pass; Spark groups them and derives the lower orders from continuation counts
 (how many different characters stand before a sequence). The finished model
-has, for every order, one sorted array of sequence hashes and a matrix with a
-log probability for each language, next to one for the back-off weights. A
-hash keeps ``hash_bits`` bits, so an order holds at most ``2**hash_bits``
-rows of ``8 + 4 * languages`` bytes: that bounds the broadcast however much
-text is read. Sequences that share a hash share the larger probability.
+has, for every order, one sorted array of sequence hashes, each with the
+languages that know the sequence and their log probabilities, next to the same
+for back-off weights. The hash is a bijection of the packed 64-bit sequence, so
+no two sequences share an entry. A model grows with the distinct sequences of
+the corpus: its entries are counted before anything is gathered. Up to
+``max_model_bytes`` it is broadcast; a larger one stays a table, and the
+sequences of the texts are joined with it. Both give the same predictions.
 
 A text's language is the one with the lowest cross-entropy a character. It is
 accepted if that is not above what the model expects of its own language: the
@@ -30,6 +32,8 @@ from spanweave.llm._store import release, stored
 ORDER = 4
 DISCOUNT = 0.75
 FLOOR_CHARS = 65536
+MODEL_BYTES = 256 << 20  # largest model that is broadcast
+ENTRY_BYTES = 24  # at most: a key, its first entry, one language and value
 _U = np.uint64
 _LETTER: list[np.ndarray] = []
 
@@ -127,41 +131,63 @@ def _order_tables(counts: DataFrame) -> list[DataFrame]:
     return tables
 
 
+def _low(k: int) -> int:
+    return (1 << (16 * k)) - 1
+
+
 @dataclass
-class Model:
-    """For each order: sorted hashes with a float32 matrix (rows x languages) of log probabilities, and of back-off weights."""
+class Entries:
+    """Sorted hashes of sequences; those of ``keys[i]`` are the languages and values from ``first[i]`` to ``first[i + 1]``."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def gather(cls, table: DataFrame, langs: list[str]) -> "Entries":
+        """From rows ``(lang, g, v)``, whose number was held against the model's bound before."""
+        number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+        got = table.select(number.cast("int").alias("lang"), "g", F.col("v").cast("float").alias("v")).toArrow()
+        h = mix64(got.column("g").to_numpy().view(_U))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        return cls(h[first], np.append(first, len(h)), got.column("lang").to_numpy()[order], got.column("v").to_numpy()[order])
+
+    def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index in ``g``, language, value) of everything known of the packed sequences ``g``."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), self.lang[:0], self.value[:0]
+        h = mix64(g)
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        hit = np.flatnonzero(self.keys[at] == h)
+        at = at[hit]
+        size = self.first[at + 1] - self.first[at]
+        own = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.repeat(hit, size), self.lang[own], self.value[own]
+
+
+@dataclass
+class Arrays:
+    """What a task needs: the sorted arrays of each order (``None`` in a model that stays a table) and the calibration."""
 
     langs: list[str]
-    hash_bits: int
-    keys: list[np.ndarray]
-    logp: list[np.ndarray]
-    back_keys: list[np.ndarray]
-    back: list[np.ndarray]
-    floor: np.ndarray
+    probs: list[Entries] | None
+    backs: list[Entries] | None
     mean: np.ndarray
     sd: np.ndarray
 
-    def _find(self, keys: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(g), np.int64), np.zeros(len(g), bool)
-        h = slot(g, self.hash_bits)
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        return at, keys[at] == h
-
-    def char_logp(self, g: np.ndarray, top: int = ORDER) -> np.ndarray:
-        """Log probability of the last symbol of packed sequences, in every language, from order ``top`` down."""
-        out = np.zeros((len(g), len(self.langs)), np.float32)
-        left = np.arange(len(g))
-        for k in range(top, 0, -1):
-            own = g[left] & _low(k)
-            at, hit = self._find(self.keys[k - 1], own)
-            out[left[hit]] += self.logp[k - 1][at[hit]]
-            left, own = left[~hit], own[~hit]
-            if k > 1:
-                at, hit = self._find(self.back_keys[k - 1], own >> _U(16))
-                out[left[hit]] += self.back[k - 1][at[hit]]
-        out[left] += self.floor
+    def char_logp(self, g: np.ndarray) -> np.ndarray:
+        """Log probability of the last symbol of packed sequences, in every language."""
+        out = np.full((len(g), len(self.langs)), -np.log(FLOOR_CHARS), np.float32)
+        for k in range(1, ORDER + 1):
+            own = g & _U(_low(k))
+            row, lang, value = self.backs[k - 1].find(own >> _U(16))
+            out[row, lang] += value
+            row, lang, value = self.probs[k - 1].find(own)
+            out[row, lang] = value
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,85 +210,107 @@ class Model:
         """The largest cross-entropy accepted for a text of ``size`` characters, in every language."""
         return self.mean + margin + spreads * self.sd / np.sqrt(np.maximum(size, 1))[:, None]
 
-
-def _low(k: int) -> np.uint64:
-    return _U((1 << (16 * k)) - 1)
-
-
-def slot(g: np.ndarray, bits: int) -> np.ndarray:
-    return mix64(g.astype(_U)) >> _U(64 - bits)
+    def verdict(self, h: np.ndarray, size: np.ndarray, margin: float, spreads: float) -> pd.DataFrame:
+        """``lang_pred, score, entropy, accepted`` of texts with cross-entropies ``h`` and ``size`` characters."""
+        n = len(size)
+        if not self.langs:
+            return pd.DataFrame({"lang_pred": ["und"] * n, "score": [0.0] * n, "entropy": [0.0] * n, "accepted": [False] * n})
+        best = h.argmin(axis=1)
+        rows = np.arange(n)
+        low = h[rows, best]
+        share = 1 / np.exp((low[:, None] - h) / 0.1).sum(axis=1)
+        some = size > 0
+        names = np.array([*self.langs, "und"], object)[np.where(some, best, len(self.langs))]
+        return pd.DataFrame({"lang_pred": names, "score": np.where(some, share, 0.0), "entropy": np.where(some, low, 0.0),
+                             "accepted": some & (low <= self.limit(size, margin, spreads)[rows, best])})
 
 
-def _slots(df: DataFrame, bits: int) -> pa.Table:
-    """``(lang, s, g, v)``: the largest value of each language and slot, so at most ``2**bits`` rows a language."""
-    def add(batches):
-        for batch in batches:
-            s = slot(batch.column(1).to_numpy().view(_U), bits).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), batch.column(1), batch.column(2)], ["lang", "s", "g", "v"])
+@dataclass
+class Model:
+    """A fitted model: stored tables ``(lang, g, v)`` of each order, and their arrays where they are within the bound."""
 
-    return (df.mapInArrow(add, "lang string, s bigint, g bigint, v double").groupBy("lang", "s")
-            .agg(F.max(F.struct("v", "g")).alias("m")).select("lang", "s", "m.g", "m.v").toArrow())
+    arrays: Arrays
+    probs: list[DataFrame]
+    backs: list[DataFrame]
+    n_bytes: int
 
+    @property
+    def langs(self) -> list[str]:
+        return self.arrays.langs
 
-def _matrix(table: pa.Table, langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted slots, a sequence of each, and the matrix; nan where a language lacks the slot."""
-    s = table.column("s").to_numpy().astype(np.uint64)
-    keys, first, at = np.unique(s, return_index=True, return_inverse=True)
-    out = np.full((len(keys), len(langs)), np.nan, np.float32)
-    number = {x: i for i, x in enumerate(langs)}
-    col = np.array([number[x] for x in table.column("lang").to_pylist()], np.int64)
-    out[at, col] = table.column("v").to_numpy()
-    return keys, table.column("g").to_numpy().astype(np.int64)[first].view(_U), out
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        return self.arrays.score(texts)
 
 
-def train(docs: DataFrame, text_col: str, lang: Column, hash_bits: int = 22) -> Model:
+def train(docs: DataFrame, text_col: str, lang: Column, max_model_bytes: int = MODEL_BYTES) -> Model:
     """Fit one model for each distinct non-null value of ``lang`` on all rows of ``docs``.
 
     Rows with null ``lang`` or null text teach nothing. Without any row left
-    the model knows no language.
+    the model knows no language. Arrays are gathered only if all entries of
+    all languages together, counted first, fit ``max_model_bytes``.
     """
     counts = stored(gram_counts(docs.where(lang.isNotNull() & F.col(text_col).isNotNull()), text_col, lang), "grams")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    empty = np.zeros((0, len(langs)), np.float32)
-    floor, mean, sd = (np.zeros(len(langs)) for _ in range(3))
-    model = Model(langs, hash_bits, [], [], [], [], floor, mean, sd)
+    mean, sd = np.zeros(len(langs)), np.zeros(len(langs))
     if not langs:
-        return Model([], hash_bits, [np.zeros(0, _U)] * ORDER, [empty] * ORDER, [np.zeros(0, _U)] * ORDER, [empty] * ORDER, floor, mean, sd)
-    lower = None
+        return Model(Arrays([], [], [], mean, sd), [], [], 0)
+    probs, backs, lower = [], [], None
     for k, table in enumerate(_order_tables(counts), 1):
         context = F.shiftrightunsigned("g", 16) if k > 1 else F.lit(0).cast("bigint")
         table = table.withColumn("h", context)
-        sums = table.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"))
+        sums = stored(table.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")), f"contexts{k}")
         own = (F.col("c") - DISCOUNT) / F.col("total")
         rest = F.lit(DISCOUNT) * F.col("kinds") / F.col("total")
         joined = table.join(sums, ["lang", "h"])
         if k == 1:
             p = joined.select("lang", "g", "c", (own + rest / FLOOR_CHARS).alias("p"))
         else:
-            joined = joined.withColumn("tail", F.col("g").bitwiseAND(F.lit(int(_low(k - 1))).cast("bigint")))
+            joined = joined.withColumn("tail", F.col("g").bitwiseAND(F.lit(_low(k - 1)).cast("bigint")))
             p = joined.join(lower, ["lang", "tail"]).select("lang", "g", "c", (own + rest * F.col("low")).alias("p"))
         p = stored(p, f"order{k}")
         lower = p.select("lang", F.col("g").alias("tail"), F.col("p").alias("low"))
-        back_keys, _, back = _matrix(_slots(sums.select("lang", F.col("h").alias("g"), F.log(rest).alias("v")), hash_bits), langs)
-        back[np.isnan(back)] = 0
-        keys, g, logp = _matrix(_slots(p.select("lang", "g", F.log("p").alias("v")), hash_bits), langs)
-        if k == 1:
-            floor[:] = back[0] - np.log(FLOOR_CHARS)
-            less = np.broadcast_to(floor, logp.shape)
-        else:
-            at, hit = model._find(back_keys, g >> _U(16))
-            less = model.char_logp(g, k - 1) + np.where(hit[:, None], back[at], 0)
-        model.keys.append(keys)
-        model.logp.append(np.where(np.isnan(logp), less, logp).astype(np.float32))
-        model.back_keys.append(back_keys)
-        model.back.append(back)
+        backs.append(sums.select("lang", F.col("h").alias("g"), F.log(rest).alias("v")))
+        probs.append(p.select("lang", "g", F.log("p").alias("v")))
     surprise = -F.log("p")
-    for r in lower.withColumnRenamed("low", "p").join(counts.select("lang", F.col("g").alias("tail"), "c"), ["lang", "tail"]).groupBy("lang").agg(
-            (F.sum(F.col("c") * surprise) / F.sum("c")).alias("m"),
-            (F.sum(F.col("c") * surprise * surprise) / F.sum("c")).alias("q")).collect():
+    for r in p.groupBy("lang").agg((F.sum(F.col("c") * surprise) / F.sum("c")).alias("m"),
+                                   (F.sum(F.col("c") * surprise * surprise) / F.sum("c")).alias("q")).collect():
         i = langs.index(r["lang"])
         mean[i], sd[i] = r["m"], np.sqrt(max(r["q"] - r["m"] ** 2, 0))
-    return model
+    n_bytes = sum(t.count() for t in probs + backs) * ENTRY_BYTES
+    arrays = Arrays(langs, None, None, mean, sd)
+    if n_bytes <= max_model_bytes:
+        arrays.probs, arrays.backs = ([Entries.gather(t, langs) for t in tables] for tables in (probs, backs))
+    return Model(arrays, probs, backs, n_bytes)
+
+
+def _joined_entropies(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``(row, h array<double>, size)`` of the numbered rows that have letters, by a join of their sequences with the model."""
+    def count(batches):
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for a, b in _slices(texts):
+                g, off = grams(texts[a:b])
+                row = np.repeat(np.arange(b - a), np.diff(off))
+                order = np.lexsort((g, row))
+                g, row = g[order], row[order]
+                new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(g) else np.zeros(0, np.int64)
+                c = np.diff(np.append(new, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row[new]]), pa.array(g[new].view(np.int64)), pa.array(c, pa.int64())], ["row", "g", "c"])
+
+    found = stored(docs.select("row", F.col(text_col).alias("text")).mapInArrow(count, "row bigint, g bigint, c bigint"), "text-grams")
+    value = found.select("g").distinct().withColumn("lang", F.explode(F.array(*map(F.lit, model.langs))))
+    value = value.withColumn("logp", F.lit(-float(np.log(FLOOR_CHARS))))
+    for k in range(1, ORDER + 1):
+        tail = F.col("g").bitwiseAND(F.lit(_low(k)).cast("bigint")) if k < ORDER else F.col("g")
+        back = model.backs[k - 1].select("lang", F.col("g").alias("h"), F.col("v").alias("less"))
+        prob = model.probs[k - 1].select("lang", F.col("g").alias("tail"), F.col("v").alias("own"))
+        value = value.withColumn("tail", tail).withColumn("h", F.shiftrightunsigned("tail", 16))
+        value = value.join(back, ["lang", "h"], "left").join(prob, ["lang", "tail"], "left")
+        value = value.select("lang", "g", F.coalesce("own", F.col("logp") + F.coalesce("less", F.lit(0.0))).alias("logp"))
+    # one row a sequence: a text's sequences then meet one value row each
+    value = stored(value.groupBy("g").agg(*(F.max(F.when(F.col("lang") == x, F.col("logp"))).alias(f"l{i}") for i, x in enumerate(model.langs))), "sequence-values")
+    sums = found.join(value, "g").groupBy("row").agg(F.sum("c").alias("size"), *(F.sum(F.col("c") * F.col(f"l{i}")).alias(f"l{i}") for i in range(len(model.langs))))
+    return sums.select("row", F.array(*(-F.col(f"l{i}") / F.col("size") for i in range(len(model.langs)))).alias("h"), "size")
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", margin: float = 0.8, spreads: float = 8.0) -> DataFrame:
@@ -275,27 +323,31 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", margin: floa
     is false where the cross-entropy lies above the language's own mean by
     more than ``margin`` nats plus ``spreads`` standard errors. Only the text
     is read. Input columns of these four names are replaced; repeated rows
-    stay as they are.
+    stay as they are. What is broadcast is the model if it is within its
+    bound; else its tables are joined with the distinct sequences of texts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.arrays)
+    returns = "lang_pred string, score double, entropy double, accepted boolean"
 
-    @F.pandas_udf("lang_pred string, score double, entropy double, accepted boolean")
+    @F.pandas_udf(returns)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        texts = texts.tolist()
-        if not m.langs:
-            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "entropy": 0.0, "accepted": False})
-        h, size = m.score(texts)
-        best = h.argmin(axis=1)
-        rows = np.arange(len(texts))
-        low = h[rows, best]
-        share = 1 / np.exp((low[:, None] - h) / 0.1).sum(axis=1)
-        some = size > 0
-        names = np.array([*m.langs, "und"], object)[np.where(some, best, len(m.langs))]
-        return pd.DataFrame({"lang_pred": names, "score": np.where(some, share, 0.0), "entropy": np.where(some, low, 0.0),
-                             "accepted": some & (low <= m.limit(size, margin, spreads)[rows, best])})
+        m, texts = shared.value, texts.tolist()
+        h, size = m.score(texts) if m.langs else (None, np.zeros(len(texts)))
+        return m.verdict(h, size, margin, spreads)
 
-    out = docs.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("is"))
+    @F.pandas_udf(returns)
+    def judge(h: pd.Series, size: pd.Series) -> pd.DataFrame:
+        m = shared.value
+        known = [x if x is not None else np.zeros(len(m.langs)) for x in h]
+        return m.verdict(np.stack(known), size.fillna(0).to_numpy(), margin, spreads)
+
+    if model.arrays.probs is not None:
+        out = docs.select(F.struct("*").alias("row"), predict(F.col(text_col)).alias("is"))
+    else:
+        # numbers are given once, in a stored table: a recomputed task cannot give others
+        rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "numbered")
+        found = _joined_entropies(rows.select("row", F.col("doc").getField(text_col).alias("text")), model, "text")
+        out = rows.join(found, "row", "left").select(F.col("doc").alias("row"), judge("h", "size").alias("is"))
     new = ("lang_pred", "score", "entropy", "accepted")
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new),
                       *(F.col(f"is.{c}").alias(c) for c in new))

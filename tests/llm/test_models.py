@@ -83,6 +83,30 @@ def test_language_id_held_out_accuracy_rejection_and_edges(spark):
     assert identify(docs.limit(0), model).count() == 0
 
 
+def test_a_model_beyond_its_bound_is_joined_and_gives_the_same_predictions(spark, monkeypatch):
+    from spanweave.llm import langid
+    rng = random.Random(5)
+    scripts = ["abcdefghij", "klmnopqrst", "αβγδεζηθικ", "абвгдежзик", "一丁七万丈三上下不与"]
+    said = [(f"l{i}", "".join(rng.choice(scripts[i % 5] + " ") for _ in range(rng.randrange(20, 400)))) for i in range(12) for _ in range(3)]
+    df = spark.createDataFrame([(i, t, x, "own") for i, (x, t) in enumerate(said)], "doc_id bigint, text string, lang string, row string")
+    probes = df.drop("lang").unionByName(spark.createDataFrame(
+        [(None, None, "a"), (100, "", "b"), (101, "12 !", "c"), (102, "abc αβγ", "d"), (102, "abc αβγ", "d"), (103, "abc " * 9000, "e"), (104, "日本 zzz", "f")],
+        "doc_id bigint, text string, row string"))
+    monkeypatch.setattr(langid, "_slices", lambda texts, chars=500, whole=langid._slices: whole(texts, chars))
+    whole = langid.train(df, "text", F.col("lang"))
+    table = langid.train(df, "text", F.col("lang"), max_model_bytes=whole.n_bytes - 1)
+    assert len(whole.langs) == 12 and whole.arrays.probs is not None and table.arrays.probs is None
+    # every sequence of every language has its own entry
+    entries = sum(len(e.value) for e in whole.arrays.probs + whole.arrays.backs)
+    assert whole.n_bytes == entries * langid.ENTRY_BYTES
+    order = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    want, got = (sorted(langid.identify(probes, m).collect(), key=order) for m in (whole, table))
+    assert len(want) == len(got) == 43
+    for a, b in zip(want, got):
+        assert (a["doc_id"], a["text"], a["row"], a["lang_pred"], a["accepted"]) == (b["doc_id"], b["text"], b["row"], b["lang_pred"], b["accepted"])
+        assert a["score"] == pytest.approx(b["score"], abs=1e-3) and a["entropy"] == pytest.approx(b["entropy"], rel=1e-4)
+
+
 def test_toxicity_learns_pairs_and_holds_out(spark):
     from spanweave.llm.toxicity import fit, score, train
     rng = np.random.default_rng(1)
