@@ -39,6 +39,7 @@ from spanweave.operators import scoring as SC  # noqa: E402
 from spanweave.operators.spans import (locate_spans, merge_intervals, parse_location,  # noqa: E402
                                        with_blank_edges, format_location)
 from spanweave.plans.ensemble import explode_spans  # noqa: E402
+from spanweave.plans.pseudo_label import examples_per_feature  # noqa: E402
 from spanweave.plans.training import training_rows  # noqa: E402
 
 SEP = "␟"  # list separator in flattened outputs
@@ -559,16 +560,7 @@ def q_knn_index_recall(spark, sf):
 def q_fewshot_prompt(spark, sf):
     """Pseudo-labelling prompts for all unannotated notes: top-3 retrieved examples
     per distinct feature (hoisted), joined back to every (note, feature) pair."""
-    corpus = RT.hashing_embed(retrieval_corpus(_train_parsed(spark, sf)), "embed_text")
-    corpus = corpus.withColumn("cid", F.col("id"))
-    feats = T.features(spark, sf).withColumn("qtext", F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation:")))
-    q = RT.hashing_embed(feats, "qtext").select(F.col("feature_num").alias("query_id"), "embedding")
-    top = RT.knn_topk(q, corpus.select("cid", "embedding"), 3, cid="cid", normalize=False)
-    ex = top.join(corpus.select("cid", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "cid")
-    ex = ex.groupBy(F.col("query_id").alias("feature_num")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "pn_history", "feature_text", "annotation"))),
-                    lambda x: F.struct(x["pn_history"].alias("pn_history"), x["feature_text"].alias("feature_text"),
-                                       x["annotation"].alias("annotation"))).alias("examples"))
+    ex = examples_per_feature(T.features(spark, sf), retrieval_corpus(_train_parsed(spark, sf)), 3)
     pairs = R.case_fanout(_unannotated(spark, sf), T.features(spark, sf)).join(ex, "feature_num", "left")
     msgs = P.fewshot_messages("pn_history", "feature_text", F.coalesce("examples", F.array()))
     return pairs.select(F.format_string("%05d_%03d", "pn_num", "feature_num").alias("id"),
@@ -823,13 +815,14 @@ def q_json_runs(spark, sf):
     return back.select("run", F.explode(src).alias("e")).select("run", "e.step", "e.loss", "e.eval_loss")
 
 
-NB_SCHEMA = ("conv_id long, cells array<struct<cell_type:string,source:array<string>,"
+CELLS_A_DOCUMENT = 1000
+NB_SCHEMA = ("conv_id long, block long, cells array<struct<cell_type:string,source:array<string>,"
              "outputs:array<struct<output_type:string,text:string,data:struct<html:string,image:string>>>>>")
 
 
 @register("nested_doc_explode")
 def q_nested_doc(spark, sf):
-    """Notebook-like documents (one per conversation) to one row an output: whole texts, html, decoded images.
+    """Notebook-like documents (one per conversation and block of 1,000 cells) to one row an output: whole texts, html, decoded images.
 
     Cells without outputs keep one row with a null output index.
     """
@@ -844,12 +837,15 @@ def q_nested_doc(spark, sf):
     cell = F.struct(F.when(F.col("role") == "user", "markdown").otherwise("code").alias("cell_type"),
                     F.split("text", "\n").alias("source"),
                     F.when(F.col("role") == "user", F.array().cast(f"array<{output}>")).otherwise(F.array(stream, shown)).alias("outputs"))
-    docs = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", cell.alias("c")))),
-                                                lambda x: x["c"]).alias("cells"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
+    numbered = c.select("conv_id", at.alias("at"), cell.alias("c"))
+    docs = numbered.groupBy("conv_id", F.floor(F.col("at") / CELLS_A_DOCUMENT).alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "c"))), lambda x: x["c"]).alias("cells"))
     path = unique_dir(spark, "notebooks-json")
     docs.write.mode("overwrite").json(path)
     nb = FS.read_json_docs(spark, path, NB_SCHEMA, multi_line=False)
-    cells = nb.select("conv_id", F.posexplode("cells").alias("cell_idx", "cell"))
+    cells = nb.select("conv_id", "block", F.posexplode("cells").alias("i", "cell"))
+    cells = cells.select("conv_id", (F.col("block") * CELLS_A_DOCUMENT + F.col("i")).cast("int").alias("cell_idx"), "cell")
     outs = cells.select("conv_id", "cell_idx", "cell", F.posexplode_outer("cell.outputs").alias("output_idx", "o"))
     return outs.select("conv_id", "cell_idx", F.col("cell.cell_type").alias("cell_type"), F.size("cell.source").alias("n_lines"), "output_idx",
                        F.col("o.output_type").alias("output_type"), F.length("o.text").alias("output_len"), F.md5("o.text").alias("output_md5"),

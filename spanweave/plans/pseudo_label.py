@@ -3,7 +3,7 @@
 labeler's Arrow boundary."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.functions import prompts as P
@@ -14,20 +14,32 @@ from spanweave.operators import sampling as S
 from spanweave.operators.labelers import label
 from spanweave.operators.spans import locate_spans
 from spanweave.session import unique_dir
+from spanweave.sources import files as FS
 
 
 def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3, embed: RT.Embedder = RT.hashing_embed) -> DataFrame:
-    """Top-k retrieval examples per *distinct* feature (the query depends only on the
-    feature, so it is computed once per feature and joined back)."""
-    c = embed(corpus, "embed_text").withColumn("cid", F.col("id"))
-    q = features.select("feature_num", F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation:")).alias("qtext"))
-    q = embed(q, "qtext").select(F.col("feature_num").alias("query_id"), "embedding")
-    top = RT.knn_topk(q, c.select("cid", "embedding"), k, cid="cid", normalize=False)
-    ex = top.join(c.select("cid", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "cid")
-    return ex.groupBy(F.col("query_id").alias("feature_num")).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "pn_history", "feature_text", "annotation"))),
+    """``feature_num, examples``: the top-k corpus rows of each feature (ties by ``id``), nearest first.
+
+    Only distinct texts of both sides are embedded and compared. Equal corpus
+    texts have equal scores, so of each the ``k`` smallest ids can be among
+    the top k; a text stands for them under the smallest. A corpus row is
+    taken up again by its id alone.
+    """
+    first = Window.partitionBy("embed_text").orderBy("id")
+    kept = corpus.select("embed_text", "id").withColumn("place", F.row_number().over(first)).where(F.col("place") <= k)
+    kept = FS.materialize_once(kept, unique_dir(corpus.sparkSession, "retrieval-texts"))
+    texts = kept.where(F.col("place") == 1).select(F.col("id").alias("cid"), "embed_text")
+    asked = features.select("feature_num", F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation:")).alias("query_id"))
+    queries = embed(asked.where(F.col("query_id").isNotNull()).select("query_id").distinct(), "query_id").select("query_id", "embedding")
+    near = RT.knn_topk(queries, embed(texts, "embed_text").select("cid", "embedding"), k, cid="cid", normalize=False).drop("rank")
+    near = near.join(texts, "cid").join(kept.select("embed_text", "id"), "embed_text").select("query_id", "id", "score")
+    top = RT.top_ranks(near, k, "id")
+    rows = top.join(corpus.select("id", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "id")
+    examples = rows.groupBy("query_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "pn_history", "feature_text", "annotation"))),  # k rows
         lambda x: F.struct(x["pn_history"].alias("pn_history"), x["feature_text"].alias("feature_text"),
                            x["annotation"].alias("annotation"))).alias("examples"))
+    return asked.join(examples, "query_id").select("feature_num", "examples")
 
 
 def pseudo_label(notes: DataFrame, annotated: DataFrame, features: DataFrame, corpus: DataFrame, labeler_factory,

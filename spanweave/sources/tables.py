@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions.text import let, locate, pair_id, py_repr_list
-from spanweave.session import unique_dir
+from spanweave.session import path_exists, unique_dir
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -63,7 +63,7 @@ _WRITTEN: dict[tuple, str] = {}
 def _on_disk(spark: SparkSession, sf_dir: str, name: str, build, *key) -> DataFrame:
     """A table that a run would find on disk (model outputs, label files): written to the shared store once a session."""
     at = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, *key)
-    if at not in _WRITTEN:
+    if at not in _WRITTEN or not path_exists(spark, _WRITTEN[at]):
         path = unique_dir(spark, name)
         build().write.parquet(path)
         _WRITTEN[at] = path
