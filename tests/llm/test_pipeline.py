@@ -86,6 +86,26 @@ def test_stages_of_an_empty_table(spark, inputs):
     assert P.STAGES[-1][1](spark, docs, inputs[0]).count() == 0
 
 
+def test_null_ids_repeated_rows_and_clashing_columns_pass_the_stages(spark, inputs):
+    import corpus_pipeline as P
+    path, rows, _ = inputs
+    clean = [r for r in rows if r[0] < 900 and LONG not in r[1]][:20]
+    odd = [(None, clean[0][1] + " " + clean[1][1], "en", "s", 0)] + clean + clean[:1]
+    docs = spark.createDataFrame([(*r, 1.5, "x", 7) for r in odd],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, lang_pred string, row int")
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, path)
+        assert docs.columns == columns, name
+        if name == "line_dedup":  # neither stage drops a row here
+            assert docs.count() == len(odd)
+    got = docs.collect()
+    assert {(r["score"], r["lang_pred"], r["row"]) for r in got} == {(1.5, "x", 7)}
+    assert {r["doc_id"] for r in got} <= {r[0] for r in odd}
+    packed = P.STAGES[-1][1](spark, docs, path).collect()
+    assert len(packed) >= len(got)
+
+
 def test_registered_and_optional():
     import __spark_entry__ as E
     names = list(E.queries())
