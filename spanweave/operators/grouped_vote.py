@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.operators.spans import far_edge, far_parts
+
 
 def _union(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
     edges = np.zeros(size + 1, np.int64)
@@ -32,8 +34,8 @@ def vote_grouped(located: DataFrame, threshold: int, *, pair_key: str = "id", vo
     limit = threshold if n_voters is None else min(threshold, n_voters)
     wcol = F.col(weight) if weight else F.lit(1)
     far = (located.groupBy(F.col(pair_key).alias("_pair"), F.col(voter).alias("_voter"), F.coalesce(wcol.cast("bigint"), F.lit(0)).alias("_w"), "start")
-           .agg(F.max(F.struct("end", "trail")).alias("_far"), F.max("lead").alias("lead")))
-    far = far.select("_pair", "_voter", "_w", "start", "_far.end", "lead", "_far.trail")
+           .agg(F.max(far_edge()).alias("_far"), F.max("lead").alias("lead")))
+    far = far.select("_pair", "_voter", "_w", "start", "lead", *far_parts("_far"))
     key = dict(located.dtypes)[pair_key]
 
     def vote(table: pa.Table) -> pa.Table:
