@@ -59,3 +59,18 @@ def test_pairs_with_texts_are_dealt_over_tasks(spark, tmp_path):
     spark.range(10).selectExpr("id as item_id", "'word' as text").write.parquet(f"{tmp_path}/benchmark.parquet")
     p = T.pairs(spark, str(tmp_path), with_text=True)
     assert "hashpartitioning(pn_num" in plan(p) and p.count() == 40
+
+
+def test_size_classes_with_zero_rest_have_infinite_gap(spark):
+    """Best losses of 0 in a class, or a class alone, gave a division by zero."""
+    import math
+    from spanweave.plans.catalog import ieee_ratio, size_class_stats
+    cols = "run string, best_eval_loss double, final_train_loss double, grad_mean double"
+    both = spark.createDataFrame([("run0", 0.5, 1.0, 1.0), ("run4", 0.0, 1.0, 1.0), ("run5", 0.0, 2.0, 1.0)], cols)
+    gap = {r.size_class: (r.eval_rest_mean, r.rel_gap) for r in size_class_stats(spark, both).collect()}
+    assert gap == {"small": (0.0, math.inf), "large": (0.5, -1.0)}
+    one = size_class_stats(spark, both.where("run = 'run0'")).collect()
+    assert len(one) == 1 and math.isnan(one[0].eval_rest_mean) and math.isnan(one[0].rel_gap)
+    d = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None), (3.0, 2.0)], "a double, b double")
+    got = [r.q for r in d.select(ieee_ratio(F.col("a"), F.col("b")).alias("q")).collect()]
+    assert got[:2] == [math.inf, -math.inf] and math.isnan(got[2]) and got[3:] == [None, None, 1.5]
