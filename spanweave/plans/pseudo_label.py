@@ -60,7 +60,7 @@ def pseudo_label(notes: DataFrame, annotated: DataFrame, features: DataFrame, co
     pairs = pairs.join(ex, "feature_num", "left").withColumn(
         "messages", P.fewshot_messages("pn_history", "feature_text", F.coalesce("examples", F.array())))
     path = unique_dir(notes.sparkSession, "pseudo-labels")
-    label(pairs.drop("examples"), labeler_factory, batch=batch).drop("messages").write.parquet(path)
+    label(pairs.drop("examples"), labeler_factory, batch=batch, keep=["id", "pn_num", "feature_num", "case_num"]).write.parquet(path)
     out = notes.sparkSession.read.parquet(path)
     out = out.withColumn("spans", parse_spans("raw", "first_object"))
     ex_spans = out.select("id", "pn_num", F.posexplode("spans").alias("pos", "span"))

@@ -74,3 +74,11 @@ def test_size_classes_with_zero_rest_have_infinite_gap(spark):
     d = spark.createDataFrame([(1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (None, 0.0), (1.0, None), (3.0, 2.0)], "a double, b double")
     got = [r.q for r in d.select(ieee_ratio(F.col("a"), F.col("b")).alias("q")).collect()]
     assert got[:2] == [math.inf, -math.inf] and math.isnan(got[2]) and got[3:] == [None, None, 1.5]
+
+
+def test_labels_leave_texts_behind(spark):
+    from spanweave.operators.labelers import label, phrase_labeler_factory
+    df = spark.createDataFrame([(i, "a fever", "fever") for i in range(70)], "id int, pn_history string, feature_text string")
+    out = label(df, phrase_labeler_factory, keep=["id"])
+    assert out.columns == ["id", "raw", "error"] and label(df, phrase_labeler_factory).columns == [*df.columns, "raw", "error"]
+    assert sorted((r.id, r.raw, r.error) for r in out.collect()) == [(i, '{"spans": ["fever"]}', None) for i in range(70)]
