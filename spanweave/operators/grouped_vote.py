@@ -3,33 +3,63 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.operators.spans import far_edge, far_parts
 
 
-def _union(start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
-    edges = np.zeros(size + 1, np.int64)
-    np.add.at(edges, start, 1)
-    np.add.at(edges, end, -1)
-    return np.cumsum(edges[:size]) > 0
+GROUPS = 16_384  # pairs are dealt over so many groups; one call of the function votes all pairs of a group
 
 
-def _blanks(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(size + 1, np.int64)
-    out[at] = n
-    return out
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value (null is a value too) and the values."""
+    found = column.combine_chunks().dictionary_encode(null_encoding="encode")
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def _blanks(place: np.ndarray, blanks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The blank counts noted for places, at the places ``at`` (0 where none is noted)."""
+    order = np.argsort(place, kind="stable")
+    place, blanks = place[order], blanks[order]
+    i = np.searchsorted(place, at, side="right") - 1
+    return np.where((i >= 0) & (place[i] == at), blanks[i], 0)
+
+
+def _runs(pair: np.ndarray, voter: np.ndarray, weight: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int) -> tuple[np.ndarray, ...]:
+    """``(pair, start, end)`` of the runs with ``limit`` votes, all pairs at once: places are numbered through the pairs."""
+    wide = int(end.max()) + 1
+    _, own = np.unique(np.stack([pair, voter, weight]), axis=1, return_inverse=True)  # spans of one voter and weight
+    own = own.reshape(-1)
+    order = np.lexsort((start, own))
+    own, p, w, s, e = own[order], pair[order], weight[order], start[order], end[order]
+    reach = np.maximum.accumulate(own * wide + e)
+    first = np.concatenate([[True], own[1:] * wide + s[1:] > reach[:-1]])  # of an island
+    last = np.concatenate([first[1:], [True]])
+    place = np.concatenate([p[first] * wide + s[first], p[first] * wide + reach[last] - own[first] * wide])
+    change = np.concatenate([w[first], -w[first]])
+    if limit <= 0:  # places without votes count from the start of the note
+        place, change = np.concatenate([place, np.unique(pair) * wide]), np.concatenate([change, np.zeros(len(np.unique(pair)), np.int64)])
+    place, which = np.unique(place, return_inverse=True)
+    votes = np.zeros(len(place), np.int64)
+    np.add.at(votes, which.reshape(-1), change)
+    votes = np.cumsum(votes)
+    on = (votes[:-1] >= limit) & (place[:-1] // wide == place[1:] // wide)
+    edge = np.diff(np.concatenate([[0], on.astype(np.int8), [0]]))
+    begin, stop = place[np.flatnonzero(edge == 1)], place[np.flatnonzero(edge == -1)]
+    return begin // wide, begin % wide, stop % wide
 
 
 def vote_grouped(located: DataFrame, threshold: int, *, pair_key: str = "id", voter: str = "model", weight: str | None = "weight",
                  n_voters: int | None = None) -> DataFrame:
-    """``(pair_key, start, end)`` by the contract of ``majority_vote``, one group a pair.
+    """``(pair_key, start, end)`` by the contract of ``majority_vote``, many pairs a group.
 
-    A group is bounded: of a voter's spans with one start only the furthest
-    end is sent, taken in part before the shuffle, so a pair has at most one
-    row a character of its note, voter and weight, whatever number of spans it
-    received. The function counts votes in an array as long as the furthest end.
+    Pairs are dealt over ``GROUPS`` groups by the hash of their key, so a call
+    votes hundreds of pairs of a large table with a few array operations. Of a
+    voter's spans with one start only the furthest end is sent, taken in part
+    before the shuffle, so a pair has at most one row a character of its note,
+    voter and weight, whatever number of spans it received.
     """
     limit = threshold if n_voters is None else min(threshold, n_voters)
     wcol = F.col(weight) if weight else F.lit(1)
@@ -39,21 +69,12 @@ def vote_grouped(located: DataFrame, threshold: int, *, pair_key: str = "id", vo
     key = dict(located.dtypes)[pair_key]
 
     def vote(table: pa.Table) -> pa.Table:
-        start, end, lead, trail, w = (table.column(c).to_numpy().astype(np.int64) for c in ("start", "end", "lead", "trail", "_w"))
-        size = int(end.max())
-        voters = table.select(["_voter", "_w"]).to_pylist()
-        groups: dict = {}
-        for i, v in enumerate(voters):
-            groups.setdefault((v["_voter"], v["_w"]), []).append(i)
-        votes = np.zeros(size, np.int64)
-        for own in groups.values():
-            votes += w[own[0]] * _union(start[own], end[own], size)
-        edge = np.diff(np.concatenate([[0], (votes >= limit).astype(np.int8), [0]]))
-        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        s, e = s + _blanks(start, lead, size)[s], e - _blanks(end, trail, size)[e]
+        start, end, lead, trail, w = (pc.fill_null(table.column(c), 0).to_numpy().astype(np.int64) for c in ("start", "end", "lead", "trail", "_w"))
+        (pair, names), (voters, _) = _codes(table.column("_pair")), _codes(table.column("_voter"))
+        p, s, e = _runs(pair, voters, w, start, end, limit)
+        wide = int(end.max()) + 1
+        s, e = s + _blanks(pair * wide + start, lead, p * wide + s), e - _blanks(pair * wide + end, trail, p * wide + e)
         keep = s < e
-        pair = table.column("_pair").combine_chunks()
-        return pa.table({pair_key: pair.take(pa.array(np.zeros(int(keep.sum()), np.int64))), "start": pa.array(s[keep].astype(np.int32)),
-                         "end": pa.array(e[keep].astype(np.int32))})
+        return pa.table({pair_key: names.take(pa.array(p[keep])), "start": pa.array(s[keep].astype(np.int32)), "end": pa.array(e[keep].astype(np.int32))})
 
-    return far.groupBy("_pair").applyInArrow(vote, f"{pair_key} {key}, start int, end int")
+    return far.groupBy(F.pmod(F.hash("_pair"), F.lit(GROUPS)).alias("_group")).applyInArrow(vote, f"{pair_key} {key}, start int, end int")
