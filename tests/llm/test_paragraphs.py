@@ -1,10 +1,11 @@
 """Passage dedup: exact and near copies against brute force, edges, and the text that stays."""
 import random
 import re
+import uuid
 
 import pytest
 
-from spanweave.llm.paragraphs import cut_units, dedup_passages, paragraphs, repeated_units, tune
+from spanweave.llm.paragraphs import Paragraphs, cut_units, dedup_passages, paragraphs, repeated_units, tune
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -172,3 +173,25 @@ def test_the_only_copy_of_a_short_sentence_stays(spark):
     text = " ".join(x[1] for x in rows[:1])
     cut, spans = cut_units(text, {0, 1, 2, 4, 5, 6}, 20, sentences_of(text))  # unit 3 may be the first of its cluster
     assert rows[0][2][0] in cut and len(spans) == 2
+
+
+def test_texts_are_cut_into_units_twice_whatever_the_batches(spark, tmp_path):
+    class Counted(Paragraphs):
+        def borders(self, data, starts, ends, first, hashes):
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(first) - 1))
+            return super().borders(data, starts, ends, first, hashes)
+
+    rng = random.Random(50)
+    hot = sentence(rng, 15)
+    rows = corpus() + [(100 + i, f"{hot} {hot}" if i % 2 else hot) for i in range(40)] + [(200, None), (201, ""), (None, hot), (100, hot)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).localCheckpoint()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # keys and classes go on over many batches
+    try:
+        got = repeated_units(df, "doc_id", "text", 5, 4, 5, 6, 0.9999, 1 << 20, 512, 1 << 20, Counted()).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = brute([r for r in rows if r[0] is not None])
+    assert {tuple(r) for r in got if r["id"] is not None} == want
+    assert [r["first_id"] for r in got if r["id"] is None] == [100] * len(paragraphs([hot])[0])
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 2 * len(rows)  # four times before
