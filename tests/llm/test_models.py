@@ -299,3 +299,25 @@ def test_repeated_windows_compare_whole_hashes(spark):
     rows = [([7, 7, 1, 2, 1 | high, 3, 4, -5, 6],), ([1, 2, 3],), ([9, 8, 9, 8 | high, 5, 9],), ([],)]
     df = spark.createDataFrame(rows, "h array<bigint>")
     assert [r[0] for r in df.select(repeated_windows(F.col("h"))).collect()] == [4, 0, 8, 0]
+
+
+def test_common_words_are_counted_whatever_their_length(spark, tmp_path):
+    from spanweave.llm.catalog import LLM_QUERIES
+    rng = random.Random(9)
+    own = ["zusammenhang", "entsprechend", "wissenschaft", "of", "a"]  # the commonest words are long ones
+    texts = [" ".join(rng.choices(own + ["und", "in"], [9, 8, 7, 1, 1, 1, 1], k=300)) for _ in range(30)]
+    texts.append(" ".join(rng.choices(["of", "a", "und", "in"] + [f"anderes{i}" for i in range(300)], [9, 9, 9, 9] + [1] * 300, k=300)))
+    df = spark.createDataFrame([(i, "de", t) for i, t in enumerate(texts)], "doc_id bigint, lang string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in LLM_QUERIES["op9_quality_rules"](spark, str(tmp_path)).collect()}
+    words = [t.split() for t in texts]
+    top = sorted(Counter(w for x in words for w in x).items(), key=lambda a: (-a[1], a[0].encode()))[:24]
+    total = sum(map(len, words))
+
+    def distance(p, q):
+        p, q = [*p, 1 - sum(p)], [*q, 1 - sum(q)]
+        part = lambda a, b: a * math.log(2 * a / (a + b)) if a > 0 else 0.0
+        return math.sqrt(max(sum(part(a, b) + part(b, a) for a, b in zip(p, q)), 0) / (2 * math.log(2)))
+    for i, w in enumerate(words):
+        assert got[i]["word_distance"] == pytest.approx(distance([w.count(a) / len(w) for a, _ in top], [n / total for _, n in top]), abs=2e-6)
+    assert got[30]["word_distance"] > 0.6 > max(got[i]["word_distance"] for i in range(30))
