@@ -39,7 +39,7 @@ from spanweave.operators import scoring as SC  # noqa: E402
 from spanweave.operators.spans import (locate_spans, merge_intervals, parse_location,  # noqa: E402
                                        with_blank_edges, format_location)
 from spanweave.plans.ensemble import explode_spans  # noqa: E402
-from spanweave.plans.pseudo_label import examples_per_feature  # noqa: E402
+from spanweave.plans.pseudo_label import examples_per_feature, with_blocks  # noqa: E402
 from spanweave.plans.training import training_rows  # noqa: E402
 
 SEP = "␟"  # list separator in flattened outputs
@@ -518,9 +518,13 @@ from spanweave.operators import ivf as IVF  # noqa: E402
 from spanweave.operators import retrieval as RT  # noqa: E402
 
 
+EXCERPT = 500
+
+
 def _train_parsed(spark, sf):
     t = T.train_pairs(spark, sf).withColumn("annotation", parse_pylist("annotation"))
-    t = R.lookup(t, T.notes(spark, sf).select("pn_num", "pn_history"), ["pn_num"], "pn_history")
+    excerpt = F.substring("pn_history", 1, EXCERPT).alias("pn_history")  # cut before the join: no more is used of a note
+    t = R.lookup(t, T.notes(spark, sf).select("pn_num", excerpt), ["pn_num"], "pn_history")
     return R.lookup(t, T.features(spark, sf), ["case_num", "feature_num"], "feature_text")
 
 
@@ -530,7 +534,7 @@ def retrieval_corpus(train):
     c = train.withColumn("annotation_str", ann).filter((F.col("feature_text") != "") & (F.col("annotation_str") != ""))
     return c.select("id", "feature_text", "annotation_str",
                     F.concat(F.lit("Feature: "), "feature_text", F.lit("  Annotation: "), "annotation_str").alias("embed_text"),
-                    F.substring("pn_history", 1, 500).alias("pn_history"), "location")
+                    F.substring("pn_history", 1, EXCERPT).alias("pn_history"), "location")
 
 
 @register("retrieval_corpus")
@@ -577,10 +581,10 @@ def q_knn_index_recall(spark, sf):
 def q_fewshot_prompt(spark, sf):
     """Pseudo-labelling prompts for all unannotated notes: top-3 retrieved examples
     per distinct feature (hoisted), joined back to every (note, feature) pair."""
-    ex = examples_per_feature(T.features(spark, sf), retrieval_corpus(_train_parsed(spark, sf)), 3)
-    ex = ex.select("feature_num", P.fewshot_block("examples").alias("block"))  # once a feature
-    notes = _unannotated(spark, sf).select("pn_num", "case_num", P.one_line("pn_history").alias("target")).repartition("pn_num")  # once a note
-    pairs = R.case_fanout(notes, T.features(spark, sf)).join(ex, "feature_num", "left")
+    features = T.features(spark, sf)
+    asked = with_blocks(features, examples_per_feature(features, retrieval_corpus(_train_parsed(spark, sf)), 3))  # once a feature
+    notes = R.unannotated(T.notes(spark, sf).repartition("pn_num"), T.annotated_ids(spark, sf).hint("shuffle_hash"))
+    pairs = R.case_fanout(notes.select("pn_num", "case_num", P.one_line("pn_history").alias("target")), asked)  # once a note
     msgs = P.fewshot_turns("target", "feature_text", "block")
     return pairs.select(F.format_string("%05d_%03d", "pn_num", "feature_num").alias("id"),
                         F.size(msgs).alias("n_messages"), F.md5(msgs[1]["content"]).alias("user_md5"))

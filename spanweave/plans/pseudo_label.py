@@ -17,6 +17,9 @@ from spanweave.session import unique_dir
 from spanweave.sources import files as FS
 
 
+BROADCAST_FEATURES = 10_000
+
+
 def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3, embed: RT.Embedder = RT.hashing_embed) -> DataFrame:
     """``feature_num, examples``: the top-k corpus rows of each feature (ties by ``id``), nearest first.
 
@@ -33,8 +36,9 @@ def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3, emb
     queries = embed(asked.where(F.col("query_id").isNotNull()).select("query_id").distinct(), "query_id").select("query_id", "embedding")
     near = RT.knn_topk(queries, embed(texts, "embed_text").select("cid", "embedding"), k, cid="cid", normalize=False).drop("rank")
     near = near.join(texts, "cid").join(kept.select("embed_text", "id"), "embed_text").select("query_id", "id", "score")
-    top = RT.top_ranks(near, k, "id")
-    rows = top.join(corpus.select("id", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "id")
+    top = FS.materialize_once(RT.top_ranks(near, k, "id"), unique_dir(corpus.sparkSession, "retrieved"))
+    few = top.count() <= k * BROADCAST_FEATURES  # then no row of the corpus is shuffled with its text
+    rows = (F.broadcast(top) if few else top).join(corpus.select("id", "pn_history", "feature_text", F.col("annotation_str").alias("annotation")), "id")
     examples = rows.groupBy("query_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "pn_history", "feature_text", "annotation"))),  # k rows
         lambda x: F.struct(x["pn_history"].alias("pn_history"), x["feature_text"].alias("feature_text"),
@@ -42,6 +46,17 @@ def examples_per_feature(features: DataFrame, corpus: DataFrame, k: int = 3, emb
     return asked.join(examples, "query_id").select("feature_num", "examples")
 
 
+def with_blocks(features: DataFrame, examples: DataFrame) -> DataFrame:
+    """``features`` with the ``block`` of their examples (null: none), written once.
+
+    Notes meet features that have their blocks, so no text of a pair is shuffled
+    to find them; up to ``BROADCAST_FEATURES`` features no text of a note either.
+    """
+    blocks = examples.select("feature_num", P.fewshot_block("examples").alias("block"))
+    rows = FS.materialize_once(features.join(blocks, "feature_num", "left"), unique_dir(features.sparkSession, "feature-blocks"))
+    return F.broadcast(rows) if rows.count() <= BROADCAST_FEATURES else rows
+
+
 def pseudo_label(notes: DataFrame, annotated: DataFrame, features: DataFrame, corpus: DataFrame, labeler_factory,
                  *, n_sample: int | None = None, seed: int = 42, k: int = 3, cutoff: float = 72.0,
                  done: DataFrame | None = None, batch: int = 32, embed: RT.Embedder = RT.hashing_embed) -> DataFrame:
@@ -49,18 +64,18 @@ def pseudo_label(notes: DataFrame, annotated: DataFrame, features: DataFrame, co
     (repr-string lists; ``annotation`` keeps every parsed span, ``location``
     only the located ones, in span order). All unannotated notes are labelled,
     or ``n_sample`` of them. The labels are written once to the shared store."""
-    sample = R.unannotated(notes, annotated)
+    # dealt over tasks before the narrow table of annotated notes meets them: texts are shuffled once and never sorted
+    sample = R.unannotated(notes.repartition("pn_num"), annotated.hint("shuffle_hash"))
     if n_sample is not None:
         sample = S.sample_n(sample, n_sample, seed, "pn_num")
-    pairs = R.case_fanout(sample, features.filter(F.col("feature_text") != "")) \
-             .withColumn("id", pair_id("pn_num", "feature_num"))
+    asked = with_blocks(features.filter(F.col("feature_text") != ""), examples_per_feature(features, corpus, k, embed))
+    target = P.one_line(F.coalesce("pn_history", F.lit("")))  # once a note
+    pairs = R.case_fanout(sample.withColumn("target", target), asked).withColumn("id", pair_id("pn_num", "feature_num"))
     if done is not None:
         pairs = R.resume(pairs, done, "id")
-    ex = examples_per_feature(features, corpus, k, embed)
-    pairs = pairs.join(ex, "feature_num", "left").withColumn(
-        "messages", P.fewshot_messages("pn_history", "feature_text", F.coalesce("examples", F.array())))
+    pairs = pairs.withColumn("messages", P.fewshot_turns("target", "feature_text", "block"))
     path = unique_dir(notes.sparkSession, "pseudo-labels")
-    label(pairs.drop("examples"), labeler_factory, batch=batch, keep=["id", "pn_num", "feature_num", "case_num"]).write.parquet(path)
+    label(pairs.drop("target", "block"), labeler_factory, batch=batch, keep=["id", "pn_num", "feature_num", "case_num"]).write.parquet(path)
     out = notes.sparkSession.read.parquet(path)
     out = out.withColumn("spans", parse_spans("raw", "first_object"))
     ex_spans = out.select("id", "pn_num", F.posexplode("spans").alias("pos", "span"))

@@ -100,3 +100,26 @@ def test_padded_rows_reads_sizes_without_arrays(spark, tmp_path):
     spark.createDataFrame([("a", 3, [1, 2, 3], [1, 2, 3]), ("b", 1, [4], [4])], "id string, n_tok int, input_ids array<int>, labels array<int>").write.parquet(f"{tmp_path}/e")
     out = padded_rows(spark.read.parquet(f"{tmp_path}/e"), 0)
     assert "size(input_ids" not in plan(out) and {r.id: r.input_ids for r in out.collect()} == {"a": [1, 2, 3, 0, 0, 0, 0, 0], "b": [4] + [0] * 7}
+
+
+def test_features_get_their_examples_before_they_meet_notes(spark):
+    from spanweave.plans.pseudo_label import with_blocks
+    features = spark.createDataFrame([(1, 0, "f"), (2, 0, "g"), (2, 1, "h")], "feature_num long, case_num int, feature_text string")
+    one = [("note", "f", "a | b")]
+    examples = spark.createDataFrame([(2, one), (2, one)], "feature_num long, examples array<struct<pn_history:string,feature_text:string,annotation:string>>")
+    rows = with_blocks(features, examples)
+    got = sorted((r.feature_num, r.case_num, r.block is None) for r in rows.collect())
+    assert got == [(1, 0, True), (2, 0, False), (2, 0, False), (2, 1, False), (2, 1, False)]
+    assert "strategy=broadcast" in plan(spark.range(3).selectExpr("cast(id as int) case_num").join(rows, "case_num"))
+
+
+@pytest.mark.parametrize("query", ["fewshot_prompt", "pseudo_label"])
+def test_no_text_of_a_pair_is_shuffled(spark, query, monkeypatch):
+    from spanweave.operators import labelers as LB
+    from spanweave.plans import catalog
+    seen = []
+    monkeypatch.setattr("spanweave.plans.pseudo_label.label", lambda df, *a, **k: seen.append(df) or LB.label(df, *a, **k))
+    out = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")
+    text = (seen or [out])[0]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.splitlines() if "Join" in line]
+    assert joins and not any("feature_num" in line and "LeftOuter" in line for line in joins)
