@@ -121,3 +121,16 @@ def test_run_documents_hold_a_bounded_block_of_steps(spark):
     assert len(docs) == 26 and max(len(r["log_history_snapshot"]) for r in docs) == 1000
     assert all(len(r["log_history"]) == (0 if r["run"] == "run0" else len(r["log_history_snapshot"])) for r in docs)
     assert sorted((r["run"], e["step"], e["loss"]) for r in docs for e in r["log_history_snapshot"]) == sorted(tuple(r) for r in log.select("run", "step", "loss").collect())
+
+
+def test_label_stream_sends_no_texts_through_the_state_of_duplicates(spark, monkeypatch):
+    from spanweave.operators import labelers
+    seen = []
+    monkeypatch.setattr("spanweave.operators.labelers.label", lambda df, *a, **k: seen.append(df.isStreaming) or label(df, *a, **k))
+    notes = spark.createDataFrame([(1, 0, "a cough"), (1, 0, "no cough, cough"), (1, 1, "cough"), (2, 0, None), (3, 7, "cough"), (None, 0, "cough")], "pn_num long, case_num int, pn_history string")
+    features = spark.createDataFrame([(1, 0, "cough"), (1, 0, "cough"), (1, 1, "a"), (2, 0, "no"), (3, None, "x")], "feature_num long, case_num int, feature_text string")
+    out = jobs.incremental_labels(spark, notes, features, labelers.phrase_labeler_factory)
+    got = {(r["pn_num"], r["feature_num"]): r["raw"] for r in out.collect()}
+    assert out.count() == len(got) == 6 and seen and not any(seen)
+    assert got[1, 2] in ('{"spans": []}', '{"spans": ["no"]}') and got[2, 1] == '{"spans": []}' and got[None, 1] == '{"spans": ["cough"]}'
+    assert "cough" in got[1, 1] or got[1, 1] == '{"spans": []}'
