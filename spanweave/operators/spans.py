@@ -73,7 +73,9 @@ def locate_spans(spans: DataFrame, notes: DataFrame, *, key: str = "pn_num", spa
     j.write.parquet(path)
     seen = j.sparkSession.read.parquet(path)
     lost = seen.filter(F.col("start").isNull()).drop("start", "end", "method")
-    miss = lost.select(key, span_col).distinct().join(texts.drop("note_len"), key).repartition(key, span_col)
+    # a fixed number of parts: few bytes are many alignments, and would be put into few tasks
+    parts = int(j.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    miss = lost.select(key, span_col).distinct().join(texts.drop("note_len"), key).repartition(parts, key, span_col)
     found = fuzzy_locate(miss, span_col=span_col, note_col=note_col, cutoff=fuzzy_cutoff, mode=fuzzy_mode).drop(note_col)
     j = seen.filter(F.col("start").isNotNull()).unionByName(lost.join(found, [key, span_col]))
     return j.join(texts, key).select(key, *rest, note_col, "start", "method", "end", "note_len")

@@ -125,3 +125,22 @@ def test_both_scorers_agree():
         span = "".join(c for c in note[at:at + rnd.randint(1, 40)] if rnd.random() > 0.2) or "a"
         for cutoff in (0.0, 60.0, 70.0, 90.0):
             assert _partial(span, note, cutoff) == _partial_impl(span, note, cutoff)
+
+
+def test_a_lost_span_is_aligned_once(spark):
+    from spanweave.operators.fuzzy import fuzzy_locate
+    miss = spark.createDataFrame([(1, "chst pain", "some chest pain"), (2, "zzz", "note")], "k int, span string, pn_history string").repartition(3, "k")
+    out = fuzzy_locate(miss, cutoff=72.0, mode="window")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r["k"], r["start"], r["end"]) for r in out.collect()] == [(1, 5, 15)]
+
+
+def test_all_window_sizes_at_once_in_small_blocks():
+    from spanweave.operators.fuzzy import _Windows, window_alignment
+    rng = random.Random(11)
+    for _ in range(300):
+        note = "".join(rng.choice("abcd é") for _ in range(rng.randrange(1, 400)))
+        span = "".join(rng.choice("abcd éx") for _ in range(rng.randrange(1, 65)))
+        sizes = range(max(1, int(len(span) * 0.8)), min(len(note), int(len(span) * 1.2)) + 1)
+        for cutoff in (40.0, 72.0):
+            assert window_alignment(span, note, cutoff) == _Windows(span, note).best_of_sizes(sizes, cutoff, first=2, block=500)
