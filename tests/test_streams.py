@@ -134,3 +134,66 @@ def test_label_stream_sends_no_texts_through_the_state_of_duplicates(spark, monk
     assert out.count() == len(got) == 6 and seen and not any(seen)
     assert got[1, 2] in ('{"spans": []}', '{"spans": ["no"]}') and got[2, 1] == '{"spans": []}' and got[None, 1] == '{"spans": ["cough"]}'
     assert "cough" in got[1, 1] or got[1, 1] == '{"spans": []}'
+
+
+def test_state_vote_reads_and_writes_a_bucket_as_one_value():
+    import pandas as pd
+    from spanweave.streaming.state_vote import BucketVote
+
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        def __init__(self):
+            self.values, self.timers = {}, set()
+
+        def getValueState(self, name, schema):
+            return self.values.setdefault(name, Value())
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Times:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    def reports(model, n, at):
+        return pd.DataFrame({"id": [f"p{i}" for i in range(n)], "model": model, "weight": 1, "edges": ["0 5 0 0 6 9 0 1" if i % 2 else "" for i in range(n)], "at_ms": at})
+
+    handle, vote = Handle(), BucketVote(2, 2, 600)
+    vote.init(handle)
+    assert list(vote.handleInputRows(0, iter([reports("m1", 1000, 100)]), Times(0))) == []
+    (first,) = vote.handleInputRows(0, iter([reports("m2", 900, 150), reports("m2", 900, 160)]), Times(0))
+    assert first["id"].nunique() == len(first) == 900 and set(first["n_models"]) == {2}
+    assert set(zip(first["id"].str[1:].astype(int) % 2, first["location"].fillna(""))) == {(0, ""), (1, "0 5;6 8")}
+    assert list(vote.handleInputRows(0, iter([reports("m3", 900, 170)]), Times(0))) == []  # late reports of voted pairs
+    assert handle.timers == {700} and handle.values["pairs"].calls == ["get", "update"] * 3
+    (rest,) = vote.handleExpiredTimer(0, Times(700), None)
+    assert sorted(rest["id"]) == sorted(f"p{i}" for i in range(900, 1000)) and set(rest["n_models"]) == {1} and rest["location"].isna().all()
+    assert list(vote.handleExpiredTimer(0, Times(770), None)) == [] and handle.values["pairs"].held is None
+
+
+def test_reports_reach_python_as_one_text(spark):
+    located, reports = tables(spark)
+    rows = spark.read.parquet(staged(spark, located, reports))
+    flat = F.flatten(F.transform("spans", lambda x: F.array(x["start"], x["end"], x["lead"], x["trail"])))
+    got = {(r["id"], r["model"]): r["edges"] for r in jobs.packed(rows, flat).collect()}
+    assert got["p2", "m1"] in ("0 4 1 0 6 9 0 1", "6 9 0 1 0 4 1 0") and got["p4", "m1"] == "" and len(got) == 12
